@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitline.llm import common, pieces, quality
+from splitline.llm import common, decontam, pieces, pii, quality
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.select_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, re-parameterised ones included."""
+    return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids."""
     return pieces.encode(docs)
@@ -21,6 +31,8 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
+    ("benchmark decontamination", no_leaks),
+    ("PII", redacted),
     ("SentencePiece encoding", as_pieces),
 ]
 

@@ -7,15 +7,27 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, quality
+from . import decontam, pieces, pii, quality, warc
 from .common import table
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.decode(encoded).select(
@@ -25,11 +37,14 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_template_decontamination": op3_template_decontamination,
+        "op4_bootstrapped_pii": op4_bootstrapped_pii,
         "op7_ordinal_quality": op7_ordinal_quality,
+        "op8_revisit_resolution": op8_revisit_resolution,
         "op10_unigram_pieces": op10_unigram_pieces,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_revisit_resolution": warc.ORACLE}
