@@ -7,10 +7,15 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, pieces, pii, quality, warc
+from . import decontam, kdtree, pieces, pii, quality, repair, warc
 from .common import table
 
 
+def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kdtree.quantize(F.col("embedding")).alias("v"))
+    return kdtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,6 +24,10 @@ def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("span_list")
 
 
+def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.write(table(spark, sf_dir, "documents")))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,8 +46,10 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kdtree_top_k": op1_kdtree_top_k,
         "op3_template_decontamination": op3_template_decontamination,
         "op4_bootstrapped_pii": op4_bootstrapped_pii,
+        "op5_repair_token_ids": op5_repair_token_ids,
         "op7_ordinal_quality": op7_ordinal_quality,
         "op8_revisit_resolution": op8_revisit_resolution,
         "op10_unigram_pieces": op10_unigram_pieces,
@@ -47,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_revisit_resolution": warc.ORACLE}
+    return {"op1_kdtree_top_k": kdtree.ORACLE, "op8_revisit_resolution": warc.ORACLE}
