@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from splitline.llm import common, decontam, pieces, pii, quality
+from splitline.llm import common, decontam, nearjoin, pieces, pii, quality
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.select_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return nearjoin.deduplicate(docs)
+
+
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, re-parameterised ones included."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
@@ -31,9 +36,10 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
     ("benchmark decontamination", no_leaks),
     ("PII", redacted),
-    ("SentencePiece encoding", as_pieces),
+    ("SentencePiece encoding and decoding", as_pieces),
 ]
 
 ORACLE_SQL = None

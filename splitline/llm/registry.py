@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, kdtree, pieces, pii, quality, repair, warc
+from . import decontam, kdtree, nearjoin, pieces, pii, quality, repair, warc
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.write(table(spark, sf_dir, "documents")))
 
 
+def op6_forest_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_template_decontamination": op3_template_decontamination,
         "op4_bootstrapped_pii": op4_bootstrapped_pii,
         "op5_repair_token_ids": op5_repair_token_ids,
+        "op6_forest_jaccard": op6_forest_jaccard,
         "op7_ordinal_quality": op7_ordinal_quality,
         "op8_revisit_resolution": op8_revisit_resolution,
         "op10_unigram_pieces": op10_unigram_pieces,
