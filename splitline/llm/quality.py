@@ -98,20 +98,21 @@ def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 150, l2
     present = np.bincount(grades, minlength=3) if len(grades) else np.zeros(3)
     if (present > 0).sum() < 2:
         return OrdinalModel(weights, (-1.0, 1.0), False)
-    ids = np.concatenate(docs)
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    df = np.bincount(ids, minlength=1 << BITS)
     n = len(grades)
+    by_grade = np.zeros((3, 1 << BITS), dtype=np.int32)
+    for f, grade in zip(docs, grades):
+        by_grade[grade, f] += 1
+    df = by_grade.sum(0)
     chi = np.zeros(1 << BITS)
-    for low in (grades == 0, grades < 2):
-        hit, share_low = np.bincount(ids, low[rows].astype(float), minlength=1 << BITS), low.mean()
+    for top, share_low in enumerate(np.cumsum(present)[:2] / n):
+        hit = by_grade[: top + 1].sum(0)
         spread = df * share_low * (1 - share_low) * (1 - df / n)
         chi = np.maximum(chi, np.where(spread > 0, (hit - df * share_low) ** 2 / np.maximum(spread, 1e-9), 0))
     used = np.flatnonzero((df >= min_df) & (chi >= screen))
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
-    keep = place[ids] >= 0
-    ids, rows, size = place[ids[keep]], rows[keep], len(used)
+    kept = [p[p >= 0] for p in (place[f] for f in docs)]
+    ids, rows, size = np.concatenate(kept), np.repeat(np.arange(n), [len(k) for k in kept]), len(used)
     w = np.zeros(size)
     share = (np.cumsum(present)[:2] + 0.5) / (present.sum() + 1.5)
     t = np.log(share / (1 - share))
@@ -146,7 +147,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 12_000) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 6_000) -> OrdinalModel:
     """Fit on at most ``max_rated`` rated documents, those with the smallest hash of their id: the documented bound of the sample."""
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
 
