@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, kdtree, nearjoin, pieces, pii, quality, repair, warc
+from . import decontam, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisit_report(table(spark, sf_dir, "pages"))
 
 
+def op9_countmin_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pieces.decode(encoded).select(
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_forest_jaccard": op6_forest_jaccard,
         "op7_ordinal_quality": op7_ordinal_quality,
         "op8_revisit_resolution": op8_revisit_resolution,
+        "op9_countmin_substring": op9_countmin_substring,
         "op10_unigram_pieces": op10_unigram_pieces,
         "pipeline": corpus_pipeline.run,
     }
