@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc
+from . import decontam, katz, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kdtree_top_k": op1_kdtree_top_k,
+        "op2_katz_scores": op2_katz_scores,
         "op3_template_decontamination": op3_template_decontamination,
         "op4_bootstrapped_pii": op4_bootstrapped_pii,
         "op5_repair_token_ids": op5_repair_token_ids,
