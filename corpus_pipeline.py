@@ -30,8 +30,9 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids."""
-    return pieces.encode(docs)
+    """Documents with their piece ids and the text that those decode to."""
+    common.shared_dir(spark)
+    return pieces.decode(pieces.encode(docs))
 
 
 STAGES = [
