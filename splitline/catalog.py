@@ -1,4 +1,4 @@
-"""The query catalogue: one (query, oracle) pair per operator family module."""
+"""The query catalogue: every query of the plan modules with its oracle."""
 
 from __future__ import annotations
 
@@ -6,18 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from .plans import aggregate_queries, board_queries, join_queries  # noqa: F401  (each registers its queries)
+from .plans.base import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in _MODULES:
-        out.update(module.QUERIES)
-    return out
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for module in _MODULES:
-        out.update(module.ORACLES)
-    return out
+    return dict(ORACLES)
