@@ -1,4 +1,4 @@
-"""Making the package known to Python workers."""
+"""What a session needs: the package on its workers, and a folder that all machines share."""
 
 from __future__ import annotations
 
@@ -20,4 +20,17 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(source, source.relative_to(home.parent))
         context.addPyFile(str(path))
         context._splitline_shipped = True
+        shared_dir(spark)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one is made and set for checkpoint()."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        base = getattr(context, "_splitline_shared", None)
+        if base is None:
+            base = context._splitline_shared = f"file://{tempfile.mkdtemp(prefix='splitline-')}"
+            context.setCheckpointDir(base)
+    return base.rstrip("/")
