@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from .. import session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table. Texts may be long, so Python workers get them in small Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    ship(spark)
+    session.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one is made only where it is unset."""
-    ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='splitline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder all executors share."""
+    return session.shared_dir(session.ship(spark))
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
