@@ -25,6 +25,9 @@ def two_way_cg(df: DataFrame, person: str, cell: str, value: str, tol: float = 1
     Each product D'MDv is two joins and aggregates on (person, cell) counts, so no row is revisited; the exact Jacobi
     diagonal is sum over persons of n_pc - n_pc^2 / n_p. Vectors stay DataFrames by cell; scalars come to the driver.
     """
+    out = cell
+    df = df.select(F.col(person).alias("_person"), F.col(cell).alias("_cell"), F.col(value).cast("double").alias("_y"))
+    person, cell, value = "_person", "_cell", "_y"
     pc = df.groupBy(person, cell).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     pc = pc.withColumn("np", F.sum("n").over(Window.partitionBy(person))).withColumn("sp", F.sum("s").over(Window.partitionBy(person))).checkpoint()
 
@@ -51,7 +54,7 @@ def two_way_cg(df: DataFrame, person: str, cell: str, value: str, tol: float = 1
         rz, used = new, used + 1
     size = pc.groupBy(cell).agg(F.sum("n").alias("w"))
     gauge = state.join(size, cell).agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("g")).first()["g"]
-    return state.select(cell, (F.col("x") - F.lit(gauge)).alias("difficulty"), "diag"), {"iterations": used, "relative": rz / first if first else 0.0}
+    return state.select(F.col(cell).alias(out), (F.col("x") - F.lit(gauge)).alias("difficulty"), "diag"), {"iterations": used, "relative": rz / first if first else 0.0}
 
 
 def shrink(difficulty: DataFrame, sigma2: float, tau2: float) -> DataFrame:
