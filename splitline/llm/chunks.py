@@ -1,7 +1,6 @@
 """Chunks: the documents of one scan task in runs of about a million words, dictionary-coded.
 
-A chunk is named by its scan task and its place there, which the file splits of
-the scan determine, so a task that is run again makes the same chunks. Packed
+A chunk is named by its scan task and its place there. Packed
 columns are zstd frames of byte planes; high planes of small numbers vanish.
 """
 
@@ -15,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pack, planes, text_bytes, unpack, unplanes
+from .common import materialize, pack, planes, text_bytes, unpack, unplanes
 
 NO_ID = -(1 << 63)
 
@@ -81,12 +80,12 @@ class Chunk:
         return Chunk(self.name, self.doc_ids[docs], self.lens[docs], [self.words[i] for i in used.tolist()], codes)
 
 
-def _make(name: int, ids: list, texts: list[list[bytes]], ranked: bool) -> Chunk:
+def _make(name: int, ids: list, texts: list[list[bytes]]) -> Chunk:
     known: dict[bytes, int] = {}
     add = known.setdefault
     tokens = np.array([add(w, len(known)) for words in texts for w in words], dtype=np.int64)
     words = list(known)
-    if ranked and words:
+    if words:
         order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
         place = np.empty(len(words), dtype=np.int64)
         place[order] = np.arange(len(words))
@@ -94,7 +93,7 @@ def _make(name: int, ids: list, texts: list[list[bytes]], ranked: bool) -> Chunk
     return Chunk(name, np.array([NO_ID if i is None else i for i in ids], dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64), words, tokens)
 
 
-def chunked(batches, limit: int = 1_000_000, ranked: bool = False, lower: bool = False):
+def chunked(batches, limit: int = 1_000_000, lower: bool = False):
     """Chunks of (doc_id, text) batches, cut before ``limit`` words are passed; a longer document is one chunk."""
     ids: list = []
     texts: list[list[bytes]] = []
@@ -104,13 +103,13 @@ def chunked(batches, limit: int = 1_000_000, ranked: bool = False, lower: bool =
         for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
             words = (text.lower() if lower else text).split()
             if ids and size + len(words) > limit:
-                yield _make(task | number, ids, texts, ranked)
+                yield _make(task | number, ids, texts)
                 ids, texts, size, number = [], [], 0, number + 1
             ids.append(doc)
             texts.append(words)
             size += len(words)
     if ids:
-        yield _make(task | number, ids, texts, ranked)
+        yield _make(task | number, ids, texts)
 
 
 def scan_of(docs: DataFrame) -> DataFrame:
@@ -118,13 +117,20 @@ def scan_of(docs: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, lower: bool = False) -> DataFrame:
-    """(chunk long, body binary) of all documents."""
+    """(chunk long, body binary) of all documents, written once: every later pass reads the same chunks."""
 
     def run(batches):
-        for c in chunked(batches, ranked=True, lower=lower):
+        for c in chunked(batches, lower=lower):
             yield pa.RecordBatch.from_arrays([pa.array([c.name], pa.int64()), pa.array([c.dump()], pa.binary())], names=["chunk", "body"])
 
-    return scan_of(docs).mapInArrow(run, "chunk long, body binary")
+    return materialize(scan_of(docs).mapInArrow(run, "chunk long, body binary"), "chunks")
+
+
+def loaded(batches):
+    """The chunks of (chunk, body) batches."""
+    for b in batches:
+        for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield Chunk.load(name, body)
 
 
 def text_volume(docs: DataFrame) -> int:

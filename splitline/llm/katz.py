@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, chunked, encoded, loosen, pack_small, pack_sorted, scan_of, squeeze, text_volume, unpack_small, unpack_sorted
+from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_small, pack_sorted, squeeze, text_volume, unpack_small, unpack_sorted
 from .common import materialize, mix
 
 #: A word that can't occur in a text (it holds white space): the end token; the begin token has number 0.
@@ -107,17 +107,17 @@ def _slices(keys: np.ndarray, cut: int) -> list[tuple[int, int, int]]:
     return [(k, i, j) for k, (i, j) in enumerate(zip(at, at[1:])) if i < j]
 
 
-def word_requests(docs: DataFrame, cut: int) -> DataFrame:
+def word_requests(chunks: DataFrame, cut: int) -> DataFrame:
     """(part, chunk, keys, counts): each chunk's distinct words with their training counts."""
 
     def run(batches):
-        for c in chunked(batches, lower=True):
+        for c in loaded(batches):
             h, codes, doc, train = _tokens(c)
             counts = np.bincount(codes[train[doc]], minlength=len(h))
             part, a, b = zip(*[(k, pack_sorted(h[i:j]), pack_small(counts[i:j])) for k, i, j in _slices(h, cut)])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([c.name] * len(part), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "chunk", "keys", "counts"])
 
-    return scan_of(docs).mapInArrow(run, "part int, chunk long, keys binary, counts binary")
+    return chunks.select("chunk", "body").mapInArrow(run, "part int, chunk long, keys binary, counts binary")
 
 
 _MERGED = "kind int, chunk long, part int, a binary, b binary, r long, n long"
@@ -223,7 +223,7 @@ def _unpack_words(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(loosen(blob), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def bigram_requests(docs: DataFrame, answers: DataFrame, cut: int, frequent: int) -> DataFrame:
+def bigram_requests(chunks: DataFrame, answers: DataFrame, cut: int, frequent: int) -> DataFrame:
     """(part, chunk, contexts, words, counts, unis): each chunk's distinct bigrams, their training counts and their words' training counts."""
 
     def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +234,7 @@ def bigram_requests(docs: DataFrame, answers: DataFrame, cut: int, frequent: int
         rows = [(k, c.name, pack_sorted(v[i:j]), _pack_words(w[i:j]), pack_small(n[i:j]), pack_small(uc[i:j])) for k, i, j in _part_slices(part)]
         return pd.DataFrame(rows, columns=["part", "chunk", "contexts", "words", "counts", "unis"])
 
-    return encoded(docs, lower=True).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "part int, chunk long, contexts binary, words binary, counts binary, unis binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "part int, chunk long, contexts binary, words binary, counts binary, unis binary")
 
 
 def _masses(context_code: np.ndarray, size: int, n: np.ndarray, uc: np.ndarray, uni: Unigrams) -> np.ndarray:
@@ -316,7 +316,7 @@ class Katz:
         return np.where(n > 0, self.discounts(n) * n / whole, alpha * self.uni.p(uc))
 
 
-def score_chunks(docs: DataFrame, answers: DataFrame, model: Katz, cut: int, frequent: int) -> DataFrame:
+def score_chunks(chunks: DataFrame, answers: DataFrame, model: Katz, cut: int, frequent: int) -> DataFrame:
     """One row per document. ``answers``: (chunk, order, part, a, b)."""
 
     def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -349,7 +349,7 @@ def score_chunks(docs: DataFrame, answers: DataFrame, model: Katz, cut: int, fre
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded(docs, lower=True).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, out)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, out)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -357,7 +357,8 @@ def score(docs: DataFrame) -> DataFrame:
     volume = text_volume(docs)
     cut = max(0, min(20, math.ceil(math.log2(volume / 4_000_000)) if volume > 4_000_000 else 0))
     frequent = max(1_000, volume // MOST_FREQUENT)
-    words = materialize(merge_words(word_requests(docs, cut), frequent), "katz-words")
+    chunks = encoded(docs, lower=True)
+    words = materialize(merge_words(word_requests(chunks, cut), frequent), "katz-words")
     n = _counts_of_counts(words)
     discounts = Discounts.of(n)
     seen = sum(discounts.d[r] * r * n.get(r, 0) for r in range(1, K + 1)) + n.get(0, 0) - sum(r * n.get(r, 0) for r in range(1, K + 1))
@@ -368,8 +369,8 @@ def score(docs: DataFrame) -> DataFrame:
     uni = Unigrams(total, n.get(-1, 0), discounts, unknown)
     numbers = np.array([0, *sorted(r.n for r in words.where("kind = 3").select("n").collect())], dtype=np.uint64)
     first = words.where("kind = 1").select("chunk", "part", "a", "b")
-    bigrams = materialize(merge_bigrams(bigram_requests(docs, first, cut, frequent), uni, numbers), "katz-bigrams")
+    bigrams = materialize(merge_bigrams(bigram_requests(chunks, first, cut, frequent), uni, numbers), "katz-bigrams")
     model = Katz(uni, Discounts.of(_counts_of_counts(bigrams)), *frequent_masses(bigrams))
     second = bigrams.where("kind = 1").select("chunk", "part", "a", "b")
     answers = first.withColumn("order", F.lit(1)).unionByName(second.withColumn("order", F.lit(2)))
-    return score_chunks(docs, answers, model, cut, frequent)
+    return score_chunks(chunks, answers, model, cut, frequent)

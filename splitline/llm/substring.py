@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, chunked, encoded, pack_bits, pack_small, pack_sorted, scan_of, squeeze, text_volume, loosen, unpack_bits, unpack_small, unpack_sorted
+from .chunks import NO_ID, Chunk, encoded, loaded, pack_bits, pack_small, pack_sorted, squeeze, text_volume, loosen, unpack_bits, unpack_small, unpack_sorted
 from .common import materialize, mix
 
 WINDOW = 20
@@ -84,11 +84,11 @@ def _ranges(cells: np.ndarray, plan: Plan) -> list[tuple[int, int, int]]:
     return [(k, i, j) for k, (i, j) in enumerate(zip(at, at[1:])) if i < j]
 
 
-def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
+def sketch(chunks: DataFrame, plan: Plan) -> DataFrame:
     """(part int, chunk long, cells binary, twice binary): the occupied cells of each chunk by row and range."""
 
     def run(batches):
-        for c in chunked(batches):
+        for c in loaded(batches):
             key, _, _ = _hashes(c, plan)
             for row in range(plan.depth):
                 cells, counts = np.unique(_cells(key, row, plan), return_counts=True)
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
                     part, a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([c.name] * len(part), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "chunk", "cells", "twice"])
 
-    return scan_of(docs).mapInArrow(run, "part int, chunk long, cells binary, twice binary")
+    return chunks.mapInArrow(run, "part int, chunk long, cells binary, twice binary")
 
 
 def merge(sketches: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _final(c: Chunk, covered: np.ndarray) -> list[tuple]:
     return out
 
 
-def classify(docs: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
+def classify(chunks: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
     """Kind 0: results of documents without a suspect. Kind 1: distinct suspects by range. Kind 2: the other documents' chunk, with their suspects."""
 
     def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
             rows.append((2, None, None, None, None, c.name, None, kept.dump(), pack_bits(flags[np.repeat(marked, c.lens)]), None, None))
         return _frame(rows)
 
-    return encoded(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, _STEP)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, _STEP)
 
 
 def settle(suspects: DataFrame) -> DataFrame:
@@ -241,8 +241,9 @@ def finish(rest: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, depth: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     plan = Plan(text_volume(docs), window, depth)
-    answers = merge(sketch(docs, plan))
-    step = materialize(classify(docs, answers, plan), "substring")
+    chunks = encoded(docs)
+    answers = merge(sketch(chunks, plan))
+    step = materialize(classify(chunks, answers, plan), "substring")
     later = settle(step.where("kind = 1").select("chunk", "part", "a", "b", "c", "d"))
     rest = finish(step.where("kind = 2").select("chunk", "a", "b"), later, plan)
     return step.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(rest)
