@@ -1,6 +1,8 @@
 """Chunks: the documents of one scan task in runs of about a million words, dictionary-coded.
 
-A chunk is named by its scan task and its place there. Packed
+A chunk is named by its scan task and its place there; up to 2**HOME_BITS
+neighbours share a home, by which the chunks' table is bucketed, so that answers
+travel to the chunks and the texts stay where they were written. Packed
 columns are zstd frames of byte planes; high planes of small numbers vanish.
 """
 
@@ -9,14 +11,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, pack, planes, text_bytes, unpack, unplanes
+from .common import materialize_by, pack, planes, text_bytes, unpack, unplanes
 
 NO_ID = -(1 << 63)
+HOME_BITS = 2
+#: Spark's own bound of a table's buckets.
+MOST_BUCKETS = 100_000
 
 
 def squeeze(blob: bytes) -> bytes:
@@ -116,14 +122,31 @@ def scan_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def encoded(docs: DataFrame, lower: bool = False) -> DataFrame:
-    """(chunk long, body binary) of all documents, written once: every later pass reads the same chunks."""
+def home(chunk: str = "chunk") -> Column:
+    return F.shiftright(chunk, HOME_BITS)
+
+
+def encoded(docs: DataFrame, volume: int, lower: bool = False) -> DataFrame:
+    """(home long, chunk long, body binary) of all documents, written once: every later pass reads the same chunks. ``volume``: see :func:`text_volume`."""
 
     def run(batches):
         for c in chunked(batches, lower=lower):
-            yield pa.RecordBatch.from_arrays([pa.array([c.name], pa.int64()), pa.array([c.dump()], pa.binary())], names=["chunk", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.name >> HOME_BITS], pa.int64()), pa.array([c.name], pa.int64()), pa.array([c.dump()], pa.binary())], names=["home", "chunk", "body"])
+
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(least, volume // 8_000_000))
+    return materialize_by(scan_of(docs).mapInArrow(run, "home long, chunk long, body binary"), "chunks", "home", buckets)
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    """``run(chunk, its rows of answers)`` for every chunk; only ``answers`` (with a column chunk) are shuffled."""
+
+    def each(bodies: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        own = dict(list(got.groupby("chunk")))
+        return pd.concat([run(Chunk.load(name, body), own.get(name, got.iloc[:0])) for name, body in zip(bodies["chunk"].tolist(), bodies["body"])] or [pd.DataFrame(columns=names)])
 
-    return materialize(scan_of(docs).mapInArrow(run, "chunk long, body binary"), "chunks")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return chunks.groupBy("home").cogroup(answers.withColumn("home", home()).groupBy("home")).applyInPandas(each, schema)
 
 
 def loaded(batches):

@@ -31,6 +31,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`materialize`, as an external table bucketed by ``key``: grouping it by ``key`` later moves none of its rows."""
+    spark, name = df.sparkSession, f"splitline_{what}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions for ``rows`` so that none holds more than about ``per_part``, and every core has work."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_small, pack_sorted, squeeze, text_volume, unpack_small, unpack_sorted
+from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_small, pack_sorted, squeeze, text_volume, unpack_small, unpack_sorted, with_answers
 from .common import materialize, mix
 
 #: A word that can't occur in a text (it holds white space): the end token; the begin token has number 0.
@@ -137,23 +137,6 @@ def _merged_frame(rows: list[tuple]) -> pd.DataFrame:
     return df
 
 
-_MERGED = "kind int, chunk long, part int, a binary, b binary, r long, n long"
-
-
-def _merged_frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=[x.split()[0] for x in _MERGED.split(", ")])
-    for name, kind in (("kind", "Int32"), ("chunk", "Int64"), ("part", "Int32"), ("r", "Int64"), ("n", "Int64")):
-        df[name] = df[name].astype(kind)
-    return df
-
-
-def _count_rows(part: int, values: np.ndarray) -> list[tuple]:
-    """Counts of counts (1 .. 6), the distinct (r = -1) and the total (r = 0)."""
-    seen = values[values > 0]
-    rows = [(2, None, part, None, None, r, int((seen == r).sum())) for r in range(1, K + 2)]
-    return [*rows, (2, None, part, None, None, -1, len(seen)), (2, None, part, None, None, 0, int(seen.sum()))]
-
-
 def _counts_of_counts(merged: DataFrame) -> dict[int, int]:
     return {r.r: int(r.n) for r in merged.where("kind = 2").groupBy("r").agg(F.sum("n").alias("n")).collect()}
 
@@ -226,15 +209,14 @@ def _unpack_words(blob: bytes) -> np.ndarray:
 def bigram_requests(chunks: DataFrame, answers: DataFrame, cut: int, frequent: int) -> DataFrame:
     """(part, chunk, contexts, words, counts, unis): each chunk's distinct bigrams, their training counts and their words' training counts."""
 
-    def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk.load(int(chunk["chunk"].iloc[0]), chunk["body"].iloc[0])
+    def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
         h, codes, doc, train = _tokens(c)
         part, v, w, uc, at = _bigrams(codes, doc, *_word_answers(h, got, cut), frequent, cut)
         n = np.bincount(at[train[doc]], minlength=len(v))
         rows = [(k, c.name, pack_sorted(v[i:j]), _pack_words(w[i:j]), pack_small(n[i:j]), pack_small(uc[i:j])) for k, i, j in _part_slices(part)]
         return pd.DataFrame(rows, columns=["part", "chunk", "contexts", "words", "counts", "unis"])
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "part int, chunk long, contexts binary, words binary, counts binary, unis binary")
+    return with_answers(chunks, answers, run, "part int, chunk long, contexts binary, words binary, counts binary, unis binary")
 
 
 def _masses(context_code: np.ndarray, size: int, n: np.ndarray, uc: np.ndarray, uni: Unigrams) -> np.ndarray:
@@ -319,8 +301,7 @@ class Katz:
 def score_chunks(chunks: DataFrame, answers: DataFrame, model: Katz, cut: int, frequent: int) -> DataFrame:
     """One row per document. ``answers``: (chunk, order, part, a, b)."""
 
-    def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk.load(int(chunk["chunk"].iloc[0]), chunk["body"].iloc[0])
+    def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
         h, codes, doc, train = _tokens(c)
         counts, number = _word_answers(h, got[got["order"] == 1], cut)
         part, v, w, uc, at = _bigrams(codes, doc, counts, number, frequent, cut)
@@ -349,7 +330,7 @@ def score_chunks(chunks: DataFrame, answers: DataFrame, model: Katz, cut: int, f
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, out)
+    return with_answers(chunks, answers, run, out)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -357,7 +338,7 @@ def score(docs: DataFrame) -> DataFrame:
     volume = text_volume(docs)
     cut = max(0, min(20, math.ceil(math.log2(volume / 4_000_000)) if volume > 4_000_000 else 0))
     frequent = max(1_000, volume // MOST_FREQUENT)
-    chunks = encoded(docs, lower=True)
+    chunks = encoded(docs, volume, lower=True)
     words = materialize(merge_words(word_requests(chunks, cut), frequent), "katz-words")
     n = _counts_of_counts(words)
     discounts = Discounts.of(n)

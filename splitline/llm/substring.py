@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, encoded, loaded, pack_bits, pack_small, pack_sorted, squeeze, text_volume, loosen, unpack_bits, unpack_small, unpack_sorted
+from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_bits, pack_small, pack_sorted, squeeze, text_volume, unpack_bits, unpack_small, unpack_sorted, with_answers
 from .common import materialize, mix
 
 WINDOW = 20
@@ -97,7 +97,7 @@ def sketch(chunks: DataFrame, plan: Plan) -> DataFrame:
                     part, a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([c.name] * len(part), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "chunk", "cells", "twice"])
 
-    return chunks.mapInArrow(run, "part int, chunk long, cells binary, twice binary")
+    return chunks.select("chunk", "body").mapInArrow(run, "part int, chunk long, cells binary, twice binary")
 
 
 def merge(sketches: DataFrame) -> DataFrame:
@@ -151,6 +151,7 @@ def _sorted_windows(c: Chunk, key, fp, at, plan: Plan):
 
 _STEP = "kind int, doc_id long, n_words long, n_removed long, kept_sha256 string, chunk long, part int, a binary, b binary, c binary, d binary"
 _FIELDS = [x.split()[0] for x in _STEP.split(", ")]
+_RESULT = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -174,10 +175,9 @@ def _final(c: Chunk, covered: np.ndarray) -> list[tuple]:
 
 
 def classify(chunks: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
-    """Kind 0: results of documents without a suspect. Kind 1: distinct suspects by range. Kind 2: the other documents' chunk, with their suspects."""
+    """Kind 0: results of documents without a suspect. Kind 1: distinct suspects by range. Kind 2: a chunk's other documents (a) and the suspects' places in those (b), as bits."""
 
-    def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk.load(int(chunk["chunk"].iloc[0]), chunk["body"].iloc[0])
+    def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
         key, fp, at = _suspects(c, got["part"].tolist(), got["often"].tolist(), plan)
         ends = np.cumsum(c.lens)
         marked = np.zeros(len(c.lens), dtype=bool)
@@ -188,13 +188,12 @@ def classify(chunks: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
             cell, f, doc, start = cell[first], f[first], doc[first], start[first]
             for k, i, j in _ranges(cell, plan):
                 rows.append((1, None, None, None, None, c.name, k, pack_sorted(cell[i:j]), squeeze(f[i:j].tobytes()), squeeze(np.ascontiguousarray(doc[i:j].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()), pack_small(start[i:j])))
-            kept = c.take(marked)
             flags = np.zeros(len(c.tokens), dtype=bool)
             flags[at] = True
-            rows.append((2, None, None, None, None, c.name, None, kept.dump(), pack_bits(flags[np.repeat(marked, c.lens)]), None, None))
+            rows.append((2, None, None, None, None, c.name, None, pack_bits(marked), pack_bits(flags[np.repeat(marked, c.lens)]), None, None))
         return _frame(rows)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, _STEP)
+    return with_answers(chunks, answers, run, _STEP)
 
 
 def settle(suspects: DataFrame) -> DataFrame:
@@ -216,34 +215,39 @@ def settle(suspects: DataFrame) -> DataFrame:
     return suspects.groupBy("part").applyInPandas(run, "chunk long, part int, later binary")
 
 
-def finish(rest: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
-    """Results of the documents that have suspects."""
+def finish(chunks: DataFrame, rest: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
+    """Results of the documents that have suspects. ``rest``: the rows of kind 2."""
 
-    def run(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        c = Chunk.load(int(chunk["chunk"].iloc[0]), chunk["a"].iloc[0])
-        suspect = unpack_bits(chunk["b"].iloc[0])
+    def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
+        head = got[got["part"].isna()]
+        if not len(head):
+            return _frame([])[_RESULT]
+        c, suspect = c.take(unpack_bits(head["a"].iloc[0])), unpack_bits(head["b"].iloc[0])
+        got = got[got["part"].notna()]
         key, fp, at = _hashes(c, plan)
         mine = suspect[at]
         cell, _, at, doc, start, first, number = _sorted_windows(c, key[mine], fp[mine], at[mine], plan)
         later = np.zeros(len(first), dtype=bool)
-        bits = dict(zip(got["part"].tolist(), got["later"].tolist()))
+        bits = dict(zip(got["part"].astype(int).tolist(), got["a"].tolist()))
         for k, i, j in _ranges(cell[first], plan):
             later[i:j] = unpack_bits(bits[k])
         gone = later[number] | (doc > doc[first][number]) | (start > start[first][number])
         step = np.zeros(len(c.tokens) + 1, dtype=np.int64)
         np.add.at(step, at[gone], 1)
         np.add.at(step, at[gone] + plan.window, -1)
-        return _frame(_final(c, np.cumsum(step)[:-1] > 0))[["doc_id", "n_words", "n_removed", "kept_sha256"]]
+        return _frame(_final(c, np.cumsum(step)[:-1] > 0))[_RESULT]
 
-    return rest.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    both = rest.select("chunk", "part", "a", "b").unionByName(answers.select("chunk", "part", F.col("later").alias("a"), F.lit(None).cast("binary").alias("b")))
+    return with_answers(chunks, both, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, depth: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    plan = Plan(text_volume(docs), window, depth)
-    chunks = encoded(docs)
+    volume = text_volume(docs)
+    plan = Plan(volume, window, depth)
+    chunks = encoded(docs, volume)
     answers = merge(sketch(chunks, plan))
     step = materialize(classify(chunks, answers, plan), "substring")
     later = settle(step.where("kind = 1").select("chunk", "part", "a", "b", "c", "d"))
-    rest = finish(step.where("kind = 2").select("chunk", "a", "b"), later, plan)
-    return step.where("kind = 0").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(rest)
+    rest = finish(chunks, step.where("kind = 2"), later, plan)
+    return step.where("kind = 0").select(*_RESULT).unionByName(rest)
