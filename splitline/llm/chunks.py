@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, volume: int, lower: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c.name >> HOME_BITS], pa.int64()), pa.array([c.name], pa.int64()), pa.array([c.dump()], pa.binary())], names=["home", "chunk", "body"])
 
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(MOST_BUCKETS, max(least, volume // 8_000_000))
+    buckets = min(MOST_BUCKETS, max(least, volume // 4_000_000))
     return materialize_by(scan_of(docs).mapInArrow(run, "home long, chunk long, body binary"), "chunks", "home", buckets)
 
 

@@ -7,6 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (src > dst) with the same components: every vertex keeps its smallest neighbour, which takes over its other neighbours.
+
+    Vertices that share their neighbours, such as a group's copies, come down to one edge each.
+    """
+    e = materialize(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct(), "edges")
+    least = e.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("m"))
+    over = e.join(least, e["src"] == least["v"]).where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    return least.select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(over.distinct())
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id of each vertex's component. ``edges``: (src long, dst long), in either direction.
 
@@ -14,6 +25,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     label of that label, so that long chains shorten by about half a round. Every
     round is written to the shared folder. Stops when no label changes.
     """
+    edges = contracted(contracted(edges))
     both = materialize(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     for _ in range(max_rounds):

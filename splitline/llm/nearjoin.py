@@ -12,10 +12,10 @@ of documents whose sets have a Jaccard similarity of ``threshold`` or more.
    (:func:`prefix_length`), so a denser target deepens the tries.
 3. Representatives that share a prefix in any tree belong to one candidate
    component; components come from the buckets' stars (one edge per member).
-4. Within a component, representatives lie in trie order and are cut into blocks
-   of ``block``; each pair of blocks is one task group, verified exactly from the
+4. A component's representatives are cut into blocks of ``block``; each pair of blocks is one task group, verified exactly from the
    shingle sets, so no component is gathered whole and no pair leaves a task: a
-   group returns link counts and the edges of a spanning forest.
+   group returns link counts and an edge from each linked member to the smallest
+   one it hangs together with there.
 5. Classes are the components of the verified links.
 
 Only representatives that share a bucket are read again for their sets. Defined
@@ -69,13 +69,13 @@ def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> in
 
 
 def signatures(docs: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
-    """(doc_id, set_key, n, prefixes array<long>, place long) of the documents with shingles; ``place`` orders by the first trie."""
+    """(doc_id, set_key, n, prefixes array<long>) of the documents with shingles."""
     a = mix(np.arange(1, trees * depth + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
         hashes = _hasher()
         for b in batches:
-            ids, keys, sizes, prefixes, places = [], [], [], [], []
+            ids, keys, sizes, prefixes = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 s = shingles(np.array(hashes(text.split()), dtype=np.uint64))
                 if not len(s):
@@ -91,11 +91,10 @@ def signatures(docs: DataFrame, trees: int, depth: int, length: int) -> DataFram
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
                 prefixes.append(key.view(np.int64))
-                places.append(int(low[0, 0] >> np.uint64(1) << np.uint64(31) | low[0, min(1, depth - 1)] >> np.uint64(1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * trees), pa.array(np.concatenate(prefixes) if ids else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(places, pa.int64())], names=["doc_id", "set_key", "n", "prefixes", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "set_key", "n", "prefixes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, n long, prefixes array<long>, place long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, n long, prefixes array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,23 +143,21 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return i, j + len(left)
 
 
-def _forest(n: int, pairs) -> list[tuple[int, int]]:
-    parent = list(range(n))
-    out = []
-    for a, b in pairs:
-        x, y = a, b
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+def _stars(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, the smallest member it hangs together with) of those that aren't the smallest themselves."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            member = np.flatnonzero(label != np.arange(n))
+            return member, label[member]
 
 
 def verify(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(rep, other, links): with other null a link count of rep (copies included), else an edge of a spanning forest.
+    """(rep, other, links): with other null a link count of rep (copies included), else an edge to the smallest rep that it hangs together with here.
 
     ``members``: (component, index, size, rep, copies, shingles).
     """
@@ -173,16 +170,18 @@ def verify(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        rows = rows.sort_values(["b", "rep"])
+        rows = rows.sort_values(["b", "rep"], ignore_index=True)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
         cut = int((rows["b"] == i).sum())
         x, y = _linked(sets[:cut], sets[cut:] if j != i else None, threshold) if len(sets) > 1 and (j == i or 0 < cut < len(sets)) else (np.zeros(0, int),) * 2
         reps, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         links = np.bincount(x, copies[y], minlength=len(reps)) + np.bincount(y, copies[x], minlength=len(reps))
         has = np.flatnonzero(links)
-        edges = _forest(len(reps), zip(x.tolist(), y.tolist()))
+        order = np.argsort(reps, kind="stable")  # labels by rep, so that the smallest rep is the root
+        place = np.argsort(order)
+        a, c = (order[e] for e in _stars(len(reps), place[x], place[y]))
         return pd.DataFrame(
-            {"rep": np.concatenate([reps[has], reps[[a for a, _ in edges]]]), "other": pd.array([None] * len(has) + reps[[c for _, c in edges]].tolist(), dtype="Int64"), "links": np.concatenate([links[has].astype(np.int64), np.zeros(len(edges), np.int64)])}
+            {"rep": np.concatenate([reps[has], reps[a]]), "other": pd.array([None] * len(has) + reps[c].tolist(), dtype="Int64"), "links": np.concatenate([links[has].astype(np.int64), np.zeros(len(a), np.int64)])}
         )
 
     return dealt.groupBy("component", "i", "j").applyInPandas(run, "rep long, other long, links long")
@@ -195,12 +194,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int
     signed = materialize(signatures(known, trees, depth, length), "signatures")
     one = signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     reps = one.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of_rep = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"])).select("rep", "copies", "place", "prefixes").dropDuplicates(["rep"])
+    of_rep = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"])).select("rep", "copies", "prefixes").dropDuplicates(["rep"])
     buckets = of_rep.select("rep", F.explode("prefixes").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("star"), F.count("*").alias("size")).where(F.col("size") > 1)
     edges = materialize(buckets.join(shared, "bucket").where(F.col("rep") != F.col("star")).select(F.col("rep").alias("src"), F.col("star").alias("dst")).distinct(), "candidates")
     component = components(edges).select(F.col("id").alias("rep"), F.col("component"))
-    # place of each member in its component: ranks within slices of the trie order, then the slices' totals, so that no component is sorted in one task
+    # number of each member in its component: ranks within hashed slices, then the slices' totals, so that no component is sorted in one task
     member = of_rep.drop("prefixes").join(component, "rep")
     member = materialize(_indexed(member), "members")
     full = member.join(sets_of(known, member.select("rep")), "rep")
@@ -215,16 +214,16 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int
 
 
 def _indexed(member: DataFrame, slice_bits: int = 10) -> DataFrame:
-    """``member`` with (index, size) within its component, in the order of the first trie."""
+    """``member`` with (index, size) within its component."""
     from pyspark.sql import Window
 
-    cut = member.withColumn("slice", F.shiftrightunsigned("place", 62 - slice_bits))
+    cut = member.withColumn("slice", F.shiftrightunsigned(F.xxhash64("rep"), 64 - slice_bits))
     totals = cut.groupBy("component", "slice").agg(F.count("*").alias("n"))
     over = Window.partitionBy("component").orderBy("slice")  # at most 2**slice_bits rows per component
     totals = totals.select(
         "component", "slice", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("component")).alias("size")
     )
-    inside = cut.withColumn("at", F.row_number().over(Window.partitionBy("component", "slice").orderBy("place", "rep")) - 1)
+    inside = cut.withColumn("at", F.row_number().over(Window.partitionBy("component", "slice").orderBy("rep")) - 1)
     return inside.join(totals, ["component", "slice"]).select("component", (F.col("before") + F.col("at")).alias("index"), "size", "rep", "copies")
 
 
