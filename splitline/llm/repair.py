@@ -15,9 +15,9 @@ long, doc_ids (little-endian int64, null ids as the smallest int64), symbols
 rule), body (symbols, uint16 if all fit, else uint32) and width int. A shard is a
 range of doc_ids and blocks follow each other within it.
 
-Words are remembered per worker in a bounded cache: the vocabulary's normaliser
-and splitter never join text across ASCII white space, so a text's ids are those
-of its words in turn. Defined cases: null counts as empty (the end id alone);
+Parts of words are remembered per worker in a bounded cache: the vocabulary's
+normaliser and splitter never join text across ASCII white space, so a text's ids
+are those of its words in turn. Defined cases: null counts as empty (the end id alone);
 null doc_ids come first; repeated doc_ids follow each other by text; a document
 longer than a block is a block; extra columns are ignored.
 """
@@ -29,13 +29,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END = 1
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NO_ID = -(1 << 63)
 _BLOCK = "shard int, block int, n_ids long, doc_ids binary, symbols binary, first_rule int, rules binary, lengths binary, body binary, width int"
 
@@ -47,9 +49,11 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Packed uint32 ids of texts, by words remembered per worker."""
+    """uint32 ids of texts. A batch's distinct words are cut into letters and the ASCII punctuation after them, which
+    the vocabulary splits too; distinct parts are encoded once and remembered per worker, within ``limit``.
+    """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,44 +63,57 @@ class Encoder:
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = piece.endswith("</w>")
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, letters, rest, tailed = self.known, [], [], []
-        for w in words:
-            text = w.decode()
-            core = text.rstrip(".,!?;:")
-            if text.isalpha():
-                letters.append(text)
-            elif core.isalpha():  # the vocabulary splits letters from what follows them
-                tailed.append((w, core.encode(), text[len(core) :].encode()))
-            else:
-                rest.append(text)
-        more = {x for _, core, tail in tailed for x in (core, tail)} - known.keys() - words
-        letters += [x for x in (m.decode() for m in more) if x.isalpha()]
-        rest += [x for x in (m.decode() for m in more) if not x.isalpha()]
+    def _one_by_one(self, texts: list[str]) -> None:
+        self.known.update(zip(texts, [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]))
+
+    def _learn(self, parts: list[str]) -> None:
+        letters = [x for x in parts if x.isalpha()]
+        self._one_by_one([x for x in parts if not x.isalpha()])
         for k in range(0, len(letters), 512):  # a word of letters is one run of merges, which ends with a word-end piece
             part = letters[k : k + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             stop = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stop) == len(part):
                 raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
-                known.update((w.encode(), raw[i:j]) for w, i, j in zip(part, at, at[1:]))
+                self.known.update(zip(part, [raw[i:j] for i, j in zip(at, at[1:])]))
             else:
-                rest += part
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w.encode()] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, core, tail in tailed:
-            known[w] = known[core] + known[tail]
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + 2 * len(new) > self.limit:
-            known.clear()
-            new = {w for words in split for w in words}
-        self._learn(new)
-        end = np.array([END], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]) + end, dtype="<u4") for words in split]
+                self._one_by_one(part)
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        got = list(map(self.known.get, parts))
+        if None in got:
+            new = [x for x, g in zip(parts, got) if g is None]
+            if len(self.known) + len(new) > self.limit:
+                self.known = {x: g for x, g in zip(parts, got) if g is not None}  # what this batch holds stays
+            self._learn(new)
+            got = [self.known[x] if g is None else g for x, g in zip(parts, got)]
+        return got
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        owner, flat = pc.list_parent_indices(lists), lists.flatten()
+        there = pc.greater(pc.binary_length(flat), 0)
+        coded = flat.filter(there).dictionary_encode()
+        counts = np.bincount(owner.filter(there).to_numpy(), minlength=len(texts))
+        words, tokens = coded.dictionary, coded.indices.to_numpy()
+        core = pc.utf8_rtrim(words, characters=PUNCTUATION)
+        cut = pc.utf8_is_alpha(core)
+        core = pc.if_else(cut, pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core), words)
+        tailed = pc.and_(cut, pc.less(pc.binary_length(core), pc.binary_length(words)))
+        tails = [w[n:] for w, n in zip(words.filter(tailed).to_pylist(), pc.utf8_length(core.filter(tailed)).to_pylist())]
+        parts = pa.concat_arrays([core, pa.array(tails, pa.large_string())]).dictionary_encode()
+        packed = [*self._ids_of(parts.dictionary.to_pylist()), b"", np.array([END], dtype="<u4").tobytes()]
+        first = parts.indices.to_numpy()
+        second = np.full(len(words), len(packed) - 2, dtype=first.dtype)
+        second[tailed.to_numpy(zero_copy_only=False)] = first[len(words) :]
+        stops = np.cumsum(counts)
+        seq = np.insert(np.stack([first[: len(words)][tokens], second[tokens]], 1).ravel(), 2 * stops, len(packed) - 1)
+        length = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        n = length[seq]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")[np.repeat((np.cumsum(length) - length)[seq] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(ids, ends[2 * stops + np.arange(len(stops))][:-1]) if len(texts) else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -170,34 +187,45 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
     return seq, last, rules
 
 
+def _generations(rules: np.ndarray, first_rule: int):
+    """(from, to) runs of rules that refer to earlier runs only."""
+    newest, i = rules.max(1).astype(np.int64) - first_rule, 0
+    while i < len(rules):
+        late = np.flatnonzero(newest[i:] >= i)
+        j = i + int(late[0]) if len(late) else len(rules)
+        yield i, j
+        i = j
+
+
+def _lengths_of(symbols: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    rule = symbols.astype(np.int64) - first_rule
+    return np.where(rule >= 0, np.append(lengths, np.uint32(1))[np.where(rule >= 0, rule, -1)], 1).astype(np.int64)
+
+
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     out = np.ones(len(rules), dtype=np.uint32)
-    for i, pair in enumerate(rules.tolist()):
-        out[i] = sum(1 if s < first_rule else int(out[s - first_rule]) for s in pair)
+    for i, j in _generations(rules, first_rule) if len(rules) else ():
+        out[i:j] = _lengths_of(rules[i:j], out, first_rule).sum(1)
     return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids that ``symbols`` stand for: every nonterminal's expansion is laid out once, then gathered by its length."""
-    flat = np.zeros(int(lengths.sum()), dtype=np.uint32)
     at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-    for i, (a, b) in enumerate(rules.tolist()):
-        j = int(at[i])
-        for s in (a, b):
-            if s < first_rule:
-                flat[j] = s
-                j += 1
-            else:
-                k, n = int(at[s - first_rule]), int(lengths[s - first_rule])
-                flat[j : j + n] = flat[k : k + n]
-                j += n
-    rule = symbols.astype(np.int64) - first_rule
-    n = np.where(rule >= 0, np.append(lengths, np.uint32(1))[np.where(rule >= 0, rule, -1)], 1).astype(np.int64)
-    owner = np.repeat(np.arange(len(symbols)), n)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    r = rule[owner]
-    source = np.append(flat, np.uint32(0))[np.where(r >= 0, at[np.maximum(r, 0)] + within, len(flat))]
-    return np.where(r >= 0, source, symbols[owner].astype(np.uint32))
+    flat = np.zeros(int(at[-1]) + 1, dtype=np.uint32)
+
+    def gather(seq: np.ndarray) -> np.ndarray:
+        n = _lengths_of(seq, lengths, first_rule)
+        rule = seq.astype(np.int64) - first_rule
+        source = np.repeat(np.where(rule >= 0, at[np.maximum(rule, 0)], 0) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = flat[np.where(np.repeat(rule >= 0, n), source, 0)]
+        own = rule < 0
+        out[(np.cumsum(n) - n)[own]] = seq[own]
+        return out
+
+    for i, j in _generations(rules, first_rule) if len(rules) else ():
+        flat[at[i] : at[j]] = gather(rules[i:j].ravel())
+    return gather(symbols)
 
 
 def write(docs: DataFrame, path: str | None = None, block_ids: int = 1 << 20) -> DataFrame:
@@ -226,7 +254,7 @@ def write(docs: DataFrame, path: str | None = None, block_ids: int = 1 << 20) ->
 
         size = 0
         for b in batches:
-            for name, ids in zip(b.column(0).to_pylist(), encoder(path)(text_bytes(b.column(1)))):
+            for name, ids in zip(b.column(0).to_pylist(), encoder(path)(b.column(1))):
                 if held and size + len(ids) > block_ids:
                     yield flush()
                     size = 0
@@ -247,9 +275,7 @@ def read_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = np.frombuffer(row["body"], dtype=f"<u{row['width']}").astype(np.uint32)
     symbols = np.frombuffer(row["symbols"], dtype="<u4").astype(np.int64)
     ids = expand(body, rules, lengths, row["first_rule"])
-    rule = body.astype(np.int64) - row["first_rule"]
-    n = np.where(rule >= 0, np.append(lengths, np.uint32(1))[np.where(rule >= 0, rule, -1)], 1).astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(n)])
+    total = np.concatenate([[0], np.cumsum(_lengths_of(body, lengths, row["first_rule"]))])
     stops = np.cumsum(symbols)
     return np.frombuffer(row["doc_ids"], dtype="<i8"), total[stops] - total[stops - symbols], ids
 
