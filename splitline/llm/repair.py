@@ -131,6 +131,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
     rules = np.zeros((0, 2), dtype=np.uint32)
     room = (1 << 16) - first_rule if first_rule < (1 << 16) - 256 else (1 << 31)
     bits = 17
+
+    def slots(key: np.ndarray) -> np.ndarray:
+        size = key.dtype.itemsize * 8
+        return key * key.dtype.type(0x9E3779B97F4A7C15 >> (64 - size)) >> key.dtype.type(size - bits)
+
     while len(seq) > 1 and len(rules) < room:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]) if first_rule + len(rules) >= (1 << 16) else (seq[:-1] << np.uint32(16) | seq[1:])
         key = np.where(last[:-1], key.dtype.type(0), key)  # a pair across documents; the pair (0, 0) isn't replaced either
@@ -145,13 +150,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, min_count: int
             often = often[np.argpartition(-count[often], take - 1)[:take]]
         often = often[np.lexsort((order[start[often]], -count[often]))]
         pairs = order[start[often]]
-        slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        slot = slots(pairs)
         _, firsts = np.unique(slot, return_index=True)  # of two pairs in a slot the more frequent one; the other waits a round
         firsts.sort()
         pairs, slot = pairs[firsts], slot[firsts]
         rank_at = np.full(1 << bits, len(pairs), dtype=np.int32)
         rank_at[slot] = np.arange(len(pairs), dtype=np.int32)
-        rank = rank_at[(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)]
+        rank = rank_at[slots(key)]
         none = np.int32(len(pairs))
         hit = np.flatnonzero(rank < none)
         hit = hit[pairs[rank[hit]] == key[hit]]
@@ -217,17 +222,28 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_ru
     def gather(seq: np.ndarray) -> np.ndarray:
         n = _lengths_of(seq, lengths, first_rule)
         rule = seq.astype(np.int64) - first_rule
-        source = np.repeat(np.where(rule >= 0, at[np.maximum(rule, 0)], 0) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out = flat[np.where(np.repeat(rule >= 0, n), source, 0)]
-        own = rule < 0
-        out[(np.cumsum(n) - n)[own]] = seq[own]
-        return out
+        table = np.concatenate([flat, seq.astype(np.uint32)])  # an id stands for itself
+        start = np.where(rule >= 0, at[np.maximum(rule, 0)], np.arange(len(flat), len(table)))
+        return table[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     for i, j in _generations(rules, first_rule) if len(rules) else ():
         flat[at[i] : at[j]] = gather(rules[i:j].ravel())
     return gather(symbols)
 
 
+def _gathered(batches, least: int = 16 << 20):
+    """(doc ids, texts) of neighbouring batches, together once they hold ``least`` bytes: fewer words are met twice."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield [i for x in held for i in x.column(0).to_pylist()], pa.concat_arrays([x.column(1) for x in held])
+            held, size = [], 0
+    if held:
+        yield [i for x in held for i in x.column(0).to_pylist()], pa.concat_arrays([x.column(1) for x in held])
+
+
 def write(docs: DataFrame, path: str | None = None, block_ids: int = 1 << 20) -> DataFrame:
     """Encode, lay out, compress and write ``docs``; the written blocks are returned."""
     path = path or default_path()
@@ -253,8 +269,8 @@ def write(docs: DataFrame, path: str | None = None, block_ids: int = 1 << 20) ->
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[f.split()[0] for f in _BLOCK.split(", ")])
 
         size = 0
-        for b in batches:
-            for name, ids in zip(b.column(0).to_pylist(), encoder(path)(b.column(1))):
+        for doc_ids, texts in _gathered(batches):
+            for name, ids in zip(doc_ids, encoder(path)(texts)):
                 if held and size + len(ids) > block_ids:
                     yield flush()
                     size = 0
