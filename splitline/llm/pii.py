@@ -6,11 +6,15 @@ patterns ("l1": the word before it, "l2": the two words before it). Spark scores
 the pattern-instance graph in rounds:
 
 * a pattern's confidence for a kind is the score its distinct instances carry
-  for that kind, over all places of the corpus where the pattern occurs, so that
-  a context that ordinary words follow too never becomes confident;
+  for that kind, over the distinct things that follow its words anywhere in the
+  corpus (mentions, and the tokens of places where no mention starts), so that a
+  context that ordinary words follow too never becomes confident, and copies of a
+  passage or of an address count once;
+* a pattern needs ``min_seeds`` distinct instances that are seeds or that reached
+  ``accept`` for the kind in an earlier round, so that instances found in one
+  round bring their own patterns into the next;
 * an instance's score for a kind is 1 for a seed, else the noisy-or of the
-  confident patterns (``min_confidence`` and at least ``min_seeds`` distinct
-  seeds) it occurs with.
+  confident patterns (``min_confidence``) it occurs with.
 
 Candidates are the whitespace-separated tokens of five characters or more that
 hold a digit or '@', outer punctuation stripped, that overlap no base span; one
@@ -45,6 +49,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"\S+")
 STRIP = "!\"#$%&'()*,./:;<=>?[\\]^`{|}~"
 
 
@@ -114,6 +119,20 @@ def contexts(text: str, start: int) -> list[int]:
     return ([_key("l1", words[-1])] if words else []) + ([_key("l2", *words)] if len(words) == 2 else [])
 
 
+def mentions_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
+    """(kind, start, end) of the base spans, then of the candidates, kind null."""
+    out = list(spans)
+    if "@" in text or DIGIT.search(text):
+        covered = sorted((s, e) for _, s, e in spans)
+        for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text) if len(text) < 4_000 else (m for m in TOKEN.finditer(text) if "@" in m.group() or DIGIT.search(m.group())):
+            core = m.group().strip(STRIP)
+            s = m.start() + m.group().find(core)
+            e = s + len(core)
+            if len(core) >= 5 and not any(x < e and s < y for x, y in covered):
+                out.append((None, s, e))
+    return out
+
+
 _MENTION = "struct<kind:string,start:int,end:int,instance:long,patterns:array<long>>"
 _SCAN = f"row long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:string,start:int,end:int>>, mentions array<{_MENTION}>"
 
@@ -127,15 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 text = text or ""
                 spans = base_spans(text)
-                mentions = [{"kind": k, "start": s, "end": e, "instance": _key(text[s:e]), "patterns": contexts(text, s)} for k, s, e in spans]
-                if "@" in text or DIGIT.search(text):
-                    covered = sorted((s, e) for _, s, e in spans)
-                    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text) if len(text) < 4_000 else (m for m in TOKEN.finditer(text) if "@" in m.group() or DIGIT.search(m.group())):
-                        core = m.group().strip(STRIP)
-                        s = m.start() + m.group().find(core)
-                        e = s + len(core)
-                        if len(core) >= 5 and not any(x < e and s < y for x, y in covered):
-                            mentions.append({"kind": None, "start": s, "end": e, "instance": _key(core), "patterns": contexts(text, s)})
+                mentions = [{"kind": k, "start": s, "end": e, "instance": _key(text[s:e]), "patterns": contexts(text, s)} for k, s, e in mentions_of(text, spans)]
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
                 rows.append((row, doc, xxhash.xxh64_intdigest(text) - (1 << 63), *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [{"kind": k, "start": s, "end": e} for k, s, e in spans], mentions))
             cols = list(zip(*rows)) or [()] * 10
@@ -150,54 +161,94 @@ _NAMES = ["row", "doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, places): how often each pattern's words occur in the whole corpus, whatever follows."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap.build(patterns, "pattern")).tobytes())
+    """(pattern, others): how many distinct tokens follow each pattern's words in the whole corpus where no mention starts.
+
+    ``patterns``: (pattern, gate), gate the "l1" key of the pattern's last word.
+    """
+    context = docs.sparkSession.sparkContext
+    packed = [context.broadcast(np.packbits(bitmap.build(patterns, c)).tobytes()) for c in ("pattern", "gate")]
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
-        wanted = lambda k: bits[(k & 0xFFFFFFFFFFFFFFFF) >> (64 - bitmap.BITS)]
+        bits, gates = (np.unpackbits(np.frombuffer(x.value, dtype=np.uint8)).view(bool) for x in packed)
+        slot = lambda k: (k & 0xFFFFFFFFFFFFFFFF) >> (64 - bitmap.BITS)
         one: dict[str, int] = {}
+        after: dict[str, int] = {}
         for b in batches:
-            counts: dict[int, int] = {}
+            pairs: set[tuple[int, int]] = set()
             for text in b.column(0).to_pylist():
-                words = (text or "").lower().split()
-                keys = []
-                for w in words:
+                text = text or ""
+                words = text.lower().split()
+                places = []
+                for i, w in enumerate(words):
                     k = one.get(w)
                     if k is None:
                         if len(one) > 300_000:
                             one.clear()
                         k = _key("l1", w)
-                        k = one[w] = k if wanted(k) else 0
-                    keys.append(k)
-                for k in keys:
+                        k = one[w] = k if gates[slot(k)] else 0
                     if k:
-                        counts[k] = counts.get(k, 0) + 1
-                for i in [i for i, k in enumerate(keys) if k and i]:  # a confident l2 has a supported l1
-                    k = _key("l2", words[i - 1], words[i])
-                    if wanted(k):
-                        counts[k] = counts.get(k, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "places"])
-
-    return docs.select("text").mapInArrow(run, "pattern long, places long").groupBy("pattern").agg(F.sum("places").alias("places"))
-
-
-def score_graph(edges: DataFrame, places: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
-    """(instance, kind, score) of the non-seed instances. ``edges``: distinct (instance, pattern, seed), seed null for candidates."""
+                        places.append((i, k))
+                starts = None
+                for i, k in places:
+                    if i + 1 == len(words):
+                        continue
+                    keys = [k] if bits[slot(k)] else []
+                    if i and bits[slot(two := _key("l2", words[i - 1], words[i]))]:
+                        keys.append(two)
+                    if not keys:
+                        continue
+                    w = words[i + 1]
+                    if "@" in w or DIGIT.search(w):
+                        if starts is None:  # the mentions of this text, as the scan has them
+                            mentioned = {s for _, s, _ in mentions_of(text, base_spans(text))}
+                            starts = [m.start() in mentioned for m in WORD.finditer(text)]
+                        if starts[i + 1]:
+                            continue
+                    follower = after.get(w)
+                    if follower is None:
+                        if len(after) > 300_000:
+                            after.clear()
+                        follower = after[w] = _key(w.strip(STRIP) or w)
+                    pairs.update((x, follower) for x in keys)
+            found = np.array(list(pairs), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["pattern", "follower"])
+
+    pairs = docs.select("text").mapInArrow(run, "pattern long, follower long").distinct()
+    return pairs.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("others"))
+
+
+def score_graph(docs: DataFrame, edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float, accept: float) -> DataFrame:
+    """(instance, kind, score) of the non-seed instances. ``edges``: distinct (instance, pattern, gate, seed), seed null for candidates.
+
+    A round reads the texts only for patterns that were not counted before and
+    that reach ``min_confidence`` over their mentions alone.
+    """
     seeds = edges.where(F.col("seed").isNotNull()).select("instance", "pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     others = edges.where(F.col("seed").isNull()).select("instance", "pattern")
-    support = seeds.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("n_seeds"))
-    scored = seeds
-    found = None
+    mentions = edges.groupBy("pattern", "gate").agg(F.count_distinct("instance").alias("n_mentions"), F.count_if(F.col("seed").isNull()).alias("n_open")).where("n_open > 0").drop("n_open")
+    scored, counted, found = seeds, None, None
     for _ in range(rounds):
+        able = (
+            scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= accept).alias("n_support"))
+            .where(F.col("n_support") >= min_seeds)
+            .join(mentions, "pattern")
+            .where(F.col("mass") / F.col("n_mentions") >= min_confidence)
+        )
+        able = materialize(able, "pii-able")
+        fresh = able.select("pattern", "gate").distinct()
+        if counted is not None:
+            fresh = fresh.join(asked, "pattern", "left_anti")
+        fresh = materialize(fresh, "pii-patterns")
+        if counted is None or not fresh.isEmpty():
+            more = materialize(occurrences(docs, fresh), "pii-places")
+            counted, asked = (more, fresh) if counted is None else (counted.unionByName(more), asked.unionByName(fresh))
         conf = (
-            scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-            .join(support.where(F.col("n_seeds") >= min_seeds), ["pattern", "kind"])
-            .join(places, "pattern")
-            .select("pattern", "kind", F.least(F.lit(0.999), F.col("mass") / F.greatest("places", F.col("n_seeds"))).alias("confidence"))
+            able.join(counted, "pattern", "left")
+            .select("pattern", "kind", F.least(F.lit(0.999), F.col("mass") / (F.col("n_mentions") + F.coalesce("others", F.lit(0)))).alias("confidence"))
             .where(F.col("confidence") >= min_confidence)
         )
         found = others.join(conf, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        found = materialize(found, "pii-found")
         scored = seeds.unionByName(others.join(found, "instance").select("instance", "pattern", "kind", "score"))
     return found
 
@@ -206,12 +257,9 @@ def extract(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence
     """(the scanned documents, the (row, more) spans that confident patterns add)."""
     scanned = materialize(scan(docs), "pii-scan")
     mention = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    edges = mention.select("instance", F.explode("patterns").alias("pattern"), F.col("kind").alias("seed")).distinct()
-    support = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count_distinct("instance").alias("n")).where(F.col("n") >= min_seeds)
-    touched = edges.where("seed is null").select("pattern").distinct()
-    wanted = materialize(support.join(touched, "pattern").select("pattern").distinct(), "pii-patterns")
-    places = materialize(occurrences(docs, wanted).join(wanted, "pattern"), "pii-places")
-    score = score_graph(edges, places, rounds, min_seeds, min_confidence)
+    # the first pattern, "l1", is the gate of both
+    edges = mention.select("instance", F.explode("patterns").alias("pattern"), F.col("patterns")[0].alias("gate"), F.col("kind").alias("seed")).distinct()
+    score = score_graph(docs, materialize(edges, "pii-edges"), rounds, min_seeds, min_confidence, accept)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     best = score.where(F.col("score") >= accept).groupBy("instance").agg(F.min_by("kind", F.struct(F.negative("score"), order)).alias("found"))
     # one document's mentions are bounded by its own length
