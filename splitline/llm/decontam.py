@@ -2,20 +2,25 @@
 
 A text becomes template tokens: its whitespace-separated words, outer punctuation
 stripped and lower-cased, where numbers, units and names are typed placeholders
-(``<num>``, ``<unit>``, ``<name>``; a name is a capitalised word that does not
-start a sentence, and a run of names is one slot). Windows of ``n`` template
-tokens of every benchmark item are hash-joined with the windows of every whole
-document. For each (document, item, diagonal) the share of the item's windows
-found is its coverage, and its slots must be consistent: one slot value of the
-item stands for one value in the document throughout. Matches of at least
-``coverage`` are leaks, re-parameterised ones included.
+(``<num>``, ``<unit>``, ``<name>``; a name is a capitalised word, and a run of
+names within a sentence is one slot). A capitalised word that starts a sentence
+may be a name or not, so there are two readings: in the plain one it is a
+literal, in the open one a name, unless it is one of ``OPENERS``. Windows of
+``n`` template tokens of every benchmark item are hash-joined, in both readings,
+with the windows of every whole document. For each (document, item, diagonal)
+the share of the item's windows found is its coverage, once over plain windows
+alone and once, by the open reading's positions, over the windows of either
+reading. Slots must be consistent: one slot value of the item stands for one
+value in the document throughout. Matches of at least ``coverage`` are leaks,
+re-parameterised ones included.
 
 A fixed one-megabyte bitmap of the item windows spares windows that can't match;
 the exact join decides. Defined cases: null or empty texts and items have no
 windows; an item of fewer than ``n`` tokens is one window of its own length;
 windows with fewer literal tokens than placeholders don't count; items whose
 windows all fail that are skipped; repeated items and documents each report; a
-leak that repeats in a document reports its best diagonal. Extra columns are
+leak that repeats in a document reports its best diagonal, the plain reading
+before the open one at equal coverage. Extra columns are
 ignored by :func:`leaks` and kept by :func:`decontaminate`.
 """
 
@@ -38,6 +43,11 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset(
     "mm cm m km in ft yd mi mile miles meter meters metre metres kilometer kilometers inch inches foot feet yard yards mg g kg gram grams kilogram kilograms oz lb lbs pound pounds ton tons ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kph dollar dollars cent cents euro euros percent degree degrees".split()
 )
+#: Words that start sentences and are no names: in both readings literals.
+OPENERS = frozenset(
+    "a an the this that these those there here it its i you he she we they my your his her our their who whom whose what which when where why how if in on at by for from to of off with without within under over after before during since until while as because although though and but or nor so yet then than thus hence now once is are was were am be been do does did has have had can could will would shall should may might must not no yes all any both each every either neither some many much more most few several such same other another one only also however therefore suppose given let find calculate compute determine consider assume show prove explain write name list use choose"
+    " der die das ein eine und oder wie was wer wo wann warum wenn le la les un une des et ou que qui comment pourquoi quand si el los las una y o que quien como cuando donde por para".split()
+)
 NUMBER = re.compile(r"[0-9][0-9.,/:]*(st|nd|rd|th)?$")
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
 _SLOT_HASH = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -45,7 +55,7 @@ _COEF = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 class Canonicalizer:
-    """Word properties by id: hash, kind, capitalised, ends a sentence. Forgotten when large."""
+    """Word properties by id: hash, kind, capitalised, ends a sentence, no opener. Forgotten when large."""
 
     def __init__(self):
         self.clear()
@@ -53,19 +63,19 @@ class Canonicalizer:
     def clear(self):
         self.ids: dict[bytes, int] = {}
         self.new: list[tuple] = []
-        self.table = [np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, bool)]
+        self.table = [np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, bool), np.zeros(1024, bool)]
 
     def _add(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         core = text.strip(STRIP)
         low = core.lower()
         kind = NUM if low in NUMBER_WORDS or core[:1].isdigit() and NUMBER.match(core) else UNIT if low in UNITS else LITERAL
-        self.new.append((xxhash.xxh64_intdigest(low), kind, core.istitle() and core.isalpha(), text[-1] in ".!?:"))
+        self.new.append((xxhash.xxh64_intdigest(low), kind, core.istitle() and core.isalpha(), text[-1] in ".!?:", low not in OPENERS))
         i = self.ids[word] = len(self.ids)
         return i
 
     def tokens(self, words: list[bytes]):
-        """(hashes, kinds, first word, end word) of the template tokens of one text."""
+        """[(hashes, kinds, first word, end word)] of the template tokens of one text, by reading: plain, then open."""
         get, add = self.ids.get, self._add
         ids = np.array([add(w) if (i := get(w)) is None else i for w in words], dtype=np.int64)
         if self.new:
@@ -75,12 +85,15 @@ class Canonicalizer:
             for t, v in zip(self.table, zip(*self.new)):
                 t[m:n] = v
             self.new = []
-        h, kind, capital, ends = (t[ids] for t in self.table)
+        word, own, capital, ends, free = (t[ids] for t in self.table)
         start = np.concatenate([[True], ends[:-1]])
-        kind = np.where((kind == LITERAL) & capital & ~start, NAME, kind)
-        h = np.where(kind == LITERAL, h, _SLOT_HASH[kind])
-        first = np.flatnonzero(~((kind == NAME) & np.concatenate([[False], kind[:-1] == NAME])))
-        return h[first], kind[first], first, np.append(first[1:], len(words))
+        out = []
+        for name in (capital & ~start, capital & (~start | free)):
+            kind = np.where((own == LITERAL) & name, NAME, own)
+            h = np.where(kind == LITERAL, word, _SLOT_HASH[kind])
+            first = np.flatnonzero(~((kind == NAME) & ~start & np.concatenate([[False], kind[:-1] == NAME])))
+            out.append((h[first], kind[first], first, np.append(first[1:], len(words))))
+        return out
 
 
 def window_keys(h: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
@@ -99,28 +112,44 @@ def _slot_values(words, kind, first, end, at: int, n: int) -> list[str]:
     return [b" ".join(words[first[j] : end[j]]).decode("utf-8", "replace").strip(STRIP).lower() for j in range(at, at + n) if kind[j] != LITERAL]
 
 
-_WINDOWS = "n int, key long, pos int, total int, slots array<string>"
+_WINDOWS = "n int, key long, pos int, total int, open_pos int, open_total int, slots array<string>"
 
 
 def _windows_of(texts: list[bytes], lengths: list[int] | None, keep, canon: Canonicalizer):
-    """Rows (row, n, key, pos, total, slots); lengths None: an item's own windows."""
+    """Rows (row, n, key, pos, total, open_pos, open_total, slots); lengths None: an item's own windows. A position is -1 in a reading without the window."""
     for row, text in enumerate(texts):
         words = text.split()
         if not words:
             continue
         if len(canon.ids) > 400_000:
             canon.clear()
-        h, kind, first, end = canon.tokens(words)
-        for n in lengths or [min(WINDOW, len(h))]:
-            keys = window_keys(h, kind, n)
+        plain, opened = canon.tokens(words)
+        sizes = [min(WINDOW, len(r[0])) for r in (plain, opened)]
+        for n in lengths or sorted(set(sizes)):
+            uses = [lengths is not None or n == size for size in sizes]
+            keys, open_keys = (window_keys(r[0], r[1], n) if use else np.zeros(0, np.uint64) for r, use in zip((plain, opened), uses))
+            # every first word of the open reading is one of the plain reading too; a plain window that starts within an open name has no open position
+            at = np.full(len(plain[2]), -1)
+            if uses[1]:
+                at[np.searchsorted(plain[2], opened[2])] = np.arange(len(opened[2]))
+            same = np.searchsorted(plain[2], opened[2][: len(open_keys)])
+            new = open_keys != 0
+            inside = np.flatnonzero(same < len(keys))
+            new[inside] &= keys[same[inside]] != open_keys[inside]
             total = int((keys != 0).sum())
-            found = np.flatnonzero((keys != 0) & keep(keys)) if keep else np.flatnonzero(keys)
-            for p in found.tolist():
-                yield row, n, int(keys[p].astype(np.int64)), p, total, _slot_values(words, kind, first, end, p, n)
+            both = np.union1d(at[: len(keys)][keys != 0], np.flatnonzero(open_keys))
+            open_total = int((both >= 0).sum())
+            ok, open_ok = keys != 0, new
+            if keep:
+                ok, open_ok = ok & keep(keys), open_ok & keep(open_keys)
+            for p in np.flatnonzero(ok).tolist():
+                yield row, n, int(keys[p].astype(np.int64)), p, total, int(at[p]), open_total, _slot_values(words, *plain[1:], p, n)
+            for p in np.flatnonzero(open_ok).tolist():
+                yield row, n, int(open_keys[p].astype(np.int64)), -1, total, p, open_total, _slot_values(words, *opened[1:], p, n)
 
 
 def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, allowed: np.ndarray | None = None) -> DataFrame:
-    """(id, n, key, pos, total, slots) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
+    """(id, n, key, pos, total, open_pos, open_total, slots) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
     shared = None if allowed is None else texts.sparkSession.sparkContext.broadcast(np.packbits(allowed).tobytes())
 
     def run(batches):
@@ -134,27 +163,32 @@ def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None,
             rows = [(ids[r], *x) for r, *x in _windows_of(text_bytes(b.column(1)), lengths, keep, canon)]
             if rows:
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "n", "key", "pos", "total", "slots"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "n", "key", "pos", "total", "open_pos", "open_total", "slots"])
 
     return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text")).mapInArrow(run, f"id long, {_WINDOWS}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """doc_id, item_id, coverage, n_windows, n_slots, n_changed, reparameterised: one row per leaked item of a document."""
-    items = materialize(windows(benchmark.where(F.col("item_id").isNotNull()), "item_id").dropDuplicates(["id", "n", "key", "pos"]), "items")
+    items = materialize(windows(benchmark.where(F.col("item_id").isNotNull()), "item_id").dropDuplicates(["id", "n", "key", "pos", "open_pos"]), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most WINDOW values
     spark = docs.sparkSession
     if not lengths:
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_windows long, n_slots long, n_changed long, reparameterised boolean")
     found = windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, bitmap.build(items, "key"))
-    i = items.select("n", "key", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("total").alias("item_total"), F.col("slots").alias("item_slots"))
-    hits = found.join(i, ["n", "key"]).withColumnRenamed("id", "doc_id").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    sides = lambda side: F.array(*[F.struct(F.lit(r).alias("reading"), F.col(p).alias(f"{side}_pos"), F.col(t).alias(f"{side}_total")) for r, p, t in ((0, "pos", "total"), (1, "open_pos", "open_total"))])
+    i = items.select("n", "key", F.col("id").alias("item_id"), sides("item").alias("item_at"), F.col("slots").alias("item_slots"))
+    d = found.select("n", "key", F.col("id").alias("doc_id"), sides("doc").alias("doc_at"), "slots")
+    hits = d.join(i, ["n", "key"]).select("doc_id", "item_id", "slots", "item_slots", F.explode(F.arrays_zip("item_at", "doc_at")).alias("at"))
+    hits = hits.where("at.item_at.item_pos >= 0 and at.doc_at.doc_pos >= 0").select(
+        "doc_id", "item_id", "slots", "item_slots", "at.item_at.reading", "at.item_at.item_pos", "at.item_at.item_total", (F.col("at.doc_at.doc_pos") - F.col("at.item_at.item_pos")).alias("diagonal")
+    )
     pairs = F.flatten(F.collect_set(F.transform(F.arrays_zip("item_slots", "slots"), lambda s: F.struct(s["item_slots"].alias("i"), s["slots"].alias("d")))))
-    best = F.struct("coverage", "n_windows", F.negative("diagonal").alias("d"), "n_slots", "n_changed")
-    # a group is one item along one diagonal: at most the item's own windows
+    best = F.struct("coverage", F.negative("reading").alias("r"), "n_windows", F.negative("diagonal").alias("d"), "n_slots", "n_changed")
+    # a group is one item along one diagonal in one reading: at most the item's own windows, twice
     return (
-        hits.groupBy("doc_id", "item_id", "diagonal")
+        hits.groupBy("doc_id", "item_id", "reading", "diagonal")
         .agg(F.countDistinct("item_pos").alias("n_windows"), F.first("item_total").alias("item_total"), F.array_distinct(pairs).alias("pairs"))
         .withColumn("n_slots", F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))).cast("long"))
         .where((F.col("n_windows") >= coverage * F.col("item_total")) & (F.size("pairs") == F.col("n_slots")))

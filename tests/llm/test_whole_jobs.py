@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than its whole job."""
 
-from splitline.llm import pii
+import pytest
+
+from splitline.llm import decontam, pii
 
 from .helpers import docs_of
 
@@ -24,3 +26,16 @@ def test_found_identifiers_bring_new_patterns(spark):
     got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
     assert got[100] == "email:20:29" and got[200] == "email:14:23"
     assert got[300] == "email:14:20" and got[301] == ""
+
+
+@pytest.mark.parametrize("end", ["How many apples does Tom have?", "How many apples are left in the basket?"])
+def test_leaks_whose_sentences_start_with_the_replaced_name(spark, end):
+    item = "Tom has 3 apples. Tom buys 4 more. " + end
+    bench = spark.createDataFrame([(1, item), (2, "Maria walks to the mill with 5 sacks")], "item_id long, text string")
+    texts = {
+        1: item, 2: item.replace("Tom", "Anna"), 3: "as told before. " + item.replace("Tom", "Anna Maria") + " and so on", 4: item.replace("Tom", "Anna").replace(". How", "; how"),
+        5: "Anna has 3 apples. Berta buys 4 more. " + end.replace("Tom", "Carla"), 6: "we saw Pedro walks to the mill with 9 sacks", 7: "The boy walks to the hill with 5 sacks",
+    }
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.leaks(docs_of(spark, list(texts.items())), bench).collect()}
+    # one name of the item became several in text 5
+    assert got == {(1, 1): False, (2, 1): True, (3, 1): True, (4, 1): True, (6, 2): True}
