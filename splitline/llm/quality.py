@@ -11,8 +11,9 @@ punctuation stripped), the 4- and 5-character pieces of the cores with their
 word boundaries, and, for four shape shares (symbol endings, bars, upper case,
 immediate repeats), the tenth its share of all words falls in. Whole texts are
 read at fit and at scoring. Only features whose association with the grade is
-significant (chi-square of ``screen`` or more on the rated documents) carry
-weight, so that long ordinary texts don't drift.
+significant (chi-square p-values on the rated documents at a false-discovery
+rate of ``fdr``, by Benjamini and Hochberg's rule) carry weight, so that long
+ordinary texts don't drift; the bound follows the number of rated documents.
 
 Defined cases: a null or empty text has shape features only (all shares 0); null
 ratings count as 0; several ratings of one document count as the worst; ratings
@@ -23,6 +24,7 @@ kept. Extra columns are ignored by :func:`score` and kept by :func:`select_good`
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -92,7 +94,7 @@ class OrdinalModel:
         return ge1 + ge2, ge2
 
 
-def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 150, l2: float = 1.0, min_df: int = 8, screen: float = 60.0) -> OrdinalModel:
+def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 150, l2: float = 1.0, min_df: int = 2, fdr: float = 0.001) -> OrdinalModel:
     """Full-batch AdaGrad on the ordinal log likelihood over the features that pass the screen; all others keep weight 0."""
     weights = np.zeros(1 << BITS, dtype=np.float32)
     present = np.bincount(grades, minlength=3) if len(grades) else np.zeros(3)
@@ -108,7 +110,11 @@ def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 150, l2
         hit = by_grade[: top + 1].sum(0)
         spread = df * share_low * (1 - share_low) * (1 - df / n)
         chi = np.maximum(chi, np.where(spread > 0, (hit - df * share_low) ** 2 / np.maximum(spread, 1e-9), 0))
-    used = np.flatnonzero((df >= min_df) & (chi >= screen))
+    seen = np.flatnonzero(df >= min_df)
+    p = np.array([min(1.0, 2 * math.erfc(math.sqrt(x / 2))) for x in chi[seen].tolist()])  # the better of two cuts
+    order = np.argsort(p, kind="stable")
+    passed = np.flatnonzero(p[order] <= fdr * np.arange(1, len(seen) + 1) / max(1, len(seen)))
+    used = np.sort(seen[order[: passed[-1] + 1]]) if len(passed) else seen[:0]
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     kept = [p[p >= 0] for p in (place[f] for f in docs)]

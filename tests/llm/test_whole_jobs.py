@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import numpy as np
 import pytest
 
-from splitline.llm import decontam, pii
+from splitline.llm import decontam, pii, quality
 
 from .helpers import docs_of
 
@@ -39,3 +40,13 @@ def test_leaks_whose_sentences_start_with_the_replaced_name(spark, end):
     got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.leaks(docs_of(spark, list(texts.items())), bench).collect()}
     # one name of the item became several in text 5
     assert got == {(1, 1): False, (2, 1): True, (3, 1): True, (4, 1): True, (6, 2): True}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.001"])
+def test_quality_learns_from_few_ratings(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 5 <> 0"))
+    assert (model.weights != 0).any()
+    rated = quality.score(docs, model).join(quality.grades_of(labels.where("doc_id % 5 = 0")), "doc_id").collect()
+    assert np.mean([r.keep == (r.grade == 2) for r in rated]) >= 0.9
