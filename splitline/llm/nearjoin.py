@@ -191,6 +191,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int
     """doc_id, class_id (the smallest id of its class), n_links (documents at the threshold or above, copies included) of every document."""
     length = prefix_length(trees, depth, threshold, recall)
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a repeated doc_id is one document, the first text in text order; other texts are not shuffled for that while repeats are few
+    repeated = materialize(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    known = known.join(repeated, "doc_id", "left_anti").unionByName(known.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     signed = materialize(signatures(known, trees, depth, length), "signatures")
     one = signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     reps = one.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

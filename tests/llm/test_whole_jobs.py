@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from splitline.llm import decontam, pii, quality
+from splitline.llm import decontam, nearjoin, pii, quality
 
-from .helpers import docs_of
+from .helpers import corpus, docs_of, row_set, words
+from .test_search_and_joins import brute_classes
 
 
 def test_copied_phrases_and_addresses_leave_a_pattern_confident(spark):
@@ -50,3 +51,11 @@ def test_quality_learns_from_few_ratings(spark, sf):
     assert (model.weights != 0).any()
     rated = quality.score(docs, model).join(quality.grades_of(labels.where("doc_id % 5 = 0")), "doc_id").collect()
     assert np.mean([r.keep == (r.grade == 2) for r in rated]) >= 0.9
+
+
+def test_repeated_ids_are_one_document_with_the_first_text(spark):
+    base = words(300, 40)
+    rows = [*corpus(), (20, base), (20, base), (21, base + " end"), (22, base + " other"), (22, "a " + base), (23, words(50, 41)), (23, base)]
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))  # the brute force takes the first row of an id
+    got = row_set(nearjoin.classes(docs_of(spark, rows)), "doc_id", "class_id", "n_links")
+    assert got == brute_classes(rows)
