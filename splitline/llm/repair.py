@@ -15,15 +15,18 @@ long, doc_ids (little-endian int64, null ids as the smallest int64), symbols
 rule), body (symbols, uint16 if all fit, else uint32) and width int. A shard is a
 range of doc_ids and blocks follow each other within it.
 
-Parts of words are remembered per worker in a bounded cache: the vocabulary's
-normaliser and splitter never join text across ASCII white space, so a text's ids
-are those of its words in turn. Defined cases: null counts as empty (the end id alone);
-null doc_ids come first; repeated doc_ids follow each other by text; a document
-longer than a block is a block; extra columns are ignored.
+Where the vocabulary's normaliser and splitter never join text across ASCII white
+space (:data:`BY_WORDS` lists the settings known for that), a text's ids are those
+of its words in turn, and parts of words are remembered per worker in a bounded
+cache; with any other vocabulary texts are encoded whole. Defined cases: null counts
+as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id
+follow each other by a hash of their text, so that they can be split over shards;
+a document longer than a block is a block; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -33,12 +36,25 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, parts_for
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END = 1
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 NO_ID = -(1 << 63)
+#: Normaliser and splitter with which words are encoded one by one: composed, lower-case text; runs of letters, single digits, runs of other marks.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Bytes of text in a shard, and so in a task.
+SHARD_BYTES = 64 << 20
 _BLOCK = "shard int, block int, n_ids long, doc_ids binary, symbols binary, first_rule int, rules binary, lengths binary, body binary, width int"
 
 
@@ -49,8 +65,8 @@ def default_path() -> str:
 
 
 class Encoder:
-    """uint32 ids of texts. A batch's distinct words are cut into letters and the ASCII punctuation after them, which
-    the vocabulary splits too; distinct parts are encoded once and remembered per worker, within ``limit``.
+    """uint32 ids of texts. A batch's distinct words are cut into letters and the ASCII punctuation after them where the
+    vocabulary's own splitter does so too; distinct parts are encoded once and remembered per worker, within ``limit``.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -59,6 +75,9 @@ class Encoder:
 
         self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
         self.size = self.tokenizer.get_vocab_size()
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = {k: settings[k] for k in BY_WORDS} == BY_WORDS and settings["post_processor"] is None
+        self.splits: dict[str, bool] = {}
         self.ends_word = np.zeros(self.size, dtype=bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = piece.endswith("</w>")
@@ -89,8 +108,23 @@ class Encoder:
             got = [self.known[x] if g is None else g for x, g in zip(parts, got)]
         return got
 
+    def _split_before_mark(self, core: str) -> bool:
+        """Whether the splitter parts ``core`` from a mark after it: a letter's normal form may end in a combining mark, which stays with the mark."""
+        got = self.splits.get(core)
+        if got is None:
+            if len(self.splits) > self.limit:
+                self.splits.clear()
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(core + "!"))
+            got = self.splits[core] = len(cut) == 2 and cut[1][0] == "!"
+        return got
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array([*e.ids, END], dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text with the end id."""
+        if not self.by_words:
+            return self._whole([t or "" for t in texts.to_pylist()])
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         owner, flat = pc.list_parent_indices(lists), lists.flatten()
         there = pc.greater(pc.binary_length(flat), 0)
@@ -99,6 +133,11 @@ class Encoder:
         words, tokens = coded.dictionary, coded.indices.to_numpy()
         core = pc.utf8_rtrim(words, characters=PUNCTUATION)
         cut = pc.utf8_is_alpha(core)
+        odd = pc.and_(pc.and_(cut, pc.invert(pc.string_is_ascii(core))), pc.less(pc.binary_length(core), pc.binary_length(words)))
+        if pc.any(odd).as_py():
+            joined = np.zeros(len(words), dtype=bool)
+            joined[np.flatnonzero(odd.to_numpy(zero_copy_only=False))] = [not self._split_before_mark(c) for c in core.filter(odd).to_pylist()]
+            cut = pc.and_(cut, pa.array(~joined))
         core = pc.if_else(cut, pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core), words)
         tailed = pc.and_(cut, pc.less(pc.binary_length(core), pc.binary_length(words)))
         tails = [w[n:] for w, n in zip(words.filter(tailed).to_pylist(), pc.utf8_length(core.filter(tailed)).to_pylist())]
@@ -280,7 +319,11 @@ def write(docs: DataFrame, path: str | None = None, block_ids: int = 1 << 20) ->
         if held:
             yield flush()
 
-    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the rows of one doc_id may be many: their texts' hash, then their place in the scan, let a range be cut among them
+    spread = named.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    laid = spread.repartitionByRange(parts_for(docs.sparkSession, size, SHARD_BYTES), "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return materialize(laid.mapInArrow(run, _BLOCK), "token-blocks")
 
 

@@ -1,8 +1,12 @@
 """Token blocks and pieces: exact round trips and the tokenizers library itself."""
 
+import random
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import public_tokenizers
 import sentencepiece  # noqa: F401
 from tokenizers import Tokenizer
 
@@ -25,6 +29,44 @@ def test_ids_against_the_tokenizers_library(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
 
 
+#: Letters whose normal form ends in a combining mark: Turkish, Bengali, Hindi, Hebrew.
+MARKED = ["VALİ.", "BELEDİYESİ,", "İİ!!", "হয়.", "लड़,", "שּׁ!", "x לּ."]
+
+
+def library(path, texts):
+    tok = Tokenizer.from_file(path)
+    return [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_ids_of_random_unicode_against_the_library():
+    r = random.Random(1)
+    pool = [c for c in map(chr, range(0x20, 0x20000)) if unicodedata.category(c) not in ("Cs", "Cn")]
+    some = "abcXYZ .,!?'-<>|\t\n 09"
+    texts = MARKED + ["".join(r.choice(pool) if r.random() < 0.4 else r.choice(some) for _ in range(r.randrange(1, 14))) for _ in range(5_000)]
+    texts += [f"ab{c}. {c}!! {c}'s" for c in pool if c.isalpha()][::3]
+    assert [x.tolist() for x in repair.encoder(repair.default_path())(pa.array(texts))] == library(repair.default_path(), texts)
+
+
+def test_another_vocabulary_is_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*MARKED, "two  spaces\n and Tail,  ", None, ""]
+    encode = repair.Encoder(path)
+    assert not encode.by_words and [x.tolist() for x in encode(pa.array(texts))] == library(path, [t or "" for t in texts])
+    got = repair.report(repair.write(docs_of(spark, list(enumerate(texts))), path)).orderBy("start").collect()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in library(path, [t or "" for t in texts])]
+
+
+def test_one_doc_id_is_split_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(repair, "SHARD_BYTES", 2_000)
+    rows = [(7, f"text {i} of many") for i in range(500)] + [(None, "same text") for _ in range(300)] + [(9, "x " * 9_000)]
+    blocks = repair.write(docs_of(spark, rows))
+    assert blocks.where("n_ids > 0").select("shard").distinct().count() > 3
+    got = repair.report(blocks).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 300 + [7] * 500 + [9]
+    starts = np.cumsum([0] + [r.n_tokens for r in got])[:-1]
+    assert [r.start for r in got] == starts.tolist()
+
+
 def test_ids_of_nulls_repeats_and_an_empty_table(spark):
     rows = [(None, "x y"), (None, "b"), (3, "same"), (3, "same"), (2, "first")]
     got = repair.report(repair.write(docs_of(spark, rows))).collect()
