@@ -6,16 +6,21 @@ of documents whose sets have a Jaccard similarity of ``threshold`` or more.
 
 1. Documents with equal sets collapse to one representative, the smallest id;
    copies are never expanded into pairs.
-2. Each of ``trees`` prefix tries sorts the representatives by a signature of
-   ``depth`` MinHash values. The prefix that must match is shortened from the
-   full depth until the expected recall at the threshold reaches ``recall``
-   (:func:`prefix_length`), so a denser target deepens the tries.
-3. Representatives that share a prefix in any tree belong to one candidate
-   component; components come from the buckets' stars (one edge per member).
-4. A component's representatives are cut into blocks of ``block``; each pair of blocks is one task group, verified exactly from the
-   shingle sets, so no component is gathered whole and no pair leaves a task: a
-   group returns link counts and an edge from each linked member to the smallest
-   one it hangs together with there.
+2. The forest: each of ``trees`` prefix tries orders the representatives by a
+   signature of ``depth`` MinHash values. A document starts with the full depth
+   in every tree and shortens its prefix to the ``floor`` tree by tree, the
+   emptiest bucket first, until a pair at the threshold meets it in some tree
+   with probability ``recall`` (:func:`forest_shape`). Where its buckets are
+   ``dense``, the densest trees so stay at full depth; small buckets are all
+   taken at the floor, which only adds recall.
+3. A representative's home is the smallest member of its full-depth buckets (else
+   of its floor buckets). Homes are cut into blocks of ``block`` in trie order.
+4. Verification within buckets: two blocks meet in one task where some bucket has
+   members in both, and only the members of such buckets go there. A pair of
+   representatives can only meet in the task of its two blocks, so it is verified
+   once, from the whole shingle sets, however many buckets it shares. A task
+   returns link counts and an edge from each linked member to the smallest one it
+   hangs together with there.
 5. Classes are the components of the verified links.
 
 Only representatives that share a bucket are read again for their sets. Defined
@@ -29,12 +34,13 @@ by :func:`deduplicate`.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bitmap
 from .common import WordCache, materialize, mix, text_bytes
@@ -60,41 +66,88 @@ def _hasher() -> WordCache:
     return WordCache(xxhash.xxh64_intdigest)
 
 
-def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix, shortened from ``depth``, at which a pair at the threshold meets in some tree with probability ``recall``."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
-        length -= 1
-    return length
+def forest_shape(trees: int, depth: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(floor, n): the longest prefix at which all trees together reach ``recall`` for a pair at the threshold, and how many
+    trees must come down to it if the others stay at ``depth``."""
+    need = -math.log(1 - recall)
+    gain = lambda length: -math.log(1 - threshold**length)
+    floor = depth
+    while floor > 1 and trees * gain(floor) < need:
+        floor -= 1
+    if floor == depth:
+        return floor, trees
+    return floor, min(trees, max(0, math.ceil((need - trees * gain(depth)) / (gain(floor) - gain(depth)))))
 
 
-def signatures(docs: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
-    """(doc_id, set_key, n, prefixes array<long>) of the documents with shingles."""
-    a = mix(np.arange(1, trees * depth + 1, dtype=np.uint64)) | np.uint64(1)
+def signatures(docs: DataFrame, trees: int, depth: int, floor: int) -> DataFrame:
+    """(doc_id, set_key, n, prefixes, leaves) of the documents with shingles: per tree a key of the prefix at the floor and one at full depth."""
+    a = (mix(np.arange(1, trees * depth + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    c = mix(np.arange(1_000_001, 1_000_001 + trees * depth, dtype=np.uint64)).astype(np.uint32)
 
     def run(batches):
         hashes = _hasher()
         for b in batches:
-            ids, keys, sizes, prefixes = [], [], [], []
+            ids, keys, sizes, prefixes, leaves = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 s = shingles(np.array(hashes(text.split()), dtype=np.uint64))
                 if not len(s):
                     continue
-                low = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
-                for k in range(0, len(s), 2048):
-                    low = np.minimum(low, (s[k : k + 2048, None] * a).min(0))
-                low = low.reshape(trees, depth) >> np.uint64(32)
+                half = (s >> np.uint64(32)).astype(np.uint32)
+                low = np.full(len(a), np.iinfo(np.uint32).max, dtype=np.uint32)
+                for k in range(0, len(s), 1024):
+                    low = np.minimum(low, (half[k : k + 1024, None] * a + c).min(0))
+                low = low.reshape(trees, depth)
                 key = np.arange(trees, dtype=np.uint64)
-                for j in range(length):
+                for j in range(depth):
+                    if j == floor:
+                        prefixes.append(key.view(np.int64))
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
+                if floor == depth:
+                    prefixes.append(key.view(np.int64))
+                leaves.append(key.view(np.int64))
                 ids.append(doc)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
-                prefixes.append(key.view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * trees), pa.array(np.concatenate(prefixes) if ids else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "set_key", "n", "prefixes"])
+            at = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * trees)
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if ids else np.zeros(0, np.int64))) for x in (prefixes, leaves)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "set_key", "n", "prefixes", "leaves"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, n long, prefixes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, n long, prefixes array<long>, leaves array<long>")
+
+
+def forest(of_rep: DataFrame, trees: int, n_floor: int, dense: int) -> DataFrame:
+    """(rep, home, bucket, asks): the buckets of every representative that shares one. ``asks``: it chose this bucket itself.
+
+    ``of_rep``: (rep, prefixes, leaves). A floor bucket holds all members of its prefix, of whom some ask; a full-depth
+    bucket holds those who stay at full depth in its tree.
+    """
+    spread = of_rep.select("rep", F.explode(F.arrays_zip("prefixes", "leaves")).alias("t")).select("rep", F.col("t.prefixes").alias("prefix"), F.col("t.leaves").alias("leaf"))
+    full = spread.groupBy("prefix").agg(F.count("*").alias("size"), F.min("rep").alias("star")).where("size > 1")
+    member = materialize(spread.join(full, "prefix"), "forest")  # what shares no prefix ends here
+    leaf = member.groupBy("leaf").agg(F.count("*").alias("leaf_size"), F.min("rep").alias("leaf_star")).where("leaf_size > 1")
+    known = member.join(leaf, "leaf", "left")
+    tree = F.struct("size", "prefix", "leaf", "star", "leaf_size", "leaf_star")
+    per_rep = known.groupBy("rep").agg(F.array_sort(F.collect_list(tree)).alias("ts"))  # at most one row per tree
+    # emptiest first: unshared trees come down to the floor for nothing, then the shared ones in order of size
+    must = F.lit(n_floor - trees) + F.size("ts")
+    chosen = F.transform("ts", lambda t, i: F.struct(t.alias("t"), ((i < must) | (t["size"] <= dense)).alias("down")))
+    home = F.coalesce(F.array_min(F.transform("ts", lambda t: t["leaf_star"])), F.array_min(F.transform("ts", lambda t: t["star"])))
+    rows = per_rep.select("rep", home.alias("home"), F.explode(chosen).alias("c")).select("rep", "home", "c.t.*", "c.down")
+    floors = rows.select("rep", "home", F.col("prefix").alias("bucket"), F.col("down").alias("asks"))
+    deep = rows.where("not down and leaf_size > 1").select("rep", "home", F.col("leaf").alias("bucket"), F.lit(True).alias("asks"))
+    return floors.unionByName(deep)
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """(i, j, rep): the pairs of blocks, i <= j, in which some bucket that is asked for has members, with those members.
+
+    ``placed``: (rep, b, bucket, asks). Pairs are of blocks, never of documents; a bucket within one block gives one row.
+    """
+    at = placed.groupBy("bucket", "b").agg(F.bool_or("asks").alias("asks"), F.count("*").alias("n"))
+    left, right = at.select("bucket", F.col("b").alias("i"), F.col("asks").alias("x"), "n"), at.select("bucket", F.col("b").alias("j"), F.col("asks").alias("y"))
+    pair = left.join(right, "bucket").where("i <= j and (x or y) and (i < j or n > 1)").select("bucket", "i", "j")
+    both = pair.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
+    return both.join(placed.select("bucket", "b", "rep"), ["bucket", "b"]).select("i", "j", "b", "rep").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -156,23 +209,17 @@ def _stars(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
             return member, label[member]
 
 
-def verify(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def verify(dealt: DataFrame, threshold: float) -> DataFrame:
     """(rep, other, links): with other null a link count of rep (copies included), else an edge to the smallest rep that it hangs together with here.
 
-    ``members``: (component, index, size, rep, copies, shingles).
+    ``dealt``: (i, j, b, rep, copies, shingles), a task per (i, j); b is the one of the two blocks that holds rep.
     """
-    b = F.floor(F.col("index") / block).cast("int")
-    n = F.floor((F.col("size") - 1) / block).cast("int") + 1
-    other = F.explode(F.sequence(F.lit(0), n - 1))  # one row per block of the same component
-    dealt = members.select("component", b.alias("b"), other.alias("o"), "rep", "copies", "shingles").select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "copies", "shingles"
-    )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        rows = rows.sort_values(["b", "rep"], ignore_index=True)
+        rows = rows.assign(first=rows["b"] == i).sort_values(["first", "rep"], ascending=[False, True], ignore_index=True)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
-        cut = int((rows["b"] == i).sum())
+        cut = int(rows["first"].sum())
         x, y = _linked(sets[:cut], sets[cut:] if j != i else None, threshold) if len(sets) > 1 and (j == i or 0 < cut < len(sets)) else (np.zeros(0, int),) * 2
         reps, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy()
         links = np.bincount(x, copies[y], minlength=len(reps)) + np.bincount(y, copies[x], minlength=len(reps))
@@ -184,29 +231,26 @@ def verify(members: DataFrame, threshold: float, block: int) -> DataFrame:
             {"rep": np.concatenate([reps[has], reps[a]]), "other": pd.array([None] * len(has) + reps[c].tolist(), dtype="Int64"), "links": np.concatenate([links[has].astype(np.int64), np.zeros(len(a), np.int64)])}
         )
 
-    return dealt.groupBy("component", "i", "j").applyInPandas(run, "rep long, other long, links long")
+    return dealt.groupBy("i", "j").applyInPandas(run, "rep long, other long, links long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int = 8, recall: float = 0.999, block: int = 64) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.999, block: int = 64, dense: int = 64) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), n_links (documents at the threshold or above, copies included) of every document."""
-    length = prefix_length(trees, depth, threshold, recall)
+    floor, n_floor = forest_shape(trees, depth, threshold, recall)
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a repeated doc_id is one document, the first text in text order; other texts are not shuffled for that while repeats are few
     repeated = materialize(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     known = known.join(repeated, "doc_id", "left_anti").unionByName(known.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    signed = materialize(signatures(known, trees, depth, length), "signatures")
+    signed = materialize(signatures(known, trees, depth, floor), "signatures")
     one = signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     reps = one.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of_rep = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"])).select("rep", "copies", "prefixes").dropDuplicates(["rep"])
-    buckets = of_rep.select("rep", F.explode("prefixes").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("star"), F.count("*").alias("size")).where(F.col("size") > 1)
-    edges = materialize(buckets.join(shared, "bucket").where(F.col("rep") != F.col("star")).select(F.col("rep").alias("src"), F.col("star").alias("dst")).distinct(), "candidates")
-    component = components(edges).select(F.col("id").alias("rep"), F.col("component"))
-    # number of each member in its component: ranks within hashed slices, then the slices' totals, so that no component is sorted in one task
-    member = of_rep.drop("prefixes").join(component, "rep")
-    member = materialize(_indexed(member), "members")
-    full = member.join(sets_of(known, member.select("rep")), "rep")
-    found = materialize(verify(full, threshold, block), "verified")
+    of_rep = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"])).select("rep", "copies", "prefixes", "leaves").dropDuplicates(["rep"])
+    member = materialize(forest(of_rep, trees, n_floor, dense), "members")
+    placed = materialize(blocked(member.groupBy("rep").agg(F.first("home").alias("home"), F.min("bucket").alias("place")), block), "blocks")
+    dealt = block_pairs(member.select("rep", "bucket", "asks").join(placed, "rep"))
+    dealt = materialize(dealt, "pairs")
+    sets = sets_of(known, dealt.select("rep").distinct()).join(of_rep.select("rep", "copies"), "rep")
+    found = materialize(verify(dealt.join(sets, "rep"), threshold), "verified")
     linked = components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("component", "class_id")
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     result = reps.join(linked, reps["rep"] == linked["id"], "left").drop("id").join(counts, "rep", "left")
@@ -216,18 +260,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 16, depth: int
     return got.unionByName(rest)
 
 
-def _indexed(member: DataFrame, slice_bits: int = 10) -> DataFrame:
-    """``member`` with (index, size) within its component."""
-    from pyspark.sql import Window
+def blocked(reps: DataFrame, block: int, slice_bits: int = 16) -> DataFrame:
+    """(rep, b): ``reps`` (rep, home, place) in blocks of at most ``block`` of one home, neighbours in ``place`` order together.
 
-    cut = member.withColumn("slice", F.shiftrightunsigned(F.xxhash64("rep"), 64 - slice_bits))
-    totals = cut.groupBy("component", "slice").agg(F.count("*").alias("n"))
-    over = Window.partitionBy("component").orderBy("slice")  # at most 2**slice_bits rows per component
-    totals = totals.select(
-        "component", "slice", F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("component")).alias("size")
-    )
-    inside = cut.withColumn("at", F.row_number().over(Window.partitionBy("component", "slice").orderBy("rep")) - 1)
-    return inside.join(totals, ["component", "slice"]).select("component", (F.col("before") + F.col("at")).alias("index"), "size", "rep", "copies")
+    Members are ranked within slices of a home, cut by place and, for places that many share, by rep; the slices' totals
+    then number them through, so that no home is sorted in one task.
+    """
+    half = slice_bits // 2
+    top = lambda c, bits: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    cut = reps.withColumn("slice", (top("place", slice_bits - half) * (1 << half) + top("rep", half)).cast("int"))
+    totals = cut.groupBy("home", "slice").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("home").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**slice_bits rows per home
+    totals = totals.select("home", "slice", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+    inside = cut.withColumn("at", F.row_number().over(Window.partitionBy("home", "slice").orderBy("place", "rep")) - 1)
+    index = F.floor((F.col("before") + F.col("at")) / block)
+    return inside.join(totals, ["home", "slice"]).select("rep", F.xxhash64("home", index).alias("b"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
