@@ -138,16 +138,17 @@ def forest(of_rep: DataFrame, trees: int, n_floor: int, dense: int) -> DataFrame
     return floors.unionByName(deep)
 
 
-def block_pairs(placed: DataFrame) -> DataFrame:
-    """(i, j, rep): the pairs of blocks, i <= j, in which some bucket that is asked for has members, with those members.
+def partners(placed: DataFrame) -> DataFrame:
+    """(rep, b, partners): the blocks that have a member in a bucket of ``rep``, which is in block b; its own if another member is there too.
 
-    ``placed``: (rep, b, bucket, asks). Pairs are of blocks, never of documents; a bucket within one block gives one row.
+    ``placed``: (rep, b, bucket, asks). A bucket that nobody asks for, on either side, doesn't count. Lists are of blocks,
+    never of documents, and every join is one row to one row.
     """
     at = placed.groupBy("bucket", "b").agg(F.bool_or("asks").alias("asks"), F.count("*").alias("n"))
-    left, right = at.select("bucket", F.col("b").alias("i"), F.col("asks").alias("x"), "n"), at.select("bucket", F.col("b").alias("j"), F.col("asks").alias("y"))
-    pair = left.join(right, "bucket").where("i <= j and (x or y) and (i < j or n > 1)").select("bucket", "i", "j")
-    both = pair.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
-    return both.join(placed.select("bucket", "b", "rep"), ["bucket", "b"]).select("i", "j", "b", "rep").distinct()
+    lists = at.groupBy("bucket").agg(F.collect_list(F.struct("b", "asks", "n")).alias("blocks"))
+    met = F.filter("blocks", lambda x: (x["asks"] | F.col("asks")) & ((x["b"] != F.col("b")) | (x["n"] > 1)))
+    near = placed.join(lists, "bucket").select("rep", "b", F.transform(met, lambda x: x["b"]).alias("met"))
+    return near.groupBy("rep", "b").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("partners")).where(F.size("partners") > 0)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,11 +210,12 @@ def _stars(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
             return member, label[member]
 
 
-def verify(dealt: DataFrame, threshold: float) -> DataFrame:
+def verify(members: DataFrame, threshold: float) -> DataFrame:
     """(rep, other, links): with other null a link count of rep (copies included), else an edge to the smallest rep that it hangs together with here.
 
-    ``dealt``: (i, j, b, rep, copies, shingles), a task per (i, j); b is the one of the two blocks that holds rep.
+    ``members``: (rep, b, partners, copies, shingles). A task per pair of blocks (i, j), to which each member goes once.
     """
+    dealt = members.select("rep", "b", "copies", "shingles", F.explode("partners").alias("o")).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "copies", "shingles")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
@@ -247,10 +249,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, depth: int
     of_rep = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_key"] == reps["set_key"])).select("rep", "copies", "prefixes", "leaves").dropDuplicates(["rep"])
     member = materialize(forest(of_rep, trees, n_floor, dense), "members")
     placed = materialize(blocked(member.groupBy("rep").agg(F.first("home").alias("home"), F.min("bucket").alias("place")), block), "blocks")
-    dealt = block_pairs(member.select("rep", "bucket", "asks").join(placed, "rep"))
-    dealt = materialize(dealt, "pairs")
-    sets = sets_of(known, dealt.select("rep").distinct()).join(of_rep.select("rep", "copies"), "rep")
-    found = materialize(verify(dealt.join(sets, "rep"), threshold), "verified")
+    meeting = materialize(partners(member.select("rep", "bucket", "asks").join(placed, "rep")), "partners")
+    full = meeting.join(sets_of(known, meeting.select("rep")), "rep").join(of_rep.select("rep", "copies"), "rep")
+    found = materialize(verify(full, threshold), "verified")
     linked = components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst"))).withColumnRenamed("component", "class_id")
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     result = reps.join(linked, reps["rep"] == linked["id"], "left").drop("id").join(counts, "rep", "left")
@@ -260,7 +261,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 32, depth: int
     return got.unionByName(rest)
 
 
-def blocked(reps: DataFrame, block: int, slice_bits: int = 16) -> DataFrame:
+def blocked(reps: DataFrame, block: int, slice_bits: int = 12) -> DataFrame:
     """(rep, b): ``reps`` (rep, home, place) in blocks of at most ``block`` of one home, neighbours in ``place`` order together.
 
     Members are ranked within slices of a home, cut by place and, for places that many share, by rep; the slices' totals
