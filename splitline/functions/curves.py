@@ -1,4 +1,4 @@
-"""Curves, ratings and physics as Column arithmetic."""
+"""Curves, ratings and physics as Column arithmetic. Where a divisor is 0 the result is null."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 
 def riegel(seconds: Column, distance: Column, target: float, exponent: float = 1.06) -> Column:
-    return seconds * F.pow(F.lit(target) / distance, F.lit(exponent))
+    return seconds * F.pow(F.try_divide(F.lit(target), distance), F.lit(exponent))
 
 
 def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
@@ -26,7 +26,7 @@ def transfer(seconds: Column, distance: Column, target: float, knots: list[tuple
 
 def race_rating(norm: Column, difficulty: Column, pool_mean: Column) -> Column:
     """100 * pool mean / (normalised time / (1 + difficulty)), two decimals."""
-    return F.round(100 * pool_mean / (norm / (1 + difficulty)), 2)
+    return F.round(F.try_divide(100 * pool_mean * (1 + difficulty), norm), 2)
 
 
 def tilt(rating: Column, k: float = -0.031, low: float = 0.5, high: float = 1.5) -> Column:
@@ -35,7 +35,7 @@ def tilt(rating: Column, k: float = -0.031, low: float = 0.5, high: float = 1.5)
 
 
 def tilted(rating: Column, difficulty: Column, k: float = -0.031) -> Column:
-    return rating * (1 + difficulty * tilt(rating, k)) / (1 + difficulty)
+    return F.try_divide(rating * (1 + difficulty * tilt(rating, k)), 1 + difficulty)
 
 
 def relative_humidity(temp_c: Column, dew_c: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, where ``then`` uses it several times."""
+    return F.transform(F.array(value), then)[0]
+
+
 def type8(values: Column, q: float) -> Column:
     """Hyndman-Fan type 8 quantile of an ascending array: h = (n + 1/3) q + 1/3."""
     n = F.size(values)
@@ -21,6 +26,5 @@ def median_of(values: Column) -> Column:
 
 
 def mad(values: Column) -> Column:
-    """1.4826 times the median absolute deviation of an array."""
-    m = median_of(F.array_sort(values))
-    return 1.4826 * median_of(F.array_sort(F.transform(values, lambda v: F.abs(v - m))))
+    """1.4826 times the median absolute deviation of an ascending array."""
+    return let(median_of(values), lambda m: let(F.array_sort(F.transform(values, lambda v: F.abs(v - m))), lambda d: 1.4826 * median_of(d)))

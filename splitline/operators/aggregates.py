@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import ranked_within
+
 
 def weighted_median(df: DataFrame, group: list[str], value: str, weight: str, key: str) -> DataFrame:
     """Smallest value at which the running weight reaches half the group's weight."""
@@ -39,12 +41,13 @@ def leave_one_out_slope(df: DataFrame, person: str, cell: str, value: str, least
     x = (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))
     lift = both.select(cell, x.alias("x"), (F.col("s") / F.col("n") - x).alias("y"))
     centred = lift.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy(cell)))
-    slope = F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x")) * (F.count("*") / (F.count("*") + shrink))
+    slope = F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))) * (F.count("*") / (F.count("*") + shrink))  # null where all are alike
     return centred.groupBy(cell).agg(slope.alias("slope"), F.count("*").alias("n_persons"))
 
 
 def decayed_mean(df: DataFrame, group: list[str], value: str, weight: Column) -> DataFrame:
-    return df.withColumn("_w", weight).groupBy(*group).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("decayed_mean"))
+    """Weighted mean per group; null where all weights are 0."""
+    return df.withColumn("_w", weight).groupBy(*group).agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("decayed_mean"))
 
 
 def fingerprint(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
@@ -70,3 +73,22 @@ def capped_top(df: DataFrame, group: list[str], person: str, order: list[Column]
     outer = Window.partitionBy(*group).orderBy(*order)
     few = df.withColumn("_p", F.row_number().over(inner)).where(F.col("_p") <= per_person).drop("_p")
     return few.withColumn("k", F.row_number().over(outer).cast("long")).where(F.col("k") <= n)
+
+
+def median_of_others(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
+    """``df`` with ``others``: the median of the group's values without the row's own, null where there are none or the own value is null.
+
+    Taking one value out moves the middle by at most one place, so three middle values per group are enough; no row sees its group.
+    """
+    rows = ranked_within(df.where(F.col(value).isNotNull()), group, [F.col(value), F.col(key)], "_pos", "_n")
+    half = F.floor(F.col("_n") / 2)
+    middle = rows.where(F.col("_pos").between(half, half + 2)).groupBy(*group).agg(*[F.max(F.when(F.col("_pos") == half + i, F.col(value))).alias(f"_m{i}") for i in range(3)])
+    keyed = middle.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_m0", "_m1", "_m2")
+    both = rows.join(keyed, [F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+
+    def place(k: Column) -> Column:  # the k-th of the others
+        at = F.when(k < F.col("_pos"), k).otherwise(k + 1) - half
+        return F.when(at == 0, F.col("_m0")).when(at == 1, F.col("_m1")).otherwise(F.col("_m2"))
+
+    others = F.when(F.col("_n") > 1, (place(half) + place(F.floor((F.col("_n") + 1) / 2))) / 2)
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], others.alias("others"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
+from .ranks import ranked_within
 
 
 @dataclass(frozen=True)
@@ -70,13 +71,12 @@ def ability(results: DataFrame, q: float = 0.8, band: float = 20.0, floor: int =
 
 def scoped_ranks(df: DataFrame, scopes: dict[str, list[str]], value: str, key: str, eligible: Column | None = None) -> DataFrame:
     """One dense position per scope (name -> grouping columns) plus the scope's size; rows that aren't eligible get null."""
-    ok = F.lit(True) if eligible is None else eligible
-    df = df.withColumn("_ok", ok)
-    for name, columns in scopes.items():
-        w = Window.partitionBy("_ok", *columns).orderBy(F.col(value).desc_nulls_last(), key)
-        size = Window.partitionBy("_ok", *columns)
-        df = df.withColumn(f"rank_{name}", F.when(F.col("_ok"), F.row_number().over(w).cast("long"))).withColumn(f"n_{name}", F.when(F.col("_ok"), F.count("*").over(size)))
-    return df.drop("_ok")
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    got = df.withColumn("_ok", ok)
+    out = got.where("_ok").drop("_ok")
+    for name, columns in scopes.items():  # a scope may hold every row: positions come from range sorts
+        out = ranked_within(out, columns, [F.col(value).desc_nulls_last(), F.col(key)], f"rank_{name}", f"n_{name}")
+    return out.unionByName(got.where("not _ok").drop("_ok"), allowMissingColumns=True)
 
 
 def rank_of(board: DataFrame, value: str, key: str, wanted: int) -> DataFrame:

@@ -21,9 +21,8 @@ def same_day_twins(df: DataFrame, key: str, day: str, cell: str, value: str, ord
 def neighbour_z(df: DataFrame, key: str, day: str, order: str, value: str, k: int, floor: float, least: int = 3) -> DataFrame:
     """z of a row against its k nearest rows in time: (value - median) / max(1.4826 MAD, floor); null with fewer than ``least``."""
     near = nearest_by_day(df, key, day, order, value, k)
-    s = F.array_sort("near")
-    z = (F.col(value) - stats.median_of(s)) / F.greatest(stats.mad(s), F.lit(floor))
-    return near.withColumn("z", F.when(F.size("near") >= least, z))
+    z = lambda s: F.when(F.size(s) >= least, F.try_divide(F.col(value) - stats.median_of(s), F.greatest(stats.mad(s), F.lit(floor))))
+    return near.withColumn("z", stats.let(F.array_sort("near"), z))
 
 
 def fdr_cut(z: DataFrame, fit_low: float = 2.0, fit_high: float = 4.0, low: float = 5.0, high: float = 15.0, rate: float = 0.01) -> float:
@@ -42,11 +41,11 @@ def fdr_cut(z: DataFrame, fit_low: float = 2.0, fit_high: float = 4.0, low: floa
     return high
 
 
-def race_shift(df: DataFrame, race: str, gap: str, between: float, within: float, least: int, alpha: float = 0.05, side: float = 2 / 3) -> DataFrame:
-    """Races whose median gap is off for most runners: z beyond the Bonferroni quantile, and ``side`` of the runners on that side."""
+def race_shift(df: DataFrame, race: str, gap: str, between: float, within: float, least: int, alpha: float = 0.05, side: float = 2 / 3, cut: float | None = None) -> DataFrame:
+    """Races with z of their median gap and ``shifted``: z beyond ``cut`` (by default the Bonferroni quantile at ``alpha``), and ``side`` of the runners on that side."""
     stat = df.groupBy(race).agg(F.percentile(gap, 0.5).alias("shift"), F.count("*").alias("n"), F.avg((F.col(gap) > 0).cast("double")).alias("above")).where(F.col("n") >= least)
-    races = max(1, stat.count())
-    cut = NormalDist().inv_cdf(1 - alpha / races)
+    if cut is None:
+        cut = NormalDist().inv_cdf(1 - alpha / max(1, stat.count()))
     z = F.col("shift") / F.sqrt(F.lit(between**2) + F.lit(math.pi / 2 * within**2) / F.col("n"))
     mostly = F.when(F.col("shift") > 0, F.col("above")).otherwise(1 - F.col("above")) >= side
     return stat.withColumn("z", z).withColumn("shifted", (F.abs("z") > cut) & mostly)

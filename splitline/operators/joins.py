@@ -52,12 +52,16 @@ def grid_pairs(points: DataFrame, key: str, x: str, y: str, cell: float, reach:
 
 
 def closest_pairs(df: DataFrame, key: str, order: str, day: str, cell: str, value: str, days: int) -> DataFrame:
-    """Per key and ordered cell pair: the closest two rows within ``days``, the later one second."""
-    a = df.select(F.col(key).alias("k"), F.col(order).alias("o1"), F.col(day).alias("d1"), F.col(cell).alias("c1"), F.col(value).alias("v1"))
-    b = df.select(F.col(key).alias("k"), F.col(order).alias("o2"), F.col(day).alias("d2"), F.col(cell).alias("c2"), F.col(value).alias("v2"))
-    pair = a.join(b, "k").where((F.col("d2") >= F.col("d1")) & (F.col("d2") - F.col("d1") <= days) & (F.col("o1") != F.col("o2")) & (F.col("c1") != F.col("c2")))
+    """Per key and ordered cell pair: the closest two rows within ``days``, the later one second; ``ratio`` is null where the earlier value is 0 or null.
+
+    Days are cut into spans just longer than ``days``, so a row meets only its own span and the next one, never a key's whole history.
+    """
+    span = F.floor(F.col(day) / (days + 1))
+    a = df.select(F.col(key).alias("k"), F.col(order).alias("o1"), F.col(day).alias("d1"), F.col(cell).alias("c1"), F.col(value).alias("v1"), F.explode(F.array(span, span + 1)).alias("_span"))
+    b = df.select(F.col(key).alias("k"), F.col(order).alias("o2"), F.col(day).alias("d2"), F.col(cell).alias("c2"), F.col(value).alias("v2"), span.alias("_span"))
+    pair = a.join(b, ["k", "_span"]).where((F.col("d2") >= F.col("d1")) & (F.col("d2") - F.col("d1") <= days) & (F.col("o1") != F.col("o2")) & (F.col("c1") != F.col("c2")))
     w = Window.partitionBy("k", "c1", "c2").orderBy(F.col("d2") - F.col("d1"), "o1", "o2")
-    return pair.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("k").alias(key), "c1", "c2", "o1", "o2", (F.col("d2") - F.col("d1")).alias("gap"), (F.col("v2") / F.col("v1")).alias("ratio"))
+    return pair.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("k").alias(key), "c1", "c2", "o1", "o2", (F.col("d2") - F.col("d1")).alias("gap"), F.try_divide(F.col("v2"), F.col("v1")).alias("ratio"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, rank: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import numbered, ranked_within
+
 
 def team_scores(df: DataFrame, race: list[str], team: str, order: list[Column], scoring: int = 5, displacing: int = 7) -> DataFrame:
     """Cross-country scores: the first ``displacing`` of complete teams are renumbered, the first ``scoring`` places sum; ties to the next runner.
@@ -13,11 +16,11 @@ def team_scores(df: DataFrame, race: list[str], team: str, order: list[Column],
     mine = Window.partitionBy(*race, team)
     placed = df.withColumn("_t", F.row_number().over(mine.orderBy(*order))).withColumn("_n", F.count("*").over(mine))
     kept = placed.where((F.col("_n") >= scoring) & (F.col("_t") <= displacing))
-    place = kept.withColumn("_p", F.row_number().over(Window.partitionBy(*race).orderBy(*order)))
+    place = ranked_within(kept, race, order, "_p")  # one race may hold every team
     scored = place.groupBy(*race, team).agg(
         F.sum(F.when(F.col("_t") <= scoring, F.col("_p"))).alias("score"), F.coalesce(F.max(F.when(F.col("_t") == scoring + 1, F.col("_p"))), F.lit(1_000_000)).cast("long").alias("sixth")
     )
-    return scored.withColumn("team_place", F.row_number().over(Window.partitionBy(*race).orderBy("score", "sixth", team)).cast("long"))
+    return ranked_within(scored, race, [F.col("score"), F.col("sixth"), F.col(team)], "team_place")
 
 
 POINTS = (10, 8, 6, 5, 4, 3, 2, 1)
@@ -65,25 +68,35 @@ def at_large(matrix: DataFrame, order: DataFrame, pool: str, seats: int) -> Data
     return order.join(matrix, "team", "left").groupBy(pool).applyInPandas(pick, f"{pool} {kind}, team {team}, seat long")
 
 
-def simulate(field: DataFrame, race: str, person: str, team: str, mu: str, sigma: str, draws: int, rho: float, seed: int) -> DataFrame:
-    """Win probability and mean place of each runner: t = exp(mu + sigma e), e = sqrt(rho) team + sqrt(1 - rho) own; tied wins are split."""
-    import numpy as np
-    import pandas as pd
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the parts' text by MD5: the same on every machine, retry and engine."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def normal(*parts: Column) -> Column:
+    """A standard normal number (Box-Muller) from the parts' text."""
+    return F.sqrt(-2 * F.log(uniform(*parts, F.lit("a")))) * F.cos(2 * F.pi() * uniform(*parts, F.lit("b")))
+
+
+def draws(field: DataFrame, race: str, person: str, team: str, mu: str, sigma: str, n: int, rho: float, seed: int) -> DataFrame:
+    """(race, draw, person, team, _time): the time is exp(mu + sigma e), e = sqrt(rho) team + sqrt(1 - rho) own; a row per runner and draw, dealt by Spark."""
+    rows = field.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    e = np.sqrt(rho) * normal(F.lit(seed), F.col(race), F.col("draw"), F.lit("team"), F.col(team)) + np.sqrt(1 - rho) * normal(F.lit(seed), F.col(race), F.col("draw"), F.lit("own"), F.col(person))
+    return rows.select(race, "draw", person, team, F.exp(F.col(mu) + F.col(sigma) * e).alias("_time"))
+
+
+def simulate(field: DataFrame, race: str, person: str, team: str, mu: str, sigma: str, n: int, rho: float, seed: int) -> DataFrame:
+    """Win probability of each runner over ``n`` draws; the best time's ties split the win. Two aggregates and a join: no field is gathered."""
+    t = draws(field, race, person, team, mu, sigma, n, rho, seed)
+    best = t.groupBy(race, "draw").agg(F.min("_time").alias("_time"))
+    first = t.join(best, [race, "draw", "_time"])
+    ties = first.groupBy(race, "draw").agg(F.count("*").alias("_ties"))
+    wins = first.join(ties, [race, "draw"]).groupBy(race, person).agg((F.sum(1 / F.col("_ties")) / n).alias("win"))
+    return field.select(race, person).join(wins, [race, person], "left").select(race, person, F.coalesce("win", F.lit(0.0)).alias("win"))
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(person)
-        rng = np.random.default_rng([seed, int(pd.util.hash_array(np.array([str(rows[race].iloc[0])], dtype=object))[0] % 2**32)])
-        codes, _ = pd.factorize(rows[team])
-        place = np.zeros(len(rows))
-        wins = np.zeros(len(rows))
-        for k in range(0, draws, 200):
-            m = min(200, draws - k)
-            e = np.sqrt(rho) * rng.standard_normal((m, codes.max() + 1))[:, codes] + np.sqrt(1 - rho) * rng.standard_normal((m, len(rows)))
-            t = np.exp(rows[mu].to_numpy() + rows[sigma].to_numpy() * e)
-            first = t == t.min(1, keepdims=True)
-            wins += (first / first.sum(1, keepdims=True)).sum(0)
-            place += (t.argsort(1).argsort(1) + 1).sum(0)
-        return pd.DataFrame({race: rows[race], person: rows[person], "win": wins / draws, "mean_place": place / draws})
-
-    kinds = {c: field.schema[c].dataType.simpleString() for c in (race, person)}
-    return field.groupBy(race).applyInPandas(run, f"{race} {kinds[race]}, {person} {kinds[person]}, win double, mean_place double")
+def simulate_teams(field: DataFrame, race: str, person: str, team: str, mu: str, sigma: str, n: int, rho: float, seed: int) -> DataFrame:
+    """(race, team, win): how often a team wins the scored race over ``n`` draws; places within a draw, five score, seven displace."""
+    t = draws(field, race, person, team, mu, sigma, n, rho, seed)
+    scored = team_scores(t, [race, "draw"], team, [F.col("_time"), F.col(person)])
+    return scored.groupBy(race, team).agg((F.count_if(F.col("team_place") == 1) / n).alias("win"))

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, component) by minimum labels over undirected edges (src, dst); stops when settled. Lineage is cut by checkpoint()."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().checkpoint()
-    labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["id"] == near["src"]).select("id", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")).checkpoint()
-        labels = step.select("id", "component")
-        if not step.where("moved").limit(1).count():
-            break
-    return labels
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component), the smallest id of each vertex's component, over undirected edges (src, dst).
+
+    Each round merges every vertex into the one of least hash among itself and its neighbours, with a new hash every
+    round, so the graph shrinks by a constant factor in expectation whatever its shape; a path of n vertices takes
+    about log n rounds. Raises if ``rounds`` don't settle it. Lineage is cut by checkpoint().
+    """
+    e = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct().checkpoint()
+    labels = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    for i in range(rounds):
+        if e.isEmpty():
+            least = labels.groupBy("label").agg(F.min("id").alias("component"))
+            return labels.join(least, "label").select("id", "component")
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("v"))
+        near = e.groupBy("src").agg(F.min(rank("dst")).alias("n"))
+        to = near.select(F.col("src").alias("v"), F.least(rank("src"), F.col("n"))["v"].alias("to")).checkpoint()
+        labels = labels.join(to, labels["label"] == to["v"], "left").select("id", F.coalesce("to", "label").alias("label")).checkpoint()
+        moved = e.join(to, e["src"] == to["v"]).select(F.col("to").alias("src"), "dst")
+        e = moved.join(to, moved["dst"] == to["v"]).select("src", F.col("to").alias("dst")).where("src <> dst").distinct().checkpoint()
+    raise RuntimeError("components did not settle")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, share: float, rounds: int) -> DataFrame:
@@ -30,8 +39,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, share: float, rounds: int) ->
     return labels
 
 
-def informative(df: DataFrame, group: str, cell: str, least_rows: int = 2, least_degree: int = 2, rounds: int = 20) -> DataFrame:
-    """Peel rows until every group has ``least_rows`` rows and every cell ``least_degree`` groups."""
+def commit_unanimous(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` with the unlabelled vertices whose labelled neighbours all agree."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    heard = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other")
+    fresh = heard.join(labels, heard["src"] == labels["id"], "left_anti").select(F.col("src").alias("id"), "label")
+    return labels.unionByName(fresh)
+
+
+def informative(df: DataFrame, group: str, cell: str, least_rows: int = 2, least_degree: int = 2, rounds: int = 100) -> DataFrame:
+    """Peel rows until every group has ``least_rows`` rows and every cell ``least_degree`` groups; raises if ``rounds`` don't settle it."""
     rows = df.select(group, cell).checkpoint()
     n = rows.count()
     for _ in range(rounds):
@@ -40,6 +57,6 @@ def informative(df: DataFrame, group: str, cell: str, least_rows: int = 2, least
         rows = rows.join(groups, group, "left_semi").join(cells, cell, "left_semi").checkpoint()
         m = rows.count()
         if m == n:
-            break
+            return rows
         n = m
-    return rows
+    raise RuntimeError("the peel did not settle")

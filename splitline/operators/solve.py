@@ -81,14 +81,23 @@ def node_potentials(edge_table: DataFrame, a: str, b: str, reference) -> dict:
     return dict(zip(nodes, (g - g[at[reference]]).tolist()))
 
 
-def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[str], rounds: int = 25) -> list[float]:
-    """Coefficients of y on xs after sweeping out persons and events by alternating demeaning; the Gram matrix is one aggregate."""
+def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[str], rounds: int = 25, tol: float = 1e-9) -> list[float]:
+    """Coefficients of y on xs after sweeping out persons and events by alternating demeaning; the Gram matrix is one aggregate.
+
+    Stops when no event mean that a pass takes away is above ``tol`` times the column's spread, or after ``rounds`` passes.
+    """
     names = [y, *xs]
     cur = df.select(person, event, *[F.col(c).cast("double").alias(c) for c in names])
-    for i in range(rounds):
-        for g in (person, event):
-            cur = cur.select(person, event, *[(F.col(c) - F.avg(c).over(Window.partitionBy(g))).alias(c) for c in names])
-        cur = cur.checkpoint() if i % 3 == 2 else cur
+    spread = cur.agg(*[F.stddev_pop(c).alias(c) for c in names]).first()
+    for _ in range(rounds):
+        means = cur.groupBy(person).agg(*[F.avg(c).alias(f"_{c}") for c in names])  # aggregates and joins, so a hot key is combined before the shuffle
+        half = cur.join(means, person).select(person, event, *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in names])
+        means = half.groupBy(event).agg(*[F.avg(c).alias(f"_{c}") for c in names])
+        step = half.join(means, event).select(person, event, *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in names], *[F.abs(f"_{c}").alias(f"_{c}") for c in names]).checkpoint()
+        moved = step.agg(*[F.max(f"_{c}").alias(c) for c in names]).first()
+        cur = step.select(person, event, *names)
+        if all((moved[c] or 0.0) <= tol * max(spread[c] or 0.0, 1e-300) for c in names):
+            break
     pairs = [(a, b) for a in xs for b in names]
     got = cur.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs]).first()
     gram = np.array([[got[f"{a}|{b}"] for b in xs] for a in xs])
@@ -96,25 +105,32 @@ def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[s
 
 
 def smooth_people(df: DataFrame, person: str, day: str, value: str, drift: float, noise: float) -> DataFrame:
-    """Random-walk Kalman filter and smoother of one person's level, person by person."""
+    """Each row with its person's level that day by a random-walk Kalman filter and smoother.
+
+    Observations of one day are one observation of their mean with noise / n, exactly; so a person's group holds one row
+    per day, which the calendar bounds, however many results a hot person has. A row without a day or value has no level.
+    """
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([day, value])
-        t, z = rows[day].to_numpy(dtype=float), rows[value].to_numpy(dtype=float)
+        rows = rows.sort_values("_d", ignore_index=True)
+        t, z, r = rows["_d"].to_numpy(dtype=float), rows["_z"].to_numpy(), noise / rows["_k"].to_numpy()
         n = len(z)
-        m, p, mp, pp = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        m, p, ahead = np.zeros(n), np.zeros(n), np.zeros(n)
         for i in range(n):
-            mp[i], pp[i] = (z[0], 1e6) if i == 0 else (m[i - 1], p[i - 1] + drift * max(0.0, t[i] - t[i - 1]))
-            k = pp[i] / (pp[i] + noise)
-            m[i], p[i] = mp[i] + k * (z[i] - mp[i]), (1 - k) * pp[i]
-        s = m.copy()
-        for i in range(n - 2, -1, -1):
-            s[i] = m[i] + p[i] / pp[i + 1] * (s[i + 1] - mp[i + 1])
-        return pd.DataFrame({person: rows[person], day: rows[day], value: z, "level": s})
-
+            ahead[i] = 1e6 if i == 0 else p[i - 1] + drift * (t[i] - t[i - 1])
+            before = z[0] if i == 0 else m[i - 1]
+            gain = ahead[i] / (ahead[i] + r[i])
+            m[i], p[i] = before + gain * (z[i] - before), (1 - gain) * ahead[i]
+        for i in range(n - 2, -1, -1):  # the random walk predicts m[i] for i + 1
+            m[i] += p[i] / ahead[i + 1] * (m[i + 1] - m[i])
+        return pd.DataFrame({"_p": rows["_p"], "_d": rows["_d"], "level": m})
+
+    own = df.select(person, day, F.col(value).cast("double").alias(value)).where(F.col(day).isNotNull() & F.col(value).isNotNull())
+    days = own.groupBy(F.col(person).alias("_p"), F.col(day).alias("_d")).agg(F.avg(value).alias("_z"), F.count("*").alias("_k"))
     kinds = {c: df.schema[c].dataType.simpleString() for c in (person, day)}
-    return df.select(person, day, F.col(value).cast("double").alias(value)).groupBy(person).applyInPandas(run, f"{person} {kinds[person]}, {day} {kinds[day]}, {value} double, level double")
+    level = days.groupBy("_p").applyInPandas(run, f"_p {kinds[person]}, _d {kinds[day]}, level double")
+    return own.join(level, own[person].eqNullSafe(level["_p"]) & (own[day] == level["_d"])).select(person, day, value, "level")
 
 
 def row_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:

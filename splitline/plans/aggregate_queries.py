@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import times
-from ..operators import aggregates as agg, setops, windows
+from ..operators import aggregates as agg, ranks, setops, windows
 from .base import L, R, query, races, results, table
 
 
@@ -67,9 +67,9 @@ def loo_slope(spark, sf):
     return got.select("team", F.round("slope", 6).alias("slope"), "n_persons")
 
 
-@query("SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_name, p_partkey) AS members, count(*) AS n FROM part WHERE p_size <= 5 GROUP BY p_brand")
+@query("SELECT p_brand, string_agg(p_name, ', ' ORDER BY p_name, p_partkey) AS members, count(*) AS n FROM part GROUP BY p_brand")
 def listagg_members(spark, sf):
-    p = table(spark, sf, "part").where("p_size <= 5")
+    p = table(spark, sf, "part")
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_name", "p_partkey"))), lambda s: s["p_name"]), ", ")
     return p.groupBy("p_brand").agg(names.alias("members"), F.count("*").alias("n"))
 
@@ -110,11 +110,7 @@ def capped_top(spark, sf):
 @query(f"""WITH {R}, s AS (SELECT person, CAST(dayno // 10 AS BIGINT) AS block, mark, id FROM r) SELECT a.id, round(quantile_cont(b.mark, 0.5), 6) AS others FROM s a JOIN s b ON a.person = b.person AND a.block = b.block AND a.id <> b.id GROUP BY a.id""")
 def loo_race_median(spark, sf):
     r = results(spark, sf).withColumn("block", F.floor(F.col("dayno") / 10))
-    all_marks = F.collect_list(F.struct("id", "mark")).over(Window.partitionBy("person", "block"))  # one person's block
-    from ..functions import stats
-
-    others = F.array_sort(F.transform(F.filter(all_marks, lambda s: s["id"] != F.col("id")), lambda s: s["mark"]))
-    return r.select("id", F.round(stats.median_of(others), 6).alias("others")).where("others IS NOT NULL")
+    return agg.median_of_others(r, ["person", "block"], "mark", "id").where("others IS NOT NULL").select("id", F.round("others", 6).alias("others"))
 
 
 @query(f"""WITH {R}, p AS (SELECT *, max(mark) OVER (PARTITION BY cell ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM r) SELECT cell, id, mark, previous FROM p WHERE previous IS NULL OR mark > previous""")
@@ -166,34 +162,60 @@ def set_operations(spark, sf):
     return out
 
 
-@query("""WITH RECURSIVE w AS (SELECT CAST(1 AS BIGINT) AS step, min(o_custkey) AS k FROM orders UNION ALL SELECT step + 1, (SELECT min(o_custkey) FROM orders WHERE o_custkey > w.k) FROM w WHERE w.k IS NOT NULL AND step < 20) SELECT step, k FROM w WHERE k IS NOT NULL""")
+@query("""WITH RECURSIVE w AS (SELECT CAST(1 AS BIGINT) AS step, min(o_custkey) AS k FROM orders UNION ALL SELECT step + 1, (SELECT min(o_custkey) FROM orders WHERE o_custkey > w.k) FROM w WHERE w.k IS NOT NULL) SELECT step, k FROM w WHERE k IS NOT NULL""")
 def skip_scan(spark, sf):
-    keys = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct().orderBy("k").limit(20)
-    return keys.withColumn("step", F.row_number().over(Window.orderBy("k")).cast("long"))
+    return ranks.numbered(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct(), [F.col("k")], "step")
 
 
-_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_discount > 0.08)"
+_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), b AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"
 
 
 def _edges(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    return li.where("l_quantity > 49 and l_discount > 0.08").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+
 
+_REACH = f"WITH {_EDGES}, m0 AS (SELECT src AS id, src AS c FROM b GROUP BY src)"
+for _i in range(8):  # the graph is dense: its paths are far shorter
+    _REACH += f", m{_i + 1} AS (SELECT id, min(c) AS c FROM (SELECT id, c FROM m{_i} UNION ALL SELECT src, c FROM b JOIN m{_i} ON dst = id) GROUP BY id)"
 
-@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT DISTINCT a AS id, a AS c FROM b UNION SELECT b.b, reach.c FROM reach JOIN b ON b.a = reach.id) SELECT id, min(c) AS component FROM reach GROUP BY id""")
+
+@query(_REACH + " SELECT id, c AS component FROM m8")
 def connected_components(spark, sf):
     return setops.components(_edges(spark, sf))
 
 
-@query(f"""WITH {_EDGES}, b AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), s0 AS (SELECT DISTINCT src AS id, CAST(src % 3 AS BIGINT) AS label FROM b WHERE src < 1000000 AND src % 2 = 0),
-v1 AS (SELECT src, label, count(*) AS v FROM b JOIN s0 ON dst = id GROUP BY ALL), t1 AS (SELECT src, max_by(label, v * 10 + label) AS label, max(v) AS v, sum(v) AS n FROM v1 GROUP BY src), s1 AS (SELECT * FROM s0 UNION ALL SELECT src, label FROM t1 WHERE v > 0.5 * n AND src NOT IN (SELECT id FROM s0)),
-v2 AS (SELECT src, label, count(*) AS v FROM b JOIN s1 ON dst = id GROUP BY ALL), t2 AS (SELECT src, max_by(label, v * 10 + label) AS label, max(v) AS v, sum(v) AS n FROM v2 GROUP BY src) SELECT * FROM s1 UNION ALL SELECT src, label FROM t2 WHERE v > 0.5 * n AND src NOT IN (SELECT id FROM s1)""")
+def _seeds(spark, sf, e):
+    """Customers of two segments carry a label from the start."""
+    c = table(spark, sf, "customer").where("c_mktsegment in ('AUTOMOBILE', 'BUILDING')").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 3).cast("long").alias("label"))
+    return c.join(e, c["id"] == e["src"], "left_semi")
+
+
+_LABELS = f"""WITH {_EDGES}, s0 AS (SELECT c_custkey AS id, CAST(c_nationkey % 3 AS BIGINT) AS label FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AND c_custkey IN (SELECT src FROM b))"""
+
+
+def _round(i: int, rule: str) -> str:
+    return f""", v{i} AS (SELECT src, label, count(*) AS v FROM b JOIN s{i - 1} ON dst = id GROUP BY ALL), t{i} AS (SELECT src, max_by(label, v * 10 + label) AS label, max(v) AS v, sum(v) AS n FROM v{i} GROUP BY src),
+s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT src, label FROM t{i} WHERE {rule} AND src NOT IN (SELECT id FROM s{i - 1}))"""
+
+
+@query(_LABELS + _round(1, "v > 0.4 * n") + _round(2, "v > 0.4 * n") + " SELECT * FROM s2")
 def label_propagation(spark, sf):
     e = _edges(spark, sf)
-    seeds = e.where("src % 2 = 0").select(F.col("src").alias("id"), (F.col("src") % 3).alias("label")).distinct()
-    return setops.propagate(e, seeds, 0.5, 2)
+    return setops.propagate(e, _seeds(spark, sf, e), 0.4, 2)
+
+
+@query(_LABELS + _round(1, "v > 0.4 * n") + _round(2, "v = n") + " SELECT * FROM s2")
+def unanimous_commit(spark, sf):
+    e = _edges(spark, sf)
+    return setops.commit_unanimous(e, setops.propagate(e, _seeds(spark, sf, e), 0.4, 1))
+
+
+_PEEL = f"WITH {L}, p0 AS (SELECT person, race FROM l)"
+for _i in range(12):
+    _PEEL += f", p{_i + 1} AS (SELECT person, race FROM p{_i} WHERE person IN (SELECT person FROM p{_i} GROUP BY person HAVING count(*) >= 3) AND race IN (SELECT race FROM p{_i} GROUP BY race HAVING count(DISTINCT person) >= 3))"
 
 
-@query()
+@query(_PEEL + " SELECT person, count(*) AS n FROM p12 GROUP BY person")
 def informative_peel(spark, sf):
     return setops.informative(races(spark, sf), "person", "race", 3, 3).groupBy("person").agg(F.count("*").alias("n"))

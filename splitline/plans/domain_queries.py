@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import curves
-from ..operators import dataquality as dq, scoring, solve
+from ..operators import dataquality as dq, ranks, scoring, solve
 from .base import L, R, query, races, results, table
 
 
@@ -78,12 +78,13 @@ def neighbour_z(spark, sf):
     return got.where("z IS NOT NULL").select("id", F.round("z", 6).alias("z"))
 
 
-@query(f"""WITH {R}, m AS (SELECT person, avg(mark) AS mean FROM r GROUP BY person), g AS (SELECT dayno, mark - mean AS gap FROM r JOIN m USING (person)), s AS (SELECT dayno, quantile_cont(gap, 0.5) AS shift, count(*) AS n FROM g GROUP BY dayno HAVING count(*) >= 5)
-SELECT dayno, n, round(shift / sqrt(25.0 + CAST(1.5707963267948966 AS DOUBLE) * 2500.0 / n), 6) AS z FROM s""")
+@query(f"""WITH {R}, m AS (SELECT person, avg(mark) AS mean FROM r GROUP BY person), g AS (SELECT dayno, mark - mean AS gap FROM r JOIN m USING (person)), s AS (SELECT dayno, quantile_cont(gap, 0.5) AS shift, count(*) AS n, avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END) AS above FROM g GROUP BY dayno HAVING count(*) >= 5),
+z AS (SELECT *, shift / sqrt(25.0 + CAST(1.5707963267948966 AS DOUBLE) * 2500.0 / n) AS z FROM s)
+SELECT dayno, n, round(z, 6) AS z, abs(z) > 0.5 AND CASE WHEN shift > 0 THEN above ELSE 1 - above END >= 0.5 AS shifted FROM z""")
 def race_shift_z(spark, sf):
     r = results(spark, sf)
     gap = r.join(r.groupBy("person").agg(F.avg("mark").alias("mean")), "person").select("dayno", (F.col("mark") - F.col("mean")).alias("gap"))
-    return dq.race_shift(gap, "dayno", "gap", 5.0, 50.0, 5).select("dayno", "n", F.round("z", 6).alias("z"))
+    return dq.race_shift(gap, "dayno", "gap", 5.0, 50.0, 5, cut=0.5, side=0.5).select("dayno", "n", F.round("z", 6).alias("z"), "shifted")
 
 
 @query(f"""WITH {L}, m AS (SELECT race, max(CASE WHEN mark > 90000 AND team <> 3 THEN 1 ELSE 0 END) AS bad FROM l GROUP BY race) SELECT id FROM l JOIN m USING (race) WHERE bad = 1""")
@@ -144,28 +145,58 @@ def transition_potentials(spark, sf):
 @query()
 def weather_within(spark, sf):
     li = table(spark, sf, "lineitem")
-    got = solve.within_regression(li, "l_suppkey", "l_partkey", "l_extendedprice", ["l_quantity", "l_discount"], rounds=3)
+    got = solve.within_regression(li, "l_suppkey", "l_partkey", "l_extendedprice", ["l_quantity", "l_discount"])
     return spark.createDataFrame(list(zip(["l_quantity", "l_discount"], got)), "term string, beta double")
 
 
-@query()
+# forward filter, then the smoother over the days in reverse
+@query(f"""WITH RECURSIVE {R}, d AS (SELECT person, dayno, avg(mark) AS z, 900.0 / count(*) AS r, row_number() OVER (PARTITION BY person ORDER BY dayno) AS k, count(*) OVER (PARTITION BY person) AS n FROM r WHERE mark IS NOT NULL GROUP BY person, dayno),
+f AS (SELECT person, k, n, dayno, CAST(1e6 AS DOUBLE) AS ahead, z AS m, CAST((1 - 1e6 / (1e6 + r)) * 1e6 AS DOUBLE) AS p FROM d WHERE k = 1
+UNION ALL SELECT d.person, d.k, d.n, d.dayno, f.p + 4.0 * (d.dayno - f.dayno), f.m + (f.p + 4.0 * (d.dayno - f.dayno)) / (f.p + 4.0 * (d.dayno - f.dayno) + d.r) * (d.z - f.m), (1 - (f.p + 4.0 * (d.dayno - f.dayno)) / (f.p + 4.0 * (d.dayno - f.dayno) + d.r)) * (f.p + 4.0 * (d.dayno - f.dayno)) FROM f JOIN d ON d.person = f.person AND d.k = f.k + 1),
+s AS (SELECT person, k, dayno, m AS level, ahead FROM f WHERE k = n UNION ALL SELECT f.person, f.k, f.dayno, f.m + f.p / s.ahead * (s.level - f.m), f.ahead FROM s JOIN f ON f.person = s.person AND f.k = s.k - 1)
+SELECT r.person, r.dayno, r.mark, round(s.level, 6) AS level FROM r JOIN s ON r.person = s.person AND r.dayno = s.dayno WHERE r.mark IS NOT NULL""")
 def smoothed_levels(spark, sf):
-    return solve.smooth_people(results(spark, sf), "person", "dayno", "mark", 4.0, 900.0)
+    return solve.smooth_people(results(spark, sf), "person", "dayno", "mark", 4.0, 900.0).withColumn("level", F.round("level", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {L}, d AS (SELECT race, team, min(mark) AS s FROM l GROUP BY ALL), m AS (SELECT a.team, b.team AS opponent, count(*) FILTER (WHERE a.s < b.s) AS wins, count(*) AS meetings FROM d a JOIN d b ON a.race = b.race AND a.team <> b.team GROUP BY ALL),
+beat AS (SELECT coalesce(list(team || '>' || opponent), []) AS b FROM m WHERE wins * 2 > meetings), o AS (SELECT list(team ORDER BY a, team) AS t FROM (SELECT team, avg(mark) AS a FROM l GROUP BY team)),
+w AS (SELECT CAST(0 AS BIGINT) AS seat, CAST(NULL AS BIGINT) AS team, t, b FROM o, beat
+UNION ALL SELECT seat + 1, CASE WHEN len(t) > 1 AND list_contains(b, t[2] || '>' || t[1]) THEN t[2] ELSE t[1] END, list_filter(t, lambda x: x <> CASE WHEN len(t) > 1 AND list_contains(b, t[2] || '>' || t[1]) THEN t[2] ELSE t[1] END), b FROM w WHERE seat < 8 AND len(t) > 0)
+SELECT 'all' AS pool, team, seat FROM w WHERE seat > 0""")
 def at_large_selection(spark, sf):
     best = races(spark, sf).groupBy("race", "team").agg(F.min("mark").alias("s"))
     m = scoring.win_matrix(best, "race", "team", "s")
-    order = races(spark, sf).groupBy("team").agg(F.avg("mark").alias("a")).withColumn("pool", F.lit("all")).withColumn("position", F.row_number().over(Window.orderBy("a", "team")))
+    order = races(spark, sf).groupBy("team").agg(F.avg("mark").alias("a")).withColumn("pool", F.lit("all"))
+    order = ranks.numbered(order, [F.col("a"), F.col("team")])
     return scoring.at_large(m, order.drop("a"), "pool", 8)
 
 
-@query()
+def _field(spark, sf):
+    m = results(spark, sf).where("mark > 0").groupBy("person").agg(F.round(F.avg(F.log("mark")), 9).alias("mu"), F.round(F.coalesce(F.stddev(F.log("mark")), F.lit(0.1)), 9).alias("sigma"))
+    return m.withColumn("race", F.col("person") % 7).withColumn("team", F.col("person") % 3)
+
+
+_U = lambda *x: "((CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(x) + ")), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+_N = lambda *x: f"sqrt(-2 * ln({_U(*x, chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {_U(*x, chr(39) + 'b' + chr(39))})"
+
+
+def _draws(n: int) -> str:
+    return f"""{R}, f AS (SELECT person, person % 7 AS race, person % 3 AS team, round(avg(ln(mark)), 9) AS mu, round(coalesce(stddev_samp(ln(mark)), 0.1), 9) AS sigma FROM r WHERE mark > 0 GROUP BY person),
+t AS (SELECT race, draw, person, team, exp(mu + sigma * (sqrt(0.3) * {_N("'11'", "race", "draw", "'team'", "team")} + sqrt(0.7) * {_N("'11'", "race", "draw", "'own'", "person")})) AS t FROM f, (SELECT unnest(range(1, {n + 1})) AS draw))"""
+
+
+@query(f"""WITH {_draws(500)}, b AS (SELECT race, draw, person, 1.0 / count(*) OVER (PARTITION BY race, draw) AS w FROM (SELECT *, min(t) OVER (PARTITION BY race, draw) AS m FROM t) WHERE t = m)
+SELECT f.race, f.person, round(coalesce(sum(w), 0) / 500, 9) AS win FROM f LEFT JOIN b ON f.race = b.race AND f.person = b.person GROUP BY f.race, f.person""")
 def monte_carlo_win(spark, sf):
-    m = results(spark, sf).where("mark > 0").groupBy("person").agg(F.avg(F.log("mark")).alias("mu"), F.coalesce(F.stddev(F.log("mark")), F.lit(0.1)).alias("sigma"))
-    field = m.withColumn("race", F.col("person") % 7).withColumn("team", F.col("person") % 3)
-    return scoring.simulate(field, "race", "person", "team", "mu", "sigma", 1000, 0.3, 11)
+    return scoring.simulate(_field(spark, sf), "race", "person", "team", "mu", "sigma", 500, 0.3, 11).withColumn("win", F.round("win", 9))
+
+
+@query(f"""WITH {_draws(100)}, p AS (SELECT *, row_number() OVER (PARTITION BY race, draw, team ORDER BY t, person) AS k, count(*) OVER (PARTITION BY race, draw, team) AS n FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY race, draw ORDER BY t, person) AS p FROM p WHERE n >= 5 AND k <= 7),
+s AS (SELECT race, draw, team, sum(p) FILTER (WHERE k <= 5) AS score, coalesce(max(p) FILTER (WHERE k = 6), 1000000) AS sixth FROM q GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY race, draw ORDER BY score, sixth, team) AS place FROM s)
+SELECT race, team, round(count(*) FILTER (WHERE place = 1) / 100.0, 9) AS win FROM w GROUP BY race, team""")
+def monte_carlo_team(spark, sf):
+    return scoring.simulate_teams(_field(spark, sf), "race", "person", "team", "mu", "sigma", 100, 0.3, 11).withColumn("win", F.round("win", 9))
 
 
 @query()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
-from ..sources import files, html
+from ..sources import files, html, reports as parsers
 from ..streaming import streams
 from .base import query, table
 
@@ -51,17 +51,101 @@ def html_parse(spark, sf):
     return p.select("page_id", html.title(F.col("html")).alias("title")).join(n, "page_id", "left").select("page_id", "title", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-@query()
+_TEXT = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_TEXT}, '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
 
 
-@query()
+_LINES = """SELECT c_nationkey, CAST(place AS VARCHAR) AS place, c_name AS name, c_mktsegment AS team, CAST(c_custkey % 20 + 14 AS VARCHAR) || ':' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') || '.00' AS mark
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer)"""
+
+
+def _entries(spark, sf):
+    """Each nation's customers as a race: place, name, team and mark as text."""
+    c = table(spark, sf, "customer").withColumn("place", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    mark = F.format_string("%d:%05.2f", (F.col("c_custkey") % 20 + 14).cast("int"), (F.col("c_custkey") % 60).cast("double"))
+    return c.select("c_nationkey", "place", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"), mark.alias("mark"))
+
+
+def _report(rows: DataFrame, head: str, line, tail: str = "") -> DataFrame:
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda s: s["l"]), "\n")
+    return rows.groupBy("c_nationkey").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("text"))
+
+
+def _parsed(reports: DataFrame) -> DataFrame:
+    return parsers.rows_of(reports, "c_nationkey", "text").select("c_nationkey", "place", "name", "team", "mark")
+
+
+@query(_LINES)
 def report_rows(spark, sf):
-    c = table(spark, sf, "customer")
-    line = F.format_string("%4d %-25s  %-12s  %d:%05.2f", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")), "c_name", "c_mktsegment", (F.col("c_custkey") % 20 + 14).cast("int"), (F.col("c_custkey") % 60).cast("double"))
-    reports = c.withColumn("l", line).groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list("l")), "\n").alias("text"))
-    return html.report_rows(reports, "c_nationkey", "text")
+    """Fixed-width reports, columns found from the header's offsets."""
+    head = "County meet\n%4s %-25s  %-12s  %8s\n%s\n" % ("Pl", "Athlete", "School", "Time", "=" * 55)
+    return _parsed(_report(_entries(spark, sf), head, F.format_string("%4d %-25s  %-12s  %8s", "place", "name", "team", "mark")))
+
+
+@query(_LINES)
+def html_table_rows(spark, sf):
+    """HTML result tables, columns found by their titles."""
+    cells = F.concat(*[F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in ("team", "place", "mark", "name")])
+    return _parsed(_report(_entries(spark, sf), "<html><table><tr><td>menu</td></tr></table><table><tr><th>Club</th><th>Pos</th><th>Result</th><th>Runner</th></tr>", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")), "</table></html>"))
+
+
+@query(_LINES)
+def csv_header_synonyms(spark, sf):
+    quoted = F.concat(F.lit('"'), F.col("team"), F.lit('"'))
+    return _parsed(_report(_entries(spark, sf), "Rank,Competitor,Affiliation,Finish\n", F.concat_ws(",", "place", "name", quoted, "mark")))
+
+
+@query(_LINES)
+def tab_format_sniffed(spark, sf):
+    return _parsed(_report(_entries(spark, sf), "Mark\tPl\tName\tTeam\n", F.concat_ws("\t", "mark", "place", "name", "team")))
+
+
+@query("SELECT c_nationkey, c_custkey, CAST(c_acctbal AS VARCHAR) AS name FROM customer WHERE c_custkey % 7 <> 0")
+def json_keyed_pages(spark, sf):
+    """Keyed JSON pages, as an object for even nations and as a list with nulls in it for odd ones."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal").cast("string")).alias("v"))
+    g = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "v"))).alias("e"))
+    as_map = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["c_custkey"].cast("string").alias("k"), x["v"].alias("v")))))
+    # a list's places are its keys: the entry of customer k stands at place k
+    last = F.array_max(F.transform("e", lambda x: x["c_custkey"])).cast("int")
+    known = F.map_from_entries(F.transform("e", lambda x: F.struct(x["c_custkey"].cast("int").alias("k"), x["v"].alias("v"))))
+    as_list = F.to_json(F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at(known, i)))
+    pages = g.select("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, as_map).otherwise(as_list).alias("page"))
+    entry = pages.select("c_nationkey", F.explode(html.keyed_entries(F.col("page"))).alias("x"))
+    return entry.select("c_nationkey", F.col("x.key").cast("long").alias("c_custkey"), F.col("x.value").alias("name"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand AS place, CAST(p_size AS BIGINT) AS size FROM part")
+def linked_data_events(spark, sf):
+    """Linked-data scripts of pages as typed rows."""
+    p = table(spark, sf, "part")
+    data = F.to_json(F.struct(F.lit("SportsEvent").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("location"), F.col("p_size").alias("size")))
+    page = F.concat(F.lit("<html><script>var a;</script><script type=\"application/ld+json\">"), data, F.lit("</script><p>x</p></html>"))
+    found = p.select("p_partkey", F.explode(html.linked_data(page)).alias("j"))
+    e = F.from_json("j", "name string, location struct<name:string>, size long")
+    return found.select("p_partkey", e["name"].alias("name"), e["location"]["name"].alias("place"), e["size"].alias("size"))
+
+
+@query("SELECT s_suppkey % 10 AS page, 'meets/' || CAST(s_suppkey AS VARCHAR) || '.htm' AS key, CAST(s_nationkey AS BIGINT) AS size FROM supplier")
+def bucket_listing(spark, sf):
+    s = table(spark, sf, "supplier")
+    entry = F.concat(F.lit("<Contents><Key>meets/"), F.col("s_suppkey").cast("string"), F.lit(".htm</Key><Size>"), F.col("s_nationkey").cast("string"), F.lit("</Size></Contents>"))
+    pages = s.groupBy((F.col("s_suppkey") % 10).alias("page")).agg(F.concat(F.lit("<?xml version='1.0'?><ListBucketResult><Name>b</Name>"), F.array_join(F.collect_list(entry), ""), F.lit("</ListBucketResult>")).alias("xml"))
+    return pages.select("page", F.explode(html.listing(F.col("xml"))).alias("x")).select("page", "x.key", "x.size")
+
+
+@query(r"""WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s+href="([^"]*)"', 1)) AS href FROM pages),
+t AS (SELECT DISTINCT page_id, url, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href WHEN regexp_matches(href, '^(#|[a-z]+:)') OR href = '' THEN NULL ELSE regexp_replace(url, '[^/]*$', '') || href END AS target FROM h),
+s AS (SELECT page_id, target, CAST(CASE WHEN regexp_matches(target, 'results?|[0-9]{4}') THEN 2 ELSE 0 END + CASE WHEN regexp_extract(target, '^[a-z]+://([^/]+)', 1) = regexp_extract(url, '^[a-z]+://([^/]+)', 1) THEN 1 ELSE 0 END AS INTEGER) AS score FROM t WHERE target IS NOT NULL)
+SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, target) AS rank FROM s""")
+def crawl_candidates(spark, sf):
+    return html.candidates(table(spark, sf, "pages"), "page_id", "url", "html", "results?|[0-9]{4}")
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:

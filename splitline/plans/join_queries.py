@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import joins
+from ..operators import joins, ranks
 from .base import L, R, query, races, results, table
 
 
@@ -46,7 +46,7 @@ def grid_join(spark, sf):
     return joins.grid_pairs(p, "k", "x", "y", 50.0, 50.0).select("a", "b", F.round("distance", 4).alias("distance"))
 
 
-@query(f"""WITH {R}, p AS (SELECT a.person, a.cell AS c1, b.cell AS c2, a.id AS o1, b.id AS o2, b.dayno - a.dayno AS gap, b.mark / a.mark AS ratio,
+@query(f"""WITH {R}, p AS (SELECT a.person, a.cell AS c1, b.cell AS c2, a.id AS o1, b.id AS o2, b.dayno - a.dayno AS gap, b.mark / nullif(a.mark, 0) AS ratio,
 row_number() OVER (PARTITION BY a.person, a.cell, b.cell ORDER BY b.dayno - a.dayno, a.id, b.id) AS k FROM r a JOIN r b ON a.person = b.person AND a.id <> b.id AND a.cell <> b.cell AND b.dayno - a.dayno BETWEEN 0 AND 21)
 SELECT person, c1, c2, o1, o2, gap, round(ratio, 6) AS ratio FROM p WHERE k = 1""")
 def closest_pair_21d(spark, sf):
@@ -58,8 +58,9 @@ def closest_pair_21d(spark, sf):
 SELECT person, old_rank, new_rank, CASE WHEN old_rank IS NULL THEN 'new' WHEN new_rank IS NULL THEN 'gone' WHEN new_rank < old_rank THEN 'up' WHEN new_rank > old_rank THEN 'down' ELSE 'same' END AS change FROM a FULL JOIN b USING (person)""")
 def full_outer_diff(spark, sf):
     r = results(spark, sf)
-    rank = lambda until, name: r.where(F.col("dayno") < until).groupBy("person").agg(F.max("mark").alias("m")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("m"), "person")).cast("long"))
-    return joins.snapshot_diff(rank(15, "old"), rank(25, "new"), "person", "rank")
+    best = lambda until: r.where(F.col("dayno") < until).groupBy("person").agg(F.max("mark").alias("m"))
+    old, new = (ranks.numbered(best(until), [F.desc("m"), F.col("person")], "rank") for until in (15, 25))
+    return joins.snapshot_diff(old, new, "person", "rank")
 
 
 @query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
@@ -72,9 +73,9 @@ def semi_anti_flags(spark, sf):
 @query("""SELECT a.p_partkey AS a, min(b.p_partkey) AS b FROM part a JOIN part b ON a.p_brand IS NOT DISTINCT FROM b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type AND nullif(a.p_size, 1) IS NOT DISTINCT FROM nullif(b.p_size, 1) AND b.p_partkey < a.p_partkey GROUP BY a.p_partkey""")
 def nullsafe_dup(spark, sf):
     p = table(spark, sf, "part").withColumn("size", F.nullif(F.col("p_size"), F.lit(1)))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "p_type", "size"), p.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("x"), F.col("p_type").alias("y"), F.col("size").alias("z"))
-    on = F.col("p_brand").eqNullSafe(F.col("x")) & F.col("p_type").eqNullSafe(F.col("y")) & F.col("size").eqNullSafe(F.col("z")) & (F.col("b") < F.col("a"))
-    return a.join(b, on).groupBy("a").agg(F.min("b").alias("b"))
+    first = p.groupBy("p_brand", "p_type", "size").agg(F.min("p_partkey").alias("b"))  # groupBy takes nulls as equal
+    same = p["p_brand"].eqNullSafe(first["p_brand"]) & p["p_type"].eqNullSafe(first["p_type"]) & p["size"].eqNullSafe(first["size"])
+    return p.join(first, same).where("b < p_partkey").select(F.col("p_partkey").alias("a"), "b")
 
 
 @query(f"""WITH {L}, s AS (SELECT person, CAST(year(day) AS BIGINT) AS season, max(mark) AS best FROM l GROUP BY ALL) SELECT a.person, a.season, a.best, b.best AS later FROM s a LEFT JOIN s b ON a.person = b.person AND b.season = a.season + 1""")
@@ -104,10 +105,10 @@ def star_join(spark, sf):
     return joined.groupBy("o_orderkey", "n_name", "r_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) ** 2)) AS d FROM v a JOIN v b ON a.vec_id < 20 AND a.label = b.label AND a.vec_id <> b.vec_id)
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) ** 2)) AS d FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT a, b, k FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM p) WHERE k <= 3""")
 def comps_knn(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    a, b = v.where("vec_id < 20").select(F.col("vec_id").alias("a"), F.col("e").alias("x"), "label"), v.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), "label")
+    a, b = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("e").alias("x"), "label"), v.select(F.col("vec_id").alias("b"), F.col("e").alias("y"), "label")
     d = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
     return joins.top_k_per_key(a.join(b, "label").where("a <> b").withColumn("d", d), ["a"], [F.col("d"), F.col("b")], 3).select("a", "b", "k")

@@ -25,10 +25,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one is made and set for checkpoint()."""
+    """The folder in spark.checkpoint.dir. Where that is unset on one machine, as in tests, a temporary one is made and set for
+    checkpoint(); on a cluster that would not be shared, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(context, "_splitline_shared", None)
         if base is None:
             base = context._splitline_shared = f"file://{tempfile.mkdtemp(prefix='splitline-')}"

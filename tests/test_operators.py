@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitline.functions import curves, stats, text, times
-from splitline.operators import dataquality, joins, scoring, setops, solve, windows
-from splitline.sources import files, html
+from splitline.operators import aggregates, dataquality, joins, ranks, scoring, setops, solve, windows
+from splitline.sources import files, html, reports
 
 
 def one(spark, column):
@@ -63,10 +63,49 @@ def test_as_of_takes_the_latest_at_or_before(spark):
     assert sorted((r.k, r.at, r.v) for r in joins.as_of(left, right, ["k"], "at", "v", "v").collect()) == [(1, 1, None), (1, 5, "b"), (2, 5, None)]
 
 
-def test_components_of_a_chain(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "src long, dst long")
+def test_components_of_a_long_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(1000, 1001), (7, 7)], "src long, dst long")
     got = {r.id: r.component for r in setops.components(df).collect()}
-    assert set(got.values()) == {0, 100} and got[20] == 0
+    assert got == {**{i: 0 for i in range(151)}, 1000: 1000, 1001: 1000}
+    assert setops.components(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        setops.components(df, rounds=2)
+
+
+def test_positions_over_partitions_and_hot_groups(spark):
+    df = spark.createDataFrame([(i % 3 if i % 2 else None, i % 7, i) for i in range(500)], "g int, v int, id int").repartition(7)
+    got = {r.id: (r.k, r.n) for r in ranks.ranked_within(df, ["g"], [F.desc("v"), F.col("id")], "k", "n").collect()}
+    for g in (None, 0, 1, 2):
+        own = sorted((-(i % 7), i) for i in range(500) if (i % 3 if i % 2 else None) == g)
+        assert [got[i] for _, i in own] == [(k + 1, len(own)) for k in range(len(own))]
+    assert ranks.numbered(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_closest_pairs_with_zero_marks(spark):
+    df = spark.createDataFrame([(1, "a", 0, 0.0, 1), (1, "b", 21, 3.0, 2), (1, "b", 22, 4.0, 3), (1, "a", 2, 2.0, 4)], "p int, c string, d long, v double, id int")
+    got = sorted((r.c1, r.c2, r.o1, r.o2, r.gap, r.ratio) for r in joins.closest_pairs(df, "p", "id", "d", "c", "v", 21).collect())
+    assert got == [("a", "b", 4, 2, 19, 1.5)]
+    zero = joins.closest_pairs(df.where("id < 3"), "p", "id", "d", "c", "v", 21).collect()
+    assert [(r.gap, r.ratio) for r in zero] == [(21, None)]
+
+
+def test_medians_of_others(spark):
+    df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate([5, 1, 9, 9, 2])] + [("y", 9, 1.0), ("z", 7, None)], "g string, id int, v double")
+    got = {r.id: r.others for r in aggregates.median_of_others(df, ["g"], "v", "id").collect()}
+    assert got == {0: 5.5, 1: 7.0, 2: 3.5, 3: 3.5, 4: 7.0, 9: None}
+
+
+def test_smoothing_counts_a_day_once_and_matches_dense_least_squares(spark):
+    import numpy as np
+
+    rows = [(1, 0, 1.0), (1, 0, 3.0), (1, 4, 5.0), (1, 9, 2.0), (2, 3, 7.0)]
+    got = {(r.p, r.d): r.level for r in solve.smooth_people(spark.createDataFrame(rows, "p int, d int, v double"), "p", "d", "v", 0.5, 2.0).collect()}
+    # levels minimise the squared residuals over noise plus the squared steps over drift
+    a = np.array([[2 / 2, 0, 0], [0, 1 / 2, 0], [0, 0, 1 / 2]]) + np.array([[1 / 2, -1 / 2, 0], [-1 / 2, 1 / 2 + 1 / 2.5, -1 / 2.5], [0, -1 / 2.5, 1 / 2.5]])
+    want = np.linalg.solve(a, np.array([4 / 2, 5 / 2, 2 / 2]))
+    assert [got[1, 0], got[1, 4], got[1, 9]] == pytest.approx(want.tolist(), abs=1e-4) and got[2, 3] == 7.0
+
+
 
 
 def test_islands_and_records_on_empty(spark):
@@ -99,14 +138,26 @@ def test_monte_carlo_splits_wins(spark):
     assert abs(sum(got.values()) - 1) < 1e-9 and abs(got[1] - 0.5) < 0.05
 
 
-def test_report_and_page_text(spark):
-    report = "Results\n  1 Ann Lee                  12  Northside High      18:04.5  1\n 12 Bo Ek                    Westfield           DNF\n"
-    df = spark.createDataFrame([(7, report)], "id int, text string")
-    got = [(r.place, r.name, r.grade, r.team, r.mark, r.points) for r in html.report_rows(df, "id", "text").orderBy("line").collect()]
-    assert got == [(1, "Ann Lee", "12", "Northside High", "18:04.5", 1), (12, "Bo Ek", None, "Westfield", "DNF", None)]
+REPORT = """County meet
+    Name                    Year School               Finals  Points
+=====================================================================
+  1 Ann Lee                   12 Northside High      18:04.5       1
+  2 Cy de la Cruz             JR West               1:18:05.1       2
+ 12 Bo Ek                        Westfield               DNF
+"""
+
+
+def test_report_columns_come_from_the_header(spark):
+    df = spark.createDataFrame([(7, REPORT), (8, None), (9, "no header\n 1 x y z"), (10, "")], "id int, text string")
+    got = [(r.id, r.place, r.name, r.grade, r.team, r.mark, r.points) for r in reports.rows_of(df, "id", "text").orderBy("line").collect()]
+    assert got == [(7, "1", "Ann Lee", "12", "Northside High", "18:04.5", "1"), (7, "2", "Cy de la Cruz", "JR", "West", "1:18:05.1", "2"), (7, "12", "Bo Ek", None, "Westfield", "DNF", None)]
     assert one(spark, html.page_text(F.lit("<p>a &amp; b<script>x</script></p><!-- c -->d"))) == "a & b d"
 
 
+def test_formats_are_sniffed():
+    assert [reports.sniff(t) for t in ("<table>", "Name\tTime\na\t1", "Name,Time\nx,1", REPORT, "")] == ["html", "tab", "csv", "text", "text"]
+
+
 def test_upsert_and_missing_columns(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, files.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
