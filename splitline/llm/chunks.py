@@ -49,6 +49,15 @@ def unpack_small(blob: bytes) -> np.ndarray:
     return unplanes(loosen(blob))
 
 
+def pack_counts(v: np.ndarray) -> bytes:
+    """64-bit values in their given order: planes of zeros vanish, so small counts cost no more than in 32 bits."""
+    return squeeze(np.ascontiguousarray(np.ascontiguousarray(v, dtype=np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(loosen(blob), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def pack_bits(v: np.ndarray) -> bytes:
     return squeeze(len(v).to_bytes(8, "little") + np.packbits(v).tobytes())
 

@@ -63,7 +63,9 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """uint32 values as byte planes, in their given order."""
+    """Values below 2**32 as byte planes, in their given order; larger ones are an error."""
+    if len(values) and int(np.max(values)) >> 32:
+        raise OverflowError("a value does not fit 32 bits")
     v = np.ascontiguousarray(values, dtype=np.uint32)
     return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 4).T).tobytes()
 

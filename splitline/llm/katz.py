@@ -1,24 +1,28 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights.
 
 Tokens of a text: its words (ASCII lower-cased) and one end token. The model has
-orders 1 to 2: P(w | v) with v the token before (a begin token at the start).
+orders 1 to ``order`` (3 by default): P_k(w | ctx) with ctx the k - 1 tokens
+before, begin tokens standing before a text.
 
 * Counts come from the training documents only. ``d_r`` discounts a count r of at
   most 5 by Good-Turing, ``(r*/r - b) / (1 - b)`` with ``r* = (r+1) n_{r+1} / n_r``
-  and ``b = 6 n_6 / n_1``; where that isn't in (0, 1) it is ``1 - 0.5 / r``.
-* Order 1: P1(w) = d c(w) / N; what is left goes to the one unknown word.
-* Order 2: P(w | v) = d c(v w) / (c(v) + e) where v w was seen, else
-  alpha(v) P1(w). e is 0, or 1 where nothing would be left for backing off.
-  alpha(v) = (1 - sum of P(w | v) over seen w) / (1 - sum of P1(w) over seen w),
-  so that P(. | v) sums to 1 exactly over all words and the unknown one. A
-  context never seen has alpha 1. Evaluation recurs from order 2 to order 1.
-
-The model's tables are partitioned by key: words by their hash, bigrams by their
-first word (those of a frequent first word also by the second, so no word's
-bigrams meet in one task), and nothing of them is gathered. A chunk of documents
-(:mod:`.chunks`) asks the partitions for its distinct words, then for its
-distinct bigrams, once each, and gets packed answers; so a frequent word or pair
-counts once per chunk however often it occurs.
+  and ``b = 6 n_6 / n_1``, order by order; where that isn't in (0, 1) it is
+  ``1 - 0.5 / r``.
+* Order 1: P_1(w) = d c(w) / N; what is left goes to the one unknown word.
+* Order k: P_k(w | ctx) = d c(ctx w) / (c(ctx) + e) where ctx w was seen, else
+  alpha(ctx) P_{k-1}(w | ctx less its oldest token). e is 0, or 1 where nothing
+  would be left for backing off. alpha(ctx) = (1 - sum of P_k over seen w) / (1 -
+  sum of P_{k-1} over the same w), so that P_k(. | ctx) sums to 1 exactly over all
+  words and the unknown one. A context never seen has alpha 1. Evaluation recurs
+  from the highest order down to order 1.
+
+The model's tables are partitioned by key: words by their hash, longer grams by
+their context (those of a frequent context also by the word, so no context's grams
+meet in one task), and nothing of them is gathered. A gram is a context and a word;
+its number is the next order's context. A chunk of documents (:mod:`.chunks`) asks
+the partitions of each order in turn for its distinct grams, once each, and gets
+packed answers: counts, numbers, and the masses of their contexts; so a frequent
+word or gram counts once per chunk however often it occurs. Counts are 64-bit.
 
 Defined cases: a null or empty text is the end token alone; null doc_ids train
 (their crc32 is that of the empty text) and are reported with doc_id null; with
@@ -38,14 +42,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_small, pack_sorted, squeeze, text_volume, unpack_small, unpack_sorted, with_answers
+from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_counts, pack_sorted, squeeze, text_volume, unpack_counts, unpack_sorted, with_answers
 from .common import materialize, mix
 
 #: A word that can't occur in a text (it holds white space): the end token; the begin token has number 0.
 END = b" "
 K = 5
-#: At most so many contexts count as frequent, whatever the input: their sums are shared with all tasks.
+ORDER = 3
+#: At most so many contexts of an order count as frequent, whatever the input: their sums are shared with all tasks.
 MOST_FREQUENT = 20_000
+#: Words of input in a partition of an order's table.
+PART_WORDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -114,13 +121,24 @@ def word_requests(chunks: DataFrame, cut: int) -> DataFrame:
         for c in loaded(batches):
             h, codes, doc, train = _tokens(c)
             counts = np.bincount(codes[train[doc]], minlength=len(h))
-            part, a, b = zip(*[(k, pack_sorted(h[i:j]), pack_small(counts[i:j])) for k, i, j in _slices(h, cut)])
+            part, a, b = zip(*[(k, pack_sorted(h[i:j]), pack_counts(counts[i:j])) for k, i, j in _slices(h, cut)])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([c.name] * len(part), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "chunk", "keys", "counts"])
 
     return chunks.select("chunk", "body").mapInArrow(run, "part int, chunk long, keys binary, counts binary")
 
 
-_MERGED = "kind int, chunk long, part int, a binary, b binary, r long, n long"
+_MERGED = "kind int, chunk long, part int, a binary, b binary, r long, n long, m binary"
+#: A gram's number is its partition above so many bits and its place there, from 1.
+NUMBER_BITS = 32
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Sizes shared by all tasks: the highest order, bits of the partition, and the count from which a context is frequent."""
+
+    order: int
+    cut: int
+    frequent: int
 
 
 def _count_rows(part: int, values: np.ndarray) -> list[tuple]:
@@ -131,7 +149,7 @@ def _count_rows(part: int, values: np.ndarray) -> list[tuple]:
 
 
 def _merged_frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=[x.split()[0] for x in _MERGED.split(", ")])
+    df = pd.DataFrame([(*r, *[None] * (8 - len(r))) for r in rows], columns=[x.split()[0] for x in _MERGED.split(", ")])
     for name, kind in (("kind", "Int32"), ("chunk", "Int64"), ("part", "Int32"), ("r", "Int64"), ("n", "Int64")):
         df[name] = df[name].astype(kind)
     return df
@@ -146,51 +164,98 @@ def _split(values: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
 
 
 def merge_words(requests: DataFrame, frequent: int) -> DataFrame:
-    """Kind 1: each chunk's answers (training count and number of every word it asked for). Kind 2: counts of counts. Kind 3: numbers (n) of the frequent words."""
+    """Kind 1: each chunk's answers (training count and place of every word it asked for). Kind 2: counts of counts. Kind 3: numbers (n) of the frequent words."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(x) for x in rows["keys"]]
         part, lengths = int(rows["part"].iloc[0]), [len(k) for k in keys]
         values, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([unpack_small(x) for x in rows["counts"]]), minlength=len(values)).astype(np.int64)
-        out = [(1, c, part, pack_small(counts[a]), pack_small(a), None, None) for c, a in zip(rows["chunk"].tolist(), _split(at, lengths))]
-        hot = [(3, None, part, None, None, None, (part << 32) + int(i) + 1) for i in np.flatnonzero(counts >= frequent)]
-        return _merged_frame(out + _count_rows(part, counts) + hot)
+        counts = _sums(at, [unpack_counts(x) for x in rows["counts"]], len(values))
+        out = [(1, c, part, pack_counts(counts[a]), pack_sorted(a), None, None) for c, a in zip(rows["chunk"].tolist(), _split(at, lengths))]
+        return _merged_frame(out + _count_rows(part, counts) + _frequent_rows(part, counts, frequent))
 
     return requests.groupBy("part").applyInPandas(run, _MERGED)
 
 
-def _word_answers(h: np.ndarray, got: pd.DataFrame, cut: int) -> tuple[np.ndarray, np.ndarray]:
-    """(training count, global number above 0) of a chunk's words."""
+def _sums(at: np.ndarray, counts: list[np.ndarray], size: int) -> np.ndarray:
+    """Exact 64-bit sums by place."""
+    out = np.zeros(size, dtype=np.int64)
+    np.add.at(out, at, np.concatenate(counts))
+    return out
+
+
+def _frequent_rows(part: int, counts: np.ndarray, frequent: int) -> list[tuple]:
+    return [(3, None, part, None, None, None, (part << NUMBER_BITS) + int(i) + 1) for i in np.flatnonzero(counts >= frequent)]
+
+
+@dataclass
+class Level:
+    """A chunk's distinct grams of one order: number (0 is the begin context's), training count, and the gram of each token."""
+
+    number: np.ndarray  # uint64
+    count: np.ndarray  # int64
+    at: np.ndarray  # int64, one per token
+
+
+def _numbers(part: int, places: np.ndarray) -> np.ndarray:
+    return np.uint64(part << NUMBER_BITS) + places.astype(np.uint64) + np.uint64(1)
+
+
+def _answers_of(got: pd.DataFrame, order: int) -> dict[int, tuple]:
+    own = got[got["order"] == order]
+    return {p: (a, b, m) for p, a, b, m in zip(own["part"].tolist(), own["a"], own["b"], own["m"])}
+
+
+def _words_level(h: np.ndarray, codes: np.ndarray, got: pd.DataFrame, cut: int) -> Level:
     counts, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint64)
-    have = {p: (a, b) for p, a, b in zip(got["part"].tolist(), got["a"], got["b"])}
+    have = _answers_of(got, 1)
     for k, i, j in _slices(h, cut):
-        a, b = have[k]
-        counts[i:j] = unpack_small(a)
-        number[i:j] = (np.uint64(k) << np.uint64(32)) + unpack_small(b).astype(np.uint64) + np.uint64(1)
-    return counts, number
+        a, b, _ = have[k]
+        counts[i:j], number[i:j] = unpack_counts(a), _numbers(k, unpack_sorted(b))
+    return Level(number, counts, codes)
 
 
-def _bigrams(codes, doc, counts, number, frequent: int, cut: int):
-    """The chunk's distinct bigrams by (part, context, word): parts, contexts, words, the words' counts; and each token's bigram."""
-    w = number[codes]
-    v, vc = np.zeros(len(codes), np.uint64), np.full(len(codes), frequent, dtype=np.int64)
-    same = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    v[same], vc[same] = w[same - 1], counts[codes[same - 1]]
-    spread = mix(np.where(vc >= frequent, mix(v) + w, v))  # a frequent context's bigrams are dealt by the word too
-    part = (spread >> np.uint64(64 - cut) if cut else np.zeros(len(w), np.uint64)).astype(np.int64)
-    first, at = _distinct(part, v, w)
-    return part[first], v[first], w[first], counts[codes[first]], at
+@dataclass
+class Grams:
+    """A chunk's distinct grams of the next order by (part, context, word)."""
+
+    part: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    lower: np.ndarray  # training count of the gram less its oldest token
+    at: np.ndarray  # one per token
 
 
-def _distinct(part, v, w):
-    """Places of the distinct (part, context, word) in ascending order, and each row's distinct number."""
-    o = np.lexsort((w, v, part))
-    p, x, y = part[o], v[o], w[o]
-    head = np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    number = np.empty(len(o), dtype=np.int64)
-    number[o] = np.cumsum(head) - 1
-    return o[head], number
+def _ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each, numbers ascending)."""
+    order = np.argsort(numbers)
+    rank = np.empty(len(numbers), dtype=np.int64)
+    rank[order] = np.arange(len(numbers))
+    return rank, numbers[order]
+
+
+def _grams(below: Level, words: Level, doc: np.ndarray, frequent: int, cut: int) -> Grams:
+    n = len(doc)
+    rank, contexts = _ranked(below.number)
+    word_rank, word_numbers = _ranked(words.number)
+    code = np.zeros(n, dtype=np.int64)  # the begin context
+    same = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    code[same] = rank[below.at[same - 1]] + 1
+    distinct, at = np.unique(code * np.int64(len(word_rank)) + word_rank[words.at], return_inverse=True)
+    code, w = np.divmod(distinct, np.int64(max(1, len(word_rank))))
+    context = np.concatenate([np.zeros(1, np.uint64), contexts])[code]
+    ordered = np.empty(len(rank), dtype=np.int64)
+    ordered[rank] = below.count
+    count = np.concatenate([np.full(1, frequent, np.int64), ordered])[code]
+    word = word_numbers[w]
+    lower = np.empty(len(distinct), dtype=np.int64)
+    lower[at] = below.count[below.at]
+    spread = mix(np.where(count >= frequent, mix(context) + word, context))  # a frequent context's grams are dealt by the word too
+    part = (spread >> np.uint64(64 - cut) if cut else np.zeros(len(word), np.uint64)).astype(np.int64)
+    order = np.argsort(part.astype(np.uint16) if cut <= 16 else part, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return Grams(part[order], context[order], word[order], lower[order], place[at])
 
 
 def _part_slices(part: np.ndarray) -> list[tuple[int, int, int]]:
@@ -198,68 +263,95 @@ def _part_slices(part: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(part[i]), int(i), int(j)) for i, j in zip(heads, np.append(heads[1:], len(part)))]
 
 
-def _pack_words(w: np.ndarray) -> bytes:
-    return squeeze(np.ascontiguousarray(np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8).T).tobytes())
+def _heads(context: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], context[1:] != context[:-1]])
 
 
-def _unpack_words(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(loosen(blob), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _climb(c: Chunk, got: pd.DataFrame, plan: Plan, upto: int):
+    """The chunk's levels 1 .. upto, and the grams of orders 2 .. upto + 1 (those of the last are not answered yet)."""
+    h, codes, doc, train = _tokens(c)
+    levels, grams = [_words_level(h, codes, got, plan.cut)], []
+    for order in range(2, upto + 2):
+        if order > plan.order:
+            break
+        g = _grams(levels[-1], levels[0], doc, plan.frequent, plan.cut)
+        grams.append(g)
+        if order > upto:
+            break
+        have = _answers_of(got, order)
+        count, number = np.zeros(len(g.part), np.int64), np.zeros(len(g.part), np.uint64)
+        for k, i, j in _part_slices(g.part):
+            count[i:j], number[i:j] = unpack_counts(have[k][0]), _numbers(k, unpack_sorted(have[k][1]))
+        levels.append(Level(number, count, g.at))
+    return levels, grams, doc, train
 
 
-def bigram_requests(chunks: DataFrame, answers: DataFrame, cut: int, frequent: int) -> DataFrame:
-    """(part, chunk, contexts, words, counts, unis): each chunk's distinct bigrams, their training counts and their words' training counts."""
+def gram_requests(chunks: DataFrame, answers: DataFrame, plan: Plan, order: int) -> DataFrame:
+    """(part, chunk, contexts, words, counts, lowers): each chunk's distinct grams of ``order``, their training counts and those of their lower grams."""
 
     def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
-        h, codes, doc, train = _tokens(c)
-        part, v, w, uc, at = _bigrams(codes, doc, *_word_answers(h, got, cut), frequent, cut)
-        n = np.bincount(at[train[doc]], minlength=len(v))
-        rows = [(k, c.name, pack_sorted(v[i:j]), _pack_words(w[i:j]), pack_small(n[i:j]), pack_small(uc[i:j])) for k, i, j in _part_slices(part)]
-        return pd.DataFrame(rows, columns=["part", "chunk", "contexts", "words", "counts", "unis"])
+        _, grams, doc, train = _climb(c, got, plan, order - 1)
+        g = grams[-1]
+        n = np.bincount(g.at[train[doc]], minlength=len(g.part))
+        rows = [(k, c.name, pack_sorted(g.context[i:j]), pack_counts(g.word[i:j].view(np.int64)), pack_counts(n[i:j]), pack_counts(g.lower[i:j])) for k, i, j in _part_slices(g.part)]
+        return pd.DataFrame(rows, columns=["part", "chunk", "contexts", "words", "counts", "lowers"])
 
-    return with_answers(chunks, answers, run, "part int, chunk long, contexts binary, words binary, counts binary, unis binary")
+    return with_answers(chunks, answers, run, "part int, chunk long, contexts binary, words binary, counts binary, lowers binary")
 
 
-def _masses(context_code: np.ndarray, size: int, n: np.ndarray, uc: np.ndarray, uni: Unigrams) -> np.ndarray:
-    """Per context: summed counts by count class (1 .. 5, above), and the order-1 probability of the seen words."""
+def _masses(context: np.ndarray, size: int, n: np.ndarray, lower: np.ndarray, below: Discounts) -> np.ndarray:
+    """Per context: summed counts by count class (1 .. 5, above), and the discounted lower counts of the seen words."""
     level = np.minimum(n, K + 1)
-    rows = [np.bincount(context_code, np.where(level == r, n, 0), minlength=size) for r in range(1, K + 2)]
-    return np.stack([*rows, np.bincount(context_code, np.where(n > 0, uni.p(uc), 0.0), minlength=size)])
+    rows = [np.bincount(context, np.where(level == r, n, 0), minlength=size) for r in range(1, K + 2)]
+    return np.stack([*rows, np.bincount(context, np.where(n > 0, below(lower) * lower, 0.0), minlength=size)])
 
 
-def merge_bigrams(requests: DataFrame, uni: Unigrams, frequent: np.ndarray) -> DataFrame:
-    """Kind 1: each chunk's answers (count of each bigram; masses of each context). Kind 2: counts of counts. Kind 3: masses of frequent contexts here."""
+def merge_grams(requests: DataFrame, below: Discounts, contexts: np.ndarray, frequent: int, last: bool) -> DataFrame:
+    """Kind 1: each chunk's answers: count and place of each gram, masses of each context. Kind 2: counts of counts. Kind 3: numbers
+    of the frequent grams. Kind 4: masses of the frequent contexts here. ``contexts``: numbers of the frequent contexts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
-        contexts = [unpack_sorted(x) for x in rows["contexts"]]
-        lengths = [len(x) for x in contexts]
-        v, w = np.concatenate(contexts), np.concatenate([_unpack_words(x) for x in rows["words"]])
-        first, at = _distinct(np.zeros(len(v), np.int8), v, w)
-        n = np.bincount(at, np.concatenate([unpack_small(x) for x in rows["counts"]]), minlength=len(first)).astype(np.int64)
-        uc = np.concatenate([unpack_small(x) for x in rows["unis"]]).astype(np.int64)[first]
-        known, code = np.unique(v[first], return_inverse=True)
-        mass = _masses(code, len(known), n, uc, uni)
+        own = [unpack_sorted(x) for x in rows["contexts"]]
+        lengths = [len(x) for x in own]
+        known, v = np.unique(np.concatenate(own), return_inverse=True)
+        words, w = np.unique(np.concatenate([unpack_counts(x) for x in rows["words"]]).view(np.uint64), return_inverse=True)
+        distinct, at = np.unique(v * np.int64(len(words)) + w, return_inverse=True)
+        del w
+        context = distinct // np.int64(len(words))
+        n = _sums(at, [unpack_counts(x) for x in rows["counts"]], len(distinct))
+        lower = np.empty(len(distinct), dtype=np.int64)
+        lower[at] = np.concatenate([unpack_counts(x) for x in rows["lowers"]])
+        mass = _masses(context, len(known), n, lower, below)
         out = []
-        for c, own, a in zip(rows["chunk"].tolist(), contexts, _split(at, lengths)):
-            m = mass[:, np.searchsorted(known, own[np.concatenate([[True], own[1:] != own[:-1]])])]
-            out.append((1, c, part, pack_small(n[a]), _pack_masses(m), None, None))
-        hot = np.isin(known, frequent)
-        out.append((3, None, part, pack_sorted(known[hot]), _pack_masses(mass[:, hot]), None, None))
-        return _merged_frame(out + _count_rows(part, n))
+        for c, mine, a, x in zip(rows["chunk"].tolist(), own, _split(at, lengths), _split(v, lengths)):
+            head = _heads(mine)
+            count = n[a]
+            missing = np.add.reduceat(count == 0, np.flatnonzero(head)) > 0  # only these contexts are backed off from here
+            m = mass[:, x[head]]
+            out.append((1, c, part, pack_counts(count), None if last else pack_sorted(a), None, None, _pack_masses(m, missing)))
+        hot = np.isin(known, contexts)
+        out.append((4, None, part, pack_sorted(known[hot]), None, None, None, _pack_masses(mass[:, hot], np.ones(int(hot.sum()), bool))))
+        return _merged_frame(out + _count_rows(part, n) + ([] if last else _frequent_rows(part, n, frequent)))
 
     return requests.groupBy("part").applyInPandas(run, _MERGED)
 
 
-def _pack_masses(m: np.ndarray) -> bytes:
-    """Six rows of counts, then the probabilities as float64."""
-    counts = pack_small(np.minimum(m[: K + 1].ravel(), 2**32 - 1).astype(np.uint32))
-    return len(counts).to_bytes(8, "little") + counts + squeeze(np.ascontiguousarray(m[K + 1]).tobytes())
+def _pack_masses(m: np.ndarray, whole: np.ndarray) -> bytes:
+    """K + 1 rows of counts of all contexts, then the lower sums of the ``whole`` ones."""
+    counts = pack_counts(m[: K + 1].ravel().astype(np.int64))
+    return len(counts).to_bytes(8, "little") + counts + squeeze(np.ascontiguousarray(m[K + 1][whole]).tobytes())
 
 
-def _unpack_masses(blob: bytes) -> np.ndarray:
+def _unpack_masses(blob: bytes, whole: np.ndarray | None = None) -> np.ndarray:
+    """``whole``: which contexts have a lower sum, None for all; the others get 0."""
     size = int.from_bytes(blob[:8], "little")
-    counts = unpack_small(blob[8 : 8 + size]).reshape(K + 1, -1).astype(np.float64)
-    return np.concatenate([counts, np.frombuffer(loosen(blob[8 + size :]), dtype=np.float64)[None, :]])
+    counts = unpack_counts(blob[8 : 8 + size]).reshape(K + 1, -1).astype(np.float64)
+    sums = np.frombuffer(loosen(blob[8 + size :]), dtype=np.float64)
+    if whole is not None:
+        some, sums = sums, np.zeros(counts.shape[1])
+        sums[whole] = some
+    return np.concatenate([counts, sums[None, :]])
 
 
 def frequent_masses(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -271,75 +363,74 @@ def frequent_masses(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for a, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(a).astype(np.int64)), *map(pa.array, _unpack_masses(m))], names=names)
 
-    rows = merged.where("kind = 3").select("a", "b").mapInArrow(run, ", ".join(f"{x} {'long' if x == 'context' else 'double'}" for x in names))
+    rows = merged.where("kind = 4").select("a", "m").mapInArrow(run, ", ".join(f"{x} {'long' if x == 'context' else 'double'}" for x in names))
     got = rows.groupBy("context").agg(*[F.sum(x).alias(x) for x in names[1:]]).orderBy("context").collect()
     return np.array([r[0] for r in got], dtype=np.uint64), np.array([r[1:] for r in got], dtype=np.float64).reshape(len(got), K + 2).T
 
 
 @dataclass(frozen=True)
-class Katz:
-    """What all tasks need of the model besides its partitioned tables."""
+class Order:
+    """What all tasks need of an order above 1 besides its partitioned table."""
 
-    uni: Unigrams
     discounts: Discounts
     contexts: np.ndarray
     masses: np.ndarray
 
-    def backoff(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c(v) + e, alpha(v)) of contexts by their masses."""
-        total = m[: K + 1].sum(0)
-        kept = (np.array(self.discounts.d)[1:, None] * m[: K + 1]).sum(0)
-        whole = total + (total - kept < 1e-9 * total)
-        seen = total > 0
-        left = 1 - np.where(seen, kept / np.maximum(whole, 1), 0)
-        return np.where(seen, whole, 1.0), np.where(seen, left / (1 - np.where(seen, m[K + 1], 0)), 1.0)
-
-    def probability(self, n: np.ndarray, uc: np.ndarray, whole: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, self.discounts(n) * n / whole, alpha * self.uni.p(uc))
+    def weights(self, g: Grams, have: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per gram: its count, and of its context c + e, what is left for backing off, and the seen words' lower sum."""
+        size = len(g.part)
+        n, whole, left, lower = np.zeros(size, np.int64), np.ones(size), np.ones(size), np.zeros(size)
+        for k, i, j in _part_slices(g.part):
+            a, _, masses = have[k]
+            n[i:j] = unpack_counts(a)
+            head = _heads(g.context[i:j])
+            m = _unpack_masses(masses, np.add.reduceat(n[i:j] == 0, np.flatnonzero(head)) > 0)
+            if len(self.contexts):
+                own = g.context[i:j][head]
+                spot = np.minimum(np.searchsorted(self.contexts, own), len(self.contexts) - 1)
+                hot = self.contexts[spot] == own
+                m[:, hot] = self.masses[:, spot[hot]]
+            total = m[: K + 1].sum(0)
+            kept = (np.array(self.discounts.d)[1:, None] * m[: K + 1]).sum(0)
+            bottom = total + (total - kept < 1e-9 * total)
+            seen = total > 0
+            context = np.cumsum(head) - 1
+            whole[i:j] = np.where(seen, bottom, 1.0)[context]
+            left[i:j] = np.where(seen, 1 - kept / np.maximum(bottom, 1), 1.0)[context]
+            lower[i:j] = np.where(seen, m[K + 1], 0.0)[context]
+        return n, whole, left, lower
 
 
-def score_chunks(chunks: DataFrame, answers: DataFrame, model: Katz, cut: int, frequent: int) -> DataFrame:
-    """One row per document. ``answers``: (chunk, order, part, a, b)."""
+def score_chunks(chunks: DataFrame, answers: DataFrame, uni: Unigrams, orders: list[Order], plan: Plan) -> DataFrame:
+    """One row per document. ``answers``: (chunk, order, part, a, b, m)."""
 
     def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
-        h, codes, doc, train = _tokens(c)
-        counts, number = _word_answers(h, got[got["order"] == 1], cut)
-        part, v, w, uc, at = _bigrams(codes, doc, counts, number, frequent, cut)
-        n, whole, alpha = np.zeros(len(v), np.int64), np.ones(len(v)), np.ones(len(v))
-        second = got[got["order"] == 2]
-        have = {p: (a, b) for p, a, b in zip(second["part"].tolist(), second["a"], second["b"])}
-        for k, i, j in _part_slices(part):
-            n[i:j] = unpack_small(have[k][0])
-            head = np.concatenate([[True], v[i + 1 : j] != v[i : j - 1]])
-            own, m = v[i:j][head], _unpack_masses(have[k][1])
-            spot = np.minimum(np.searchsorted(model.contexts, own), max(0, len(model.contexts) - 1))
-            if len(model.contexts):
-                hot = model.contexts[spot] == own
-                m[:, hot] = model.masses[:, spot[hot]]
-            a, b = model.backoff(m)
-            context = np.cumsum(head) - 1
-            whole[i:j], alpha[i:j] = a[context], b[context]
-        logp = np.log10(model.probability(n, uc, whole, alpha))[at]
-        u = model.uni
-        base = np.log10((counts + 0.1) / (u.total + 0.1 * (u.distinct + 1)))[codes]
+        levels, grams, doc, train = _climb(c, got, plan, plan.order - 1)
+        counts = levels[0].count[levels[0].at]
+        p, below = uni.p(counts), np.full(len(doc), float(max(1, uni.total)))
+        for order, (model, g) in enumerate(zip(orders, grams), 2):
+            n, whole, left, lower = (x[g.at] for x in model.weights(g, _answers_of(got, order)))
+            p = np.where(n > 0, model.discounts(n) * n / whole, left / (1 - lower / below) * p)
+            below = whole
+        base = np.log10((counts + 0.1) / (uni.total + 0.1 * (uni.distinct + 1)))
         size = len(c.lens)
         add = lambda x: np.bincount(doc, x, minlength=size)
         return pd.DataFrame(
-            {"doc_id": pd.array([None if i == NO_ID else i for i in c.doc_ids.tolist()], dtype="Int64"), "held_out": ~train, "n_tokens": c.lens + 1, "n_known": add(counts[codes] > 0).astype(np.int64),
-             "train_tokens": u.total, "base_score": add(base), "score": add(logp)}
+            {"doc_id": pd.array([None if i == NO_ID else i for i in c.doc_ids.tolist()], dtype="Int64"), "held_out": ~train, "n_tokens": c.lens + 1, "n_known": add(counts > 0).astype(np.int64),
+             "train_tokens": uni.total, "base_score": add(base), "score": add(np.log10(p))}
         )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return with_answers(chunks, answers, run, out)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model is trained on those not held out."""
     volume = text_volume(docs)
-    cut = max(0, min(20, math.ceil(math.log2(volume / 4_000_000)) if volume > 4_000_000 else 0))
-    frequent = max(1_000, volume // MOST_FREQUENT)
+    cut = max(0, min(24, math.ceil(math.log2(volume / PART_WORDS)) if volume > PART_WORDS else 0))
+    plan = Plan(order, cut, max(1_000, volume // MOST_FREQUENT))
     chunks = encoded(docs, volume, lower=True)
-    words = materialize(merge_words(word_requests(chunks, cut), frequent), "katz-words")
+    words = materialize(merge_words(word_requests(chunks, cut), plan.frequent), "katz-1")
     n = _counts_of_counts(words)
     discounts = Discounts.of(n)
     seen = sum(discounts.d[r] * r * n.get(r, 0) for r in range(1, K + 1)) + n.get(0, 0) - sum(r * n.get(r, 0) for r in range(1, K + 1))
@@ -348,10 +439,12 @@ def score(docs: DataFrame) -> DataFrame:
     if total and unknown < 1e-12:  # every word is frequent: one more unit of count for the unknown word
         discounts, unknown = Discounts((1.0, *(d * total / (total + 1) for d in discounts.d[1:-1]), total / (total + 1))), 1 / (total + 1)
     uni = Unigrams(total, n.get(-1, 0), discounts, unknown)
-    numbers = np.array([0, *sorted(r.n for r in words.where("kind = 3").select("n").collect())], dtype=np.uint64)
-    first = words.where("kind = 1").select("chunk", "part", "a", "b")
-    bigrams = materialize(merge_bigrams(bigram_requests(chunks, first, cut, frequent), uni, numbers), "katz-bigrams")
-    model = Katz(uni, Discounts.of(_counts_of_counts(bigrams)), *frequent_masses(bigrams))
-    second = bigrams.where("kind = 1").select("chunk", "part", "a", "b")
-    answers = first.withColumn("order", F.lit(1)).unionByName(second.withColumn("order", F.lit(2)))
-    return score_chunks(chunks, answers, model, cut, frequent)
+    told = lambda merged, k: merged.where("kind = 1").select("chunk", F.lit(k).alias("order"), "part", "a", "b", "m")
+    answers, orders, merged = told(words, 1), [], words
+    for k in range(2, order + 1):
+        frequent = np.array([0, *sorted(r.n for r in merged.where("kind = 3").select("n").collect())], dtype=np.uint64)  # the begin context is one
+        merged = materialize(merge_grams(gram_requests(chunks, answers, plan, k), discounts, frequent, plan.frequent, k == order), f"katz-{k}")
+        discounts = Discounts.of(_counts_of_counts(merged))
+        orders.append(Order(discounts, *frequent_masses(merged)))
+        answers = answers.unionByName(told(merged, k))
+    return score_chunks(chunks, answers, uni, orders, plan)

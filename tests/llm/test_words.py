@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from splitline.llm import chunks, katz, substring
@@ -16,15 +17,19 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
-def brute_katz(rows):
+def brute_katz(rows, order=3):
     """The model as its docstring defines it, on dictionaries."""
     toks = [(i, [w.translate(UPPER) for w in WORD.findall(t or "")] + [None]) for i, t in rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in toks]
-    one, two = Counter(), Counter()
+
+    def context(ws, t, k):
+        return tuple((["<s>"] * (k - 1) + ws)[t : t + k - 1])
+
+    grams = {k: Counter() for k in range(1, order + 1)}
     for (_, ws), h in zip(toks, held):
         if not h:
-            one.update(ws)
-            two.update(zip(["<s>", *ws], ws))
+            for k, c in grams.items():
+                c.update((context(ws, t, k), w) for t, w in enumerate(ws))
 
     def discounts(counter):
         n = Counter(counter.values())
@@ -35,32 +40,38 @@ def brute_katz(rows):
             out[r] = d if 0 < d < 1 else 1 - 0.5 / r
         return lambda c: out.get(c, 1.0)
 
-    total, d1, d2 = sum(one.values()), discounts(one), discounts(two)
-    unknown = 1 - sum(d1(c) * c for c in one.values()) / total if total else 1.0
+    one = Counter({w: c for (_, w), c in grams[1].items()})
+    total, d = sum(one.values()), {k: discounts(c) for k, c in grams.items()}
+    unknown = 1 - sum(d[1](c) * c for c in one.values()) / total if total else 1.0
     scale = 1.0
     if total and unknown < 1e-12:
         scale, unknown = total / (total + 1), 1 / (total + 1)
-    p1 = lambda w: scale * d1(one[w]) * one[w] / total if one[w] else unknown
-    after = defaultdict(dict)
-    for (v, w), c in two.items():
-        after[v][w] = c
-
-    def p2(v, w):
-        seen = after.get(v)
+    after = {k: defaultdict(dict) for k in grams}
+    for k, counter in grams.items():
+        for (ctx, w), c in counter.items():
+            after[k][ctx][w] = c
+    memo = {}
+
+    def p(ctx, w):
+        k = len(ctx) + 1
+        if k == 1:
+            return scale * d[1](one[w]) * one[w] / total if one[w] else unknown
+        seen = after[k].get(ctx)
         if not seen:
-            return p1(w)
-        whole, kept = sum(seen.values()), sum(d2(c) * c for c in seen.values())
-        whole += whole - kept < 1e-9 * whole
-        if w in seen:
-            return d2(seen[w]) * seen[w] / whole
-        return (1 - kept / whole) / (1 - sum(p1(x) for x in seen)) * p1(w)
+            return p(ctx[1:], w)
+        if ctx not in memo:
+            whole, kept = sum(seen.values()), sum(d[k](c) * c for c in seen.values())
+            whole += whole - kept < 1e-9 * whole
+            memo[ctx] = whole, (1 - kept / whole) / (1 - sum(p(ctx[1:], x) for x in seen))
+        whole, alpha = memo[ctx]
+        return d[k](seen[w]) * seen[w] / whole if w in seen else alpha * p(ctx[1:], w)
 
     base = lambda w: math.log10((one[w] + 0.1) / (total + 0.1 * (len(one) + 1)))
     out = [
-        (i, h, len(ws), sum(one[w] > 0 for w in ws), total, sum(map(base, ws)), sum(math.log10(p2(v, w)) for v, w in zip(["<s>", *ws], ws)))
+        (i, h, len(ws), sum(one[w] > 0 for w in ws), total, sum(map(base, ws)), sum(math.log10(p(context(ws, t, order), w)) for t, w in enumerate(ws)))
         for (i, ws), h in zip(toks, held)
     ]
-    return out, (p1, p2, one, after, unknown)
+    return out, (p, one, after, unknown)
 
 
 def brute_dedup(rows, n=20):
@@ -104,9 +115,10 @@ def removed(df):
     return sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=key)
 
 
-def test_katz_against_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_against_brute_force(spark, order):
     rows = corpus()
-    same_scores(scores(katz.score(docs_of(spark, rows).repartition(3))), brute_katz(rows)[0])
+    same_scores(scores(katz.score(docs_of(spark, rows).repartition(3), order)), brute_katz(rows, order)[0])
 
 
 def test_katz_on_a_whole_table(spark, sf):
@@ -116,10 +128,21 @@ def test_katz_on_a_whole_table(spark, sf):
 
 
 def test_katz_sums_to_one():
-    _, (p1, p2, one, after, unknown) = brute_katz(corpus())
-    assert sum(map(p1, one)) + unknown == pytest.approx(1)
-    for v in after:
-        assert sum(p2(v, w) for w in one) + p2(v, "a word never seen") == pytest.approx(1)
+    _, (p, one, after, unknown) = brute_katz(corpus()[:8])
+    assert sum(p((), w) for w in one) + unknown == pytest.approx(1)
+    for k in (2, 3):
+        for ctx in list(after[k])[:150]:
+            assert sum(p(ctx, w) for w in one) + p(ctx, "a word never seen") == pytest.approx(1)
+
+
+def test_counts_pass_32_bits():
+    v = np.array([0, 1, 2**32 + 5, 2**40, 2**62], dtype=np.int64)
+    assert chunks.unpack_counts(chunks.pack_counts(v)).tolist() == v.tolist()
+    assert katz._sums(np.array([0, 1, 0, 0]), [v[2:4], v[2:4]], 2).tolist() == [2 * (2**32 + 5) + 2**40, 2**40]
+    with pytest.raises(OverflowError):
+        chunks.pack_small(v)
+    m = np.array([[2**33, 1], [0, 0], [0, 0], [0, 0], [0, 0], [2**45, 7], [0.25, 0.5]])
+    assert katz._unpack_masses(katz._pack_masses(m, np.ones(2, bool))).tolist() == m.tolist()
 
 
 def test_katz_frequent_contexts_and_many_partitions(spark, monkeypatch):
