@@ -17,8 +17,9 @@ re-parameterised ones included.
 A fixed one-megabyte bitmap of the item windows spares windows that can't match;
 the exact join decides. Defined cases: null or empty texts and items have no
 windows; an item of fewer than ``n`` tokens is one window of its own length;
-windows with fewer literal tokens than placeholders don't count; items whose
-windows all fail that are skipped; repeated items and documents each report; a
+windows with fewer literal tokens than placeholders don't count; an item whose
+windows all fail that, such as a bare sum, is sought by exact windows of its words
+instead, which placeholders don't touch; repeated items and documents each report; a
 leak that repeats in a document reports its best diagonal, the plain reading
 before the open one at equal coverage. Extra columns are
 ignored by :func:`leaks` and kept by :func:`decontaminate`.
@@ -74,6 +75,10 @@ class Canonicalizer:
         i = self.ids[word] = len(self.ids)
         return i
 
+    def word_hashes(self, words: list[bytes]) -> np.ndarray:
+        """Hashes of the words' cores, after :meth:`tokens` has seen them."""
+        return self.table[0][np.array([self.ids[w] for w in words], dtype=np.int64)]
+
     def tokens(self, words: list[bytes]):
         """[(hashes, kinds, first word, end word)] of the template tokens of one text, by reading: plain, then open."""
         get, add = self.ids.get, self._add
@@ -112,11 +117,23 @@ def _slot_values(words, kind, first, end, at: int, n: int) -> list[str]:
     return [b" ".join(words[first[j] : end[j]]).decode("utf-8", "replace").strip(STRIP).lower() for j in range(at, at + n) if kind[j] != LITERAL]
 
 
-_WINDOWS = "n int, key long, pos int, total int, open_pos int, open_total int, slots array<string>"
+_WINDOWS = "n int, key long, pos int, total int, open_pos int, open_total int, slots array<string>, exact boolean"
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def exact_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the windows of ``n`` words as they stand."""
+    x = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64) ^ _EXACT
+    for j in range(n):
+        x += h[j : j + len(x)] * _COEF[j]
+    return mix(x)
+
 
+def _windows_of(texts: list[bytes], lengths: list[int] | None, exact: list[int], keep, canon: Canonicalizer):
+    """Rows (row, n, key, pos, total, open_pos, open_total, slots, exact); lengths None: an item's own windows. A position is -1 in a reading without the window.
 
-def _windows_of(texts: list[bytes], lengths: list[int] | None, keep, canon: Canonicalizer):
-    """Rows (row, n, key, pos, total, open_pos, open_total, slots); lengths None: an item's own windows. A position is -1 in a reading without the window."""
+    ``exact``: the lengths of exact windows to look for in documents.
+    """
     for row, text in enumerate(texts):
         words = text.split()
         if not words:
@@ -124,6 +141,7 @@ def _windows_of(texts: list[bytes], lengths: list[int] | None, keep, canon: Cano
         if len(canon.ids) > 400_000:
             canon.clear()
         plain, opened = canon.tokens(words)
+        templates = False
         sizes = [min(WINDOW, len(r[0])) for r in (plain, opened)]
         for n in lengths or sorted(set(sizes)):
             uses = [lengths is not None or n == size for size in sizes]
@@ -139,17 +157,22 @@ def _windows_of(texts: list[bytes], lengths: list[int] | None, keep, canon: Cano
             total = int((keys != 0).sum())
             both = np.union1d(at[: len(keys)][keys != 0], np.flatnonzero(open_keys))
             open_total = int((both >= 0).sum())
+            templates = templates or total > 0 or open_total > 0
             ok, open_ok = keys != 0, new
             if keep:
                 ok, open_ok = ok & keep(keys), open_ok & keep(open_keys)
             for p in np.flatnonzero(ok).tolist():
-                yield row, n, int(keys[p].astype(np.int64)), p, total, int(at[p]), open_total, _slot_values(words, *plain[1:], p, n)
+                yield row, n, int(keys[p].astype(np.int64)), p, total, int(at[p]), open_total, _slot_values(words, *plain[1:], p, n), False
             for p in np.flatnonzero(open_ok).tolist():
-                yield row, n, int(open_keys[p].astype(np.int64)), -1, total, p, open_total, _slot_values(words, *opened[1:], p, n)
+                yield row, n, int(open_keys[p].astype(np.int64)), -1, total, p, open_total, _slot_values(words, *opened[1:], p, n), False
+        for n in exact if lengths is not None else [] if templates else [min(WINDOW, len(words))]:
+            keys = exact_keys(canon.word_hashes(words), n)
+            for p in (np.flatnonzero(keep(keys)) if keep else np.arange(len(keys))).tolist():
+                yield row, n, int(keys[p].astype(np.int64)), p, len(keys), -1, 0, [], True
 
 
-def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, allowed: np.ndarray | None = None) -> DataFrame:
-    """(id, n, key, pos, total, open_pos, open_total, slots) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
+def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, exact: list[int] = (), allowed: np.ndarray | None = None) -> DataFrame:
+    """(id, n, key, pos, total, open_pos, open_total, slots, exact) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
     shared = None if allowed is None else texts.sparkSession.sparkContext.broadcast(np.packbits(allowed).tobytes())
 
     def run(batches):
@@ -160,11 +183,11 @@ def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None,
         canon = Canonicalizer()
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = [(ids[r], *x) for r, *x in _windows_of(text_bytes(b.column(1)), lengths, keep, canon)]
+            rows = [(ids[r], *x) for r, *x in _windows_of(text_bytes(b.column(1)), lengths, exact, keep, canon)]
             if rows:
                 cols = list(zip(*rows))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "n", "key", "pos", "total", "open_pos", "open_total", "slots"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "n", "key", "pos", "total", "open_pos", "open_total", "slots", "exact"])
 
     return texts.select(F.col(id_column).cast("long").alias("id"), F.col("text")).mapInArrow(run, f"id long, {_WINDOWS}")
 
@@ -172,11 +195,12 @@ def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None,
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """doc_id, item_id, coverage, n_windows, n_slots, n_changed, reparameterised: one row per leaked item of a document."""
     items = materialize(windows(benchmark.where(F.col("item_id").isNotNull()), "item_id").dropDuplicates(["id", "n", "key", "pos", "open_pos"]), "items")
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most WINDOW values
+    sizes = [(r.n, r.exact) for r in items.select("n", "exact").distinct().collect()]  # at most 2 * WINDOW of them
+    lengths, exact = (sorted(n for n, e in sizes if e == kind) for kind in (False, True))
     spark = docs.sparkSession
-    if not lengths:
+    if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_windows long, n_slots long, n_changed long, reparameterised boolean")
-    found = windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, bitmap.build(items, "key"))
+    found = windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, exact, bitmap.build(items, "key"))
     sides = lambda side: F.array(*[F.struct(F.lit(r).alias("reading"), F.col(p).alias(f"{side}_pos"), F.col(t).alias(f"{side}_total")) for r, p, t in ((0, "pos", "total"), (1, "open_pos", "open_total"))])
     i = items.select("n", "key", F.col("id").alias("item_id"), sides("item").alias("item_at"), F.col("slots").alias("item_slots"))
     d = found.select("n", "key", F.col("id").alias("doc_id"), sides("doc").alias("doc_at"), "slots")
