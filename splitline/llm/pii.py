@@ -23,13 +23,14 @@ never removed.
 
 Defined cases: a null text is empty and has no spans; repeated rows each report;
 null doc_ids report with doc_id null; ties between kinds go to the earlier in the
-list; very long runs of digits, dots or address characters are scanned in linear
-time; extra columns are ignored by :func:`find` and kept by :func:`redact`.
+list; very long texts, words and runs of digits, dots or address characters are scanned in
+linear time; extra columns are ignored by :func:`find` and kept by :func:`redact`.
 Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -112,23 +113,56 @@ def _key(*words: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest("\0".join(words).encode())).astype(np.int64))
 
 
-def contexts(text: str, start: int) -> list[int]:
-    """Keys of the lexical patterns before a mention."""
-    before = text[max(0, start - 80) : start].split()[-2:]
-    words = [w.lower() for w in before]
-    return ([_key("l1", words[-1])] if words else []) + ([_key("l2", *words)] if len(words) == 2 else [])
+def _name(word: str) -> str:
+    """A word of a pattern: itself, or its hash where it is long, so that no pattern costs more than a line."""
+    return word if len(word) <= 200 else f"\1{xxhash.xxh64_hexdigest(word)}"
+
+
+def contexts(text: str, mentions: list[tuple[str | None, int, int]]) -> list[list[int]]:
+    """Keys of the lexical patterns before each mention: the word, and the two words, before it.
+
+    Before a mention that starts inside a word, what precedes it there since the last mention counts as a word. One pass
+    over the words, whatever their number and length.
+    """
+    if not mentions:
+        return []
+    spans = [m.span() for m in WORD.finditer(text)]
+    starts = [s for s, _ in spans]
+    names: dict[int, str] = {}
+    out: list[list[int]] = [[] for _ in mentions]
+    free = 0
+    for k in sorted(range(len(mentions)), key=lambda k: mentions[k][1:]):
+        _, start, end = mentions[k]
+        i = bisect.bisect_left(starts, start)  # the words before ``i`` start before the mention
+        own = text[max(free, starts[i - 1]) : start].lower() if i and spans[i - 1][1] > start else ""
+        i -= bool(i and spans[i - 1][1] > start)
+        before = [_name(own)] if own else []
+        for j in range(i - 1, max(-1, i - 3 + len(before)), -1):
+            if j not in names:
+                names[j] = _name(text[slice(*spans[j])].lower())
+            before.append(names[j])
+        out[k] = ([_key("l1", before[0])] if before else []) + ([_key("l2", before[1], before[0])] if len(before) == 2 else [])
+        free = max(free, end)
+    return out
 
 
 def mentions_of(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int]]:
     """(kind, start, end) of the base spans, then of the candidates, kind null."""
     out = list(spans)
     if "@" in text or DIGIT.search(text):
-        covered = sorted((s, e) for _, s, e in spans)
+        covered: list[list[int]] = []  # what the base spans cover, as disjoint stretches in order
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if covered and s < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], e)
+            else:
+                covered.append([s, e])
+        begins = [s for s, _ in covered]
         for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text) if len(text) < 4_000 else (m for m in TOKEN.finditer(text) if "@" in m.group() or DIGIT.search(m.group())):
             core = m.group().strip(STRIP)
             s = m.start() + m.group().find(core)
             e = s + len(core)
-            if len(core) >= 5 and not any(x < e and s < y for x, y in covered):
+            near = bisect.bisect_left(begins, e)  # the last stretch that starts before the token's end
+            if len(core) >= 5 and not (near and covered[near - 1][1] > s):
                 out.append((None, s, e))
     return out
 
@@ -146,7 +180,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 text = text or ""
                 spans = base_spans(text)
-                mentions = [{"kind": k, "start": s, "end": e, "instance": _key(text[s:e]), "patterns": contexts(text, s)} for k, s, e in mentions_of(text, spans)]
+                found = mentions_of(text, spans)
+                mentions = [{"kind": k, "start": s, "end": e, "instance": _key(text[s:e]), "patterns": p} for (k, s, e), p in zip(found, contexts(text, found))]
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
                 rows.append((row, doc, xxhash.xxh64_intdigest(text) - (1 << 63), *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [{"kind": k, "start": s, "end": e} for k, s, e in spans], mentions))
             cols = list(zip(*rows)) or [()] * 10
@@ -184,7 +219,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     if k is None:
                         if len(one) > 300_000:
                             one.clear()
-                        k = _key("l1", w)
+                        k = _key("l1", _name(w))
                         k = one[w] = k if gates[slot(k)] else 0
                     if k:
                         places.append((i, k))
@@ -193,7 +228,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                     if i + 1 == len(words):
                         continue
                     keys = [k] if bits[slot(k)] else []
-                    if i and bits[slot(two := _key("l2", words[i - 1], words[i]))]:
+                    if i and bits[slot(two := _key("l2", _name(words[i - 1]), _name(words[i])))]:
                         keys.append(two)
                     if not keys:
                         continue
@@ -304,7 +339,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
             out.append("".join(parts) + t[at:] if spans else t)
         return pa.array(out, pa.string())
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*own, key_of("text").alias("_text_key"))
-    got = keyed.join(more, keyed["doc_id"].cast("long").eqNullSafe(more["_doc"]) & (keyed["_text_key"] == more["_key"]), "left")
-    return got.select(*[run("text", "_more").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    # the document's columns travel in a struct, so that none can clash with those of the join
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key_of("text").alias("key"))
+    got = keyed.join(more, keyed["id"].eqNullSafe(more["_doc"]) & (keyed["key"] == more["_key"]), "left")
+    return got.select(*[run("row.text", "_more").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,5 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+import re
+import time
+
 import numpy as np
 import pytest
 
@@ -59,3 +63,54 @@ def test_repeated_ids_are_one_document_with_the_first_text(spark):
     rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))  # the brute force takes the first row of an id
     got = row_set(nearjoin.classes(docs_of(spark, rows)), "doc_id", "class_id", "n_links")
     assert got == brute_classes(rows)
+
+
+def test_exact_copies_of_number_dense_items_are_caught(spark):
+    bench = spark.createDataFrame([(1, "Add 12 34 56 78"), (2, "7 8 9 10 11 12 13 14 15 16 17"), (3, "What is 3 times the number of apples in the basket?")], "item_id long, text string")
+    texts = {1: "so Add 12 34 56 78 now", 2: "so Add 12 34 56 79 now", 3: "see 7 8 9 10 11 12 13 14 15 16 17 there", 4: "What is 5 times the number of apples in the basket?", 5: "1 2 3 4 5 6 7 8 9 10 20 30"}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs_of(spark, list(texts.items())), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3)}
+
+
+def test_long_texts_and_words_are_scanned_in_linear_time():
+    for piece in ("u1@site.example x77777 ", "u1@site.example,", "4111 1111 1111 1111 a1234 "):
+        text = "w" * 100_000 + " " + piece * 20_000
+        began = time.perf_counter()
+        found = pii.mentions_of(text, pii.base_spans(text))
+        keys = pii.contexts(text, found)
+        assert len(keys) == len(found) and time.perf_counter() - began < 6
+
+
+def test_contexts_are_whole_words():
+    long = "x" * 300
+    text = f"two {long} u1@site.example and id:u2@site.example,tel:u3@site.example"
+    found = pii.base_spans(text)
+    got = pii.contexts(text, found)
+    assert got[0] == [pii._key("l1", pii._name(long)), pii._key("l2", "two", pii._name(long))]
+    assert got[1] == [pii._key("l1", "id:"), pii._key("l2", "and", "id:")]
+    assert got[2] == [pii._key("l1", ",tel:"), pii._key("l2", "and", ",tel:")]
+
+
+def brute_mentions(text, spans):
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        core = m.group().strip(pii.STRIP)
+        s = m.start() + m.group().find(core)
+        if re.search("[0-9@]", m.group()) and len(core) >= 5 and not any(x < s + len(core) and s < y for _, x, y in spans):
+            out.append((None, s, s + len(core)))
+    return spans + out
+
+
+def test_mentions_against_every_pair():
+    r = random.Random(4)
+    for _ in range(3_000):
+        text = "".join(r.choice("ab1@.-+ 0 ") for _ in range(r.randrange(80)))
+        spans = pii.base_spans(text)
+        assert pii.mentions_of(text, spans) == brute_mentions(text, spans)
+
+
+def test_redaction_keeps_columns_whatever_their_names(spark):
+    docs = docs_of(spark, [(1, "mail u1@site.example now"), (2, None)]).selectExpr("*", "'k' as _text_key", "1 as _more", "2 as key", "3 as row", "4 as id", "5 as _doc", "6 as _key")
+    got = pii.redact(docs).orderBy("doc_id").collect()
+    assert got[0].asDict() == {"doc_id": 1, "text": "mail <email> now", "lang": "en", "source": "s", "n_chars": 24, "_text_key": "k", "_more": 1, "key": 2, "row": 3, "id": 4, "_doc": 5, "_key": 6}
+    assert got[1].text is None and pii.redact(docs).columns == docs.columns
