@@ -13,7 +13,7 @@ from .common import table
 
 def op1_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), kdtree.quantize(F.col("embedding")).alias("v"))
-    return kdtree.top_k(vectors, vectors.where(F.col("id") % 50 == 0))
+    return kdtree.top_k(vectors, F.col("id") % 50 == 0)
 
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

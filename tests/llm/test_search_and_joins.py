@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from splitline.llm import decontam, graph, kdtree, nearjoin, pieces, pii, quality, warc
@@ -13,11 +14,11 @@ from .helpers import corpus, docs_of, row_set, words
 
 
 def brute_top(rows, k=5):
-    ok = {i: v for i, v in rows if i is not None and v is not None}
+    ok = [(i, v) for i, v in rows if i is not None and v is not None]
     out = []
-    for q in ok:
+    for n, (q, x) in enumerate(ok):
         if q % 5 == 0:
-            found = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))[:k]
+            found = sorted((-sum(a * b for a, b in zip(x, v)), i) for m, (i, v) in enumerate(ok) if m != n and len(v) == len(x))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)
 
@@ -25,17 +26,30 @@ def brute_top(rows, k=5):
 @pytest.mark.parametrize("shard_rows", [7, 10_000])
 def test_kdtree_against_brute_force(spark, shard_rows):
     r = random.Random(5)
-    rows = [(i, [r.randrange(-3, 4) for _ in range(4)]) for i in range(120)] + [(500, None), (None, [1, 1, 1, 1]), (505, [1, 2])]
-    v = spark.createDataFrame(rows, "id long, v array<long>")
-    got = kdtree.top_k(v, v.where("id % 5 = 0"), shard_rows=shard_rows, block=8, blocks=2)
+    rows = [(i, [r.randrange(-3, 4) for _ in range(4)]) for i in range(120)] + [(500, None), (None, [1, 1, 1, 1]), (505, [1, 2]), (600, []), (601, [])]
+    rows += [(700 + i, [2, 2, 2, 2]) for i in range(60)] + [(5, [1, 0, 1, 0]), (5, [1, 0, 1, 0]), (900, [2**30, 1, 0, 0]), (901, [2**30, 2, 0, 0])]  # equal vectors, shared ids, large numbers
+    v = spark.createDataFrame(rows, "id long, v array<long>").selectExpr("*", "1 as row", "2 as leaf")
+    got = kdtree.top_k(v, F.col("id") % 5 == 0, shard_rows=shard_rows, batch=8)
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
+def test_queries_reach_only_shards_that_can_beat_the_kth(spark, monkeypatch):
+    r = random.Random(6)
+    rows = []
+    for i in range(2_000):  # eight clusters at the corners of a cube
+        rows.append((i, [r.randrange(0, 3) + (100 if i % 8 >> axis & 1 else -100) for axis in range(3)]))
+    seen = {}
+    monkeypatch.setattr(kdtree, "reach", lambda q, boxes, own=kdtree.reach: seen.setdefault("reach", own(q, boxes)))
+    got = kdtree.top_k(spark.createDataFrame(rows, "id long, v array<long>"), F.col("id") % 5 == 0, shard_rows=100)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    assert seen["reach"].count() < 0.3 * 400 * 20  # of 400 queries by 20 shards and more
+
+
 def test_quantize_and_empty_vectors(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, None), (4, [float("inf"), 0.0]), (5, [None, 1.0])]
     df = spark.createDataFrame(rows, "id long, e array<float>").select("id", kdtree.quantize("e").alias("v"))
     assert {r.id: r.v for r in df.collect()} == {1: [128, -1], 2: None, 3: None, 4: None, 5: None}
-    assert kdtree.top_k(df.where("id > 9"), df.where("id > 9")).count() == 0
+    assert kdtree.top_k(df.where("id > 9"), F.lit(True)).count() == 0
 
 
 def brute_classes(rows, threshold=0.8):
