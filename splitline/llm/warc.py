@@ -7,10 +7,10 @@ latest strictly earlier full response with the same canonical URL (ties in time
 go to the larger record_id), its validators are checked, and the headers that a
 304 answer may update replace those of the stored response.
 
-Skew: the as-of runs within (url, time bucket) first; then one row per bucket,
-the bucket's last response, is carried forward over the buckets, so that a hot
-URL is spread over its buckets and only its bucket heads meet. Everything is
-DataFrame functions.
+Skew: records are range-partitioned by URL and time into buckets of about
+``bucket_rows`` rows, so that a hot URL is cut along its time. The as-of runs
+within (url, bucket) first; then one row per bucket, the bucket's last response,
+is carried forward over the URL's buckets. Everything is DataFrame functions.
 
 Defined cases: rows with a null url, ts or kind take no part; status is
 'no_response' where no earlier response exists, 'digest_mismatch' or
@@ -24,17 +24,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import materialize, parts_for
+
 #: Headers that a 304 answer updates in the stored response (RFC 9110, 15.4.5), lower case.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme-less, lower-case host without www. or m., no fragment, no tracking parameters, no trailing slash, .html or index page."""
-    u = F.regexp_replace(url, r"#.*$", "")
+    """The address without what doesn't tell pages apart: scheme, user, fragment, default port, www. or m., host case, case of
+    percent escapes, tracking parameters, order of parameters, trailing slash, .html or index page."""
+    escapes = F.transform(F.split(url, "%"), lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substr(p, F.lit(3)))).otherwise(p))
+    u = F.regexp_replace(F.array_join(escapes, "%"), r"#.*$", "")
     u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^.*@|:(80|443)?$", ""), r"^(www|m)\.", "")
     path = F.regexp_replace(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), r"(/index)?\.html?$|/+$", "")
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"\?(.*)$", 1), r"(^|&)(utm_[a-z]+|ref)=[^&]*", ""), r"^&", "")
+    own = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda x: (x != "") & ~x.rlike(r"^(utm_[a-z]+|ref)="))
+    query = F.array_join(F.array_sort(own), "&")
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
@@ -47,13 +52,17 @@ def merge_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def resolve_revisits(records: DataFrame, bucket: int = 100_000) -> DataFrame:
-    """record_id, canonical_url, ts, response_id, response_ts, status, headers: one row per revisit. ``bucket``: width of a time bucket."""
-    r = records.where(F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin("response", "revisit")).select(
-        "record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.floor(F.col("ts") / bucket).alias("bucket"), (F.col("kind") == "response").alias("full"),
+def resolve_revisits(records: DataFrame, bucket_rows: int = 500_000) -> DataFrame:
+    """record_id, canonical_url, ts, response_id, response_ts, status, headers: one row per revisit. ``bucket_rows``: about the rows of a bucket."""
+    known = records.where(F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin("response", "revisit")).select(
+        "record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", (F.col("kind") == "response").alias("full"),
         F.struct("record_id", "ts", "etag", "last_modified", "digest", "headers").alias("rec"),
     )
-    order = [F.col("ts"), F.col("full").cast("int"), F.col("record_id")]  # a response at the revisit's own time comes after it
+    # a response at the revisit's own time comes after it
+    order = [F.col("ts"), F.col("full").cast("int"), F.col("record_id")]
+    # written once, so that every use below sees the same buckets
+    laid = known.repartitionByRange(parts_for(records.sparkSession, known.count(), bucket_rows), "canonical_url", *order)
+    r = materialize(laid.withColumn("bucket", F.spark_partition_id()), "captures")
     inside = Window.partitionBy("canonical_url", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = r.withColumn("own", F.last(F.when(F.col("full"), F.col("rec")), True).over(inside)).where(~F.col("full"))
     heads = r.where("full").groupBy("canonical_url", "bucket").agg(F.max_by("rec", F.struct("ts", "record_id")).alias("head"))
@@ -79,22 +88,26 @@ def resolve_revisits(records: DataFrame, bucket: int = 100_000) -> DataFrame:
 
 
 def crawl_records(pages: DataFrame, later: int = 1_000) -> DataFrame:
-    """The records of a crawl of ``pages``: each page is captured in full at ts = page_id and asked again ``later`` ticks on with its own validator.
+    """The records of a crawl of ``pages``: each page is captured in full at ts = page_id and asked again ``later`` ticks on.
 
-    Record ids are 2 * page_id (response) and 2 * page_id + 1 (revisit). Rows without page_id are left out.
+    Both records carry the validators that the page's server gives: an ETag (not for page_id % 4 = 1), a payload digest
+    (even page_id only) and a Last-Modified (not for page_id % 8 = 5). Record ids are 2 * page_id (response) and
+    2 * page_id + 1 (revisit). Rows without page_id are left out.
     """
-    p = pages.where(F.col("page_id").isNotNull()).select(
-        "page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("etag"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size")
-    )
-    none = F.lit(None).cast("string")
+    html, n = F.coalesce("html", F.lit("")), F.col("page_id")
+    p = pages.where(n.isNotNull()).select(
+        "page_id", "url", F.length(html).cast("string").alias("size"), F.when(F.pmod(n, F.lit(4)) != 1, F.md5(html.cast("binary"))).alias("etag"),
+        F.when(F.pmod(n, F.lit(2)) == 0, F.concat(F.lit("sha256:"), F.sha2(html.cast("binary"), 256))).alias("digest"),
+        F.when(F.pmod(n, F.lit(8)) != 5, F.concat(F.lit("size "), F.length(html).cast("string"))).alias("last_modified"),
+    )
     both = p.select(
-        "url", "etag",
+        "url", "etag", "digest", "last_modified",
         F.explode(F.array(
-            F.struct((F.col("page_id") * 2).alias("record_id"), F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.create_map(F.lit("Content-Length"), F.col("size"), F.lit("ETag"), F.col("etag"), F.lit("Date"), F.col("page_id").cast("string")).alias("headers")),
+            F.struct((F.col("page_id") * 2).alias("record_id"), F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.create_map(F.lit("Content-Length"), F.col("size"), F.lit("ETag"), F.coalesce("etag", F.lit("none")), F.lit("Date"), F.col("page_id").cast("string")).alias("headers")),
             F.struct((F.col("page_id") * 2 + 1).alias("record_id"), (F.col("page_id") + later).alias("ts"), F.lit("revisit").alias("kind"), F.create_map(F.lit("Date"), (F.col("page_id") + later).cast("string"), F.lit("Set-Cookie"), F.lit("s=1")).alias("headers")),
         )).alias("c"),
     )
-    return both.select("c.record_id", "url", "c.ts", "c.kind", "etag", none.alias("last_modified"), none.alias("digest"), "c.headers")
+    return both.select("c.record_id", "url", "c.ts", "c.kind", "etag", "last_modified", "digest", "c.headers")
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:
@@ -106,21 +119,26 @@ def revisit_report(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, md5(coalesce(html, '')) AS etag, length(coalesce(html, '')) AS size,
-         regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  SELECT page_id, length(coalesce(html, '')) AS size, CASE WHEN page_id % 4 <> 1 THEN md5(coalesce(html, '')) END AS etag,
+         CASE WHEN page_id % 2 = 0 THEN 'sha256:' || sha256(coalesce(html, '')) END AS digest, CASE WHEN page_id % 8 <> 5 THEN 'size ' || length(coalesce(html, '')) END AS lm,
+         regexp_replace(regexp_replace(array_to_string(list_transform(string_split(url, '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN upper(x[1:2]) || x[3:] ELSE x END), '%'),
+           '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
   FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
 q AS (
-  SELECT *, regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^(www|m)\.', '')
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^.*@|:(80|443)?$', '', 'g'), '^(www|m)\.', '')
          || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '(/index)?\.html?$|/+$', '') AS hp,
-         regexp_replace(regexp_replace(regexp_extract(u, '\?(.*)$', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '') AS qs
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&') AS qs
   FROM p),
-c AS (SELECT page_id, etag, size, hp || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END AS canonical_url FROM q),
+c AS (SELECT page_id, etag, digest, lm, size, hp || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END AS canonical_url FROM q),
 m AS (
-  SELECT v.page_id, v.etag, v.canonical_url, r.page_id AS rid, r.etag AS retag, r.size AS rsize,
+  SELECT v.*, r.page_id AS rid, r.etag AS retag, r.digest AS rdigest, r.lm AS rlm, r.size AS rsize,
          row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC) AS k
-  FROM c v JOIN c r ON r.canonical_url = v.canonical_url AND r.page_id < v.page_id + 1000)
-SELECT page_id * 2 + 1 AS record_id, canonical_url, rid * 2 AS response_id, rid AS response_ts,
-       CASE WHEN etag <> retag THEN 'validator_mismatch' ELSE 'resolved' END AS status,
-       CASE WHEN etag = retag THEN 'content-length:' || rsize || ';date:' || (page_id + 1000) || ';etag:' || retag END AS headers
-FROM m WHERE k = 1
+  FROM c v JOIN c r ON r.canonical_url = v.canonical_url AND r.page_id < v.page_id + 1000),
+s AS (
+  SELECT *, CASE WHEN digest <> rdigest THEN 'digest_mismatch' WHEN etag <> retag OR ((etag IS NULL OR retag IS NULL) AND lm <> rlm) THEN 'validator_mismatch'
+    WHEN (digest IS NULL OR rdigest IS NULL) AND (etag IS NULL OR retag IS NULL) AND (lm IS NULL OR rlm IS NULL) THEN 'unverified' ELSE 'resolved' END AS status
+  FROM m WHERE k = 1)
+SELECT page_id * 2 + 1 AS record_id, canonical_url, rid * 2 AS response_id, rid AS response_ts, status,
+       CASE WHEN status IN ('resolved', 'unverified') THEN 'content-length:' || rsize || ';date:' || (page_id + 1000) || ';etag:' || coalesce(retag, 'none') END AS headers
+FROM s
 """

@@ -163,11 +163,11 @@ def test_quality_defined_cases(spark):
 
 def test_revisits_against_plain_python(spark):
     r = random.Random(2)
-    urls = ["http://www.a.org/x", "https://a.org/x/", "http://b.org/y?utm_source=q", "b.org/y#z", None]
+    urls = ["http://www.a.org/x", "https://a.org/x/", "http://b.org/y?utm_source=q", "b.org/y#z", "HTTPS://user:pw@A.org:443/x", None]
     rows = [(i, r.choice(urls), r.choice([None, *range(60)]), r.choice(["response", "revisit"]), r.choice([None, "e1", "e2"]), r.choice([None, "m1"]), r.choice([None, "d1", "d2"]), {"Date": str(i), "X": "1"}) for i in range(300)]
     records = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
-    site = lambda u: None if u is None else "a.org/x" if "a.org" in u else "b.org/y"
-    for bucket in (10, 100_000):
+    site = lambda u: None if u is None else "a.org/x" if "a.org" in u.lower() else "b.org/y"
+    for bucket in (20, 100_000):
         got = {x.record_id: x for x in warc.resolve_revisits(records, bucket).collect()}
         assert sorted(got) == sorted(x[0] for x in rows if x[1] and x[2] is not None and x[3] == "revisit")
         for i, x in got.items():
@@ -179,6 +179,17 @@ def test_revisits_against_plain_python(spark):
     assert warc.resolve_revisits(records.limit(0)).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = ["http://a.org/p?b=2&a=1", "https://www.a.org:443/p/?a=1&utm_source=x&b=2", "a.org:80/p.html?a=1&b=2#top", "http://me@a.org/p?b=2&&a=1"]
+    other = ["http://a.org:8080/p?a=1&b=2", "http://a.org/p?a=%2f", "http://a.org/p?a=%2F", "http://a.org/p%", None]
+    got = [r.c for r in spark.createDataFrame([(u,) for u in same + other], "u string").select(warc.canonical_url(F.col("u")).alias("c")).collect()]
+    assert set(got[:4]) == {"a.org/p?a=1&b=2"} and got[4:] == ["a.org:8080/p?a=1&b=2", "a.org/p?a=%2F", "a.org/p?a=%2F", "a.org/p%", None]
+
+
+def test_revisit_report_of_an_empty_table(spark):
+    assert warc.revisit_report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pipeline_stages_agree_with_their_operators(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
