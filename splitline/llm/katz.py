@@ -10,8 +10,9 @@ before, begin tokens standing before a text.
   ``1 - 0.5 / r``.
 * Order 1: P_1(w) = d c(w) / N; what is left goes to the one unknown word.
 * Order k: P_k(w | ctx) = d c(ctx w) / (c(ctx) + e) where ctx w was seen, else
-  alpha(ctx) P_{k-1}(w | ctx less its oldest token). e is 0, or 1 where nothing
-  would be left for backing off. alpha(ctx) = (1 - sum of P_k over seen w) / (1 -
+  alpha(ctx) P_{k-1}(w | ctx less its oldest token). e is 1 where every seen word
+  of the context counts more than 5, so that nothing would be left for backing off,
+  else 0. alpha(ctx) = (1 - sum of P_k over seen w) / (1 -
   sum of P_{k-1} over the same w), so that P_k(. | ctx) sums to 1 exactly over all
   words and the unknown one. A context never seen has alpha 1. Evaluation recurs
   from the highest order down to order 1.
@@ -42,7 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_counts, pack_sorted, squeeze, text_volume, unpack_counts, unpack_sorted, with_answers
+from .chunks import NO_ID, Chunk, encoded, loaded, loosen, pack_bits, pack_counts, pack_sorted, squeeze, text_volume, unpack_bits, unpack_counts, unpack_sorted, with_answers
 from .common import materialize, mix
 
 #: A word that can't occur in a text (it holds white space): the end token; the begin token has number 0.
@@ -97,15 +98,15 @@ def _tokens(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words = [*c.words, END]
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     order = np.argsort(h)
-    place = np.empty(len(h), dtype=np.int64)
-    place[order] = np.arange(len(h))
+    place = np.empty(len(h), dtype=np.int32)
+    place[order] = np.arange(len(h), dtype=np.int32)
     n = len(c.tokens) + len(c.lens)
-    codes = np.full(n, len(words) - 1, dtype=np.int64)
+    codes = np.full(n, len(words) - 1, dtype=np.int32)
     ends = np.cumsum(c.lens + 1) - 1
     inside = np.ones(n, dtype=bool)
     inside[ends] = False
     codes[inside] = c.tokens
-    return h[order], place[codes], np.repeat(np.arange(len(c.lens)), c.lens + 1), ~held_out(c.doc_ids)
+    return h[order], place[codes], np.repeat(np.arange(len(c.lens), dtype=np.int32), c.lens + 1), ~held_out(c.doc_ids)
 
 
 def _slices(keys: np.ndarray, cut: int) -> list[tuple[int, int, int]]:
@@ -219,11 +220,11 @@ def _words_level(h: np.ndarray, codes: np.ndarray, got: pd.DataFrame, cut: int)
 class Grams:
     """A chunk's distinct grams of the next order by (part, context, word)."""
 
-    part: np.ndarray
+    slices: list[tuple[int, int, int]]  # (part, from, to)
     context: np.ndarray
-    word: np.ndarray
-    lower: np.ndarray  # training count of the gram less its oldest token
-    at: np.ndarray  # one per token
+    word: np.ndarray | None
+    lower: np.ndarray | None  # training count of the gram less its oldest token
+    at: np.ndarray  # int32, one per token
 
 
 def _ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +254,9 @@ def _grams(below: Level, words: Level, doc: np.ndarray, frequent: int, cut: int)
     spread = mix(np.where(count >= frequent, mix(context) + word, context))  # a frequent context's grams are dealt by the word too
     part = (spread >> np.uint64(64 - cut) if cut else np.zeros(len(word), np.uint64)).astype(np.int64)
     order = np.argsort(part.astype(np.uint16) if cut <= 16 else part, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return Grams(part[order], context[order], word[order], lower[order], place[at])
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return Grams(_part_slices(part[order]), context[order], word[order], lower[order], place[at])
 
 
 def _part_slices(part: np.ndarray) -> list[tuple[int, int, int]]:
@@ -279,8 +280,9 @@ def _climb(c: Chunk, got: pd.DataFrame, plan: Plan, upto: int):
         if order > upto:
             break
         have = _answers_of(got, order)
-        count, number = np.zeros(len(g.part), np.int64), np.zeros(len(g.part), np.uint64)
-        for k, i, j in _part_slices(g.part):
+        g.word = g.lower = None  # only requests need them
+        count, number = np.zeros(len(g.context), np.int64), np.zeros(len(g.context), np.uint64)
+        for k, i, j in g.slices:
             count[i:j], number[i:j] = unpack_counts(have[k][0]), _numbers(k, unpack_sorted(have[k][1]))
         levels.append(Level(number, count, g.at))
     return levels, grams, doc, train
@@ -292,8 +294,8 @@ def gram_requests(chunks: DataFrame, answers: DataFrame, plan: Plan, order: int)
     def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
         _, grams, doc, train = _climb(c, got, plan, order - 1)
         g = grams[-1]
-        n = np.bincount(g.at[train[doc]], minlength=len(g.part))
-        rows = [(k, c.name, pack_sorted(g.context[i:j]), pack_counts(g.word[i:j].view(np.int64)), pack_counts(n[i:j]), pack_counts(g.lower[i:j])) for k, i, j in _part_slices(g.part)]
+        n = np.bincount(g.at[train[doc]], minlength=len(g.context))
+        rows = [(k, c.name, pack_sorted(g.context[i:j]), pack_counts(g.word[i:j].view(np.int64)), pack_counts(n[i:j]), pack_counts(g.lower[i:j])) for k, i, j in g.slices]
         return pd.DataFrame(rows, columns=["part", "chunk", "contexts", "words", "counts", "lowers"])
 
     return with_answers(chunks, answers, run, "part int, chunk long, contexts binary, words binary, counts binary, lowers binary")
@@ -337,26 +339,32 @@ def merge_grams(requests: DataFrame, below: Discounts, contexts: np.ndarray, fre
     return requests.groupBy("part").applyInPandas(run, _MERGED)
 
 
-def _pack_masses(m: np.ndarray, whole: np.ndarray) -> bytes:
-    """K + 1 rows of counts of all contexts, then the lower sums of the ``whole`` ones."""
-    counts = pack_counts(m[: K + 1].ravel().astype(np.int64))
-    return len(counts).to_bytes(8, "little") + counts + squeeze(np.ascontiguousarray(m[K + 1][whole]).tobytes())
-
-
-def _unpack_masses(blob: bytes, whole: np.ndarray | None = None) -> np.ndarray:
-    """``whole``: which contexts have a lower sum, None for all; the others get 0."""
-    size = int.from_bytes(blob[:8], "little")
-    counts = unpack_counts(blob[8 : 8 + size]).reshape(K + 1, -1).astype(np.float64)
-    sums = np.frombuffer(loosen(blob[8 + size :]), dtype=np.float64)
-    if whole is not None:
-        some, sums = sums, np.zeros(counts.shape[1])
-        sums[whole] = some
-    return np.concatenate([counts, sums[None, :]])
+def _pack_masses(m: np.ndarray, some: np.ndarray) -> bytes:
+    """Totals of all contexts and whether nothing is discounted there; counts of the discounted classes and lower sums of ``some`` of them only."""
+    counts = m[: K + 1].astype(np.int64)
+    parts = [pack_counts(counts.sum(0)), pack_bits(~counts[:K].any(0)), pack_counts(counts[:K, some].ravel()), squeeze(np.ascontiguousarray(m[K + 1][some]).tobytes())]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _unpack_masses(blob: bytes, some: np.ndarray | None = None) -> np.ndarray:
+    """Rows per context: total, 1 where nothing is discounted, counts of the discounted classes, lower sum. ``some``: None if all were packed."""
+    at, parts = 0, []
+    for _ in range(4):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        parts.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    total = unpack_counts(parts[0])
+    out = np.zeros((K + 3, len(total)))
+    some = slice(None) if some is None else some
+    out[0], out[1] = total, unpack_bits(parts[1])
+    out[2 : K + 2, some] = unpack_counts(parts[2]).reshape(K, -1)
+    out[K + 2, some] = np.frombuffer(loosen(parts[3]), dtype=np.float64)
+    return out
 
 
 def frequent_masses(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(contexts ascending, masses) of the frequent contexts over all partitions: at most MOST_FREQUENT + 1 of them."""
-    names = ["context", *(f"m{i}" for i in range(K + 2))]
+    names = ["context", *(f"m{i}" for i in range(K + 3))]
 
     def run(batches):
         for b in batches:
@@ -365,7 +373,9 @@ def frequent_masses(merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     rows = merged.where("kind = 4").select("a", "m").mapInArrow(run, ", ".join(f"{x} {'long' if x == 'context' else 'double'}" for x in names))
     got = rows.groupBy("context").agg(*[F.sum(x).alias(x) for x in names[1:]]).orderBy("context").collect()
-    return np.array([r[0] for r in got], dtype=np.uint64), np.array([r[1:] for r in got], dtype=np.float64).reshape(len(got), K + 2).T
+    mass = np.array([r[1:] for r in got], dtype=np.float64).reshape(len(got), K + 3).T
+    mass[1] = ~mass[2 : K + 2].any(0)
+    return np.array([r[0] for r in got], dtype=np.uint64), mass
 
 
 @dataclass(frozen=True)
@@ -378,9 +388,9 @@ class Order:
 
     def weights(self, g: Grams, have: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per gram: its count, and of its context c + e, what is left for backing off, and the seen words' lower sum."""
-        size = len(g.part)
+        size = len(g.context)
         n, whole, left, lower = np.zeros(size, np.int64), np.ones(size), np.ones(size), np.zeros(size)
-        for k, i, j in _part_slices(g.part):
+        for k, i, j in g.slices:
             a, _, masses = have[k]
             n[i:j] = unpack_counts(a)
             head = _heads(g.context[i:j])
@@ -390,14 +400,13 @@ class Order:
                 spot = np.minimum(np.searchsorted(self.contexts, own), len(self.contexts) - 1)
                 hot = self.contexts[spot] == own
                 m[:, hot] = self.masses[:, spot[hot]]
-            total = m[: K + 1].sum(0)
-            kept = (np.array(self.discounts.d)[1:, None] * m[: K + 1]).sum(0)
-            bottom = total + (total - kept < 1e-9 * total)
-            seen = total > 0
+            seen = m[0] > 0
+            bottom = np.where(seen, m[0] + m[1], 1.0)
+            rest = m[1] + ((1 - np.array(self.discounts.d)[1 : K + 1, None]) * m[2 : K + 2]).sum(0)
             context = np.cumsum(head) - 1
-            whole[i:j] = np.where(seen, bottom, 1.0)[context]
-            left[i:j] = np.where(seen, 1 - kept / np.maximum(bottom, 1), 1.0)[context]
-            lower[i:j] = np.where(seen, m[K + 1], 0.0)[context]
+            whole[i:j] = bottom[context]
+            left[i:j] = np.where(seen, rest / bottom, 1.0)[context]
+            lower[i:j] = np.where(seen, m[K + 2], 0.0)[context]
         return n, whole, left, lower
 
 
@@ -407,11 +416,14 @@ def score_chunks(chunks: DataFrame, answers: DataFrame, uni: Unigrams, orders: l
     def run(c: Chunk, got: pd.DataFrame) -> pd.DataFrame:
         levels, grams, doc, train = _climb(c, got, plan, plan.order - 1)
         counts = levels[0].count[levels[0].at]
+        del levels
         p, below = uni.p(counts), np.full(len(doc), float(max(1, uni.total)))
-        for order, (model, g) in enumerate(zip(orders, grams), 2):
-            n, whole, left, lower = (x[g.at] for x in model.weights(g, _answers_of(got, order)))
-            p = np.where(n > 0, model.discounts(n) * n / whole, left / (1 - lower / below) * p)
-            below = whole
+        for order, model in enumerate(orders, 2):
+            g = grams.pop(0)
+            n, whole, left, lower = model.weights(g, _answers_of(got, order))
+            seen = np.where(n > 0, model.discounts(n) * n / whole, 0.0)[g.at]  # a seen gram's probability is above 0
+            p = np.where(seen > 0, seen, left[g.at] / (1 - lower[g.at] / below) * p)
+            below = whole[g.at]
         base = np.log10((counts + 0.1) / (uni.total + 0.1 * (uni.distinct + 1)))
         size = len(c.lens)
         add = lambda x: np.bincount(doc, x, minlength=size)
