@@ -217,11 +217,22 @@ class UnigramModel:
                 out.append(b"".join([known.get(w) or self.segment(w) if g is None else g for w, g in zip(words, got)] if None in got else got))
         return out
 
+    def _marked(self, lead: bytes, word: bytes) -> bytes:
+        """Packed ids of ``lead`` markers and a word that holds literal markers: no piece has one, so the parts between them are searched alone."""
+        out, parts = [], word.split(MARK_B)
+        literal = np.array([self.byte_ids[b] for b in MARK_B], dtype="<i4").tobytes()
+        for k, part in enumerate(parts):
+            if k:
+                out.append(literal)
+            if part or not k:
+                out.append(np.array(self.viterbi(lead + part if not k else part), dtype="<i4").tobytes())
+        return b"".join(out)
+
     def encode(self, text: bytes) -> bytes:
         """Packed little-endian int32 ids of a whole text."""
         if not text:
             return b""
-        if MARK_B in text or not self.local:
+        if not self.local:  # pieces with a marker inside: the text is one segment
             s = MARK_B + text.replace(b" ", MARK_B)
             at, literal = 3, set()
             for c in text.decode():
@@ -230,15 +241,13 @@ class UnigramModel:
                 at += 3 if c == " " else len(c.encode())
             return np.array(self.viterbi(s, frozenset(literal)), dtype="<i4").tobytes()
         known, out = self.known, []
-        if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-            for run, word in re.findall(rb"( +)([^ ]*)", b" " + text):
-                if len(run) == 1:
-                    out.append(known.get(word) or self.segment(word))
-                else:
-                    out.append(np.array(self.viterbi(MARK_B * len(run) + word), dtype="<i4").tobytes())
-        else:
-            for word in text.split(b" "):
+        for run, word in re.findall(rb"( +)([^ ]*)", b" " + text):
+            if MARK_B in word:
+                out.append(self._marked(MARK_B * len(run), word))
+            elif len(run) == 1:
                 out.append(known.get(word) or self.segment(word))
+            else:
+                out.append(np.array(self.viterbi(MARK_B * len(run) + word), dtype="<i4").tobytes())
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
@@ -290,9 +299,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         return pa.StructArray.from_arrays([lists, pa.array(lens), crc], names=["piece_ids", "n_pieces", "ids_crc32"])
 
     names = ("piece_ids", "n_pieces", "ids_crc32")
-    own = [c for c in docs.columns if c not in (*names, "_e")]
-    got = docs.select(*[F.col(f"`{c}`") for c in own], run(F.col(text)).alias("_e"))
-    return got.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"_e.{n}").alias(n) for n in names])
+    own = [c for c in docs.columns if c not in names]
+    # the document's columns travel in a struct, so that none can clash with the result
+    got = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), run(F.col(f"`{text}`")).alias("found"))
+    return got.select(*[F.col("row")[c].alias(c) for c in own], *[F.col("found")[n].alias(n) for n in names])
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:

@@ -102,6 +102,35 @@ def test_pieces_round_trip(spark):
     assert all(r.decoded == (r.text or "") and r.n_pieces == len(r.piece_ids) for r in got)
 
 
+def test_literal_markers_split_a_text_exactly():
+    """Word by word, and between literal markers, the search gives what one search of the whole text gives."""
+    model = pieces.model_at(pieces.default_path())
+    r = random.Random(8)
+    texts = ["▁", "a▁", "▁a b▁▁c", "  ▁ x"] + ["".join(r.choice(["▁", " ", "the", "ab", "é", "日", "q"]) for _ in range(12)) for _ in range(300)]
+    for t in texts:
+        b = t.encode()
+        marks, at = set(), 3
+        for c in t:
+            if c == "▁":
+                marks.add(at)
+            at += 3 if c == " " else len(c.encode())
+        whole = model.viterbi(pieces.MARK_B + b.replace(b" ", pieces.MARK_B), frozenset(marks))
+        got = np.frombuffer(model.encode(b), "<i4").tolist()
+        score = lambda ids: sum(model.unknown / 3 if i in model.byte_ids else model.scores[i] for i in ids)
+        assert got == whole or abs(score(got) - score(whole)) < 1e-9  # equal scores may split differently
+        assert model.decode(got) == b
+
+
+def test_pieces_keep_columns_and_an_empty_table(spark):
+    docs = docs_of(spark, [(1, "a b"), (None, None)]).selectExpr("*", "1 as _e", "2 as row", "3 as found", "'x' as n_pieces")
+    got = pieces.decode(pieces.encode(docs))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_e", "row", "found", "piece_ids", "n_pieces", "ids_crc32", "decoded"]
+    assert [(r._e, r.row, r.found, r.decoded) for r in got.orderBy("doc_id").collect()] == [(1, 2, 3, ""), (1, 2, 3, "a b")]
+    assert pieces.decode(pieces.encode(docs.limit(0))).count() == 0
+    long = docs_of(spark, [(1, "word " * 50_000), (2, "日本" * 20_000), (3, "x" * 60_000), (4, " " * 20_000 + "▁" * 5_000)])
+    assert all(r.decoded == r.text for r in pieces.decode(pieces.encode(long)).collect())
+
+
 def test_viterbi_is_the_best_segmentation():
     model = pieces.model_at(pieces.default_path())
 
