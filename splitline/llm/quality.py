@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_bytes
+from .common import materialize, text_bytes
 
 BITS = 20
 MASK = (1 << BITS) - 1
@@ -94,27 +94,29 @@ class OrdinalModel:
         return ge1 + ge2, ge2
 
 
-def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 150, l2: float = 1.0, min_df: int = 2, fdr: float = 0.001) -> OrdinalModel:
-    """Full-batch AdaGrad on the ordinal log likelihood over the features that pass the screen; all others keep weight 0."""
-    weights = np.zeros(1 << BITS, dtype=np.float32)
-    present = np.bincount(grades, minlength=3) if len(grades) else np.zeros(3)
-    if (present > 0).sum() < 2:
-        return OrdinalModel(weights, (-1.0, 1.0), False)
-    n = len(grades)
-    by_grade = np.zeros((3, 1 << BITS), dtype=np.int32)
-    for f, grade in zip(docs, grades):
-        by_grade[grade, f] += 1
+def screen(by_grade: np.ndarray, present: np.ndarray, min_df: int = 2, fdr: float = 0.001) -> np.ndarray:
+    """Features whose association with the grade is significant at the false-discovery rate. ``by_grade``: documents by (grade, feature)."""
+    n = present.sum()
     df = by_grade.sum(0)
     chi = np.zeros(1 << BITS)
-    for top, share_low in enumerate(np.cumsum(present)[:2] / n):
+    for top, share_low in enumerate(np.cumsum(present)[:2] / max(1, n)):
         hit = by_grade[: top + 1].sum(0)
-        spread = df * share_low * (1 - share_low) * (1 - df / n)
+        spread = df * share_low * (1 - share_low) * (1 - df / max(1, n))
         chi = np.maximum(chi, np.where(spread > 0, (hit - df * share_low) ** 2 / np.maximum(spread, 1e-9), 0))
     seen = np.flatnonzero(df >= min_df)
     p = np.array([min(1.0, 2 * math.erfc(math.sqrt(x / 2))) for x in chi[seen].tolist()])  # the better of two cuts
     order = np.argsort(p, kind="stable")
     passed = np.flatnonzero(p[order] <= fdr * np.arange(1, len(seen) + 1) / max(1, len(seen)))
-    used = np.sort(seen[order[: passed[-1] + 1]]) if len(passed) else seen[:0]
+    return np.sort(seen[order[: passed[-1] + 1]]) if len(passed) else seen[:0]
+
+
+def fit_arrays(docs: list[np.ndarray], grades: np.ndarray, used: np.ndarray, rounds: int = 150, l2: float = 1.0) -> OrdinalModel:
+    """Full-batch AdaGrad on the ordinal log likelihood over the features ``used``; all others keep weight 0."""
+    weights = np.zeros(1 << BITS, dtype=np.float32)
+    present = np.bincount(grades, minlength=3) if len(grades) else np.zeros(3)
+    if (present > 0).sum() < 2:
+        return OrdinalModel(weights, (-1.0, 1.0), False)
+    n = len(grades)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     kept = [p[p >= 0] for p in (place[f] for f in docs)]
@@ -161,12 +163,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 6_000) -> OrdinalMo
         known: dict = {}
         for b in batches:
             found = [np.sort(np.array(features(x, known), dtype=np.uint32)).tobytes() for x in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(found, pa.binary())], names=["doc_id", "grade", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(found, pa.binary())], names=["grade", "f"])
 
     rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # the sample has max_rated rows at most
-    rows = rated.select("doc_id", "grade", "text").mapInArrow(featurize, "doc_id long, grade int, f binary").collect()
-    rows = sorted({(bytes(r.f), r.grade) for r in rows})  # copies count once
-    return fit_arrays([np.frombuffer(f, dtype=np.uint32) for f, _ in rows], np.array([g for _, g in rows], dtype=np.int64))
+    found = materialize(rated.select("grade", "text").mapInArrow(featurize, "grade int, f binary").distinct(), "rated")  # copies count once
+    present, by_grade = np.zeros(3, dtype=np.int64), np.zeros((3, 1 << BITS), dtype=np.int32)
+    for r in found.groupBy("grade").count().collect():
+        present[r["grade"]] = r["count"]
+
+    def count(batches):  # documents by grade and feature, added up before they are sent
+        sums = np.zeros((3, 1 << BITS), dtype=np.int32)
+        for b in batches:
+            for grade, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[grade, np.frombuffer(f, dtype=np.uint32)] += 1
+        grade, feature = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(grade.astype(np.int32)), pa.array(feature), pa.array(sums[grade, feature].astype(np.int64))], names=["grade", "feature", "n"])
+
+    counts = found.mapInArrow(count, "grade int, feature long, n long").groupBy("grade", "feature").agg(F.sum("n").alias("n")).toArrow()  # 3 * 2**BITS rows at most
+    by_grade[counts["grade"].to_numpy(), counts["feature"].to_numpy()] = counts["n"].to_numpy()
+    used = screen(by_grade, present)
+    mask = docs.sparkSession.sparkContext.broadcast(np.packbits(np.isin(np.arange(1 << BITS), used)).tobytes())
+
+    def keep(batches):
+        bits = np.unpackbits(np.frombuffer(mask.value, dtype=np.uint8)).view(bool)
+        for b in batches:
+            kept = [f[bits[f]].tobytes() for f in (np.frombuffer(x, dtype=np.uint32) for x in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["grade", "f"])
+
+    rows = sorted((bytes(r.f), r.grade) for r in found.mapInArrow(keep, "grade int, f binary").collect())  # max_rated rows of screened features
+    return fit_arrays([np.frombuffer(f, dtype=np.uint32) for f, _ in rows], np.array([g for _, g in rows], dtype=np.int64), used)
 
 
 def _scorer(spark, model: OrdinalModel, keep_tail: float):

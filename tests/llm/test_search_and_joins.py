@@ -143,7 +143,7 @@ def test_contexts_discover_unseen_identifiers(spark):
 
 
 def test_quality_on_held_out_ratings(spark):
-    """813 held-out ratings of sf0.1; the 76 of sf0.01 are too few to learn from (0.895 there, see README)."""
+    """813 held-out ratings of sf0.1; those of sf0.01 and sf0.001 are in test_whole_jobs."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality.fit(docs, labels.where("doc_id % 5 <> 0"))
