@@ -25,11 +25,12 @@ def similarity(a: Column, b: Column, close: int = 1) -> Column:
     return F.when((F.size(short) == 0) | (F.size(long) == 0), 0.0).otherwise(hits / F.size(short))
 
 
-def round_of(event: Column) -> Column:
-    """Round of an event's short name: final, semi, prelim, or null."""
-    e = F.lower(event)
-    return F.when(e.rlike("semi"), "semi").when(e.rlike("prelim|heat"), "prelim").when(e.rlike("final"), "final")
+def person_key(name: Column) -> Column:
+    """A name's words, folded, without generation suffixes, in alphabetical order."""
+    words = F.filter(F.split(fold(name), " "), lambda w: (w != "") & ~w.isin("jr", "sr", "ii", "iii", "iv"))
+    return F.array_join(F.array_sort(words), " ")
 
 
-def chair_class(event: Column) -> Column:
-    return F.coalesce(event.rlike("(?i)wheelchair|seated|ambulator"), F.lit(False))
+def public_id(kind: str, n: Column) -> Column:
+    """A short public id of an internal number: the kind's letter and the number, mixed by an invertible step, in base 36."""
+    return F.concat(F.lit(kind), F.lower(F.conv(((n * 7919 + 104729) % 2147483647).cast("string"), 10, 36)))
