@@ -213,9 +213,9 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             for text in b.column(0).to_pylist():
                 text = text or ""
                 words = text.lower().split()
-                places = []
-                for i, w in enumerate(words):
-                    k = one.get(w)
+                get, places = one.get, []
+                for i in [i for i, w in enumerate(words) if get(w, -1)]:  # gates, and words not met yet
+                    k = one.get(w := words[i])
                     if k is None:
                         if len(one) > 300_000:
                             one.clear()
