@@ -215,17 +215,17 @@ def qualifying_marks(spark, sf):
     return got.select("cell", *[F.round(c, 4).alias(c) for c in ("mark", "low", "high", "trend")], "seasons", "thin")
 
 
-_SEASONS = f"WITH {L}, s AS (SELECT person, CAST(year(day) AS BIGINT) AS season, round(avg(mark), 4) AS rating, min(team) AS school, CASE WHEN year(day) < 1995 THEN 'hs' ELSE 'college' END AS level FROM l GROUP BY ALL)"
+_SEASONS = f"WITH {L}, s AS (SELECT person, CAST(year(day) AS BIGINT) AS season, avg(mark) AS rating, min(team) AS school, CASE WHEN year(day) < 1998 THEN 'hs' ELSE 'college' END AS level FROM l GROUP BY ALL)"
 
 
 def _seasons(spark, sf):
-    s = races(spark, sf).groupBy("person", F.year("day").cast("long").alias("season")).agg(F.round(F.avg("mark"), 4).alias("rating"), F.min("team").alias("school"))
-    return s.withColumn("level", F.when(F.col("season") < 1995, "hs").otherwise("college"))
+    s = races(spark, sf).groupBy("person", F.year("day").cast("long").alias("season")).agg(F.avg("mark").alias("rating"), F.min("team").alias("school"))
+    return s.withColumn("level", F.when(F.col("season") < 1998, "hs").otherwise("college"))
 
 
-@query(_SEASONS + ", h AS (SELECT person, min(season) AS hs FROM s WHERE level = 'college' GROUP BY person), l2 AS (SELECT s.person, max(season) AS ls, min(hs) AS hs FROM s JOIN h USING (person) WHERE level = 'hs' AND season < hs GROUP BY s.person) SELECT l2.person, ls AS from_season, hs AS to_season, round(b.rating - a.rating, 4) AS change FROM l2 JOIN s a ON a.person = l2.person AND a.season = ls JOIN s b ON b.person = l2.person AND b.season = hs")
+@query(_SEASONS + ", h AS (SELECT person, min(season) AS hs FROM s WHERE level = 'college' GROUP BY person), l2 AS (SELECT s.person, max(season) AS ls, min(hs) AS hs FROM s JOIN h USING (person) WHERE level = 'hs' AND season < hs GROUP BY s.person) SELECT l2.person, ls AS from_season, hs AS to_season, round(b.rating - a.rating, 6) AS change FROM l2 JOIN s a ON a.person = l2.person AND a.season = ls JOIN s b ON b.person = l2.person AND b.season = hs")
 def recruiting_change(spark, sf):
-    return res.first_after_last(_seasons(spark, sf), "person", "season", "level", "rating", "hs", "college").withColumn("change", F.round("change", 4))
+    return res.first_after_last(_seasons(spark, sf), "person", "season", "level", "rating", "hs", "college").withColumn("change", F.round("change", 6))
 
 
 @query(_SEASONS + " SELECT * FROM (SELECT person, season, school, lag(school) OVER (PARTITION BY person ORDER BY season) AS from_school FROM s) WHERE from_school <> school")

@@ -22,6 +22,10 @@ def sliding(df: DataFrame, width: str, slide: str, late: str) -> DataFrame:
     return df.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def daily_counts(df: DataFrame, late: str) -> DataFrame:
+    return df.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+
+
 def sessions(df: DataFrame, gap: str, late: str) -> DataFrame:
     return df.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
@@ -60,3 +64,12 @@ def drain(df: DataFrame, folder: str, mode: str = "append") -> None:
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def drain_updates(df: DataFrame, folder: str) -> None:
+    """Like :func:`drain` in update mode: each batch's updated rows are appended with their batch number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+
+    df.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
