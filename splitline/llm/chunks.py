@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize_by, pack, planes, text_bytes, unpack, unplanes
+from .common import materialize_by, planes, text_bytes, unplanes
 
 NO_ID = -(1 << 63)
 HOME_BITS = 2
@@ -25,20 +25,38 @@ HOME_BITS = 2
 MOST_BUCKETS = 100_000
 
 
+_SQUEEZER, _LOOSENER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(blob: bytes) -> bytes:
-    return zstandard.compress(blob, 1)
+    return _SQUEEZER.compress(blob)
 
 
 def loosen(blob: bytes) -> bytes:
-    return zstandard.decompress(blob)
+    return _LOOSENER.decompress(blob)
+
+
+def _low_planes(v: np.ndarray) -> bytes:
+    """64-bit values as the byte planes that hold anything, lowest first, after the number of planes."""
+    k = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
+    return bytes([k]) + np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    k = raw[0]
+    p = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(k, -1)
+    out = np.zeros((p.shape[1], 8), dtype=np.uint8)
+    out[:, :k] = p.T
+    return out.view(np.uint64).ravel()
 
 
 def pack_sorted(v: np.ndarray) -> bytes:
-    return squeeze(pack(v))
+    """Ascending values as the planes of their differences."""
+    return squeeze(_low_planes(np.diff(np.ascontiguousarray(v, dtype=np.uint64), prepend=np.uint64(0))))
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    return unpack(loosen(blob))
+    return np.cumsum(_from_planes(loosen(blob)), dtype=np.uint64)
 
 
 def pack_small(v: np.ndarray) -> bytes:
@@ -50,12 +68,12 @@ def unpack_small(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(v: np.ndarray) -> bytes:
-    """64-bit values in their given order: planes of zeros vanish, so small counts cost no more than in 32 bits."""
-    return squeeze(np.ascontiguousarray(np.ascontiguousarray(v, dtype=np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    """64-bit values from 0 in their given order."""
+    return squeeze(_low_planes(np.ascontiguousarray(v, dtype=np.int64).view(np.uint64)))
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(loosen(blob), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return _from_planes(loosen(blob)).view(np.int64)
 
 
 def pack_bits(v: np.ndarray) -> bytes:

@@ -50,18 +50,6 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type != pa.large_string() else pa.large_binary()).to_pylist()]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as the byte planes of their differences; high planes are zero and compress away."""
-    v = np.ascontiguousarray(values, dtype=np.uint64)
-    d = np.diff(v, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def planes(values: np.ndarray) -> bytes:
     """Values below 2**32 as byte planes, in their given order; larger ones are an error."""
     if len(values) and int(np.max(values)) >> 32:

@@ -235,6 +235,20 @@ def _ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, numbers[order]
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values ascending, place of each value): one sort of value and position together where both fit 63 bits."""
+    n = len(key)
+    bits = max(1, (n - 1).bit_length())
+    if not n or int(key.max()).bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)
+    both = np.sort((key << bits) | np.arange(n))
+    value = both >> bits
+    head = _heads(value)
+    place = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    place[both & ((1 << bits) - 1)] = np.cumsum(head) - 1
+    return value[head], place
+
+
 def _grams(below: Level, words: Level, doc: np.ndarray, frequent: int, cut: int) -> Grams:
     n = len(doc)
     rank, contexts = _ranked(below.number)
@@ -242,7 +256,7 @@ def _grams(below: Level, words: Level, doc: np.ndarray, frequent: int, cut: int)
     code = np.zeros(n, dtype=np.int64)  # the begin context
     same = np.flatnonzero(doc[1:] == doc[:-1]) + 1
     code[same] = rank[below.at[same - 1]] + 1
-    distinct, at = np.unique(code * np.int64(len(word_rank)) + word_rank[words.at], return_inverse=True)
+    distinct, at = _distinct(code * np.int64(len(word_rank)) + word_rank[words.at])
     code, w = np.divmod(distinct, np.int64(max(1, len(word_rank))))
     context = np.concatenate([np.zeros(1, np.uint64), contexts])[code]
     ordered = np.empty(len(rank), dtype=np.int64)
@@ -318,7 +332,7 @@ def merge_grams(requests: DataFrame, below: Discounts, contexts: np.ndarray, fre
         lengths = [len(x) for x in own]
         known, v = np.unique(np.concatenate(own), return_inverse=True)
         words, w = np.unique(np.concatenate([unpack_counts(x) for x in rows["words"]]).view(np.uint64), return_inverse=True)
-        distinct, at = np.unique(v * np.int64(len(words)) + w, return_inverse=True)
+        distinct, at = _distinct(v * np.int64(len(words)) + w)
         del w
         context = distinct // np.int64(len(words))
         n = _sums(at, [unpack_counts(x) for x in rows["counts"]], len(distinct))
