@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregate_queries, board_queries, domain_queries, duplicate_queries, io_queries, join_queries, result_queries, sink_queries  # noqa: F401  (each registers its queries)
+from .plans import aggregate_queries, board_queries, domain_queries, duplicate_queries, estimate_queries, io_queries, join_queries, place_queries, result_queries, sink_queries  # noqa: F401  (each registers its queries)
 from .plans.base import ORACLES, QUERIES
 
 

@@ -87,3 +87,12 @@ def head_to_head(results: DataFrame, a: int, b: int, race: str, person: str, pla
     x = results.where(F.col(person) == a).select(race, F.col(place).alias("place_a"))
     y = results.where(F.col(person) == b).select(race, F.col(place).alias("place_b"))
     return x.join(y, race).withColumn("ahead", F.when(F.col("place_a") < F.col("place_b"), "a").when(F.col("place_a") > F.col("place_b"), "b").otherwise("tie"))
+
+
+def within_radius(df: DataFrame, keys: list[str], key: str, value: str, radius: str, widest: float) -> DataFrame:
+    """(a, b, gap): rows of the same ``keys`` whose value is within the radius of a's own; ``widest`` bounds the radii and is the width of the value bands that meet."""
+    band = F.floor(F.col(value) / widest)
+    a = df.select(*keys, F.col(key).alias("a"), F.col(value).alias("_x"), F.col(radius).alias("_r"), F.explode(F.array(band - 1, band, band + 1)).alias("_b"))
+    b = df.select(*keys, F.col(key).alias("b"), F.col(value).alias("_y"), band.alias("_b"))
+    gap = F.abs(F.col("_x") - F.col("_y"))
+    return a.join(b, [*keys, "_b"]).where((F.col("a") != F.col("b")) & (gap <= F.col("_r"))).select("a", "b", gap.alias("gap"))
