@@ -32,10 +32,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 def materialize_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
-    """Like :func:`materialize`, as an external table bucketed by ``key``: grouping it by ``key`` later moves none of its rows."""
+    """Like :func:`materialize`, as an external table bucketed by ``key``: grouping it by ``key`` later moves none of its rows.
+
+    The frame that is returned knows the files and their buckets, so the catalogue entry goes at once; the files stay in the shared folder.
+    """
     spark, name = df.sparkSession, f"splitline_{what}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:

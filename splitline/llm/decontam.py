@@ -79,8 +79,11 @@ class Canonicalizer:
         """Hashes of the words' cores, after :meth:`tokens` has seen them."""
         return self.table[0][np.array([self.ids[w] for w in words], dtype=np.int64)]
 
-    def tokens(self, words: list[bytes]):
-        """[(hashes, kinds, first word, end word)] of the template tokens of one text, by reading: plain, then open."""
+    def tokens(self, words: list[bytes], opens: np.ndarray | None = None):
+        """[(hashes, kinds, first word, end word)] of the template tokens of one text, by reading: plain, then open.
+
+        ``opens``: places of the first words, where ``words`` are several texts in a row.
+        """
         get, add = self.ids.get, self._add
         ids = np.array([add(w) if (i := get(w)) is None else i for w in words], dtype=np.int64)
         if self.new:
@@ -92,6 +95,8 @@ class Canonicalizer:
             self.new = []
         word, own, capital, ends, free = (t[ids] for t in self.table)
         start = np.concatenate([[True], ends[:-1]])
+        if opens is not None:
+            start[opens] = True
         out = []
         for name in (capital & ~start, capital & (~start | free)):
             kind = np.where((own == LITERAL) & name, NAME, own)
@@ -171,6 +176,35 @@ def _windows_of(texts: list[bytes], lengths: list[int] | None, exact: list[int],
                 yield row, n, int(keys[p].astype(np.int64)), p, len(keys), -1, 0, [], True
 
 
+def _candidates(texts: list[bytes], lengths: list[int], exact: list[int], keep, canon: Canonicalizer) -> list[int]:
+    """The texts that may hold a wanted window, all of a batch looked at together: one pass of array operations instead of one a text."""
+    split = [t.split() for t in texts]
+    if len(canon.ids) > 400_000:
+        canon.clear()
+    counts = np.array([len(w) for w in split], dtype=np.int64)
+    words = [w for ws in split for w in ws]
+    if not words:
+        return []
+    owner = np.repeat(np.arange(len(texts)), counts)
+    opens = (np.cumsum(counts) - counts)[counts > 0]
+    found = np.zeros(len(texts), dtype=bool)
+
+    def look(keys: np.ndarray, n: int, own: np.ndarray) -> None:
+        at = np.flatnonzero(keys)
+        at = at[keep(keys[at])]
+        at = at[own[at] == own[at + n - 1]]  # windows don't cross texts
+        found[own[at]] = True
+
+    for h, kind, first, _ in canon.tokens(words, opens):
+        for n in lengths:
+            look(window_keys(h, kind, n), n, owner[first])
+    if exact:
+        h = canon.word_hashes(words)
+        for n in exact:
+            look(exact_keys(h, n), n, owner)
+    return np.flatnonzero(found).tolist()
+
+
 def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, exact: list[int] = (), allowed: np.ndarray | None = None) -> DataFrame:
     """(id, n, key, pos, total, open_pos, open_total, slots, exact) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
     shared = None if allowed is None else texts.sparkSession.sparkContext.broadcast(np.packbits(allowed).tobytes())
@@ -183,7 +217,9 @@ def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None,
         canon = Canonicalizer()
         for b in batches:
             ids = b.column(0).to_pylist()
-            rows = [(ids[r], *x) for r, *x in _windows_of(text_bytes(b.column(1)), lengths, exact, keep, canon)]
+            bodies = text_bytes(b.column(1))
+            own = range(len(bodies)) if keep is None else _candidates(bodies, lengths, exact, keep, canon)
+            rows = [(ids[own[r]], *x) for r, *x in _windows_of([bodies[i] for i in own], lengths, exact, keep, canon)]
             if rows:
                 cols = list(zip(*rows))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.bool_()]
