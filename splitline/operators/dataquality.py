@@ -12,10 +12,12 @@ from .joins import nearest_by_day
 
 
 def same_day_twins(df: DataFrame, key: str, day: str, cell: str, value: str, order: str, tolerance: float) -> DataFrame:
-    """Rows with an earlier-numbered row of the same key, day and cell within ``tolerance``."""
-    keep = df.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col(cell).alias("_c"), F.col(value).alias("_v"), F.col(order).alias("_o"))
-    same = (df[key] == keep["_k"]) & (df[day] == keep["_d"]) & df[cell].eqNullSafe(keep["_c"])
-    return df.join(keep, same & (F.abs(df[value] - keep["_v"]) < tolerance) & (keep["_o"] < df[order]), "left_semi")
+    """Rows with an earlier-numbered row of the same key, day and cell within ``tolerance``: rows meet only in neighbouring bands of the value."""
+    band = F.floor(F.col(value) / tolerance)
+    keep = df.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col(cell).alias("_c"), F.col(value).alias("_v"), F.col(order).alias("_o"), F.explode(F.array(band - 1, band, band + 1)).alias("_b"))
+    mine = df.withColumn("_band", band)
+    same = (mine[key] == keep["_k"]) & (mine[day] == keep["_d"]) & (mine["_band"] == keep["_b"]) & mine[cell].eqNullSafe(keep["_c"])
+    return mine.join(keep, same & (F.abs(mine[value] - keep["_v"]) < tolerance) & (keep["_o"] < mine[order]), "left_semi").drop("_band")
 
 
 def neighbour_z(df: DataFrame, key: str, day: str, order: str, value: str, k: int, floor: float, least: int = 3) -> DataFrame:

@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def interval_bracket(df: DataFrame, group: list[str], cell: str, day: str, value: str, days: int) -> DataFrame:
     """``bracket``: value minus the mean of the group's rows within ``days`` at another cell; ``n_other``; null if there are none.
 
-    Both sums are range windows; the row's own cell is taken away, so no pair is built.
+    Both sums are range windows; the row's own cell is taken away, so no pair is built. A group is cut into spans of days
+    with the ``days`` around them as context, so a hot group is spread over its spans.
     """
-    near = Window.partitionBy(*group).orderBy(day).rangeBetween(-days, days)
-    own = Window.partitionBy(*group, cell).orderBy(day).rangeBetween(-days, days)
+    width = 16 * max(1, days)
+    span = F.floor(F.col(day) / width)
+    inside = F.col(day) - span * width
+    copies = F.array_compact(F.array(span, F.when(inside < days, span - 1), F.when(inside >= width - days, span + 1)))
+    spread = df.withColumn("_span", F.explode(F.when(F.col(day).isNull(), F.array(F.lit(None).cast("long"))).otherwise(copies)))
+    near = Window.partitionBy(*group, "_span").orderBy(day).rangeBetween(-days, days)
+    own = Window.partitionBy(*group, "_span", cell).orderBy(day).rangeBetween(-days, days)
     n = F.count(value).over(near) - F.count(value).over(own)
     s = F.sum(value).over(near) - F.sum(value).over(own)
-    return df.withColumn("n_other", n).withColumn("bracket", F.when(n > 0, F.col(value) - s / n))
+    got = spread.withColumn("n_other", n).withColumn("bracket", F.when(n > 0, F.col(value) - s / n))
+    return got.where(F.col("_span").eqNullSafe(span)).drop("_span")
 
 
 def nearest_by_day(df: DataFrame, key: str, day: str, order: str, value: str, k: int) -> DataFrame:
@@ -29,12 +36,24 @@ def nearest_by_day(df: DataFrame, key: str, day: str, order: str, value: str, k:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
-    """``left`` with the value of the latest right row at or before ``at``: one union, one window, no pairs."""
-    marked = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    given = right.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    got = marked.unionByName(given).withColumn("_v", F.last("_v", True).over(w)).where("_side = 1")
-    return got.select("_row.*", F.col("_v").alias(out))
+    """``left`` with the value of the latest right row at or before ``at``: one union in range partitions of (keys, at), no pairs.
+
+    A hot key spans several partitions. Within one, the latest value is a window; what earlier partitions of the key leave
+    behind is carried over by one row per key and partition.
+    """
+    kind = right.schema[value].dataType
+    marked = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias("_v"))
+    given = right.where(F.col(value).isNotNull()).select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    # both uses below must see the same partitions
+    laid = marked.unionByName(given).repartitionByRange(*keys, "_at", "_side").withColumn("_part", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_part", *keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    near = laid.withColumn("_v", F.last("_v", True).over(w)).where("_side = 1")
+    heads = laid.groupBy("_part", *keys).agg(F.max_by(F.col("_v"), F.when(F.col("_side") == 0, F.col("_at"))).alias("_head"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the key has partitions
+    carried = heads.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_head", True).over(before).alias("_earlier")).where("_earlier IS NOT NULL")
+    same = [F.col("_part") == F.col("_p"), *[near[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    got = near.join(carried, same, "left")
+    return got.select("_row.*", F.coalesce("_v", "_earlier").alias(out))
 
 
 def band_join(df: DataFrame, bands: DataFrame, value: str) -> DataFrame:

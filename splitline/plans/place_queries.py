@@ -71,10 +71,10 @@ def fallback_chain(spark, sf):
     return places.fallback(c.select("c_custkey", "c_nationkey", "c_mktsegment"), chain, "v").select("c_custkey", "v", "level")
 
 
-@query("WITH l AS (SELECT l_suppkey AS team, l_orderkey % 40 AS k, l_orderkey % 9 AS n FROM lineitem WHERE l_linenumber % 2 = 0), r AS (SELECT l_suppkey AS team, l_orderkey % 40 AS k, l_orderkey % 9 AS n FROM lineitem WHERE l_linenumber % 2 = 1), v AS (SELECT l.team AS lt, r.team AS rt, count(*) AS votes FROM l JOIN r USING (k) WHERE length(CAST(l.n AS VARCHAR)) = length(CAST(r.n AS VARCHAR)) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY lt ORDER BY votes DESC, rt) AS p, sum(votes) OVER (PARTITION BY lt) AS s FROM v) SELECT a.lt AS left_team, a.rt AS right_team, a.votes FROM o a LEFT JOIN o b ON a.lt = b.lt AND b.p = 2 WHERE a.p = 1 AND a.votes >= 3 AND a.votes >= 0.02 * a.s AND a.votes - coalesce(b.votes, 0) >= 1")
+@query("WITH x AS (SELECT l_suppkey AS team, l_orderkey AS k, 'n' || CAST(l_partkey % 30 AS VARCHAR) AS n, l_linenumber % 2 AS side FROM lineitem), v AS (SELECT l.team AS lt, r.team AS rt, count(*) AS votes FROM x l JOIN x r ON l.k = r.k AND l.side = 0 AND r.side = 1 AND levenshtein(l.n, r.n) <= 1 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY lt ORDER BY votes DESC, rt) AS p, sum(votes) OVER (PARTITION BY lt) AS s FROM v) SELECT a.lt AS left_team, a.rt AS right_team, a.votes FROM o a LEFT JOIN o b ON a.lt = b.lt AND b.p = 2 WHERE a.p = 1 AND a.votes >= 3 AND a.votes >= 0.02 * a.s AND a.votes - coalesce(b.votes, 0) >= 1")
 def entity_links(spark, sf):
     """Teams of two feeds linked by the votes of athletes with the same key and a close name."""
-    li = table(spark, sf, "lineitem").select("l_linenumber", F.col("l_suppkey").alias("team"), (F.col("l_orderkey") % 40).alias("k"), F.concat(F.lit("Runner "), (F.col("l_orderkey") % 9).cast("string")).alias("name"))
+    li = table(spark, sf, "lineitem").select("l_linenumber", F.col("l_suppkey").alias("team"), F.col("l_orderkey").alias("k"), F.concat(F.lit("n"), (F.col("l_partkey") % 30).cast("string")).alias("name"))
     votes = places.link_votes(li.where("l_linenumber % 2 = 0"), li.where("l_linenumber % 2 = 1"), ["k"], 1.0)
     return places.decide_links(votes, 3, 0.02, 1)
 
