@@ -1,7 +1,7 @@
 """Duplicate listings: ordered rules whose first reason wins, flags kept in a side table, readers by anti-join.
 
 A listing has id, person, feed, meet, canon (the meet shared by feeds), event, dayno, place and tenths (time in tenths of a
-second). Each rule returns the ids it flags. Rows are never deleted. Joins have equality keys; a group of equal rows comes
+second); some rules also read sport, gender, school and level. Each rule returns the ids it flags. Rows are never deleted. Joins have equality keys; a group of equal rows comes
 down to its survivor by an aggregate, so no pairs of copies are built.
 """
 
@@ -93,6 +93,32 @@ def converted(rows: DataFrame, keys: list[str], factor: float, tolerance: int) -
     return rows.withColumn("_b", at("tenths")).join(spread, [*keys, "_b"]).where((F.col("event") != F.col("_event")) & (F.abs(F.col("tenths") - F.col("_t")) <= tolerance)).select("id").distinct()
 
 
+def uploads(rows: DataFrame, keys: list[str], feed: str = "u") -> DataFrame:
+    """Ids of uploaded rows that any other feed has under the same ``keys``."""
+    there = rows.where(F.col("feed") != feed).select(*keys).distinct()
+    return rows.where(F.col("feed") == feed).join(there, keys, "left_semi").select("id")
+
+
+def sport_copies(rows: DataFrame, keys: list[str], copy: str = "xc", kept: str = "tf") -> DataFrame:
+    """Ids of rows of one sport that the other sport has under the same ``keys``: a track race listed as cross country."""
+    there = rows.where(F.col("sport") == kept).select(*keys).distinct()
+    return rows.where(F.col("sport") == copy).join(there, keys, "left_semi").select("id")
+
+
+def other_gender(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Ids of rows under the gender that a person has less often, where the same ``keys`` also stand under the other; ties are left alone."""
+    n = rows.groupBy("person").agg(F.count_if(F.col("gender") == "M").alias("_m"), F.count_if(F.col("gender") == "F").alias("_f"))
+    own = n.select("person", F.when(F.col("_m") > F.col("_f"), "M").when(F.col("_f") > F.col("_m"), "F").alias("_own"))
+    marked = rows.join(own, "person").where("_own IS NOT NULL")
+    there = marked.where("gender = _own").select(*keys).distinct()
+    return marked.where("gender <> _own").join(there, keys, "left_semi").select("id")
+
+
+def level_conflicts(rows: DataFrame, directory: DataFrame, level: str) -> DataFrame:
+    """Ids of rows listed at ``level`` under a school that the directory, (school), has at another one."""
+    return rows.where(F.col("level") == level).join(directory, "school", "left_semi").select("id")
+
+
 def first_reasons(rows: DataFrame, rules: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """(id, reason): the first rule, in order, that flags each row."""
     found = None
