@@ -43,6 +43,14 @@ def materialize_by(df: DataFrame, what: str, key: str, buckets: int) -> DataFram
     return table
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column is called so (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions for ``rows`` so that none holds more than about ``per_part``, and every core has work."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))

@@ -23,13 +23,14 @@ import math
 import re
 import struct
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import text_bytes
+from .common import fresh, text_bytes
 
 MARK = "▁"
 MARK_B = MARK.encode()
@@ -86,7 +87,7 @@ class UnigramModel:
             self.scores[i] = -math.log(rank + 2.7) - math.log(total)
         self.unknown = min(self.scores) - 10.0
         self.byte_ids, self.normal = byte_ids, normal
-        self.trie = DoubleArrayTrie([(pieces[i].encode(), i) for i in normal])
+        self.pieces = pieces
         back = {b: i for b, i in enumerate(byte_ids)}
         self.bytes_of = [b""] * len(pieces)
         for i in normal:
@@ -95,10 +96,18 @@ class UnigramModel:
             self.bytes_of[i] = bytes([b])
         self.local = not any(MARK in p.lstrip(MARK) for p in (pieces[i] for i in normal))
         self.known: dict[bytes, bytes] = {}
-        self.arrays = (*(np.array(x, dtype=np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores))
         first = np.arange(256)
         self.width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
 
+    @cached_property
+    def trie(self) -> DoubleArrayTrie:
+        """Built at the first search: a worker that only decodes has none."""
+        return DoubleArrayTrie([(self.pieces[i].encode(), i) for i in self.normal])
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return (*(np.array(x, dtype=np.int64) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(self.scores))
+
     def viterbi(self, s: bytes, literal: frozenset[int] = frozenset()) -> list[int]:
         """Best piece ids of UTF-8 bytes ``s``; ``literal`` holds the starts of marker characters of the text itself."""
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
@@ -300,9 +309,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     names = ("piece_ids", "n_pieces", "ids_crc32")
     own = [c for c in docs.columns if c not in names]
-    # the document's columns travel in a struct, so that none can clash with the result
-    got = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), run(F.col(f"`{text}`")).alias("found"))
-    return got.select(*[F.col("row")[c].alias(c) for c in own], *[F.col("found")[n].alias(n) for n in names])
+    found = fresh(own, "found")
+    got = docs.select(*[F.col(f"`{c}`") for c in own], run(F.col(f"`{text}`")).alias(found))
+    return got.select(*[F.col(f"`{c}`") for c in own], *[F.col(found)[n].alias(n) for n in names])
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:

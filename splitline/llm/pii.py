@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bitmap
-from .common import materialize
+from .common import fresh, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -339,7 +339,9 @@ def redact(docs: DataFrame, **options) -> DataFrame:
             out.append("".join(parts) + t[at:] if spans else t)
         return pa.array(out, pa.string())
 
-    # the document's columns travel in a struct, so that none can clash with those of the join
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key_of("text").alias("key"))
-    got = keyed.join(more, keyed["id"].eqNullSafe(more["_doc"]) & (keyed["key"] == more["_key"]), "left")
-    return got.select(*[run("row.text", "_more").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    own = docs.columns
+    key, doc, other, extra = (fresh(own, name) for name in ("text_key", "found_doc", "found_key", "found_more"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in own], key_of("text").alias(key))
+    found = more.toDF(doc, other, extra)
+    got = keyed.join(found, keyed["doc_id"].cast("long").eqNullSafe(found[doc]) & (keyed[key] == found[other]), "left")
+    return got.select(*[run("text", extra).alias("text") if c == "text" else F.col(f"`{c}`") for c in own])
