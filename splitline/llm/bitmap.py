@@ -10,13 +10,14 @@ BITS = 23
 BLOCK = 16
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.astype(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+def slots(keys: np.ndarray, shift: int = 64 - BITS) -> np.ndarray:
+    return (keys.astype(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << BITS) - 1)
 
 
-def build(keys: DataFrame, column: str) -> np.ndarray:
-    """0/1 bytes per slot of the non-null long keys in ``column``. At most 2**(BITS-BLOCK) blocks of bits reach the driver: one megabyte."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - BITS)
+def build(keys: DataFrame, column: str, shift: int = 64 - BITS) -> np.ndarray:
+    """0/1 bytes per slot, BITS bits of a key from ``shift`` up, of the non-null long keys in ``column``. At most 2**(BITS-BLOCK) blocks of
+    bits reach the driver: one megabyte."""
+    slot = F.shiftrightunsigned(F.col(column), shift).bitwiseAND((1 << BITS) - 1)
     blocks = (
         keys.where(F.col(column).isNotNull())
         .select(F.shiftright(slot, BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << BLOCK) - 1).cast("int").alias("bit"))

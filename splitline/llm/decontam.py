@@ -14,8 +14,8 @@ reading. Slots must be consistent: one slot value of the item stands for one
 value in the document throughout. Matches of at least ``coverage`` are leaks,
 re-parameterised ones included.
 
-A fixed one-megabyte bitmap of the item windows spares windows that can't match;
-the exact join decides. Defined cases: null or empty texts and items have no
+Two fixed one-megabyte bitmaps over different bits of the item windows' keys spare
+windows that can't match; the exact join decides. Defined cases: null or empty texts and items have no
 windows; an item of fewer than ``n`` tokens is one window of its own length;
 windows with fewer literal tokens than placeholders don't count; an item whose
 windows all fail that, such as a bare sum, is sought by exact windows of its words
@@ -51,6 +51,8 @@ OPENERS = frozenset(
 )
 NUMBER = re.compile(r"[0-9][0-9.,/:]*(st|nd|rd|th)?$")
 LITERAL, NUM, UNIT, NAME = 0, 1, 2, 3
+_STRIP, _ENDS, _NUMBER = STRIP.encode(), frozenset(b".!?:"), re.compile(NUMBER.pattern.encode())
+_NUMBER_WORDS, _UNITS, _OPENERS = (frozenset(w.encode() for w in words) for words in (NUMBER_WORDS, UNITS, OPENERS))
 _SLOT_HASH = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _COEF = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -67,6 +69,13 @@ class Canonicalizer:
         self.table = [np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, bool), np.zeros(1024, bool)]
 
     def _add(self, word: bytes) -> int:
+        if word.isascii():  # the same on bytes
+            core = word.strip(_STRIP)
+            low = core.lower()
+            kind = NUM if low in _NUMBER_WORDS or core[:1].isdigit() and _NUMBER.match(core) else UNIT if low in _UNITS else LITERAL
+            self.new.append((xxhash.xxh64_intdigest(low), kind, core.isalpha() and core.istitle(), word[-1] in _ENDS, low not in _OPENERS))
+            i = self.ids[word] = len(self.ids)
+            return i
         text = word.decode("utf-8", "replace")
         core = text.strip(STRIP)
         low = core.lower()
@@ -205,15 +214,22 @@ def _candidates(texts: list[bytes], lengths: list[int], exact: list[int], keep,
     return np.flatnonzero(found).tolist()
 
 
-def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, exact: list[int] = (), allowed: np.ndarray | None = None) -> DataFrame:
-    """(id, n, key, pos, total, open_pos, open_total, slots, exact) of the windows of every whole text; ``allowed``: a bitmap of wanted keys."""
-    shared = None if allowed is None else texts.sparkSession.sparkContext.broadcast(np.packbits(allowed).tobytes())
+LOW = 12
+
+
+def _bitmaps(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return bitmap.build(keys, "key"), bitmap.build(keys, "key", LOW)
+
+
+def windows(texts: DataFrame, id_column: str, lengths: list[int] | None = None, exact: list[int] = (), allowed: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(id, n, key, pos, total, open_pos, open_total, slots, exact) of the windows of every whole text; ``allowed``: bitmaps of wanted keys, see :func:`_bitmaps`."""
+    shared = None if allowed is None else texts.sparkSession.sparkContext.broadcast([np.packbits(x).tobytes() for x in allowed])
 
     def run(batches):
         keep = None
         if shared is not None:
-            bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
-            keep = lambda keys: bits[bitmap.slots(keys)]
+            high, low = (np.unpackbits(np.frombuffer(x, dtype=np.uint8)).view(bool) for x in shared.value)
+            keep = lambda keys: high[bitmap.slots(keys)] & low[bitmap.slots(keys, LOW)]
         canon = Canonicalizer()
         for b in batches:
             ids = b.column(0).to_pylist()
@@ -236,7 +252,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataF
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, coverage double, n_windows long, n_slots long, n_changed long, reparameterised boolean")
-    found = windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, exact, bitmap.build(items, "key"))
+    found = windows(docs.where(F.col("doc_id").isNotNull()), "doc_id", lengths, exact, _bitmaps(items))
     sides = lambda side: F.array(*[F.struct(F.lit(r).alias("reading"), F.col(p).alias(f"{side}_pos"), F.col(t).alias(f"{side}_total")) for r, p, t in ((0, "pos", "total"), (1, "open_pos", "open_total"))])
     i = items.select("n", "key", F.col("id").alias("item_id"), sides("item").alias("item_at"), F.col("slots").alias("item_slots"))
     d = found.select("n", "key", F.col("id").alias("doc_id"), sides("doc").alias("doc_at"), "slots")
