@@ -90,7 +90,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordCache:
     """Maps a word's bytes to a value made once per worker; emptied when it holds ``limit`` words, so memory is bounded."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         self.make, self.limit, self.known = make, limit, {}
 
     def __call__(self, words: list[bytes]) -> list:

@@ -152,7 +152,7 @@ def _windows_of(texts: list[bytes], lengths: list[int] | None, exact: list[int],
         words = text.split()
         if not words:
             continue
-        if len(canon.ids) > 400_000:
+        if len(canon.ids) > 200_000:
             canon.clear()
         plain, opened = canon.tokens(words)
         templates = False
@@ -188,7 +188,7 @@ def _windows_of(texts: list[bytes], lengths: list[int] | None, exact: list[int],
 def _candidates(texts: list[bytes], lengths: list[int], exact: list[int], keep, canon: Canonicalizer) -> list[int]:
     """The texts that may hold a wanted window, all of a batch looked at together: one pass of array operations instead of one a text."""
     split = [t.split() for t in texts]
-    if len(canon.ids) > 400_000:
+    if len(canon.ids) > 200_000:
         canon.clear()
     counts = np.array([len(w) for w in split], dtype=np.int64)
     words = [w for ws in split for w in ws]

@@ -34,8 +34,8 @@ from .common import fresh, text_bytes
 
 MARK = "▁"
 MARK_B = MARK.encode()
-#: Words remembered per worker, about 120 MB.
-CACHE = 600_000
+#: Words remembered per worker, about 50 MB.
+CACHE = 250_000
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
 

@@ -217,7 +217,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 for i in [i for i, w in enumerate(words) if get(w, -1)]:  # gates, and words not met yet
                     k = one.get(w := words[i])
                     if k is None:
-                        if len(one) > 300_000:
+                        if len(one) > 150_000:
                             one.clear()
                         k = _key("l1", _name(w))
                         k = one[w] = k if gates[slot(k)] else 0
@@ -241,7 +241,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                             continue
                     follower = after.get(w)
                     if follower is None:
-                        if len(after) > 300_000:
+                        if len(after) > 150_000:
                             after.clear()
                         follower = after[w] = _key(w.strip(STRIP) or w)
                     pairs.update((x, follower) for x in keys)

@@ -56,7 +56,7 @@ def _shape(word: bytes) -> tuple[tuple[int, ...], bool, bool, bool]:
 def features(text: bytes, known: dict[bytes, tuple], used: bytes | None = None) -> list[int]:
     """Distinct hashed features of one whole text; with ``used``, those of words only where it holds a 1."""
     words = text.split()
-    if len(known) > 300_000:
+    if len(known) > 120_000:
         known.clear()
     buckets: set[int] = set()
     symbol = bar = upper = 0
