@@ -53,20 +53,37 @@ def _shape(word: bytes) -> tuple[tuple[int, ...], bool, bool, bool]:
     return tuple({zlib.crc32(x.encode()) & MASK for x in found}), symbol, word == b"|", len(text) > 1 and text.isupper()
 
 
-def features(text: bytes, known: dict[bytes, tuple], used: bytes | None = None) -> list[int]:
-    """Distinct hashed features of one whole text; with ``used``, those of words only where it holds a 1."""
+class Shapes(dict):
+    """Shapes of the words met of late, of two generations of ``limit`` words at most; with ``used``, only buckets where it holds a 1."""
+
+    def __init__(self, used: bytes | None = None, limit: int = 100_000):
+        super().__init__()
+        self.used, self.limit, self.old = used, limit, {}
+
+    def __missing__(self, word: bytes) -> tuple:
+        got = self.old.get(word)
+        if got is None:
+            got = _shape(word)
+            if self.used is not None:
+                got = (tuple(b for b in got[0] if self.used[b]), *got[1:])
+        self[word] = got
+        return got
+
+    def turn(self) -> None:
+        """Between texts: a full generation becomes the old one."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+def features(text: bytes, known: Shapes) -> list[int]:
+    """Distinct hashed features of one whole text."""
     words = text.split()
-    if len(known) > 120_000:
-        known.clear()
+    known.turn()
     buckets: set[int] = set()
     symbol = bar = upper = 0
     for w, n in Counter(words).items():
-        got = known.get(w)
-        if got is None:
-            got = _shape(w)
-            if used is not None:
-                got = (tuple(b for b in got[0] if used[b]), *got[1:])
-            known[w] = got
+        got = known[w]
         if got[0]:
             buckets.update(got[0])
         symbol += n * got[1]
@@ -160,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rated: int = 6_000) -> OrdinalMo
     sample = grades_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
 
     def featurize(batches):
-        known: dict = {}
+        known = Shapes()
         for b in batches:
             found = [np.sort(np.array(features(x, known), dtype=np.uint32)).tobytes() for x in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(found, pa.binary())], names=["grade", "f"])
@@ -198,10 +215,10 @@ def _scorer(spark, model: OrdinalModel, keep_tail: float):
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        m, known = shared.value, {}
-        w, used = m.weights.astype(np.float64), (m.weights != 0).tobytes()
+        m = shared.value
+        w, known = m.weights.astype(np.float64), Shapes((m.weights != 0).tobytes())
         for b in batches:
-            s = np.array([w[features(x, known, used)].sum() for x in text_bytes(b.column("text"))], dtype=np.float64)
+            s = np.array([w[features(x, known)].sum() for x in text_bytes(b.column("text"))], dtype=np.float64)
             grade, tail = m.predict(s)
             own = [b.column(i) for i in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array(grade), pa.array(tail), pa.array(tail >= keep_tail)], names=[*b.schema.names, "score", "expected_grade", "tail_prob", "keep"])
