@@ -41,8 +41,12 @@ def round_of(event: Column) -> Column:
     return F.when(e.rlike("semi"), "semi").when(e.rlike("prelim|heat"), "prelim").when(e.rlike("final"), "final")
 
 
+#: The words that mark an event for wheelchair and ambulatory athletes.
+CHAIR_WORDS = ("wheelchair", "seated", "ambulator")
+
+
 def chair_class(event: Column) -> Column:
-    return F.coalesce(event.rlike("(?i)wheelchair|seated|ambulator"), F.lit(False))
+    return F.coalesce(F.lower(event).rlike("|".join(CHAIR_WORDS)), F.lit(False))
 
 
 def meet_class(name: Column) -> Column:
@@ -51,12 +55,19 @@ def meet_class(name: Column) -> Column:
     return F.when(n.rlike(r"champ|state|nation|region|section"), "champs").when(n.rlike(r"\binv"), "invitational").when(n.rlike(r"\bvs\.?\b|dual|tri[- ]meet"), "dual").otherwise("other")
 
 
+#: What may stand after a grade's number.
+NUMBER_ENDS = ("", "st", "nd", "rd", "th", "t")
+
+
 def norm_grade(grade: Column) -> Column:
     """A grade's canonical key: '9'..'12' style numbers (ordinals and leading zeros read), FR SO JR SR RS for class words; else as it stands."""
     g = F.trim(grade)
+    low = F.lower(g)
     head = F.lower(F.rtrim(F.regexp_replace(F.split_part(g, F.lit("-"), F.lit(1)), r"[. ]+$", "")))
-    number = F.regexp_extract(F.lower(g), r"^0*([0-9]{1,2})(?:st|nd|rd|th|t)?\.?$", 1)
-    return F.coalesce(_lookup(CLASS_WORDS, head), F.when(number != "", number), g)
+    after = F.ltrim(low, F.lit("0123456789"))  # what is left behind the leading digits
+    number = F.substr(low, F.lit(1), F.length(low) - F.length(after)).try_cast("int")
+    known = F.when(F.endswith(after, F.lit(".")), F.substr(after, F.lit(1), F.length(after) - 1)).otherwise(after).isin(*NUMBER_ENDS)
+    return F.coalesce(_lookup(CLASS_WORDS, head), F.when(known & (number < 100), number.cast("string")), g)
 
 
 def level_of(grade: Column) -> Column:

@@ -106,7 +106,7 @@ def chair_filter(spark, sf):
 
 
 _GRADES = ["9", "10th", "012", "FR-1", "Freshman", "sr.", "7t", "2024", "13-14", " ", "JR", "11"]
-_G = "g AS (SELECT c_custkey AS id, (['9', '10th', '012', 'FR-1', 'Freshman', 'sr.', '7t', '2024', '13-14', ' ', 'JR', '11'])[CAST(c_custkey % 12 AS INTEGER) + 1] AS grade, (['M', 'f', 'X'])[CAST(c_custkey % 3 AS INTEGER) + 1] AS gender FROM customer), n AS (SELECT *, CASE lower(rtrim(split_part(trim(grade), '-', 1), '. ')) WHEN 'fr' THEN 'FR' WHEN 'freshman' THEN 'FR' WHEN 'sr' THEN 'SR' WHEN 'jr' THEN 'JR' ELSE coalesce(nullif(regexp_extract(lower(trim(grade)), '^0*([0-9]{1,2})(?:st|nd|rd|th|t)?\\.?$', 1), ''), trim(grade)) END AS norm FROM g), v AS (SELECT *, CASE WHEN norm IN ('FR', 'SO', 'JR', 'SR', 'RS') THEN 'college' WHEN TRY_CAST(norm AS INTEGER) BETWEEN 6 AND 8 THEN 'ms' WHEN TRY_CAST(norm AS INTEGER) BETWEEN 9 AND 12 THEN 'hs' END AS level FROM n)"
+_G = "g AS (SELECT c_custkey AS id, (['9', '10th', '012', 'FR-1', 'Freshman', 'sr.', '7t', '2024', '13-14', ' ', 'JR', '11'])[CAST(c_custkey % 12 AS INTEGER) + 1] AS grade, (['M', 'f', 'X'])[CAST(c_custkey % 3 AS INTEGER) + 1] AS gender FROM customer), n AS (SELECT *, CASE lower(rtrim(split_part(trim(grade), '-', 1), '. ')) WHEN 'fr' THEN 'FR' WHEN 'freshman' THEN 'FR' WHEN 'sr' THEN 'SR' WHEN 'jr' THEN 'JR' ELSE coalesce(CASE WHEN ltrim(lower(trim(grade)), '0123456789') IN ('', '.', 'st', 'nd', 'rd', 'th', 't', 'st.', 'nd.', 'rd.', 'th.', 't.') AND num < 100 THEN CAST(num AS VARCHAR) END, trim(grade)) END AS norm FROM (SELECT *, TRY_CAST(substr(trim(grade), 1, length(trim(grade)) - length(ltrim(lower(trim(grade)), '0123456789'))) AS INTEGER) AS num FROM g)), v AS (SELECT *, CASE WHEN norm IN ('FR', 'SO', 'JR', 'SR', 'RS') THEN 'college' WHEN TRY_CAST(norm AS INTEGER) BETWEEN 6 AND 8 THEN 'ms' WHEN TRY_CAST(norm AS INTEGER) BETWEEN 9 AND 12 THEN 'hs' END AS level FROM n)"
 
 
 def _grades(spark, sf):
