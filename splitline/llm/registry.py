@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, katz, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc
+from . import decontam, katz, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc, whiten
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kdtree_top_k": op1_kdtree_top_k,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_revisit_resolution": op8_revisit_resolution,
         "op9_countmin_substring": op9_countmin_substring,
         "op10_unigram_pieces": op10_unigram_pieces,
+        "op11_covariance_whitening": op11_covariance_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
