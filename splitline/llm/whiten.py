@@ -1,6 +1,7 @@
 """Embedding whitening by a two-pass covariance.
 
-1. First pass: number, length and exact integer sums of the fitted vectors, as Spark aggregates; the mean is S / n.
+1. First pass: number, length and exact integer sums of the fitted vectors, per
+   task in NumPy and merged as Python integers; the mean is S / n.
 2. Second pass: every task centres its vectors in blocks and adds their outer
    products (one NumPy matrix product a block); treeAggregate merges the tasks'
    d x d sums in several levels, so the driver gets a few matrices whatever the
@@ -11,7 +12,7 @@
 4. A third pass measures the covariance of the whitened rows: its largest
    difference from the identity is reported on every row.
 
-Entries are fixed point: x = floor(scale * c) + shift, c as double. Sums and the
+Entries are fixed point: x = floor(1024 * c) + 100000, c as double. Sums and the
 squared deviation are exact integers; a sum or deviation beyond 64 bits, or an
 entry beyond 2**53, is an error and not a wrapped number.
 
@@ -31,27 +32,61 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 SCALE, SHIFT = 1024, 100_000
 EXACT = 1 << 53
 
 
-def fixed(embedding: Column, scale: int = SCALE, shift: int = SHIFT) -> Column:
-    """floor(scale * c) + shift of every entry as longs; null where the vector is null or empty or an entry is null or not finite."""
-    c = lambda v: v.cast("double")
-    finite = F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(c(v)) & (F.abs(c(v)) != float("inf")))
-    return F.when(finite & (F.size(embedding) > 0), F.transform(embedding, lambda v: F.floor(c(v) * scale) + shift))
+def _fixed(column: pa.Array):
+    """(places, x) for each length of the vectors of ``column`` that take part: where they stand, and their entries as int64 in fixed point."""
+    values = column.flatten().to_numpy(zero_copy_only=False)  # null entries become NaN
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    stop = np.cumsum(length)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    good = (length > 0) & (bad[stop] == bad[stop - length])
+    for d in np.unique(length[good]).tolist():
+        at = np.flatnonzero(good & (length == d))
+        x = np.floor(values[(stop[at] - d)[:, None] + np.arange(d)] * SCALE)
+        if np.abs(x).max() > EXACT - SHIFT:
+            raise OverflowError("an entry does not fit 53 bits")
+        yield at, x.astype(np.int64) + SHIFT
 
 
 def _blocks(batches, d: int):
-    """(ids, rows of int64) of each Arrow batch of (vec_id, x)."""
+    """(ids, x) of the vectors of length ``d`` in each Arrow batch of (vec_id, embedding)."""
     for b in batches:
-        if b.num_rows:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            if np.abs(x).max() > EXACT:
-                raise OverflowError("an entry does not fit 53 bits")
-            yield b.column(0), x
+        for at, x in _fixed(b.column(1)):
+            if x.shape[1] == d:
+                yield b.column(0).take(pa.array(at)), x
+
+
+def _totals(rows: DataFrame) -> dict[int, tuple[int, list[int]]]:
+    """By length: the number of vectors and their exact sums."""
+
+    def run(batches):
+        n, sums = {}, {}
+        for b in batches:
+            for at, x in _fixed(b.column(1)):
+                d = x.shape[1]
+                n[d] = n.get(d, 0) + len(at)
+                part = x.sum(axis=0) if len(at) * int(np.abs(x).max()) < 1 << 62 else x.astype(object).sum(axis=0)
+                sums[d] = [int(p) + q for p, q in zip(part, sums.get(d, [0] * d))]
+        for d in n:
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([n[d]], pa.int64()), pa.array([list(map(str, sums[d]))], pa.list_(pa.string()))], names=["d", "n", "s"])
+
+    def add(total, r):
+        return both(total, {r.d: (r.n, list(map(int, r.s)))})
+
+    def both(a, b):
+        out = dict(a)
+        for d, (n, s) in b.items():
+            m, t = out.get(d, (0, [0] * d))
+            out[d] = (m + n, [p + q for p, q in zip(s, t)])
+        return out
+
+    return rows.mapInArrow(run, "d int, n long, s array<string>").rdd.treeAggregate({}, add, both, depth=3)
 
 
 def _merged(parts: DataFrame, d: int) -> np.ndarray:
@@ -91,24 +126,15 @@ class Whitening:
         return np.array([s // self.n + (s % self.n) / self.n for s in self.sums])
 
 
-def vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embedding", scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
-    """(vec_id, x): the vectors that take part, in fixed point and of one length."""
-    x = rows.select(F.col(f"`{key}`").cast("long").alias("vec_id"), fixed(F.col(f"`{embedding}`"), scale, shift).alias("x")).where(F.col("x").isNotNull())
-    lengths = x.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return x.where(F.lit(False)) if lengths is None else x.where(F.size("x") == lengths["d"])
-
-
-def fit(x: DataFrame, k: int = 8) -> Whitening | None:
-    """The whitening of ``x`` (see :func:`vectors`); None where there are no rows."""
-    head = x.select(F.size("x").alias("d")).first()
-    if head is None:
+def fit(rows: DataFrame, k: int = 8) -> Whitening | None:
+    """The whitening of ``rows`` (vec_id, embedding array<double>); None where none takes part."""
+    totals = _totals(rows)
+    if not totals:
         return None
-    d = head["d"]
-    # decimal sums are exact, whatever the number of rows
-    sums = x.agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i].cast("decimal(19,0)")).alias(f"s{i}") for i in range(d)]).first()
-    model = Whitening(sums["n"], [int(sums[f"s{i}"]) for i in range(d)], np.zeros((d, 0)), np.zeros(0))
+    d = max(totals, key=lambda d: (totals[d][0], d))
+    model = Whitening(*totals[d], np.zeros((d, 0)), np.zeros(0))
     mean = model.mean
-    v = _merged(_outer(x, d, lambda b: b - mean), d) / model.n
+    v = _merged(_outer(rows, d, lambda b: b - mean), d) / model.n
     values, directions = np.linalg.eigh(v)
     order = np.argsort(-values, kind="stable")[:k]
     order = order[values[order] > 1e-12 * max(values[-1], 0.0)] if values[-1] > 0 else order[:0]
@@ -118,7 +144,7 @@ def fit(x: DataFrame, k: int = 8) -> Whitening | None:
     return model
 
 
-def identity_error(x: DataFrame, model: Whitening) -> float:
+def identity_error(rows: DataFrame, model: Whitening) -> float:
     """The largest absolute entry of the whitened rows' covariance (divisor n) less the identity, measured over all rows."""
     d, k = model.projection.shape
     mean, p, one = model.mean, model.projection, np.ones
@@ -131,12 +157,12 @@ def identity_error(x: DataFrame, model: Whitening) -> float:
             total += z.T @ z
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    got = _merged(x.mapInArrow(run, "m binary"), k + 1) / model.n
+    got = _merged(rows.mapInArrow(run, "m binary"), k + 1) / model.n
     return float(np.abs(got[:k, :k] - np.outer(got[k, :k], got[k, :k]) - np.eye(k)).max())  # the rows are centred already, so their mean is rounding alone
 
 
-def transform(x: DataFrame, model: Whitening, error: float) -> DataFrame:
-    """vec_id, component, n, deviation, whitened, explained, identity_error: a row for each row of ``x`` and component."""
+def transform(rows: DataFrame, model: Whitening, error: float) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error: a row for each row that takes part and component."""
     d, k = model.projection.shape
     n, mean, p, explained = model.n, model.mean, model.projection, model.explained
     sums = np.array(model.sums, dtype=object)
@@ -156,16 +182,16 @@ def transform(x: DataFrame, model: Whitening, error: float) -> DataFrame:
     def run(batches):
         for ids, b in _blocks(batches, d):
             w = (b - mean) @ p
-            rows = np.repeat(np.arange(len(b)), k)
+            at = np.repeat(np.arange(len(b)), k)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(b))), pa.array(np.full(len(rows), n, dtype=np.int64)),
-                    pa.array(np.array(deviations(b), dtype=np.int64)[rows]), pa.array(w.ravel()), pa.array(np.tile(explained, len(b))), pa.array(np.full(len(rows), error)),
+                    ids.take(pa.array(at)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(b))), pa.array(np.full(len(at), n, dtype=np.int64)),
+                    pa.array(np.array(deviations(b), dtype=np.int64)[at]), pa.array(w.ravel()), pa.array(np.tile(explained, len(b))), pa.array(np.full(len(at), error)),
                 ],
                 names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
             )
 
-    return x.mapInArrow(run, RESULT)
+    return rows.mapInArrow(run, RESULT)
 
 
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -173,8 +199,8 @@ RESULT = "vec_id long, component int, n long, deviation long, whitened double, e
 
 def whiten(rows: DataFrame, k: int = 8, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Fits the whitening on ``rows`` and applies it to them."""
-    x = vectors(rows, key, embedding)
-    model = fit(x, k)
+    own = rows.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
+    model = fit(own, k)
     if model is None or not model.projection.shape[1]:
         return rows.sparkSession.createDataFrame([], RESULT)
-    return transform(x, model, identity_error(x, model))
+    return transform(own, model, identity_error(own, model))
