@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import collocations, decontam, katz, kdtree, nearjoin, pieces, pii, quality, repair, substring, warc, whiten
+from . import collocations, decontam, katz, kdtree, nearjoin, pieces, pii, quality, repair, secrets, substring, warc, whiten
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op11_covariance_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_countmin_substring": op9_countmin_substring,
         "op10_unigram_pieces": op10_unigram_pieces,
         "op11_covariance_whitening": op11_covariance_whitening,
+        "op12_randomness_secrets": op12_randomness_secrets,
         "op13_phrase_collocations": op13_phrase_collocations,
         "pipeline": corpus_pipeline.run,
     }
