@@ -14,10 +14,10 @@ def slots(keys: np.ndarray, shift: int = 64 - BITS) -> np.ndarray:
     return (keys.astype(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << BITS) - 1)
 
 
-def build(keys: DataFrame, column: str, shift: int = 64 - BITS) -> np.ndarray:
-    """0/1 bytes per slot, BITS bits of a key from ``shift`` up, of the non-null long keys in ``column``. At most 2**(BITS-BLOCK) blocks of
-    bits reach the driver: one megabyte."""
-    slot = F.shiftrightunsigned(F.col(column), shift).bitwiseAND((1 << BITS) - 1)
+def build(keys: DataFrame, column: str, shift: int = 64 - BITS, bits: int = BITS) -> np.ndarray:
+    """0/1 bytes per slot, ``bits`` bits of a key from ``shift`` up, of the non-null long keys in ``column``. At most 2**(bits-BLOCK) blocks of
+    bits reach the driver: one megabyte for 2**23 slots."""
+    slot = F.shiftrightunsigned(F.col(column), shift).bitwiseAND((1 << bits) - 1)
     blocks = (
         keys.where(F.col(column).isNotNull())
         .select(F.shiftright(slot, BLOCK).cast("int").alias("block"), slot.bitwiseAND((1 << BLOCK) - 1).cast("int").alias("bit"))
@@ -38,7 +38,7 @@ def build(keys: DataFrame, column: str, shift: int = 64 - BITS) -> np.ndarray:
                 out.append(np.packbits(m).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], names=["block", "m"])
 
-    found = np.zeros(1 << BITS, dtype=np.uint8)
+    found = np.zeros(1 << bits, dtype=np.uint8)
     for r in blocks.mapInArrow(pack, "block int, m binary").collect():
         found[r.block << BLOCK : (r.block + 1) << BLOCK] = np.unpackbits(np.frombuffer(bytes(r.m), dtype=np.uint8))
     return found

@@ -3,11 +3,17 @@
 Texts are lower-cased (A-Z only) and split at ``[.,;:!?\\x0A-\\x0D]`` into pieces,
 those at spaces and tabs into words. Everything is counted per ``lang``.
 
-1. Every word and every run of 2 to ``max_n`` words inside a piece becomes a row;
-   rows are hash-aggregated per (language, phrase), in each task before the
-   shuffle. Rows under ``floor`` occurrences are then folded into one per
-   language, which keeps the number of all words. A phrase is never commoner than
-   its parts or than what it extends, so nothing else is ever looked up.
+1. Every word and every run of up to ``max_n`` words inside a piece becomes a row
+   (language, phrase, count), combined per chunk of some million words in NumPy
+   first; Spark hash-aggregates the rows per (language, phrase). Words and pairs
+   are counted from one reading. A run of three words or more is made only where
+   both its one word shorter parts may reach ``floor`` (a bitmap of their hashes,
+   which has no false negatives and is sized from their number, at most
+   2**``MOST_BITS`` bits): a phrase is never commoner than its parts, so no other
+   can be a candidate, extend one or be a part of one. That takes one more reading
+   per length and keeps most of the rows, those of rare runs, out of the shuffle.
+   Rows under ``floor`` are then folded into one per language, which keeps the
+   number of all words.
 2. Candidates are the phrases of 2 words and more. Each cut after k words joins
    the counts of its two parts, l and r; the score floor(10**6 * a * a / (l * r))
    is computed in Decimal. The lowest cut counts, ties to the smallest k.
@@ -18,8 +24,8 @@ those at spaces and tabs into words. Everything is counted per ``lang``.
 4. The first ``top`` of each language by score, count and phrase: ranked within
    ``SALTS`` slices of a language first, so that no task sorts a whole language.
 
-Everything is DataFrame operations. A language may hold most rows: the counts are
-keyed by phrase as well, and totals are sums. A word that begins or ends very many
+A language may hold most rows: the counts are keyed by phrase as well, so that a
+hot phrase is one row a chunk, and totals are sums. A word that begins or ends very many
 candidates makes a skewed join side, which Spark's adaptive execution splits.
 
 Defined cases: a null text is empty; a null language is ``und``, together with
@@ -31,35 +37,172 @@ passes 38 digits are an error.
 
 from __future__ import annotations
 
+import math
+import re
 import string
+from collections import defaultdict
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from . import bitmap
+from .common import materialize, mix, text_bytes
 
-BREAKS = r"[.,;:!?\x0A-\x0D]"
 SALTS = 64
+#: Words that are counted together before their rows are sent, and bytes of text that are cut into words at a time.
+CHUNK, SLICE = 2_500_000, 4_000_000
+LEAST_BITS, MOST_BITS = 16, 27
+#: Ends of pieces become a byte that no UTF-8 text holds.
+_END = b"\xff"
+_BREAKS = bytes(c if chr(c) not in ".,;:!?\n\v\f\r" else 255 for c in range(256))
+_GAP = re.compile(rb"[\x20\x09\xff]")
 
 
-def grams(docs: DataFrame, max_n: int = 3) -> DataFrame:
-    """(lang, phrase): one row for every occurrence of every run of 1 to ``max_n`` words within a piece."""
-    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(lower, BREAKS)).alias("piece"))
-    bare = pieces.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    words = bare.select("lang", F.split("piece", r"[\x20\x09]+").alias("words"))
-    at = words.select("lang", "words", F.posexplode("words").alias("i", "word"))
-    run, runs = F.col("word"), [F.col("word")]
-    for k in range(1, max_n):
-        run = F.concat(run, F.lit(" "), F.get("words", F.col("i") + k))  # null past the piece's end
-        runs.append(run)
-    return at.select("lang", F.explode(F.array(*runs)).alias("phrase")).where("phrase IS NOT NULL")
+class _Words:
+    """Texts of one language as codes of their words, 0 at the ends of pieces."""
 
+    def __init__(self):
+        self.code = defaultdict(None, {_END: 0})
+        self.code.default_factory = self.code.__len__
+        self.runs: list[np.ndarray] = []
+        self.size = 0
 
-def counts(docs: DataFrame, max_n: int, floor: int) -> DataFrame:
-    """(lang, phrase, f, words): phrases with f >= floor, and one row with a null phrase for all others of a language; words sums to the language's words."""
-    f = grams(docs, max_n).groupBy("lang", "phrase").agg(F.count("*").alias("f"))
-    single = F.when(F.instr("phrase", " ") == 0, F.col("f")).otherwise(0)
-    return f.groupBy("lang", F.when(F.col("f") >= floor, F.col("phrase")).alias("phrase")).agg(F.max("f").alias("f"), F.sum(single).alias("words"))
+    def add(self, text: bytes) -> None:
+        """Slices are cut at a gap, so that words and the runs over a cut stay whole."""
+        text, at = text.lower().translate(_BREAKS), 0  # bytes.lower() knows A-Z only
+        while at < len(text):
+            gap = _GAP.search(text, at + SLICE) if at + SLICE < len(text) else None
+            stop = gap.start() if gap else len(text)
+            words = text[at:stop].replace(_END, b" \xff ").split()  # of bytes: at spaces and tabs, the breaks are gone
+            self.runs.append(np.fromiter(map(self.code.__getitem__, words), np.int32, len(words)))
+            self.size += len(words)
+            at = stop
+        self.runs.append(np.zeros(1, np.int32))
+
+    def parts(self) -> tuple[np.ndarray, pa.Array]:
+        return np.concatenate(self.runs), pa.array(list(self.code), pa.binary())
+
+
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def _keys(hashes: list[np.ndarray]) -> np.ndarray:
+    """Keys of runs of words, from the hashes of their first, second, ... words."""
+    total = np.zeros(len(hashes[0]), dtype=np.uint64)
+    for j, h in enumerate(hashes):
+        total += mix(h + np.uint64(j + 1))
+    return mix(total)
+
+
+def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
+    seed = _seed(lang)
+    return np.array([xxhash.xxh3_64_intdigest(w, seed=seed) for w in words], dtype=np.uint64)
+
+
+def _runs(codes: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of each distinct run of n words as rows, their counts)."""
+    at = np.flatnonzero(codes[: len(codes) - n + 1] > 0) if len(codes) >= n else np.zeros(0, np.int64)
+    for j in range(1, n):
+        at = at[codes[at + j] > 0]
+    return _distinct(codes, at, n, size)
+
+
+def _distinct(codes: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    key, heads = codes[at].astype(np.int64), []
+    for j in range(1, n):  # runs of j words are numbered, so that a number and a word fit 64 bits
+        if j > 1:
+            head, key = np.unique(key, return_inverse=True)
+            heads.append(head)
+        key = key * size + codes[at + j]
+    key, counts = np.unique(key, return_counts=True)
+    columns = []
+    while heads:
+        columns.append(key % size)
+        key = heads.pop()[key // size]
+    columns += [key % size, key // size] if n > 1 else [key]
+    return np.stack(columns[::-1], axis=1) if len(key) else np.zeros((0, n), np.int64), counts
+
+
+def _phrases(rows: np.ndarray, words: pa.Array) -> pa.Array:
+    parts = [words.take(pa.array(rows[:, j])) for j in range(rows.shape[1])]
+    return (parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))).cast(pa.string())
+
+
+def grams(docs: DataFrame, lengths: list[int], frequent: np.ndarray | None = None) -> DataFrame:
+    """(lang, phrase, f): the runs of so many words of each chunk with their counts there. ``frequent``: a bitmap; only runs whose parts
+    without their last and without their first word are in it."""
+    sent = None if frequent is None else docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
+    bits = None if frequent is None else int(math.log2(len(frequent)))
+
+    def counted(lang: str, texts: _Words):
+        codes, words = texts.parts()
+        size = len(words)
+        for n in lengths:
+            if sent is None:
+                rows, counts = _runs(codes, n, size)
+            else:
+                known = np.frombuffer(sent.value, dtype=np.uint8)
+                hashes = np.concatenate([np.zeros(1, np.uint64), _word_hashes(words.to_pylist()[1:], lang)])
+                at = np.flatnonzero(codes[: max(0, len(codes) - n + 1)] > 0)
+                for j in range(1, n):
+                    at = at[codes[at + j] > 0]
+                for start in (0, 1):
+                    slot = (_keys([hashes[codes[at + start + j]] for j in range(n - 1)]) >> np.uint64(64 - bits)).astype(np.int64)
+                    at = at[(known[slot >> 3] >> (7 - (slot & 7))) & 1 > 0]
+                rows, counts = _distinct(codes, at, n, size)
+            for i in range(0, len(rows), 100_000):
+                part = _phrases(rows[i : i + 100_000], words)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(counts[i : i + 100_000].astype(np.int64))], names=["lang", "phrase", "f"])
+
+    def run(batches):
+        open_: dict[str, _Words] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+                open_.setdefault(lang, _Words()).add(text)
+                if sum(w.size for w in open_.values()) >= CHUNK:
+                    for key, words in open_.items():
+                        yield from counted(key, words)
+                    open_ = {}
+        for key, words in open_.items():
+            yield from counted(key, words)
+
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "lang string, phrase string, f long")
+
+
+def _bitmap(known: DataFrame) -> np.ndarray:
+    """A bitmap of the phrases' keys, of 16 bits a phrase while that is at most 2**MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, known.count())))))
+
+    def run(batches):
+        for b in batches:
+            keys = []
+            for lang, phrase in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+                keys.append(_keys([h[None] for h in _word_hashes(phrase.split(b" "), lang)])[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64))], names=["key"])
+
+    return bitmap.build(known.select("lang", "phrase").mapInArrow(run, "key long"), "key", 64 - bits, bits)
+
+
+def counts(docs: DataFrame, max_n: int, floor: int) -> list[DataFrame]:
+    """(lang, phrase, f, words, size) by reading: phrases with f >= floor, and rows with a null phrase for all others; the first reading's words
+    sum to the language's words."""
+
+    def summed(rows: DataFrame) -> DataFrame:
+        f = rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        single = F.when(F.instr("phrase", " ") == 0, F.col("f")).otherwise(0)
+        return f.groupBy("lang", F.when(F.col("f") >= floor, F.col("phrase")).alias("phrase")).agg(F.max("f").alias("f"), F.sum(single).alias("words"))
+
+    size = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
+    levels = [materialize(summed(grams(docs, [n for n in (1, 2) if n <= max_n])).withColumn("size", size), "collocations")]
+    for n in range(3, max_n + 1):
+        parts = levels[-1].where(F.col("size") == n - 1)
+        levels.append(materialize(summed(grams(docs, [n], _bitmap(parts))).withColumn("size", size), "collocations"))
+    return levels
 
 
 def _first_words(k: Column) -> Column:
@@ -82,10 +225,9 @@ def scored(known: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = 3, floor: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases."""
-    all_counts = materialize(counts(docs, max_n, floor), "collocations")
-    totals = all_counts.groupBy("lang").agg(F.sum("words").alias("n"))
-    size = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
-    known = all_counts.where("phrase IS NOT NULL").select("lang", "phrase", "f", size.alias("size"))
+    levels = counts(docs, max_n, floor)
+    totals = levels[0].groupBy("lang").agg(F.sum("words").alias("n"))
+    known = reduce(DataFrame.unionByName, levels).where("phrase IS NOT NULL").select("lang", "phrase", "f", "size")
     candidates = known.where("size >= 2").withColumnRenamed("f", "a")
     less = F.array(_first_words(F.col("size") - 1), _first_words(1 - F.col("size")))
     longer = candidates.where("size >= 3").select("lang", F.explode(less).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
