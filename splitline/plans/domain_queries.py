@@ -204,3 +204,22 @@ def gbt_baseline(spark, sf):
     r = races(spark, sf).join(table(spark, sf, "part"), F.col("race") == F.col("p_partkey")).select("id", F.col("mark").alias("label"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), "cell")
     held = solve.row_split(r, "id", 0.3, 5)
     return solve.gbt_baseline(held, ["price", "size", "cell"], "label").select("id", "held", "label", "prediction")
+
+
+def joint_rows(spark, sf):
+    """Line items as results for the joint solve: customer, supplier, the supplier's month as its race day, log price, day of year, and a side of +-0.5."""
+    e = races(spark, sf)
+    return e.select(
+        "id", "person", "cell", F.concat_ws("|", F.col("cell").cast("string"), F.date_format("day", "yyyy-MM")).alias("race"), F.log("mark").alias("y"), F.dayofyear("day").cast("double").alias("day"),
+        (F.col("team") % 2 - 0.5).cast("double").alias("side"),
+    )
+
+
+@query()
+def joint_difficulties(spark, sf):
+    """Courses and race days of a joint solve with abilities, sport offsets and a season curve; planted worlds and dense least squares check it."""
+    from ..operators import joint
+
+    terms = joint.Terms(side="side", day="day", knots=[1.0, 92.0, 183.0, 274.0, 365.0], variances={"cell": 0.1, "race": 0.01, "side": 0.01})
+    effects, _ = joint.joint_solve(joint_rows(spark, sf), "id", "y", terms, sigma2=0.4)
+    return effects.where("block IN ('cell', 'race')").select("block", "key", "value", "centred")
