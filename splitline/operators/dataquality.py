@@ -28,7 +28,8 @@ def neighbour_z(df: DataFrame, key: str, day: str, order: str, value: str, k: in
 
 
 def fdr_cut(z: DataFrame, fit_low: float = 2.0, fit_high: float = 4.0, low: float = 5.0, high: float = 15.0, rate: float = 0.01) -> float:
-    """The smallest cut on a quarter grid at which an exponential tail fitted on [fit_low, fit_high) explains at most ``rate`` of what is seen."""
+    """The smallest cut on a quarter grid at which an exponential tail fitted on [fit_low, fit_high) explains at most ``rate`` of what is seen,
+    or past which nothing is seen; ``high`` where there is no such cut or the tail doesn't fall."""
     middle = (fit_low + fit_high) / 2
     grid = [low + 0.25 * i for i in range(int((high - low) * 4) + 1)]
     a = F.abs(F.col("z"))
@@ -38,7 +39,7 @@ def fdr_cut(z: DataFrame, fit_low: float = 2.0, fit_high: float = 4.0, low: floa
     slope = math.log(seen["n1"] / seen["n2"]) / (middle - fit_low)
     scale = seen["n1"] * slope / (math.exp(-slope * fit_low) - math.exp(-slope * middle))
     for i, c in enumerate(grid):
-        if seen[f"g{i}"] and scale / slope * math.exp(-slope * c) <= rate * seen[f"g{i}"]:
+        if not seen[f"g{i}"] or scale / slope * math.exp(-slope * c) <= rate * seen[f"g{i}"]:
             return c
     return high
 

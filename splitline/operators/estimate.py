@@ -108,10 +108,10 @@ def tukey_weights(r: np.ndarray, scale: float, c: float) -> np.ndarray:
     return (1 - u**2) ** 2
 
 
-def robust_shape(edges: DataFrame, a: str, b: str, degree: int, c: float = 4.685, rounds: int = 30) -> list[float]:
+def robust_shape(edges: DataFrame, a: str, b: str, degree: int, c: float = 4.685, rounds: int = 500) -> list[float]:
     """Coefficients g_1 .. g_degree of a polynomial potential in log distance fitted to edges (log ratio of b over a, with se) by Tukey reweighting.
 
-    The edges are medians per transition, few; they are brought to the driver.
+    The edges are medians per transition, few; they are brought to the driver. Raises where the weights don't settle.
     """
     rows = edges.select(a, b, "edge", "se").collect()
     x = np.array([[np.log(r[1]) ** k - np.log(r[0]) ** k for k in range(1, degree + 1)] for r in rows])
@@ -122,9 +122,9 @@ def robust_shape(edges: DataFrame, a: str, b: str, degree: int, c: float = 4.685
         r = (y - x @ g) * w0
         new = tukey_weights(r, 1.4826 * float(np.median(np.abs(r - np.median(r)))), c)
         if np.abs(new - w).max() < 1e-9:
-            break
+            return g.tolist()
         w = new
-    return g.tolist()
+    raise RuntimeError(f"the robust weights did not settle in {rounds} rounds")
 
 
 def spline_basis(column: str, knots: list[float]) -> list:

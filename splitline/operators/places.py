@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves, text
@@ -114,9 +116,23 @@ def trusted_grades(rows: DataFrame, person: str, season: str, grade: str, least:
     )
 
 
-def wrong_years(meets: DataFrame, rows: DataFrame, least: int, share: float) -> DataFrame:
-    """(meet, shift, votes, voters): meets whose date should move by whole years. A voter is an athlete of the meet with seasons elsewhere; it votes
-    for the shift, of -1, 0 and 1 years, that lands nearest its other seasons. rows: meet, person, year; meets: meet, year."""
+def binomial_tail(votes: Column, voters: Column, chance: float) -> Column:
+    """The probability of ``votes`` or more of ``voters`` where each has ``chance``. Terms follow from each other in logs, so many voters don't underflow."""
+    odds, first = math.log(chance / (1 - chance)), math.log(1 - chance)
+    begin = F.struct((voters * F.lit(first)).alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(at: Column, k: Column) -> Column:
+        more = F.when(k >= votes, F.exp(at["term"])).otherwise(0.0)
+        return F.struct((at["term"] + F.log((voters - k) / (k + 1.0)) + F.lit(odds)).alias("term"), (at["sum"] + more).alias("sum"))
+
+    below = F.aggregate(F.sequence(F.lit(0).cast("long"), voters.cast("long") - 1), begin, step)  # all but the last term
+    return F.when(voters <= 0, 1.0).otherwise(F.least(F.lit(1.0), below["sum"] + F.when(votes <= voters, F.exp(voters * F.lit(math.log(chance)))).otherwise(0.0)))
+
+
+def wrong_years(meets: DataFrame, rows: DataFrame, least: int, share: float, chance: float, alpha: float) -> DataFrame:
+    """(meet, shift, votes, voters, chance): meets whose date should move by whole years. A voter is an athlete of the meet with seasons elsewhere; it votes
+    for the shift, of -1, 0 and 1 years, that lands nearest its other seasons. The votes must be more than wrong votes of probability ``chance``
+    each explain: their binomial tail is at most ``alpha``. rows: meet, person, year; meets: meet, year."""
     entry = rows.select("meet", "person").distinct().join(meets, "meet")
     elsewhere = rows.select("person", F.col("meet").alias("_m"), F.col("year").alias("_y")).distinct()
     seen = entry.join(elsewhere, "person").where("_m <> meet").groupBy("meet", "person", "year").agg(F.collect_set("_y").alias("ys"))  # a person's years
@@ -124,7 +140,7 @@ def wrong_years(meets: DataFrame, rows: DataFrame, least: int, share: float) ->
     vote = F.when((miss(0) <= miss(1)) & (miss(0) <= miss(-1)), 0).when(miss(-1) < miss(1), -1).when(miss(1) < miss(-1), 1)
     counted = seen.withColumn("shift", vote).groupBy("meet").agg(F.count("*").alias("voters"), *[F.count_if(F.col("shift") == s).alias(f"v{s + 1}") for s in (-1, 0, 1)])
     best = F.greatest("v0", "v2")
-    return counted.where((F.col("voters") >= least) & (best >= share * F.col("voters"))).select("meet", F.when(F.col("v0") >= F.col("v2"), -1).otherwise(1).alias("shift"), best.alias("votes"), "voters")
+    return counted.where((F.col("voters") >= least) & (best >= share * F.col("voters"))).select("meet", F.when(F.col("v0") >= F.col("v2"), -1).otherwise(1).alias("shift"), best.alias("votes"), "voters", binomial_tail(best, F.col("voters"), chance).alias("chance")).where(F.col("chance") <= alpha)
 
 
 def distance_verdicts(gaps: DataFrame, race: str, gap: str, listed: str, candidates: list[float], least: int, within: float) -> DataFrame:

@@ -23,7 +23,7 @@ def two_way_cg(df: DataFrame, person: str, cell: str, value: str, tol: float = 1
     """Difficulties of y = person + cell + e by conjugate gradients on the normal equations with persons swept out.
 
     Each product D'MDv is two joins and aggregates on (person, cell) counts, so no row is revisited; the exact Jacobi
-    diagonal is sum over persons of n_pc - n_pc^2 / n_p. Vectors stay DataFrames by cell; scalars come to the driver.
+    diagonal is sum over persons of n_pc - n_pc^2 / n_p. Vectors stay DataFrames by cell; scalars come to the driver. Raises where it doesn't settle.
     """
     out = cell
     df = df.select(F.col(person).alias("_person"), F.col(cell).alias("_cell"), F.col(value).cast("double").alias("_y"))
@@ -40,12 +40,14 @@ def two_way_cg(df: DataFrame, person: str, cell: str, value: str, tol: float = 1
     state = start.select(cell, F.lit(0.0).alias("x"), "r", "diag", F.when(F.col("diag") > 0, F.col("r") / F.col("diag")).otherwise(0.0).alias("p")).checkpoint()
     rz = first = state.agg(F.sum(F.col("r") * F.col("p"))).first()[0] or 0.0
     used = 0
-    while used < max_iter and rz > tol * max(first, 1e-300):
+    while rz > tol * max(first, 1e-300):
+        if used == max_iter or rz > 1e12 * first:
+            raise RuntimeError(f"conjugate gradients did not settle: residual {rz / first:.3g} of the first after {used} products")
         q = product(state.select(cell, "p"), "p")
         both = state.join(q, cell).checkpoint()
         pq = both.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if not pq or pq <= 0:
-            break
+        if not pq > 0:
+            raise RuntimeError("conjugate gradients met a direction without curvature")
         a = rz / pq
         z = F.when(F.col("diag") > 0, F.col("r") / F.col("diag")).otherwise(0.0)
         moved = both.select(cell, (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("q")).alias("r"), "diag", "p").withColumn("z", z).checkpoint()
@@ -81,10 +83,10 @@ def node_potentials(edge_table: DataFrame, a: str, b: str, reference) -> dict:
     return dict(zip(nodes, (g - g[at[reference]]).tolist()))
 
 
-def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[str], rounds: int = 25, tol: float = 1e-9) -> list[float]:
+def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[str], rounds: int = 500, tol: float = 1e-9) -> list[float]:
     """Coefficients of y on xs after sweeping out persons and events by alternating demeaning; the Gram matrix is one aggregate.
 
-    Stops when no event mean that a pass takes away is above ``tol`` times the column's spread, or after ``rounds`` passes.
+    Stops when no event mean that a pass takes away is above ``tol`` times the column's spread; raises where ``rounds`` passes don't get there.
     """
     names = [y, *xs]
     cur = df.select(person, event, *[F.col(c).cast("double").alias(c) for c in names])
@@ -98,6 +100,8 @@ def within_regression(df: DataFrame, person: str, event: str, y: str, xs: list[s
         cur = step.select(person, event, *names)
         if all((moved[c] or 0.0) <= tol * max(spread[c] or 0.0, 1e-300) for c in names):
             break
+    else:
+        raise RuntimeError(f"the within regression did not settle in {rounds} passes")
     pairs = [(a, b) for a in xs for b in names]
     got = cur.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs]).first()
     gram = np.array([[got[f"{a}|{b}"] for b in xs] for a in xs])

@@ -78,13 +78,19 @@ def neighbour_z(spark, sf):
     return got.where("z IS NOT NULL").select("id", F.round("z", 6).alias("z"))
 
 
-@query(f"""WITH {R}, m AS (SELECT person, avg(mark) AS mean FROM r GROUP BY person), g AS (SELECT dayno, mark - mean AS gap FROM r JOIN m USING (person)), s AS (SELECT dayno, quantile_cont(gap, 0.5) AS shift, count(*) AS n, avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END) AS above FROM g GROUP BY dayno HAVING count(*) >= 5),
-z AS (SELECT *, shift / sqrt(25.0 + CAST(1.5707963267948966 AS DOUBLE) * 2500.0 / n) AS z FROM s)
-SELECT dayno, n, round(z, 6) AS z, abs(z) > 0.5 AND CASE WHEN shift > 0 THEN above ELSE 1 - above END >= 0.5 AS shifted FROM z""")
+#: The published rational approximation of the normal quantile's tail (p under 0.02425, relative error 1e-9), with q = sqrt(-2 ln p).
+_TAIL = [[-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783], [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996, 3.754408661907416, 1.0]]
+_QUANTILE = "-" + " / ".join("(" + " + ".join(f"CAST({c!r} AS DOUBLE) * q ** {len(cs) - 1 - i}" for i, c in enumerate(cs)) + ")" for cs in _TAIL)
+
+
+@query(f"""WITH {R}, m AS (SELECT person, avg(mark) AS mean FROM r GROUP BY person), g AS (SELECT dayno, mark - mean + CASE WHEN dayno % 11 = 4 THEN 60 ELSE 0 END AS gap FROM r JOIN m USING (person)), s AS (SELECT dayno, quantile_cont(gap, 0.5) AS shift, count(*) AS n, avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END) AS above FROM g GROUP BY dayno HAVING count(*) >= 5),
+z AS (SELECT *, shift / sqrt(25.0 + CAST(1.5707963267948966 AS DOUBLE) * 2500.0 / n) AS z FROM s),
+q AS (SELECT sqrt(-2 * ln(0.05 / count(*))) AS q FROM z), c AS (SELECT {_QUANTILE} AS cut FROM q)
+SELECT dayno, n, round(z, 6) AS z, abs(z) > cut AND CASE WHEN shift > 0 THEN above ELSE 1 - above END >= 2.0 / 3 AS shifted FROM z, c""")
 def race_shift_z(spark, sf):
     r = results(spark, sf)
-    gap = r.join(r.groupBy("person").agg(F.avg("mark").alias("mean")), "person").select("dayno", (F.col("mark") - F.col("mean")).alias("gap"))
-    return dq.race_shift(gap, "dayno", "gap", 5.0, 50.0, 5, cut=0.5, side=0.5).select("dayno", "n", F.round("z", 6).alias("z"), "shifted")
+    gap = r.join(r.groupBy("person").agg(F.avg("mark").alias("mean")), "person").select("dayno", (F.col("mark") - F.col("mean") + F.when(F.col("dayno") % 11 == 4, 60).otherwise(0)).alias("gap"))
+    return dq.race_shift(gap, "dayno", "gap", 5.0, 50.0, 5).select("dayno", "n", F.round("z", 6).alias("z"), "shifted")
 
 
 @query(f"""WITH {L}, m AS (SELECT race, max(CASE WHEN mark > 90000 AND team <> 3 THEN 1 ELSE 0 END) AS bad FROM l GROUP BY race) SELECT id FROM l JOIN m USING (race) WHERE bad = 1""")

@@ -193,3 +193,24 @@ def stream_static_pricing(spark, sf):
     d = table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("difficulty"))
     streams.drain(streams.priced(_stream(spark, sf), d, "event_type").select("event_id", "difficulty"), folder)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT user_id, event_id, value FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def stream_promotion(spark, sf):
+    """Landed rows promoted batch by batch: the newest row of each user, whatever was replayed."""
+    folder = _folder(spark)
+    landed = _stream(spark, sf).where("user_id IS NOT NULL").select("user_id", "event_id", "value")
+    streams.promote(landed, f"{folder}/table", f"{folder}/state", "user_id", "event_id")
+    return streams.promoted(spark, f"{folder}/table", "user_id", "event_id")
+
+
+@query("SELECT event_id, round(value * value, 6) AS square FROM events WHERE value IS NOT NULL")
+def stream_row_function(spark, sf):
+    folder = _folder(spark)
+
+    def squares(frames):
+        for f in frames:
+            yield f[["event_id"]].assign(square=f["value"] * f["value"])
+
+    streams.row_function(_stream(spark, sf).where("value IS NOT NULL").select("event_id", "value"), squares, "event_id long, square double", f"{folder}/state", f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").select("event_id", F.round("square", 6).alias("square"))

@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 from ..operators import joins, places
 from .base import L, R, query, races, results, table
 
-_P = "p AS (SELECT s_suppkey AS id, 'Park ' || CAST(s_suppkey % 4 AS VARCHAR) AS name, 30.0 + (s_suppkey * 7919 % 1000) / 2000.0 AS lat, -100.0 + (s_suppkey * 104729 % 1000) / 2000.0 AS lon FROM supplier)"
+_P = "p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Hill ' ELSE 'Park ' END || CAST(s_suppkey % 4 AS VARCHAR) AS name, 30.0 + (s_suppkey * 7919 % 1000) / 2000.0 AS lat, -100.0 + (s_suppkey * 104729 % 1000) / 2000.0 AS lon FROM supplier)"
 
 
 def _places(spark, sf):
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select(k.alias("id"), F.concat(F.lit("Park "), (k % 4).cast("string")).alias("name"), (30.0 + (k * 7919 % 1000) / 2000.0).alias("lat"), (-100.0 + (k * 104729 % 1000) / 2000.0).alias("lon"))
+    return table(spark, sf, "supplier").select(k.alias("id"), F.concat(F.when(k % 3 == 0, "Hill ").otherwise("Park "), (k % 4).cast("string")).alias("name"), (30.0 + (k * 7919 % 1000) / 2000.0).alias("lat"), (-100.0 + (k * 104729 % 1000) / 2000.0).alias("lon"))
 
 
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))"
-_NEAR = f"n AS (SELECT a.id AS a, b.id AS b, {_HAV} AS metres, CAST(CASE WHEN a.name = b.name THEN 2 ELSE 2 END AS DOUBLE) / 2 AS similarity FROM p a JOIN p b ON a.id < b.id AND {_HAV} <= 9000)"
+_NEAR = f"n AS (SELECT a.id AS a, b.id AS b, {_HAV} AS metres, (CASE WHEN levenshtein(split_part(a.name, ' ', 1), split_part(b.name, ' ', 1)) <= 1 THEN 1 ELSE 0 END + CASE WHEN levenshtein(split_part(a.name, ' ', 2), split_part(b.name, ' ', 2)) <= 1 THEN 1 ELSE 0 END) / 2.0 AS similarity FROM p a JOIN p b ON a.id < b.id AND {_HAV} <= 9000 WHERE split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1))"
 
 
 @query(f"WITH {_P}, {_NEAR} SELECT a, b, round(metres, 3) AS metres, similarity FROM n")
 def near_places(spark, sf):
-    """Names differ by one digit at most, which counts as close."""
-    return places.near_places(_places(spark, sf), 9000.0, 0.5).withColumn("metres", F.round("metres", 3))
+    """A park and a hill have one word of two in common at most, which is too little; digits are one edit apart, which is close."""
+    return places.near_places(_places(spark, sf), 9000.0, 0.6).withColumn("metres", F.round("metres", 3))
 
 
 _CANON = f"WITH {_P}, {_NEAR}, e AS (SELECT a AS s, b AS d FROM n UNION SELECT b, a FROM n), m0 AS (SELECT id, id AS c FROM p)"
@@ -33,7 +33,7 @@ for _i in range(14):
 @query(_CANON + " SELECT id, c AS canonical FROM m14")
 def canonical_places(spark, sf):
     p = _places(spark, sf)
-    return places.canonical_places(p, places.near_places(p, 9000.0, 0.5))
+    return places.canonical_places(p, places.near_places(p, 9000.0, 0.6))
 
 
 @query(f"WITH {_P}, v AS (SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, CAST(min(id) AS DOUBLE) * 3 AS elevation FROM p WHERE id % 3 = 0 GROUP BY 1, 2) SELECT p.id, coalesce(elevation, 100.0) AS elevation FROM p LEFT JOIN v ON CAST(round(p.lat * 10) AS BIGINT) = CAST(round(v.lat * 10) AS BIGINT) AND CAST(round(p.lon * 10) AS BIGINT) = CAST(round(v.lon * 10) AS BIGINT)")
@@ -104,15 +104,15 @@ def trusted_grades(spark, sf):
     return places.trusted_grades(_graded(spark, sf), "person", "season", "grade", 3)
 
 
-_YEARS = "WITH e AS (SELECT DISTINCT o_orderkey % 50 + 100 * CAST(year(o_orderdate) AS BIGINT) AS meet, o_custkey % 40 + 1000 * (o_custkey % 2) AS person, CAST(year(o_orderdate) AS BIGINT) + CASE WHEN o_orderkey % 50 = 7 THEN 9 ELSE 0 END AS year FROM orders WHERE o_custkey % 2 = year(o_orderdate) % 2)"
+_YEARS = "WITH e AS (SELECT DISTINCT o_orderkey % 50 + 100 * CAST(year(o_orderdate) AS BIGINT) AS meet, o_custkey % 40 + 1000 * (CAST(year(o_orderdate) AS BIGINT) % 2) AS person, CAST(year(o_orderdate) AS BIGINT) + CASE WHEN o_orderkey % 50 = 7 THEN 9 ELSE 0 END AS year FROM orders)"
 
 
-@query(_YEARS + ", o AS (SELECT a.meet, a.person, a.year, min(abs(b.year - a.year)) AS z, min(abs(b.year - a.year - 1)) AS p, min(abs(b.year - a.year + 1)) AS m FROM e a JOIN e b ON a.person = b.person AND a.meet <> b.meet GROUP BY ALL), v AS (SELECT meet, count(*) AS voters, count(*) FILTER (WHERE NOT (z <= p AND z <= m) AND m < p) AS v0, count(*) FILTER (WHERE NOT (z <= p AND z <= m) AND p < m) AS v2 FROM o GROUP BY meet) SELECT meet, CASE WHEN v0 >= v2 THEN -1 ELSE 1 END AS shift, greatest(v0, v2) AS votes, voters FROM v WHERE voters >= 2 AND greatest(v0, v2) >= 0.6 * voters")
+@query(_YEARS + ", o AS (SELECT a.meet, a.person, a.year, min(abs(b.year - a.year)) AS z, min(abs(b.year - a.year - 1)) AS p, min(abs(b.year - a.year + 1)) AS m FROM e a JOIN e b ON a.person = b.person AND a.meet <> b.meet GROUP BY ALL), v AS (SELECT meet, count(*) AS voters, count(*) FILTER (WHERE NOT (z <= p AND z <= m) AND m < p) AS v0, count(*) FILTER (WHERE NOT (z <= p AND z <= m) AND p < m) AS v2 FROM o GROUP BY meet) SELECT meet, CASE WHEN v0 >= v2 THEN -1 ELSE 1 END AS shift, greatest(v0, v2) AS votes, voters, round((SELECT sum(exp(lgamma(voters + 1) - lgamma(k + 1) - lgamma(voters - k + 1) + k * ln(0.25) + (voters - k) * ln(0.75))) FROM (SELECT unnest(range(greatest(v0, v2), voters + 1)) AS k)), 8) AS chance FROM v WHERE voters >= 2 AND greatest(v0, v2) >= 0.6 * voters AND (SELECT sum(exp(lgamma(voters + 1) - lgamma(k + 1) - lgamma(voters - k + 1) + k * ln(0.25) + (voters - k) * ln(0.75))) FROM (SELECT unnest(range(greatest(v0, v2), voters + 1)) AS k)) <= 0.05")
 def wrong_year_votes(spark, sf):
     o = table(spark, sf, "orders")
     y = F.year("o_orderdate").cast("long")
-    e = o.where(F.col("o_custkey") % 2 == y % 2).select((F.col("o_orderkey") % 50 + 100 * y).alias("meet"), (F.col("o_custkey") % 40 + 1000 * (F.col("o_custkey") % 2)).alias("person"), (y + F.when(F.col("o_orderkey") % 50 == 7, 9).otherwise(0)).alias("year")).distinct()
-    return places.wrong_years(e.select("meet", "year").distinct(), e, 2, 0.6)
+    e = o.select((F.col("o_orderkey") % 50 + 100 * y).alias("meet"), (F.col("o_custkey") % 40 + 1000 * (y % 2)).alias("person"), (y + F.when(F.col("o_orderkey") % 50 == 7, 9).otherwise(0)).alias("year")).distinct()
+    return places.wrong_years(e.select("meet", "year").distinct(), e, 2, 0.6, 0.25, 0.05).withColumn("chance", F.round("chance", 8))
 
 
 @query(f"WITH {L}, m AS (SELECT person, avg(ln(mark)) AS a FROM l WHERE mark > 0 GROUP BY person), s AS (SELECT race, CAST(3000 + 1000 * (race % 3) AS DOUBLE) AS listed, quantile_cont(ln(mark) - a, 0.5) AS median, count(*) AS n FROM l JOIN m USING (person) WHERE mark > 0 GROUP BY race HAVING count(*) >= 5), f AS (SELECT *, list_sort([(abs(median - ln(3000 / listed)), 3000.0), (abs(median - ln(4000 / listed)), 4000.0), (abs(median - ln(5000 / listed)), 5000.0)])[1] AS b FROM s) SELECT race, listed, CAST(b[2] AS DOUBLE) AS suggested, round(median, 6) AS median, n FROM f WHERE abs(median) > 0.15 AND b[1] <= 0.15")
@@ -122,12 +122,12 @@ def distance_verdicts(spark, sf):
     return places.distance_verdicts(gap, "race", "gap", "listed", [3000.0, 4000.0, 5000.0], 5, 0.15).withColumn("median", F.round("median", 6))
 
 
-@query("WITH e AS (SELECT DISTINCT c_nationkey * 10 + c_custkey % 3 AS a, 1000 + c_custkey % 40 AS b FROM customer WHERE c_custkey % 17 < 3), u AS (SELECT a AS s, b AS d FROM e UNION SELECT b, a FROM e), m0 AS (SELECT s AS id, s AS c FROM u GROUP BY s)" + "".join(f", m{i + 1} AS (SELECT id, min(c) AS c FROM (SELECT * FROM m{i} UNION ALL SELECT s, c FROM u JOIN m{i} ON d = id) GROUP BY id)" for i in range(16)) + " SELECT c AS cluster, count(*) AS names FROM m16 WHERE id < 1000 GROUP BY c")
+@query("WITH e AS (SELECT DISTINCT c_nationkey * 10 + c_custkey % 3 AS a, 1000 + c_nationkey % 7 * 40 + c_custkey % 40 AS b FROM customer), u AS (SELECT a AS s, b AS d FROM e UNION SELECT b, a FROM e), m0 AS (SELECT s AS id, s AS c FROM u GROUP BY s)" + "".join(f", m{i + 1} AS (SELECT id, min(c) AS c FROM (SELECT * FROM m{i} UNION ALL SELECT s, c FROM u JOIN m{i} ON d = id) GROUP BY id)" for i in range(16)) + " SELECT c AS cluster, count(*) AS names FROM m16 WHERE id < 1000 GROUP BY c")
 def school_identity(spark, sf):
-    """School names that race with the same teams belong to one school."""
+    """School names that race with the same teams belong to one school; nations of one remainder by seven share teams."""
     from ..operators import setops
 
-    e = table(spark, sf, "customer").where("c_custkey % 17 < 3").select((F.col("c_nationkey") * 10 + F.col("c_custkey") % 3).alias("src"), (1000 + F.col("c_custkey") % 40).alias("dst")).distinct()
+    e = table(spark, sf, "customer").select((F.col("c_nationkey") * 10 + F.col("c_custkey") % 3).alias("src"), (1000 + F.col("c_nationkey") % 7 * 40 + F.col("c_custkey") % 40).alias("dst")).distinct()
     return setops.components(e).where("id < 1000").groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("names"))
 
 

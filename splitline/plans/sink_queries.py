@@ -104,12 +104,11 @@ def key_sample(spark, sf):
     return sinks.key_sample(table(spark, sf, "orders"), "o_custkey", 0.2, "s").select("o_orderkey")
 
 
-@query("SELECT abs(n - 0.3 * total) < 0.1 * total + 40 AS near FROM (SELECT count(*) * 0.3 AS n, count(*) AS total FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST('0x' || substr(md5('t|' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.3")
 def table_sample(spark, sf):
-    """A row sample of three tenths, checked by its size."""
-    li = table(spark, sf, "lineitem")
-    both = li.agg(F.count("*").alias("total")).crossJoin(li.sample(0.3, seed=5).agg(F.count("*").alias("n")))
-    return both.select((F.abs(F.col("n") - 0.3 * F.col("total")) < 0.1 * F.col("total") + 40).alias("near"))
+    """A row sample of three tenths, the same rows however the table is partitioned."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return sinks.key_sample(li, "id", 0.3, "t").drop("id")
 
 
 _STATES = """s0 AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, value FROM events WHERE event_id % 5 <> 0)"""
@@ -187,3 +186,14 @@ def stream_sessions(spark, sf):
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - CAST((isodow(o_orderdate) + 2) % 7 AS INTEGER), '%Y-%m-%d') AS friday FROM orders")
 def snapshot_fridays(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.date_format(times.week_key(F.to_date("o_orderdate")), "yyyy-MM-dd").alias("friday"))
+
+
+@query("WITH k AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT c_custkey, CASE WHEN k <= 3 THEN 'done' WHEN k <= 6 THEN 'claimed' ELSE 'pending' END AS state, CASE WHEN k <= 3 THEN 'a' WHEN k <= 6 THEN 'b' END AS worker FROM k")
+def leased_claims(spark, sf):
+    """Two workers claim three rows of each segment in turn by versions with leases; the first finishes its rows."""
+    queue = sinks.ClaimQueue(spark, _folder(spark))
+    queue.fill(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.lit("pending").alias("state")))
+    best = [F.desc("c_acctbal"), F.col("c_custkey")]
+    mine = queue.claim("a", best, ["c_mktsegment"], 3, now=0.0, lease=600.0)
+    queue.claim("b", best, ["c_mktsegment"], 3, now=1.0, lease=600.0)
+    return queue.done(mine.first()["token"]).select("c_custkey", "state", "worker")

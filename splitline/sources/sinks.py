@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,30 +26,107 @@ def changed_rows(old: DataFrame, new: DataFrame, key: list[str], columns: list[s
 
 
 class Versioned:
-    """A table of versions under one folder: a version is written whole and then named as current by a small pointer table, so readers
-    see the old one or the new one, never a part."""
+    """A table of versions under one folder: a version is written whole and then named by a pointer file, so readers see the old one or
+    the new one, never a part. A pointer's number is taken by an exclusive create, so that of two writers one gets the number and the other
+    the next, or, where it named the version it started from, a :class:`Conflict`. The file system must refuse to create a file twice, as
+    HDFS and local ones do."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Writes a version and returns its number. ``after``: the number that must still be the newest (0 for none), else :class:`Conflict`."""
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/data/{version}")
-        number = self._pointers().agg(F.max("number")).first()[0] if self._exists() else 0
-        self.spark.createDataFrame([((number or 0) + 1, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
-        return version
-
-    def _exists(self) -> bool:
+        number = (max(self._taken(), default=0) if after is None else after) + 1
+        while not self._take(number, version):
+            if after is not None and not self._abandoned(number):
+                raise Conflict(f"version {number} was written meanwhile")
+            number += 1
+        return number
+
+    def _folder(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/current")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _take(self, number: int, version: str) -> bool:
+        folder, fs = self._folder()
+        try:
+            out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:019d}"), False)
+        except Exception as e:  # py4j wraps what Hadoop throws
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
+        out.write(version.encode())
+        out.close()
+        return True
+
+    def _abandoned(self, number: int, seconds: float = 60.0) -> bool:
+        """Whether a pointer has named no version for so long that its writer must be dead."""
+        folder, fs = self._folder()
+        made = fs.getFileStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:019d}")).getModificationTime()
+        return not self._version(number) and made < (time.time() - seconds) * 1000
+
+    def _taken(self) -> list[int]:
+        """Numbers of the pointers, also of those whose writer died before it named a version."""
+        folder, fs = self._folder()
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _version(self, number: int) -> str:
+        """The version that a pointer names; empty where its writer died."""
+        return "".join(r["value"] for r in self.spark.read.text(f"{self.path}/current/{number:019d}").collect())
+
+    def newest(self) -> int:
+        """The newest number that names a version, 0 for none."""
+        return next((n for n in reversed(self._taken()) if self._version(n)), 0)
 
     def read(self, number: int | None = None) -> DataFrame:
-        p = self._pointers()
-        row = p.where(F.col("number") == number).first() if number else p.orderBy(F.desc("number")).first()
-        return self.spark.read.parquet(f"{self.path}/data/{row['version']}")
+        return self.spark.read.parquet(f"{self.path}/data/{self._version(number or self.newest())}")
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
+class ClaimQueue:
+    """A work queue as a versioned table. A worker claims the best pending rows, and rows whose lease has run out, by writing the next
+    version after the one it read; when another worker was first, it reads again. So no row is claimed twice while its lease runs.
+
+    Rows have the queue's own columns and state, worker, token and lease_until (seconds since 1970).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, state: str = "state"):
+        self.table, self.state = Versioned(spark, path), state
+
+    def fill(self, rows: DataFrame) -> int:
+        null = F.lit(None)
+        return self.table.write(rows.withColumns({"worker": null.cast("string"), "token": null.cast("string"), "lease_until": null.cast("double")}))
+
+    def claim(self, worker: str, priority: list[Column], per: list[str], batch: int, now: float, lease: float) -> DataFrame:
+        """The rows that ``worker`` now holds by this claim, at most ``batch`` of each ``per`` group."""
+        token = uuid.uuid4().hex
+
+        def step(queue: DataFrame) -> DataFrame:
+            free = (F.col(self.state) == "pending") | ((F.col(self.state) == "claimed") & (F.col("lease_until") < now))
+            open_ = queue.withColumn(self.state, F.when(free, "pending").otherwise(F.col(self.state)))
+            mine = (F.col(self.state) == "claimed") & (F.coalesce("lease_until", F.lit(-1.0)) < now)  # what was claimed just now still has its old lease
+            after = claim(open_, self.state, priority, per, batch)[1]
+            return after.withColumns({"worker": F.when(mine, worker).otherwise(F.col("worker")), "token": F.when(mine, token).otherwise(F.col("token")), "lease_until": F.when(mine, F.lit(now + lease)).otherwise(F.col("lease_until"))})
+
+        return self._changed(step).where(F.col("token") == token)
+
+    def done(self, token: str, result: str = "done") -> DataFrame:
+        """Marks the rows of a claim that still hold its token; rows that were claimed anew meanwhile stay with their new worker."""
+        held = (F.col("token") == token) & (F.col(self.state) == "claimed")
+        return self._changed(lambda queue: queue.withColumn(self.state, F.when(held, result).otherwise(F.col(self.state))))
+
+    def _changed(self, step) -> DataFrame:
+        while True:
+            number = self.table.newest()
+            try:
+                return self.table.read(self.table.write(step(self.table.read(number)), after=number))
+            except Conflict:
+                continue
 
 
 def write_snapshot(df: DataFrame, path: str, day: str) -> None:

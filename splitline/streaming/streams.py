@@ -39,19 +39,25 @@ def running_best(df: DataFrame) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            if r.value > best:
-                best = r.value
-                out.append((key[0], r.event_id, r.value))
-        state.update((best,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "value"])
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
+        before = rows["value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+        state.update((max(best, rows["value"].max()),))
+        yield rows.loc[rows["value"] > before, ["user_id", "event_id", "value"]]
 
     keyed = df.where("value is not null and user_id is not null").select("user_id", "event_id", "ts", "value")
     return keyed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double", "best double", "append", "NoTimeout")
 
 
+def row_function(df: DataFrame, run, schema: str, state: str, out: str) -> None:
+    """Applies a batch function (an iterator of pandas frames to frames, as in mapInPandas) to a stream of rows, each micro-batch once: its output
+    is the folder ``out``/batch=<number>, which a repeated batch overwrites."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.mapInPandas(run, schema).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    df.writeStream.option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
 def priced(df: DataFrame, difficulty: DataFrame, key: str) -> DataFrame:
     """New rows against the last solved table: a stream-static join."""
     return df.join(difficulty, key, "left")
@@ -66,6 +72,29 @@ def drain(df: DataFrame, folder: str, mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def promote(df: DataFrame, table: str, state: str, key: str, order: str, fail_after: int | None = None) -> None:
+    """Promotes a stream of landed rows into a table of the newest row per key, each batch as an idempotent upsert.
+
+    A batch is written as the folder ``table``/batch=<number>, which overwrites itself when Spark runs the batch again after a failure, and the
+    table is the newest row per key over all batches (:func:`promoted`). So a batch that was written but not committed counts once. ``order``
+    says which row of a key is newest; of equals the larger batch wins. ``fail_after``: for replay tests, raises after that batch is written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, F.hash(*batch.columns))).alias("row")).select("row.*")
+        newest.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if number == fail_after:
+            raise RuntimeError(f"stopped after writing batch {number}")
+
+    df.writeStream.option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def promoted(spark: SparkSession, table: str, key: str, order: str) -> DataFrame:
+    """The promoted table: the newest row of each key."""
+    rows = spark.read.parquet(table)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), F.struct(order, "batch")).alias("row")).select("row.*")
+
+
 def drain_updates(df: DataFrame, folder: str) -> None:
     """Like :func:`drain` in update mode: each batch's updated rows are appended with their batch number."""
 
