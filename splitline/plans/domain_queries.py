@@ -229,3 +229,38 @@ def joint_difficulties(spark, sf):
     terms = joint.Terms(side="side", day="day", knots=[1.0, 92.0, 183.0, 274.0, 365.0], variances={"cell": 0.1, "race": 0.01, "side": 0.01})
     effects, _ = joint.joint_solve(joint_rows(spark, sf), "id", "y", terms, sigma2=0.4)
     return effects.where("block IN ('cell', 'race')").select("block", "key", "value", "centred")
+
+
+def _sql_normal(kind, *keys):
+    h = "md5('4|" + kind + "|' || " + " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + ")"
+    u = lambda at: f"(CAST('0x' || substr({h}, {at}, 8) AS BIGINT) + 0.5) / 4294967296.0"
+    return f"sqrt(-2 * ln({u(1)})) * cos(2 * pi() * {u(9)})"
+
+
+def _sql_rounds(rounds, chains):
+    """The sampler's rounds unrolled: abilities, then difficulties, with mean, slope and noise fixed at 10, 0 and 0.25."""
+    sql = f"WITH {L}, c AS (SELECT person, cell, count(*) AS n, sum(ln(mark)) AS sy FROM l GROUP BY ALL), d0 AS (SELECT DISTINCT cell, CAST(chain AS INTEGER) AS chain, CAST(0 AS DOUBLE) AS d FROM c, (SELECT unnest(range({chains})) AS chain))"
+    for t in range(rounds):
+        for key, name, own, other, prior in (("person", "a", 0.25, f"d{t}", "d"), ("cell", "d", 1.0, f"a{t}", "a")):
+            using, out = ("cell", f"a{t}") if name == "a" else ("person", f"d{t + 1}")
+            z = _sql_normal(f"{name}|{t}", "chain", key)
+            sql += f", s{name}{t} AS (SELECT chain, c.{key}, sum(sy - 10 * n - {prior} * n) AS s, sum(n) / 0.25 + 1 / {own} ** 2 AS p FROM c JOIN {other} USING ({using}) GROUP BY ALL), {out} AS (SELECT chain, {key}, s / 0.25 / p + {z} / sqrt(p) AS {name} FROM s{name}{t})"
+    return sql
+
+
+@query(_sql_rounds(2, 2) + " SELECT chain, cell, round(d, 6) AS d FROM d2")
+def gibbs_rounds(spark, sf):
+    """Two rounds of two chains of the course sampler over all line items; its whole posterior is checked in planted worlds."""
+    from ..operators import gibbs
+
+    kept, _ = gibbs.draws(races(spark, sf).withColumn("y", F.log("mark")), "person", "cell", "y", chains=2, rounds=2, burn=1, seed=4, fixed=(10.0, 0.0, 0.25))
+    return kept.select("chain", "cell", F.round("d", 6).alias("d"))
+
+
+@query()
+def gibbs_posterior(spark, sf):
+    """Posterior of every course's difficulty with drawn slope, mean and noise."""
+    from ..operators import gibbs
+
+    kept, _ = gibbs.draws(races(spark, sf).withColumn("y", F.log("mark")).withColumn("x", F.dayofyear("day") / 365.0 - 0.5), "person", "cell", "y", "x", chains=4, rounds=6, burn=2)
+    return gibbs.posterior(kept)
