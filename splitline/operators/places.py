@@ -150,3 +150,29 @@ def distance_verdicts(gaps: DataFrame, race: str, gap: str, listed: str, candida
     fits = F.array(*[F.struct(F.abs(F.col("median") - F.log(F.lit(d) / F.col(listed))).alias("off"), F.lit(d).alias("d")) for d in candidates])
     best = F.array_min(fits)
     return stat.where((F.abs("median") > within) & (best["off"] <= within)).select(race, listed, best["d"].alias("suggested"), "median", "n")
+
+
+def mixture_split(rows: DataFrame, race: str, order: str, gap: str, least: int, share: float, apart: float) -> DataFrame:
+    """(race, n, n_low, low, high, mixed) of every race of four rows or more: the cut of its sorted gaps with the least squares within both sides
+    (the lower of equal cuts), the medians of the sides, and whether they are two races: each side of at least ``least`` rows and ``share`` of
+    all, medians ``apart`` or more, and twice as far apart as the wider side's quartiles.
+
+    Sums run over range partitions (:class:`.ranks.Ordered`), so a race may hold most of all rows.
+    """
+    from .ranks import Ordered
+
+    known = rows.where(F.col(gap).isNotNull() & F.col(race).isNotNull()).select(F.col(race).alias("_r"), F.col(order).alias("_o"), F.col(gap).cast("double").alias("_g"))
+    whole = known.groupBy("_r").agg(F.count("*").alias("n"), F.avg("_g").alias("_m")).where("n >= 4")
+    # about the mean, so that squares don't cancel
+    laid = Ordered(known.join(whole, "_r").withColumn("_c", F.col("_g") - F.col("_m")), ["_r"], ["_g", "_o"])
+    run = laid.running(laid.rows, {"i": F.lit(1), "s": F.col("_c"), "q": F.col("_c") * F.col("_c")})
+    total = run.groupBy("_r").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_c")).alias("_q"))
+    both = run.join(total, "_r").where("i < n")
+    inside = F.col("_q") - F.col("s") ** 2 / F.col("i") - (F.col("_s") - F.col("s")) ** 2 / (F.col("n") - F.col("i"))
+    cut = both.groupBy("_r", "n").agg(F.min(F.struct(F.round(inside, 9).alias("w"), F.col("i").alias("n_low"))).alias("c")).select("_r", "n", "c.n_low")
+    sides = run.drop("n").join(cut, "_r")
+    q = lambda low, p: F.percentile(F.when((F.col("i") <= F.col("n_low")) == F.lit(low), F.col("_g")), p)
+    got = sides.groupBy("_r", "n", "n_low").agg(q(True, 0.5).alias("low"), q(False, 0.5).alias("high"), (q(True, 0.75) - q(True, 0.25)).alias("_l"), (q(False, 0.75) - q(False, 0.25)).alias("_h"))
+    small = F.least("n_low", F.col("n") - F.col("n_low"))
+    far = F.col("high") - F.col("low")
+    return got.select(F.col("_r").alias(race), "n", "n_low", "low", "high", ((small >= F.greatest(F.lit(least), F.lit(share) * F.col("n"))) & (far >= apart) & (far >= 2 * F.greatest("_l", "_h"))).alias("mixed"))

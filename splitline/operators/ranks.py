@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .store import written
 
 _ROW_BITS = 33  # the layout of monotonically_increasing_id: partition above, row within it below
 
@@ -38,3 +40,29 @@ def ranked_within(df: DataFrame, group: list[str], order: list[Column], rank: st
         both = rows.join(keyed, same)
     own = [F.col(f"`{c}`") for c in df.columns]
     return both.select(*own, (F.col("_number") - F.col("_first") + 1).alias(rank), *([F.col("_size").alias(size)] if size else []))
+
+
+class Ordered:
+    """Rows laid out once by (group, order) in range partitions, for running sums within groups that may hold most of all rows.
+
+    ``rows`` has the columns of ``df`` and the partition ``_part``; sums run within (group, partition), and each partition gets the totals of the
+    group's earlier ones. ``order`` should end in a unique key.
+    """
+
+    def __init__(self, df: DataFrame, group: list[str], order: list[str]):
+        self.group, self.order = group, order
+        laid = df.repartitionByRange(*[F.col(c) for c in (*group, *order)]).withColumn("_part", F.spark_partition_id())
+        self.rows = written(laid, "ordered")
+
+    def running(self, rows: DataFrame, sums: dict[str, Column], reverse: bool = False) -> DataFrame:
+        """``rows`` (those of the layout, more columns allowed) with running sums, from the first row, or from the last where ``reverse``."""
+        way = (lambda c: F.desc(c)) if reverse else (lambda c: F.asc(c))
+        within = Window.partitionBy(*self.group, "_part").orderBy(*map(way, self.order)).rowsBetween(Window.unboundedPreceding, 0)
+        own = rows.withColumns({f"_{k}": v for k, v in sums.items()})
+        totals = own.groupBy(*self.group, "_part").agg(*[F.sum(f"_{k}").alias(f"_t{k}") for k in sums])
+        before = Window.partitionBy(*self.group).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+        offsets = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t{k}").over(before), F.lit(0)).alias(f"_b{k}") for k in sums])
+        run = own.withColumns({k: F.sum(f"_{k}").over(within) for k in sums})
+        same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(self.group)] + [F.col("_part") == F.col("_p")]
+        both = run.join(offsets, same)
+        return both.select(*rows.columns, *[(F.coalesce(k, F.lit(0)) + F.col(f"_b{k}")).alias(k) for k in sums])

@@ -167,3 +167,41 @@ def comps_within_error(spark, sf):
     """Seasons of the same pool and grade within the season's own error radius."""
     s = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("pool"), F.col("c_nationkey").alias("grade"), F.col("c_acctbal").alias("rating"), (50.0 + F.col("c_custkey") % 7 * 10).alias("error"))
     return joins.within_radius(s, ["pool", "grade"], "id", "rating", "error", 110.0).withColumn("gap", F.round("gap", 4))
+
+
+_MIX = f"""WITH {L}, m AS (SELECT person, avg(ln(mark)) AS a FROM l GROUP BY person), g AS (SELECT race, id, ln(mark) - a + CASE WHEN race % 5 = 0 AND id % 3 = 0 THEN 4 ELSE 0 END AS gap FROM l JOIN m USING (person)),
+c AS (SELECT *, count(*) OVER (PARTITION BY race) AS n, gap - avg(gap) OVER (PARTITION BY race) AS x, row_number() OVER (PARTITION BY race ORDER BY gap, id) AS i FROM g),
+p AS (SELECT *, sum(x) OVER k AS s, sum(x) OVER (PARTITION BY race) AS st, sum(x * x) OVER (PARTITION BY race) AS qt FROM c WHERE n >= 4 WINDOW k AS (PARTITION BY race ORDER BY i)),
+b AS (SELECT race, arg_min(i, (round(qt - s * s / i - (st - s) ** 2 / (n - i), 9), i)) AS n_low FROM p WHERE i < n GROUP BY race),
+v AS (SELECT race, n, n_low, quantile_cont(gap, 0.5) FILTER (WHERE i <= n_low) AS low, quantile_cont(gap, 0.5) FILTER (WHERE i > n_low) AS high, quantile_cont(gap, 0.75) FILTER (WHERE i <= n_low) - quantile_cont(gap, 0.25) FILTER (WHERE i <= n_low) AS l, quantile_cont(gap, 0.75) FILTER (WHERE i > n_low) - quantile_cont(gap, 0.25) FILTER (WHERE i > n_low) AS h FROM p JOIN b USING (race) GROUP BY ALL)"""
+
+
+@query(_MIX + " SELECT race, n, n_low, round(low, 6) AS low, round(high, 6) AS high, least(n_low, n - n_low) >= greatest(4, 0.15 * n) AND high - low >= 1.0 AND high - low >= 2 * greatest(l, h) AS mixed FROM v")
+def mixed_races(spark, sf):
+    """Races that hold two: every third row of every fifth part is moved by a factor."""
+    r = races(spark, sf)
+    moved = F.when((F.col("race") % 5 == 0) & (F.col("id") % 3 == 0), 4).otherwise(0)
+    gap = r.join(r.groupBy("person").agg(F.avg(F.log("mark")).alias("a")), "person").select("race", "id", (F.log("mark") - F.col("a") + moved).alias("gap"))
+    return places.mixture_split(gap, "race", "id", "gap", 4, 0.15, 1.0).withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+_NAMES = "n AS (SELECT DISTINCT lower(p_name || ' ' || p_brand || ' ' || p_type) AS name FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, len(name) + 2), lambda i: substr('  ' || name || ' ', CAST(i AS BIGINT), 3))) AS g FROM n)"
+
+
+@query(f"WITH {_NAMES}, p AS (SELECT a.name AS a, b.name AS b, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS t FROM g a JOIN g b ON a.name < b.name) SELECT a, b, round(c / (t - c), 9) AS similarity FROM p WHERE c / (t - c) >= 0.7")
+def trigram_pairs(spark, sf):
+    """All pairs of different part names alike in their trigrams, by an inverted index."""
+    from ..operators import names
+
+    n = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
+    return names.alike(names.trigram_sets(n, "name"), 0.7).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH {_NAMES}, q AS (SELECT lower(s_name) AS word, substr(lower(p_name || ' ' || p_type), 2) AS name FROM supplier JOIN part ON s_suppkey = p_partkey), qg AS (SELECT DISTINCT name, list_distinct(list_transform(range(1, len(name) + 2), lambda i: substr('  ' || name || ' ', CAST(i AS BIGINT), 3))) AS g FROM q), p AS (SELECT qg.name AS query, g.name AS found, len(list_intersect(qg.g, g.g)) AS c, len(qg.g) + len(g.g) AS t FROM qg, g) SELECT query, found, round(c / (t - c), 9) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY c / (t - c) DESC, found) AS INTEGER) AS rank FROM p WHERE c / (t - c) >= 0.4 QUALIFY row_number() OVER (PARTITION BY query ORDER BY c / (t - c) DESC, found) <= 5")
+def trigram_search(spark, sf):
+    """Misspelt names (their first letter lost, the brand left out) against all part names: the five most alike."""
+    from ..operators import names
+
+    n = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("short"))
+    asked = n.join(table(spark, sf, "supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.substr("short", F.lit(2)).alias("name"))
+    return names.search(names.trigram_sets(asked, "name"), names.trigram_sets(n, "name"), 0.4, 5).withColumn("similarity", F.round("similarity", 9))
