@@ -264,3 +264,21 @@ def gibbs_posterior(spark, sf):
 
     kept, _ = gibbs.draws(races(spark, sf).withColumn("y", F.log("mark")).withColumn("x", F.dayofyear("day") / 365.0 - 0.5), "person", "cell", "y", "x", chains=4, rounds=6, burn=2)
     return gibbs.posterior(kept)
+
+
+@query()
+def gls_difficulties(spark, sf):
+    """Difficulties weighed by levels that wander from day to day; dense generalised least squares checks the operator."""
+    from ..operators import gls
+
+    return gls.gls_cells(results(spark, sf), "person", "cell", "dayno", "mark", 4.0, 900.0, 400.0)[0]
+
+
+@query()
+def rank_order(spark, sf):
+    """Rows of every part in the order that rank-loss trees expect, from price and quantity; planted races check the operator."""
+    from ..operators import rank_trees
+
+    li = table(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("day", F.dayofyear("l_shipdate").cast("double"))
+    model = rank_trees.fit(li, "l_partkey", ["l_extendedprice", "id"], ["l_quantity", "l_discount", "day"], rounds=3)
+    return model.transform(li).select("l_partkey", "id", "score")

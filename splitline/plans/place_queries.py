@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from ..operators import joins, places
 from .base import L, R, query, races, results, table
@@ -205,3 +207,34 @@ def trigram_search(spark, sf):
     n = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("short"))
     asked = n.join(table(spark, sf, "supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.substr("short", F.lit(2)).alias("name"))
     return names.search(names.trigram_sets(asked, "name"), names.trigram_sets(n, "name"), 0.4, 5).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("SELECT CAST(user_id % 36 AS BIGINT) AS lat, CAST(event_id % 48 AS BIGINT) AS lon, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, round(avg(value), 6) AS value FROM events WHERE value IS NOT NULL AND user_id % 36 BETWEEN 5 AND 20 AND event_id % 48 < 30 GROUP BY ALL")
+def array_box(spark, sf):
+    """Grid cells from array tiles, a box of them: only its tiles are opened."""
+    from ..session import shared_dir
+    from ..sources import tiles
+
+    cells = results(spark, sf).where("mark IS NOT NULL").select((F.col("person") % 36).alias("lat"), (F.col("id") % 48).alias("lon"), F.col("dayno").alias("day"), "mark").groupBy("lat", "lon", "day").agg(F.avg("mark").alias("value"))
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    tiles.write_tiles(cells, path, 12, 0.1, 20.0)
+    return tiles.read_tiles(spark, path, 12).where("lat >= 5 AND lat <= 20 AND lon < 30").select("lat", "lon", "day", F.round("value", 6).alias("value"))
+
+
+def merge_inputs(spark, sf):
+    """Suppliers to be merged: a vote for suppliers that follow each other in an order, and neighbours within a nation that must stay apart."""
+    li, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
+    before = F.lag("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    votes = li.withColumn("a", before).where("a IS NOT NULL AND a <> l_suppkey").groupBy("a", F.col("l_suppkey").alias("b")).agg(F.count("*").cast("double").alias("votes"))
+    apart = s.withColumn("b", F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("b IS NOT NULL").select(F.col("s_suppkey").alias("a"), "b")
+    return s.select(F.col("s_suppkey").alias("id")), votes, apart
+
+
+@query()
+def merged_identities(spark, sf):
+    """Suppliers merged by votes without a forbidden pair, with ids kept from a run over the stronger votes alone; a plain version checks it."""
+    from ..operators import merging
+
+    ids, votes, apart = merge_inputs(spark, sf)
+    first = merging.keep_ids(merging.merge_classes(ids, votes.where("votes >= 12"), apart, 12), None).checkpoint()
+    return merging.keep_ids(merging.merge_classes(ids, votes, apart, 8), first)

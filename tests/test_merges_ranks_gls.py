@@ -144,3 +144,33 @@ def test_gls_matches_dense(spark):
     want = np.linalg.solve(a, right)
     assert {q.cell: q.difficulty for q in got.collect()} == pytest.approx(dict(enumerate(want)), abs=1e-4) and info["products"] <= 10
     assert np.corrcoef(want, d)[0, 1] > 0.95
+
+
+def test_merged_suppliers_against_a_plain_version(spark, sf):
+    from splitline.plans.place_queries import merge_inputs
+
+    ids, votes, apart = (x.collect() for x in merge_inputs(spark, sf))
+    got = {x.id: x["class"] for x in merging.merge_classes(*merge_inputs(spark, sf), 8).collect()}
+    assert got == plain_merge([x.id for x in ids], [tuple(x) for x in votes], [tuple(x) for x in apart], 8)
+
+
+def test_a_box_opens_only_its_tiles(spark, tmp_path):
+    from splitline.sources import tiles
+
+    r = np.random.default_rng(8)
+    cells = [(int(a), int(o), int(t), float(r.normal(15, 5))) for t in (3, 4) for a in range(-7, 20) for o in range(30) if r.random() < 0.8]
+    path = f"file://{tmp_path}/tiles"
+    names = tiles.write_tiles(spark.createDataFrame(cells, "lat long, lon long, day long, value double"), path, 10, 0.01, 273.15)
+    assert names == sorted(f"{a}_{o}" for a in (-1, 0, 1) for o in (0, 1, 2))
+    df = tiles.read_tiles(spark, path, 10)
+    whole = {(x.lat, x.lon, x.day): x.value for x in df.collect()}
+    assert whole == {(a, o, t): pytest.approx(v, abs=1e-9) for a, o, t, v in cells}
+    box = df.where("lat >= -3 AND lat < 10 AND lon > 20")
+    assert {(x.lat, x.lon, x.day) for x in box.collect()} == {(a, o, t) for a, o, t, _ in cells if -3 <= a < 10 and o > 20}
+    reader = tiles.TileReader(path, 10)
+    list(reader.pushFilters([tiles.GreaterThanOrEqual(("lat",), -3), tiles.LessThan(("lat",), 10), tiles.GreaterThan(("lon",), 20)]))
+    assert [p.name for p in reader.partitions()] == ["-1_2", "0_2", "1_2"]  # 10 itself is ruled out by the cells
+    import os
+    os.remove(f"{tmp_path}/tiles/1_0.npz")
+    os.truncate(f"{tmp_path}/tiles/0_0.npz", 3)
+    assert box.count() == sum(-3 <= a < 10 and o > 20 for a, o, _, _ in cells)  # a broken tile outside the box is never opened
