@@ -88,9 +88,7 @@ def rank_of(board: DataFrame, value: str, key: str, wanted: int) -> DataFrame:
 
 def seek_positions(board: DataFrame, group: list[str], value: str, key: str, every: int) -> DataFrame:
     """Every n-th row of each board in its order, for keyset paging, with the board's length."""
-    w = Window.partitionBy(*group).orderBy(F.col(value).desc_nulls_last(), key)
-    n = Window.partitionBy(*group)
-    numbered = board.withColumn("position", F.row_number().over(w).cast("long")).withColumn("length", F.count("*").over(n))
+    numbered = ranked_within(board, group, [F.col(value).desc_nulls_last(), F.col(key)], "position", "length")  # a board may be most rows
     return numbered.where(F.col("position") % every == 1).select(*group, "position", "length", value, key)
 
 

@@ -48,14 +48,22 @@ def error_stats(df: DataFrame, group: list[str], error: str) -> DataFrame:
 def concordance(df: DataFrame, race: str, actual: str, predicted: str) -> DataFrame:
     """Per race: the pairs of runners whose order the prediction gets right, and all pairs with an order.
 
-    Pairs aren't built: counted over ranks, a runner is right with those whose rank is smaller in both orders. Ranks of one race
-    are paired through per-race counts of (actual, predicted) cells, so copies of a runner are one cell.
+    No pair is built. Predictions become ranks within their race. Two different ranks first differ at one bit, below the bits they share: so a row
+    is counted once for each bit, among the rows of its race with the same higher bits, and meets there as running counts the rows of better
+    results with a 0 and with a 1 at that bit. That is the rows times the bits of a rank.
     """
-    cells = df.groupBy(race, F.col(actual).alias("_a"), F.col(predicted).alias("_p")).agg(F.count("*").alias("_n"))
-    x, y = cells.select(race, F.col("_a").alias("a1"), F.col("_p").alias("p1"), F.col("_n").alias("n1")), cells.select(race, F.col("_a").alias("a2"), F.col("_p").alias("p2"), F.col("_n").alias("n2"))
-    pair = x.join(y, race).where("a1 < a2 and p1 <> p2")
-    n = F.col("n1") * F.col("n2")
-    return pair.groupBy(race).agg(F.sum(F.when(F.col("p1") < F.col("p2"), n).otherwise(0)).alias("right"), F.sum(n).alias("pairs"))
+    # dense ranks: equal values are equal, and fit a range frame
+    rank = lambda c: F.dense_rank().over(Window.partitionBy(race).orderBy(c)).cast("long")
+    rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).select(F.col(race).alias("_race"), rank(actual).alias("_a"), rank(predicted).alias("_p"))
+    cells = rows.groupBy("_race", "_a", "_p").agg(F.count("*").alias("_n")).checkpoint()
+    bits = int(cells.agg(F.max("_p")).first()[0] or 0).bit_length()
+    level = cells.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1)))))
+    level = level.withColumn("_high", F.expr("shiftright(_p, _bit + 1)")).withColumn("_one", F.expr("shiftright(_p, _bit) & 1"))
+    better = Window.partitionBy("_race", "_bit", "_high").orderBy("_a").rangeBetween(Window.unboundedPreceding, -1)
+    met = lambda one: F.coalesce(F.sum(F.when(F.col("_one") == one, F.col("_n"))).over(better), F.lit(0)) * F.col("_n")
+    counted = level.withColumn("_r", F.when(F.col("_one") == 1, met(0)).otherwise(0)).withColumn("_w", F.when(F.col("_one") == 0, met(1)).otherwise(0))
+    out = counted.groupBy(F.col("_race").alias(race)).agg(F.sum("_r").alias("right"), F.sum(F.col("_r") + F.col("_w")).alias("pairs"))
+    return out.where("pairs > 0")
 
 
 def choose_k(df: DataFrame, key: str, day: str, order: str, value: str, ks: list[int], least: int = 3) -> tuple[int, dict[int, float]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranks import Ordered
+
 
 def interval_bracket(df: DataFrame, group: list[str], cell: str, day: str, value: str, days: int) -> DataFrame:
     """``bracket``: value minus the mean of the group's rows within ``days`` at another cell; ``n_other``; null if there are none.
@@ -27,12 +29,11 @@ def interval_bracket(df: DataFrame, group: list[str], cell: str, day: str, value
 def nearest_by_day(df: DataFrame, key: str, day: str, order: str, value: str, k: int) -> DataFrame:
     """``near``: values of the key's k nearest other rows by day, sought within k places
     either side in (day, order); equal gaps go to the earlier day, then the smaller ``order``."""
-    w = Window.partitionBy(key).orderBy(day, order)
     here = F.struct(F.col(day).alias("d"), F.col(order).alias("o"), F.col(value).alias("v"))
-    around = F.concat(F.collect_list(here).over(w.rowsBetween(-k, -1)), F.collect_list(here).over(w.rowsBetween(1, k)))  # 2k rows
-    df = df.withColumn("_around", around)
+    laid = Ordered(df, [key], [day, order])  # a hot key spans several partitions
+    around = laid.around(laid.rows, here, k).withColumn("_around", F.concat("_before", "_after"))
     ranked = F.array_sort(F.transform("_around", lambda s: F.struct(F.abs(s["d"] - F.col(day)).alias("gap"), s["d"].alias("d"), s["o"].alias("o"), s["v"].alias("v"))))
-    return df.withColumn("near", F.transform(F.slice(ranked, 1, k), lambda s: s["v"])).drop("_around")
+    return around.withColumn("near", F.transform(F.slice(ranked, 1, k), lambda s: s["v"])).select(*df.columns, "near")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:

@@ -66,3 +66,21 @@ class Ordered:
         same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(self.group)] + [F.col("_part") == F.col("_p")]
         both = run.join(offsets, same)
         return both.select(*rows.columns, *[(F.coalesce(k, F.lit(0)) + F.col(f"_b{k}")).alias(k) for k in sums])
+
+    def around(self, rows: DataFrame, item: Column, k: int) -> DataFrame:
+        """``rows`` with ``_before`` and ``_after``: the items of the group's k rows before and after each, nearest last and nearest first. What lies in
+        other partitions comes from their first and last k rows."""
+        w = Window.partitionBy(*self.group, "_part").orderBy(*self.order)
+        own = rows.withColumn("_item", item)
+        ends = own.withColumn("_up", F.row_number().over(w)).withColumn("_down", F.row_number().over(Window.partitionBy(*self.group, "_part").orderBy(*[F.desc(c) for c in self.order])))
+        place = lambda c, cut: F.transform(F.array_sort(F.collect_list(F.when(F.col(cut) <= k, F.struct(F.col("_up").alias("u"), F.col("_item").alias("i"))))), lambda s: s["i"])
+        parts = ends.where((F.col("_up") <= k) | (F.col("_down") <= k)).groupBy(*self.group, "_part").agg(place("_up", "_up").alias("_first"), place("_up", "_down").alias("_last"))
+        order = Window.partitionBy(*self.group).orderBy("_part")  # one row a partition, each of one row at least
+        earlier, later = F.flatten(F.collect_list("_last").over(order.rowsBetween(-k, -1))), F.flatten(F.collect_list("_first").over(order.rowsBetween(1, k)))
+        given = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(self.group)], F.col("_part").alias("_p"), earlier.alias("_e"), later.alias("_l")).where("size(_e) + size(_l) > 0")
+        same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(self.group)] + [F.col("_part") == F.col("_p")]
+        near = own.withColumn("_b", F.collect_list("_item").over(w.rowsBetween(-k, -1))).withColumn("_a", F.collect_list("_item").over(w.rowsBetween(1, k)))
+        both = near.join(given, same, "left")
+        before = F.when(F.col("_e").isNull(), F.col("_b")).otherwise(F.concat("_e", "_b"))
+        after = F.when(F.col("_l").isNull(), F.col("_a")).otherwise(F.concat("_a", "_l"))
+        return both.select(*rows.columns, F.slice(before, F.greatest(F.size(before) - k + 1, F.lit(1)), F.lit(k)).alias("_before"), F.slice(after, 1, k).alias("_after"))

@@ -174,3 +174,40 @@ def test_a_box_opens_only_its_tiles(spark, tmp_path):
     os.remove(f"{tmp_path}/tiles/1_0.npz")
     os.truncate(f"{tmp_path}/tiles/0_0.npz", 3)
     assert box.count() == sum(-3 <= a < 10 and o > 20 for a, o, _, _ in cells)  # a broken tile outside the box is never opened
+
+
+def test_neighbours_of_a_hot_person_come_over_partitions(spark):
+    from splitline.operators import joins
+
+    r = random.Random(9)
+    rows = [(0 if i % 3 else i % 20, i, r.randrange(200), float(i)) for i in range(700)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")  # so that partitions hold fewer rows than k
+    try:
+        df = spark.createDataFrame(rows, "p long, id long, day long, v double")
+        got = {x.id: list(x.near) for x in joins.nearest_by_day(df, "p", "day", "id", "v", 15).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by = defaultdict(list)
+    for p, i, day, v in rows:
+        by[p].append((day, i, v))
+    for mine in by.values():
+        mine.sort()
+        for at, (day, i, _) in enumerate(mine):
+            around = mine[max(0, at - 15) : at] + mine[at + 1 : at + 16]
+            assert got[i] == [v for _, _, _, v in sorted((abs(d - day), d, o, v) for d, o, v in around)[:15]]
+
+
+def test_concordance_counts_every_pair(spark):
+    from splitline.operators import estimate
+
+    r = random.Random(10)
+    rows = [(i % 3, r.randrange(30), r.randrange(25)) for i in range(300)] + [(7, 1, 1), (8, 2, 3), (8, 2, 4)]
+    got = {x.race: (x["right"], x.pairs) for x in estimate.concordance(spark.createDataFrame(rows, "race long, a long, p long"), "race", "a", "p").collect()}
+    want = {}
+    for g in range(3):
+        mine = [q[1:] for q in rows if q[0] == g]
+        pairs = [(x, y) for x in mine for y in mine if x[0] < y[0] and x[1] != y[1]]
+        want[g] = (sum(x[1] < y[1] for x, y in pairs), len(pairs))
+    assert got == want
