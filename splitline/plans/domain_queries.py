@@ -133,9 +133,19 @@ def als_two_way(spark, sf):
     return solve.alternate(races(spark, sf), "person", "cell", "mark", 3)[1].select("cell", F.round("difficulty", 4).alias("difficulty"))
 
 
-@query()
+def two_way_sql(rounds: int = 16) -> str:
+    """The two-way fit by alternating means, unrolled until it has settled: (cell, d, diag) in ``fit``, d less its mean over rows."""
+    sql = f"WITH {L}, n0 AS (SELECT person, cell, count(*) AS n, sum(mark) AS s FROM l GROUP BY ALL), e0 AS (SELECT DISTINCT cell, CAST(0 AS DOUBLE) AS d FROM l)"
+    for i in range(rounds):
+        sql += f", b{i} AS (SELECT person, sum(s - n * d) / sum(n) AS a FROM n0 JOIN e{i} USING (cell) GROUP BY person), e{i + 1} AS (SELECT cell, sum(s - n * a) / sum(n) AS d FROM n0 JOIN b{i} USING (person) GROUP BY cell)"
+    return sql + f""", np AS (SELECT *, sum(n) OVER (PARTITION BY person) AS np FROM n0), dg AS (SELECT cell, sum(n - n * n / np) AS diag, sum(n) AS w FROM np GROUP BY cell),
+fit AS (SELECT cell, d - (SELECT sum(d * w) / sum(w) FROM e{rounds} JOIN dg USING (cell)) AS d, diag FROM e{rounds} JOIN dg USING (cell))"""
+
+
+@query(two_way_sql() + " SELECT cell, round(d, 1) AS difficulty, round(d * 1e6 / (1e6 + 4e8 / diag), 1) AS shrunk FROM fit")
 def cg_two_way(spark, sf):
-    return solve.shrink(solve.two_way_cg(races(spark, sf), "person", "cell", "mark")[0], 4e8, 1e6).select("cell", "difficulty", "shrunk")
+    got = solve.shrink(solve.two_way_cg(races(spark, sf), "person", "cell", "mark", tol=1e-18)[0], 4e8, 1e6)
+    return got.select("cell", F.round("difficulty", 1).alias("difficulty"), F.round("shrunk", 1).alias("shrunk"))
 
 
 @query()
@@ -148,11 +158,21 @@ def transition_potentials(spark, sf):
     return spark.createDataFrame(list(got.items()), "cell string, potential double")
 
 
-@query()
+def within_sql(columns: dict[str, str], rounds: int = 14) -> str:
+    """Line items with supplier and part means swept out of the columns in turn, unrolled until settled, as the CTE ``w``."""
+    sql = "WITH w0 AS (SELECT l_suppkey, l_partkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in columns.items()) + " FROM lineitem)"
+    for i in range(rounds):
+        for j, key in enumerate(("l_suppkey", "l_partkey")):
+            source, name = (f"w{i}" if j == 0 else f"h{i}"), (f"h{i}" if j == 0 else f"w{i + 1}")
+            sql += f", {name} AS (SELECT l_suppkey, l_partkey, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {key}) AS {c}" for c in columns) + f" FROM {source})"
+    return sql + f", w AS (SELECT * FROM w{rounds})"
+
+
+@query(within_sql({"y": "l_extendedprice", "q": "l_quantity", "x": "l_discount"}) + ", g AS (SELECT sum(q * q) AS a, sum(q * x) AS b, sum(x * x) AS c, sum(q * y) AS u, sum(x * y) AS v FROM w) SELECT 'l_quantity' AS term, round((u * c - v * b) / (a * c - b * b), 4) AS beta FROM g UNION ALL SELECT 'l_discount', round((a * v - b * u) / (a * c - b * b), 4) FROM g")
 def weather_within(spark, sf):
     li = table(spark, sf, "lineitem")
-    got = solve.within_regression(li, "l_suppkey", "l_partkey", "l_extendedprice", ["l_quantity", "l_discount"])
-    return spark.createDataFrame(list(zip(["l_quantity", "l_discount"], got)), "term string, beta double")
+    got = solve.within_regression(li, "l_suppkey", "l_partkey", "l_extendedprice", ["l_quantity", "l_discount"], tol=1e-12)
+    return spark.createDataFrame([(t, round(b, 4)) for t, b in zip(["l_quantity", "l_discount"], got)], "term string, beta double")
 
 
 # forward filter, then the smoother over the days in reverse

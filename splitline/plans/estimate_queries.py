@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import dataquality as dq, estimate as est, solve
 from .base import L, R, query, races, results, table
+from .domain_queries import two_way_sql, within_sql
 
 
 @query(f"WITH {L}, c AS (SELECT team, cell, count(*) AS n FROM l GROUP BY ALL) SELECT team, max(n) AS n, min(cell) FILTER (WHERE n = m) AS mode FROM (SELECT *, max(n) OVER (PARTITION BY team) AS m FROM c) GROUP BY team")
@@ -90,13 +93,14 @@ def ridge_slopes(spark, sf):
     return est.ridge_slopes(r, "team", "side", "mark", 5.0).select("team", F.round("slope", 6).alias("slope"), "n")
 
 
-@query()
+@query(two_way_sql() + """, r AS (SELECT l.person, mark - d AS y FROM l JOIN fit USING (cell)), m AS (SELECT person, avg(y) AS m FROM r GROUP BY person), e AS (SELECT sum((y - m) ** 2) AS ssr, count(*) AS n, count(DISTINCT r.person) AS p FROM r JOIN m USING (person)),
+c AS (SELECT count(*) AS c, var_samp(d) AS v, avg(1 / diag) AS u FROM fit WHERE diag > 0), s AS (SELECT ssr / (n - p - (c - 1)) AS sigma2, v, u FROM e, c) SELECT round(ln(sigma2), 6) AS log_sigma2, round(greatest(0, v - sigma2 * u) / sigma2, 6) AS share FROM s""")
 def variance_components(spark, sf):
-    """Residual and difficulty variances of the two-way fit; the test plants both."""
+    """Residual variance of the two-way fit, and the difficulties' own as a share of it; a test plants both."""
     r = races(spark, sf)
-    d, _ = solve.two_way_cg(r, "person", "cell", "mark")
+    d, _ = solve.two_way_cg(r, "person", "cell", "mark", tol=1e-18)
     sigma2, tau2 = est.variance_components(r, "person", "cell", "mark", d.checkpoint())
-    return spark.createDataFrame([(sigma2, tau2)], "sigma2 double, tau2 double")
+    return spark.createDataFrame([(round(math.log(sigma2), 6), round(tau2 / sigma2, 6))], "log_sigma2 double, share double")
 
 
 _B = f"WITH {R}, c0 AS (SELECT DISTINCT cell, 0.0 AS d FROM r)"
@@ -193,11 +197,26 @@ def blend(spark, sf):
     return spark.createDataFrame([(n, round(x, 6)) for n, x in zip(("person", "cell"), w)], "part string, weight double")
 
 
-@query()
+_KNOTS = [5.0, 15.0, 30.0, 45.0]
+
+
+def _spline_sql(k: float) -> str:
+    cube = lambda x: f"greatest(l_quantity - {x}, 0) ** 3"
+    tail = lambda x: f"({cube(x)} - {cube(_KNOTS[-1])}) / {_KNOTS[-1] - x}"
+    return f"{tail(k)} - {tail(_KNOTS[-2])}"
+
+
+_DET = lambda m: "(" + " + ".join(f"{s}{m[0][i]} * {m[1][j]} * {m[2][k]}" for s, i, j, k in (("", 0, 1, 2), ("", 1, 2, 0), ("", 2, 0, 1), ("-1 * ", 2, 1, 0), ("-1 * ", 1, 0, 2), ("-1 * ", 0, 2, 1))) + ")"
+_GRAM = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+# columns scaled to be alike, so that the determinants keep their digits
+_BASIS = {"b0": "l_quantity / 10", "b1": f"({_spline_sql(5.0)}) / 1000", "b2": f"({_spline_sql(15.0)}) / 1000"}
+
+
+@query(within_sql({"y": "l_extendedprice", **_BASIS}) + ", g AS (SELECT " + ", ".join(f"sum(b{i} * b{j}) AS g{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(b{i} * y) AS r{i}" for i in range(3)) + " FROM w) " + " UNION ALL ".join(f"SELECT CAST({t} AS INTEGER) AS term, round({_DET([[('r' + str(i)) if j == t else _GRAM[i][j] for j in range(3)] for i in range(3)])} / {_DET(_GRAM)}, 2) AS beta FROM g" for t in range(3)))
 def weather_spline(spark, sf):
     """The within regression of weather on a natural spline basis; the test plants a curve."""
     li = table(spark, sf, "lineitem").withColumn("q", F.col("l_quantity").cast("double"))
-    basis = est.spline_basis("q", [5.0, 15.0, 30.0, 45.0])
+    basis = [b / s for b, s in zip(est.spline_basis("q", _KNOTS), (10.0, 1000.0, 1000.0))]
     named = li.select("l_suppkey", "l_partkey", "l_extendedprice", *[b.alias(f"b{i}") for i, b in enumerate(basis)])
-    got = solve.within_regression(named, "l_suppkey", "l_partkey", "l_extendedprice", [f"b{i}" for i in range(len(basis))])
-    return spark.createDataFrame(list(enumerate(got)), "term int, beta double")
+    got = solve.within_regression(named, "l_suppkey", "l_partkey", "l_extendedprice", [f"b{i}" for i in range(len(basis))], tol=1e-12)
+    return spark.createDataFrame([(i, round(b, 2)) for i, b in enumerate(got)], "term int, beta double")
