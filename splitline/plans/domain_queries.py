@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import curves
 from ..operators import dataquality as dq, ranks, scoring, solve
@@ -302,3 +302,17 @@ def rank_order(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("day", F.dayofyear("l_shipdate").cast("double"))
     model = rank_trees.fit(li, "l_partkey", ["l_extendedprice", "id"], ["l_quantity", "l_discount", "day"], rounds=3)
     return model.transform(li).select("l_partkey", "id", "score")
+
+
+@query()
+def scored_lineup(spark, sf):
+    """The lineup that wins most often for the first nation of Europe's meet, entries being each nation's nine best customers; a plain simulation checks it."""
+    from ..operators import lineups
+
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("n_regionkey = 3")
+    own = races(spark, sf).groupBy("person").agg(F.avg(F.log("mark")).alias("level"), F.stddev(F.log("mark")).alias("sd"), F.count("*").alias("n")).where("n >= 3")
+    entries = own.join(c, own["person"] == c["c_custkey"]).select("person", F.col("c_nationkey").cast("long").alias("team"), F.exp("level").alias("mean"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
+    best = entries.withColumn("_k", F.row_number().over(Window.partitionBy("team").orderBy("mean", "person"))).where("_k <= 9").drop("_k")
+    first = best.agg(F.min("team")).first()[0]
+    got = lineups.best_lineup(best, first, draws=500, seed=1)
+    return spark.createDataFrame([(p, got["p_win"], got["score"], got["looked_at"]) for p in got["lineup"]], "person long, p_win double, score double, looked_at long")
