@@ -176,3 +176,45 @@ def mixture_split(rows: DataFrame, race: str, order: str, gap: str, least: int,
     small = F.least("n_low", F.col("n") - F.col("n_low"))
     far = F.col("high") - F.col("low")
     return got.select(F.col("_r").alias(race), "n", "n_low", "low", "high", ((small >= F.greatest(F.lit(least), F.lit(share) * F.col("n"))) & (far >= apart) & (far >= 2 * F.greatest("_l", "_h"))).alias("mixed"))
+
+
+def resolve_grades(rows: DataFrame, pins: DataFrame, least: int, share: float, low: int = 1, high: int = 16) -> DataFrame:
+    """(person, season, grade, method, trusted) of every person's season, by the first rule that gives a grade:
+
+    pinned: it is stated in ``pins`` (person, season, grade). corroborated: at least ``least`` rows name it, and more than name any other.
+    neighbours: the nearest seasons settled so far, before and after, put it at the same grade by a year a season (one side may be missing).
+    field: at least ``share`` of the graded rows of the season's races by others name it, more than any other. unknown: none.
+
+    A grade is trusted if it is pinned, or if the person's other settled seasons, two or more of all, mostly put it there. ``rows``: person, season,
+    race, grade (null where none is given); grades beyond ``low`` and ``high`` are no evidence. Counts are made per grade, so a hot race is a few rows.
+    """
+    own = rows.select("person", "season", "race", F.when(F.col("grade").between(low, high), F.col("grade")).alias("grade"))
+    seasons = own.select("person", "season").distinct()
+
+    def leading(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+        """The commonest grade per key with its count, the runner-up's count and the sum."""
+        top = F.sort_array(F.collect_list(F.struct(F.col(n).alias("n"), "grade")), False)  # a few grades
+        got = counts.groupBy(*keys).agg(top.alias("t"), F.sum(n).alias("all"))
+        return got.select(*keys, F.col("t")[0]["grade"].alias("grade"), F.col("t")[0]["n"].alias("n"), F.coalesce(F.get("t", F.lit(1))["n"], F.lit(0)).alias("second"), "all")
+
+    said = own.where("grade IS NOT NULL").groupBy("person", "season", "grade").agg(F.count("*").alias("n"))
+    agreed = leading(said, ["person", "season"], "n").where(f"n >= {least} AND n > second").select("person", "season", F.col("grade").alias("agreed"))
+    by_race = own.where("grade IS NOT NULL").groupBy("race", "grade").agg(F.count("*").alias("n"))
+    mine = own.where("grade IS NOT NULL").groupBy("race", "person", "season", "grade").agg(F.count("*").alias("m"))
+    went = own.select("race", "person", "season").distinct()
+    others = went.join(by_race, "race").join(mine, ["race", "person", "season", "grade"], "left").groupBy("person", "season", "grade").agg(F.sum(F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
+    field = leading(others, ["person", "season"], "n").where(F.col("n") >= share * F.col("all")).where("n > second").select("person", "season", F.col("grade").alias("fielded"))
+    pinned = pins.select("person", "season", F.col("grade").alias("pinned"))
+    laid = seasons.join(pinned, ["person", "season"], "left").join(agreed, ["person", "season"], "left").join(field, ["person", "season"], "left")
+    laid = laid.withColumn("_offset", F.coalesce("pinned", "agreed") - F.col("season"))
+    w = Window.partitionBy("person").orderBy("season")  # one row a season
+    before, after = F.last("_offset", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("_offset", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = F.when(F.coalesce(before, after) == F.coalesce(after, before), F.coalesce(before, after)) + F.col("season")
+    got = laid.withColumn("_near", near).withColumn("_near", F.when(F.col("_near").between(low, high), F.col("_near")))
+    rules = [("pinned", "pinned"), ("agreed", "corroborated"), ("_near", "neighbours"), ("fielded", "field")]
+    method = F.coalesce(*[F.when(F.col(c).isNotNull(), name) for c, name in rules], F.lit("unknown"))
+    got = got.select("person", "season", F.coalesce(*[F.col(c) for c, _ in rules]).alias("grade"), method.alias("method")).withColumn("_o", F.col("grade") - F.col("season"))
+    same = F.count("_o").over(Window.partitionBy("person", "_o"))
+    settled = F.count("_o").over(Window.partitionBy("person"))
+    trusted = (F.col("method") == "pinned") | (F.col("grade").isNotNull() & (settled >= 2) & (2 * (same - 1) > settled - 1))
+    return got.withColumn("trusted", F.coalesce(trusted, F.lit(False))).drop("_o")
