@@ -244,3 +244,31 @@ def over_record(rows: DataFrame, race: str, distance: str, value: str, records:
     bad = marked.where("_beats").select(race).distinct()
     whole = marked.join(bad, race, "left_semi").select("id", F.lit("race").alias("reason"))
     return whole.unionByName(marked.join(bad, race, "left_anti").where("_low").select("id", F.lit("row").alias("reason")))
+
+
+def rust(rows: DataFrame, person: str, season: str, day: str, order: str, value: str, pool: str, prior: float, least: int = 2) -> DataFrame:
+    """(pool, rust, n): how much a season's first result is off the same season's other results, as the median over persons' seasons with ``least``
+    others, shrunk by n / (n + prior). Other results are averaged, so that a long season counts once."""
+    opener = F.min(F.struct(day, order)).over(Window.partitionBy(person, season))
+    own = rows.where(F.col(value).isNotNull()).withColumn("_first", F.struct(day, order) == opener)
+    one = own.groupBy(pool, person, season).agg(F.max(F.when(F.col("_first"), F.col(value))).alias("_o"), F.avg(F.when(~F.col("_first"), F.col(value))).alias("_r"), F.count_if(~F.col("_first")).alias("_n")).where(F.col("_n") >= least)
+    n = F.count("*")
+    return one.groupBy(pool).agg((F.percentile(F.col("_o") - F.col("_r"), 0.5) * n / (n + prior)).alias("rust"), n.alias("n"))
+
+
+def paired_bootstrap(df: DataFrame, race: str, first: str, second: str, repeats: int, seed: int) -> DataFrame:
+    """(difference, low, high, worse): the mean of ``first`` less ``second`` (two models' errors on the same rows), the central 95 percent of it over
+    races drawn with replacement, both models meeting the same draws, and the share of draws in which ``first`` isn't smaller."""
+    rows = df.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(race, (F.col(first) - F.col(second)).alias("_d"))
+    drawn = race_bootstrap(rows, race, "_d", repeats, seed)
+    spread = drawn.agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"), F.avg((F.col("mean") >= 0).cast("double")).alias("worse"))
+    return rows.agg(F.avg("_d").alias("difference")).crossJoin(F.broadcast(spread))  # one row each
+
+
+def whole_value_holdout(df: DataFrame, kind: str, held: list, among: str) -> DataFrame:
+    """``held``: rows whose ``kind`` (a sport, a distance) is in the list, of those in ``among`` (persons) who also have rows of another kind, so that
+    what is held can be predicted at all; the other rows of the list are neither, null."""
+    out = F.col(kind).isin(held)
+    other = df.where(~out).select(F.col(among).alias("_who")).distinct().withColumn("_known", F.lit(True))
+    both = df.join(other, df[among] == other["_who"], "left")
+    return both.withColumn("held", F.when(~out, False).when(F.coalesce("_known", F.lit(False)), True)).drop("_who", "_known")

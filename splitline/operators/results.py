@@ -125,3 +125,11 @@ def best_lineups(options: DataFrame, team: str, person: str, event: str, points:
 
     schema = ", ".join(f"{c} {options.schema[c].dataType.simpleString()}" for c in (team, person, event, points))
     return options.select(team, person, event, points).groupBy(team).applyInPandas(pick, schema)
+
+
+def training_paces(speeds: DataFrame, speed: str, zones: list[tuple[str, float]]) -> DataFrame:
+    """(..., zone, pace): seconds a kilometre of each training zone, a share of the critical speed in metres a second. Speeds that aren't positive
+    have no paces."""
+    zone = F.explode(F.array(*[F.struct(F.lit(n).alias("zone"), F.lit(s).alias("share")) for n, s in zones]))
+    got = speeds.where(F.col(speed) > 0).withColumn("_z", zone)
+    return got.select(*speeds.columns, F.col("_z.zone").alias("zone"), (1000.0 / (F.col(speed) * F.col("_z.share"))).alias("pace"))

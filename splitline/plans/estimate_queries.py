@@ -220,3 +220,23 @@ def weather_spline(spark, sf):
     named = li.select("l_suppkey", "l_partkey", "l_extendedprice", *[b.alias(f"b{i}") for i, b in enumerate(basis)])
     got = solve.within_regression(named, "l_suppkey", "l_partkey", "l_extendedprice", [f"b{i}" for i in range(len(basis))], tol=1e-12)
     return spark.createDataFrame([(i, round(b, 2)) for i, b in enumerate(got)], "term int, beta double")
+
+
+@query(f"WITH {R}, s AS (SELECT *, cast(dayno // 10 AS BIGINT) AS season, row_number() OVER (PARTITION BY person, dayno // 10 ORDER BY dayno, id) = 1 AS first FROM r WHERE mark IS NOT NULL), o AS (SELECT person % 4 AS pool, person, season, max(mark) FILTER (WHERE first) - avg(mark) FILTER (WHERE NOT first) AS d FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE NOT first) >= 2) SELECT pool, round(quantile_cont(d, 0.5) * count(*) / (count(*) + 10), 6) AS rust, count(*) AS n FROM o GROUP BY pool")
+def season_rust(spark, sf):
+    r = results(spark, sf).withColumn("season", F.floor(F.col("dayno") / 10)).withColumn("pool", F.col("person") % 4)
+    return est.rust(r, "person", "season", "dayno", "id", "mark", "pool", 10.0).withColumn("rust", F.round("rust", 6))
+
+
+@query(f"WITH {R}, v AS (SELECT person, avg(mark) AS a FROM r GROUP BY person), w AS (SELECT cell, avg(mark) AS b FROM r GROUP BY cell), e AS (SELECT dayno, abs(mark - a) - abs(mark - b) AS d FROM r JOIN v USING (person) JOIN w USING (cell) WHERE mark IS NOT NULL), p AS (SELECT dayno, sum(d) AS s, count(d) AS n FROM e GROUP BY dayno), m AS (SELECT p.*, t.rep AS repeat, CAST('0x' || substr(md5('6|' || t.rep || '|' || CAST(dayno AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM p, (SELECT unnest(range(1, 101)) AS rep) t), q AS (SELECT sum({_POISSON} * s) / sum({_POISSON} * n) AS mean FROM m GROUP BY repeat) SELECT round((SELECT avg(d) FROM e), 6) AS difference, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END) AS worse FROM q")
+def paired_bootstrap(spark, sf):
+    """A person's mean against a cell's mean as predictions, by days drawn anew a hundred times."""
+    r = results(spark, sf).where("mark IS NOT NULL")
+    e = r.join(r.groupBy("person").agg(F.avg("mark").alias("a")), "person").join(r.groupBy("cell").agg(F.avg("mark").alias("b")), "cell").select("dayno", F.abs(F.col("mark") - F.col("a")).alias("x"), F.abs(F.col("mark") - F.col("b")).alias("y"))
+    return est.paired_bootstrap(e, "dayno", "x", "y", 100, 6).withColumns({c: F.round(c, 6) for c in ("difference", "low", "high")})
+
+
+@query(f"WITH {R}, o AS (SELECT DISTINCT person FROM r WHERE cell <> 'click') SELECT id, CASE WHEN cell <> 'click' THEN false WHEN o.person IS NOT NULL THEN true END AS held FROM r LEFT JOIN o ON r.person = o.person")
+def sport_holdout(spark, sf):
+    """One kind of event held out whole, for the persons who are known from others."""
+    return est.whole_value_holdout(results(spark, sf), "cell", ["click"], "person").select("id", "held")

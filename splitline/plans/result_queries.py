@@ -246,6 +246,15 @@ def critical_speed(spark, sf):
     return got.select("person", F.round("speed", 8).alias("speed"), F.round("reserve", 4).alias("reserve"), "n")
 
 
+_ZONES = [("easy", 0.7), ("threshold", 0.93), ("interval", 1.05)]
+
+
+@query(f"WITH {_D}, b AS (SELECT person, distance, min(seconds) AS t FROM d GROUP BY ALL), s AS (SELECT person, regr_slope(distance, t) AS speed FROM b GROUP BY person HAVING count(*) >= 3 AND regr_slope(distance, t) > 0) SELECT person, zone, round(ln(1000 / (speed * share)), 6) AS log_pace FROM s, (VALUES ('easy', 0.7), ('threshold', 0.93), ('interval', 1.05)) z(zone, share)")
+def training_paces(spark, sf):
+    got = res.critical_speed(distances(spark, sf), "person", "distance", "seconds", 3)
+    return res.training_paces(got, "speed", _ZONES).select("person", "zone", F.round(F.log("pace"), 6).alias("log_pace"))
+
+
 @query(f"WITH {R}, p AS (SELECT a.id, a.mark, quantile_cont(b.mark, 0.8) AS level, count(*) AS n_before FROM r a JOIN r b ON a.person = b.person AND b.dayno < a.dayno AND b.dayno >= a.dayno - 7 GROUP BY a.id, a.mark HAVING count(*) >= 3) SELECT id, round(level, 6) AS level, n_before FROM p WHERE mark > level")
 def above_level(spark, sf):
     return res.above_level(results(spark, sf), "person", "dayno", "mark", 7, 0.8, 3).select("id", F.round("level", 6).alias("level"), "n_before")

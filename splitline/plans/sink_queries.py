@@ -41,12 +41,12 @@ def versioned_swap(spark, sf):
 
 @query("SELECT strftime(d, '%Y-%m-%d') AS snapshot_date, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer, (VALUES (DATE '2024-01-12', 2), (DATE '2024-01-19', 3)) v(d, m) WHERE c_custkey % m = 0 GROUP BY d")
 def dated_snapshots(spark, sf):
-    """Three weekly snapshots, one taken twice, of which two are kept."""
+    """Three weekly snapshots, one taken twice, of which all but two are deleted."""
     path, c = _folder(spark), table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     for day, m in (("2024-01-05", 5), ("2024-01-12", 7), ("2024-01-12", 2), ("2024-01-19", 3)):
         sinks.write_snapshot(c.where(f"c_custkey % {m} = 0"), path, day)
-    kept = sinks.latest_snapshots(spark.read.parquet(path), 2)
-    return kept.groupBy(F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    sinks.prune_snapshots(spark, path, 2)
+    return spark.read.parquet(path).groupBy(F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date")).agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
 @query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS old_rank FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal + c_nationkey * 100 DESC, c_custkey) AS new_rank FROM customer WHERE c_custkey % 5 <> 0) SELECT c_custkey, old_rank, new_rank, CASE WHEN old_rank IS NULL THEN 'new' WHEN new_rank IS NULL THEN 'gone' WHEN new_rank < old_rank THEN 'up' WHEN new_rank > old_rank THEN 'down' ELSE 'same' END AS change FROM a FULL JOIN b USING (c_custkey)")
@@ -197,3 +197,14 @@ def leased_claims(spark, sf):
     mine = queue.claim("a", best, ["c_mktsegment"], 3, now=0.0, lease=600.0)
     queue.claim("b", best, ["c_mktsegment"], 3, now=1.0, lease=600.0)
     return queue.done(mine.first()["token"]).select("c_custkey", "state", "worker")
+
+
+@query("WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE value IS NOT NULL), p AS (SELECT user_id, unnest(range(1, 9)) AS k FROM (SELECT DISTINCT user_id FROM events)) SELECT p.user_id, CAST(9 - p.k AS INTEGER) AS step, round(coalesce(value, -1), 6) AS value, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS mask FROM p LEFT JOIN s ON s.k = p.k AND s.user_id IS NOT DISTINCT FROM p.user_id")
+def padded_sequences(spark, sf):
+    """Every user's last eight values as one shape, written as chunks of users and read back."""
+    e = table(spark, sf, "events")
+    seq = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value")))), lambda s: s["value"]).alias("seq"))  # one user's events
+    path = _folder(spark)
+    sinks.padded(seq, "seq", 8, -1.0).write.option("maxRecordsPerFile", 64).parquet(path)
+    steps = spark.read.parquet(path).select("user_id", F.posexplode(F.arrays_zip("seq", "mask")).alias("i", "s"))
+    return steps.select("user_id", (F.col("i") + 1).alias("step"), F.round("s.seq", 6).alias("value"), F.col("s.mask").alias("mask"))

@@ -140,6 +140,28 @@ def latest_snapshots(snapshots: DataFrame, keep: int) -> DataFrame:
     return snapshots.join(F.broadcast(days), "snapshot_date", "left_semi")  # at most ``keep`` dates
 
 
+def prune_snapshots(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Deletes the partitions of all but the ``keep`` newest dates under ``path``, and returns the dates that are gone. Names of partitions are listed,
+    no data is read; a reader of a date that is deleted meanwhile fails rather than seeing a part of it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    dated = {x.getPath().getName().removeprefix("snapshot_date="): x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("snapshot_date=")}
+    old = sorted(dated)[:-keep] if keep else sorted(dated)
+    for day in old:
+        fs.delete(dated[day], True)
+    return old
+
+
+def padded(df: DataFrame, sequence: str, length: int, pad) -> DataFrame:
+    """``df`` with its sequence cut to the last ``length`` values and filled up before them with ``pad``, and ``mask``, 1 at real values: rows of one
+    shape, as a batch of tensors wants them. A null sequence is all padding."""
+    kind = df.schema[sequence].dataType.elementType
+    own = F.coalesce(sequence, F.array().cast(df.schema[sequence].dataType))
+    kept = F.slice(own, F.greatest(F.size(own) - length + 1, F.lit(1)), length)
+    missing = F.lit(length) - F.size(kept)
+    return df.withColumn(sequence, F.concat(F.array_repeat(F.lit(pad).cast(kind), missing), kept)).withColumn("mask", F.concat(F.array_repeat(F.lit(0), missing), F.array_repeat(F.lit(1), F.size(kept))))
+
+
 def safe_cell(value: Column) -> Column:
     """Text for a spreadsheet: a leading = + - @ tab or return gets an apostrophe before it, numbers stay."""
     t = value.cast("string")
