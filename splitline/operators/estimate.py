@@ -124,11 +124,11 @@ def robust_shape(edges: DataFrame, a: str, b: str, degree: int, c: float = 4.685
     rows = edges.select(a, b, "edge", "se").collect()
     x = np.array([[np.log(r[1]) ** k - np.log(r[0]) ** k for k in range(1, degree + 1)] for r in rows])
     y, w0 = np.array([r[2] for r in rows]), np.array([1 / r[3] for r in rows])
-    w = np.ones(len(y))
+    w, floor = np.ones(len(y)), 1e-9 * float(np.abs(y * w0).max(initial=0.0))  # below that residuals are rounding
     for _ in range(rounds):
         g = np.linalg.lstsq(x * (w0 * np.sqrt(w))[:, None], y * w0 * np.sqrt(w), rcond=None)[0]
         r = (y - x @ g) * w0
-        new = tukey_weights(r, 1.4826 * float(np.median(np.abs(r - np.median(r)))), c)
+        new = tukey_weights(r, max(1.4826 * float(np.median(np.abs(r - np.median(r)))), floor), c)
         if np.abs(new - w).max() < 1e-9:
             return g.tolist()
         w = new

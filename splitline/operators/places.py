@@ -129,7 +129,7 @@ def binomial_tail(votes: Column, voters: Column, chance: float) -> Column:
     return F.when(voters <= 0, 1.0).otherwise(F.least(F.lit(1.0), below["sum"] + F.when(votes <= voters, F.exp(voters * F.lit(math.log(chance)))).otherwise(0.0)))
 
 
-def wrong_years(meets: DataFrame, rows: DataFrame, least: int, share: float, chance: float, alpha: float) -> DataFrame:
+def wrong_years(meets: DataFrame, rows: DataFrame, least: int, share: float, chance: float = 0.25, alpha: float = 1.0) -> DataFrame:
     """(meet, shift, votes, voters, chance): meets whose date should move by whole years. A voter is an athlete of the meet with seasons elsewhere; it votes
     for the shift, of -1, 0 and 1 years, that lands nearest its other seasons. The votes must be more than wrong votes of probability ``chance``
     each explain: their binomial tail is at most ``alpha``. rows: meet, person, year; meets: meet, year."""

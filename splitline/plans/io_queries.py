@@ -95,6 +95,13 @@ def html_table_rows(spark, sf):
     return _parsed(_report(_entries(spark, sf), "<html><table><tr><td>menu</td></tr></table><table><tr><th>Club</th><th>Pos</th><th>Result</th><th>Runner</th></tr>", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")), "</table></html>"))
 
 
+@query(_LINES.replace("FROM customer)", "FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey) >= 3)"))
+def html_row_vote(spark, sf):
+    """HTML result tables without titles: columns by what most of their rows hold; fewer than three rows decide nothing."""
+    cells = F.concat(*[F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>")) for c in ("place", "name", "team", "mark")])
+    return _parsed(_report(_entries(spark, sf), "<html><table><tr><td>menu</td></tr></table><table>", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")), "</table></html>"))
+
+
 @query(_LINES)
 def csv_header_synonyms(spark, sf):
     quoted = F.concat(F.lit('"'), F.col("team"), F.lit('"'))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -113,11 +114,50 @@ class _Tables(HTMLParser):
 
 
 def html_tables(text: str) -> Iterator[tuple]:
-    """Rows of the result tables of a page: tables without a result header give none."""
+    """Rows of the result tables of a page. Tables without a result header give none, unless no table has one: then columns are found by what most
+    rows hold (:func:`voted_columns`)."""
     parser = _Tables()
     parser.feed(text)
     parser.close()
-    yield from _titled(parser.rows)
+    if any(header_of(cells) for cells in parser.rows):
+        yield from _titled(parser.rows)
+    else:
+        width = Counter(len(cells) for cells in parser.rows).most_common(1)
+        rows = [(number, cells) for number, cells in enumerate(parser.rows) if width and len(cells) == width[0][0]]
+        at = voted_columns([cells for _, cells in rows])
+        if {"name", "mark"} <= set(at.values()):
+            for number, cells in rows:
+                yield _row(number, {c: cells[i].strip() for i, c in at.items()})
+
+
+_LOOKS = {
+    "mark": re.compile(r"(\d{1,2}:)?\d{1,2}:\d{2}(\.\d+)?|\d+\.\d+"),
+    "place": re.compile(r"\d{1,4}\.?"),
+    "grade": re.compile(r"0?[6-9]|1[0-2]|fr|so|jr|sr", re.IGNORECASE),
+    "text": re.compile(r".*[^\W\d_].*"),
+}
+
+
+def voted_columns(rows: list[list[str]], share: float = 0.6, least: int = 3) -> dict[int, str]:
+    """{index: column} of a table without titles, by the share of its rows whose cells look like a place, a mark, a grade or text.
+
+    A place column never falls; of text columns the one with the most different values is the name, the next the team. Fewer than ``least`` rows
+    decide nothing.
+    """
+    if len(rows) < least:
+        return {}
+    columns = [[x.strip() for x in c] for c in zip(*rows)]
+    looks = lambda c, kind: sum(bool(_LOOKS[kind].fullmatch(x)) for x in c) >= share * len(c)
+    out: dict[int, str] = {}
+    for kind in ("mark", "place", "grade"):
+        fits = [i for i, c in enumerate(columns) if i not in out and looks(c, kind)]
+        if kind == "place":
+            number = lambda c: [int(x.rstrip(".")) for x in c if _LOOKS["place"].fullmatch(x)]
+            fits = [i for i in fits if all(a <= b for a, b in zip(number(columns[i]), number(columns[i])[1:]))]
+        if fits:
+            out[fits[0]] = kind
+    texts = sorted((i for i, c in enumerate(columns) if i not in out and looks(c, "text")), key=lambda i: (-len(set(columns[i])), i))
+    return out | dict(zip(texts, ("name", "team")))
 
 
 def _titled(rows) -> Iterator[tuple]:

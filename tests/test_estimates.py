@@ -158,3 +158,15 @@ def test_wrong_year_is_voted_out(spark):
     rows = spark.createDataFrame([(m, p, y) for m, y in [(1, 2011), (2, 2010), (3, 2010)] for p in range(5)] + [(4, 99, 2009)], "meet int, person int, year int")
     got = [(r.meet, r.shift, r.votes) for r in places.wrong_years(meets, rows, 3, 0.6).collect()]
     assert got == [(1, -1, 5)]
+
+
+def test_columns_by_vote_of_their_rows():
+    from splitline.sources import reports
+
+    rows = [["1", "Ann Lee", "Oak", "11", "17:01.2"], ["2.", "Bo Ray", "Oak", "SR", "17:20.9"], ["2", "Cy Fox", "Elm", "9", "DNF"], ["4", "Di Orr", "Elm", "", "18:00.0"]]
+    assert reports.voted_columns(rows) == {0: "place", 1: "name", 2: "team", 3: "grade", 4: "mark"}
+    assert reports.voted_columns(rows[:2]) == {}
+    assert list(reports.html_tables("<table>" + "".join(f"<tr><td>{i}</td><td>page {i}</td></tr>" for i in range(5)) + "</table>")) == []  # no mark, no results
+    page = "<table><tr><td>menu</td></tr>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    got = [dict(zip(reports.FIELDS, r[1:])) for r in reports.html_tables(page)]
+    assert [(r["place"], r["name"], r["grade"], r["mark"]) for r in got] == [("1", "Ann Lee", "11", "17:01.2"), ("2.", "Bo Ray", "SR", "17:20.9"), ("2", "Cy Fox", "9", "DNF"), ("4", "Di Orr", None, "18:00.0")]
