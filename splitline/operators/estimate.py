@@ -272,3 +272,42 @@ def whole_value_holdout(df: DataFrame, kind: str, held: list, among: str) -> Dat
     other = df.where(~out).select(F.col(among).alias("_who")).distinct().withColumn("_known", F.lit(True))
     both = df.join(other, df[among] == other["_who"], "left")
     return both.withColumn("held", F.when(~out, False).when(F.coalesce("_known", F.lit(False)), True)).drop("_who", "_known")
+
+
+def race_context(rows: DataFrame, race: str, team: str, order: str, base: str, extra: str) -> DataFrame:
+    """Each runner with its field: field_n, rank_pct (0 for the best, least ``base``), gap_to_median, gap_ahead, gap_behind (null at the ends), team_n (its
+    mates) and team_mean (their mean of ``extra``). Runners are ordered over range partitions, so a race may be most rows; mates come from sums of
+    the team less the runner's own."""
+    from .ranks import Ordered
+
+    laid = Ordered(rows, [race], [base, order])
+    near = laid.around(laid.running(laid.rows, {"_k": F.lit(1)}), F.col(base), 1)
+    field = rows.groupBy(F.col(race).alias("_race")).agg(F.count("*").alias("field_n"), F.percentile(base, 0.5).alias("_median"))
+    mates = rows.groupBy(F.col(race).alias("_race2"), F.col(team).alias("_team")).agg(F.count("*").alias("_n"), F.sum(extra).alias("_s"), F.count(extra).alias("_c"))
+    both = near.join(field, near[race] == field["_race"]).join(mates, (near[race] == mates["_race2"]) & near[team].eqNullSafe(mates["_team"]))
+    alone = F.col(team).isNull()
+    own = F.when(F.col(extra).isNull(), 0).otherwise(1)
+    return both.select(
+        *rows.columns, "field_n", ((F.col("_k") - 1) / F.greatest(F.col("field_n") - 1, F.lit(1))).alias("rank_pct"), (F.col(base) - F.col("_median")).alias("gap_to_median"),
+        (F.col(base) - F.get("_before", F.lit(0))).alias("gap_ahead"), (F.get("_after", F.lit(0)) - F.col(base)).alias("gap_behind"), F.when(alone, 0).otherwise(F.col("_n") - 1).alias("team_n"),
+        F.when(~alone, F.try_divide(F.col("_s") - F.coalesce(extra, F.lit(0.0)), F.col("_c") - own)).alias("team_mean"),
+    )
+
+
+def fitted_prior(cells: DataFrame, effect: str, n: str, within: float, least: float = 1.0, most: float = 1e6) -> float:
+    """The number of rows that a cell's shrinkage n / (n + prior) should stand against, from the effects themselves: the rows' variance ``within`` over
+    the variance of the true effects, which is that of the effects beyond their own sampling variance within / n; ``most`` where nothing is left."""
+    got = cells.where(F.col(n) > 0).agg(F.var_samp(effect).alias("v"), F.avg(1 / F.col(n)).alias("u")).first()
+    own = (got["v"] or 0.0) - within * (got["u"] or 0.0)
+    return most if own <= 0 else min(most, max(least, within / own))
+
+
+def field_adjusted(rows: DataFrame, race: str, cell: str, value: str, strength: str) -> DataFrame:
+    """(race, cell, effect, adjusted): each race's mean value, and that less what its field's strength explains: the slope of races' means on their
+    fields' mean strength within cells, so that a course that only strong fields visit isn't made easier by them."""
+    per = rows.groupBy(race, cell).agg(F.avg(value).alias("effect"), F.avg(strength).alias("_x"))
+    mean = per.groupBy(F.col(cell).alias("_cell")).agg(F.avg("effect").alias("_e"), F.avg("_x").alias("_m"))
+    both = per.join(mean, per[cell] == mean["_cell"])
+    dx, dy = F.col("_x") - F.col("_m"), F.col("effect") - F.col("_e")
+    slope = both.agg(F.coalesce(F.try_divide(F.sum(dx * dy), F.sum(dx * dx)), F.lit(0.0)).alias("_slope"), F.avg("_x").alias("_all"))
+    return both.crossJoin(F.broadcast(slope)).select(race, cell, "effect", (F.col("effect") - F.col("_slope") * (F.col("_x") - F.col("_all"))).alias("adjusted"))  # one row

@@ -116,3 +116,10 @@ def within_radius(df: DataFrame, keys: list[str], key: str, value: str, radius:
     b = df.select(*keys, F.col(key).alias("b"), F.col(value).alias("_y"), band.alias("_b"))
     gap = F.abs(F.col("_x") - F.col("_y"))
     return a.join(b, [*keys, "_b"]).where((F.col("a") != F.col("b")) & (gap <= F.col("_r"))).select("a", "b", gap.alias("gap"))
+
+
+def alike_trends(pairs: DataFrame, trends: DataFrame, key: str, trend: str, most: float, k: int) -> DataFrame:
+    """(a, b, gap, turn): of the pairs (a, b, gap), those whose trends differ by ``most`` or less, and of these each ``a``'s ``k`` nearest by gap, then b."""
+    ta, tb = trends.select(F.col(key).alias("a"), F.col(trend).alias("_ta")), trends.select(F.col(key).alias("b"), F.col(trend).alias("_tb"))
+    both = pairs.join(ta, "a").join(tb, "b").withColumn("turn", F.abs(F.col("_ta") - F.col("_tb"))).where(F.col("turn") <= most)
+    return top_k_per_key(both, ["a"], [F.col("gap"), F.col("b")], k).select("a", "b", "gap", "turn")

@@ -240,3 +240,32 @@ def paired_bootstrap(spark, sf):
 def sport_holdout(spark, sf):
     """One kind of event held out whole, for the persons who are known from others."""
     return est.whole_value_holdout(results(spark, sf), "cell", ["click"], "person").select("id", "held")
+
+
+@query(f"WITH {L}, b AS (SELECT person, avg(ln(mark)) AS base FROM l GROUP BY person), x AS (SELECT race, team, id, mark, base, CASE WHEN id % 4 = 0 THEN NULL ELSE mark END AS extra FROM l JOIN b USING (person)), w AS (SELECT *, count(*) OVER (PARTITION BY race) AS field_n, row_number() OVER o AS k, quantile_cont(base, 0.5) OVER (PARTITION BY race) AS med, lag(base) OVER o AS a, lead(base) OVER o AS z, count(*) OVER t - 1 AS team_n, sum(extra) OVER t AS s, count(extra) OVER t AS c FROM x WINDOW o AS (PARTITION BY race ORDER BY base, id, mark, team), t AS (PARTITION BY race, team)) SELECT id, field_n, round((k - 1) / greatest(field_n - 1, 1), 8) AS rank_pct, round(base - med, 8) AS gap_to_median, round(base - a, 8) AS gap_ahead, round(z - base, 8) AS gap_behind, team_n, round(ln((s - coalesce(extra, 0)) / nullif(c - CASE WHEN extra IS NULL THEN 0 ELSE 1 END, 0)), 7) AS team_mean FROM w")
+def race_context(spark, sf):
+    r = races(spark, sf)
+    x = r.join(r.groupBy("person").agg(F.avg(F.log("mark")).alias("base")), "person").select("race", "team", "id", F.struct("id", "mark", "team").alias("key"), "base", F.when(F.col("id") % 4 != 0, F.col("mark")).alias("extra"))  # some ids repeat
+    got = est.race_context(x, "race", "team", "key", "base", "extra").select("id", "field_n", "rank_pct", "gap_to_median", "gap_ahead", "gap_behind", "team_n", "team_mean")
+    return got.withColumns({c: F.round(c, 8) for c in ("rank_pct", "gap_to_median", "gap_ahead", "gap_behind")}).withColumn("team_mean", F.round(F.log("team_mean"), 7))
+
+
+_PRIOR = f"WITH {R}, m AS (SELECT person, avg(mark) AS a FROM r GROUP BY person), g AS (SELECT person % 60 AS cell, dayno, mark - a + sin(person % 60) * 40 AS gap FROM r JOIN m USING (person) WHERE mark IS NOT NULL), c AS (SELECT cell, avg(gap) AS effect, count(*) AS n, sum((gap) ** 2) - count(*) * avg(gap) ** 2 AS ss FROM g GROUP BY cell), w AS (SELECT sum(ss) / (sum(n) - count(*)) AS within, var_samp(effect) AS v, avg(1.0 / n) AS u FROM c)"
+
+
+@query(_PRIOR + " SELECT cell, round(effect * n / (n + within / (v - within * u)), 6) AS shrunk, n FROM c, w")
+def fitted_shrinkage(spark, sf):
+    """Cells' effects shrunk by the prior that they themselves give."""
+    r = results(spark, sf).where("mark IS NOT NULL")
+    g = r.join(r.groupBy("person").agg(F.avg("mark").alias("a")), "person").select((F.col("person") % 60).alias("cell"), (F.col("mark") - F.col("a") + F.sin(F.col("person") % 60) * 40).alias("gap"))
+    c = g.groupBy("cell").agg(F.avg("gap").alias("effect"), F.count("*").alias("n"), (F.sum(F.col("gap") ** 2) - F.count("*") * F.avg("gap") ** 2).alias("ss")).checkpoint()
+    within = c.agg(F.sum("ss") / (F.sum("n") - F.count("*"))).first()[0]
+    prior = est.fitted_prior(c, "effect", "n", within, least=0.0)
+    return c.select("cell", F.round(F.col("effect") * F.col("n") / (F.col("n") + prior), 6).alias("shrunk"), "n")
+
+
+@query(f"WITH {L}, b AS (SELECT person, avg(mark) AS s FROM l GROUP BY person), p AS (SELECT race, cell % 20 AS cell, avg(mark) AS effect, avg(s) AS x FROM l JOIN b USING (person) GROUP BY ALL), d AS (SELECT *, effect - avg(effect) OVER (PARTITION BY cell) AS dy, x - avg(x) OVER (PARTITION BY cell) AS dx FROM p), q AS (SELECT sum(dx * dy) / sum(dx * dx) AS slope, avg(x) AS mean FROM d) SELECT race, cell, round(ln(effect), 5) AS effect, round(ln(effect - slope * (x - mean)), 5) AS adjusted FROM d, q")
+def field_adjusted(spark, sf):
+    r = races(spark, sf)
+    own = r.join(r.groupBy("person").agg(F.avg("mark").alias("s")), "person").withColumn("cell", F.col("cell") % 20)
+    return est.field_adjusted(own, "race", "cell", "mark", "s").withColumns({c: F.round(F.log(c), 5) for c in ("effect", "adjusted")})

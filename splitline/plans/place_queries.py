@@ -261,3 +261,13 @@ def resolved_grades(spark, sf):
     rows = o.select(F.col("o_custkey").alias("person"), y.alias("season"), (k % 97).alias("race"), grade.alias("grade"))
     pins = rows.where("person % 50 = 7 AND season = 1995").select("person", "season", F.lit(9).cast("long").alias("grade")).distinct()
     return places.resolve_grades(rows, pins, 2, 0.12)
+
+
+@query("WITH s AS (SELECT c_custkey AS id, c_mktsegment AS pool, c_nationkey AS grade, c_acctbal AS rating, 50.0 + c_custkey % 7 * 10 AS error, CAST(c_custkey * 37 % 100 AS DOUBLE) AS trend FROM customer), p AS (SELECT a.id AS a, b.id AS b, abs(a.rating - b.rating) AS gap, abs(a.trend - b.trend) AS turn FROM s a JOIN s b ON a.pool = b.pool AND a.grade = b.grade AND a.id <> b.id AND abs(a.rating - b.rating) <= a.error AND abs(a.trend - b.trend) <= 30) SELECT a, b, round(gap, 4) AS gap, turn FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY gap, b) <= 3")
+def comps_trajectory(spark, sf):
+    """The three nearest seasons within the error radius whose trend is alike as well."""
+    c = table(spark, sf, "customer")
+    s = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("pool"), F.col("c_nationkey").alias("grade"), F.col("c_acctbal").alias("rating"), (50.0 + F.col("c_custkey") % 7 * 10).alias("error"))
+    trend = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 100).cast("double").alias("trend"))
+    near = joins.within_radius(s, ["pool", "grade"], "id", "rating", "error", 110.0)
+    return joins.alike_trends(near, trend, "id", "trend", 30.0, 3).withColumn("gap", F.round("gap", 4))
