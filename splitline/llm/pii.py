@@ -33,6 +33,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bitmap
-from .common import fresh, materialize
+from .common import WordCache, fresh, materialize, mix
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,7 +111,14 @@ def joined(spans) -> str:
 
 
 def _key(*words: str) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest("\0".join(words).encode())).astype(np.int64))
+    h = xxhash.xxh64_intdigest("\0".join(words).encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys of the patterns of two words, from the "l1" keys of the two."""
+    with np.errstate(over="ignore"):
+        return mix(first.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 def _name(word: str) -> str:
@@ -141,7 +149,8 @@ def contexts(text: str, mentions: list[tuple[str | None, int, int]]) -> list[lis
             if j not in names:
                 names[j] = _name(text[slice(*spans[j])].lower())
             before.append(names[j])
-        out[k] = ([_key("l1", before[0])] if before else []) + ([_key("l2", before[1], before[0])] if len(before) == 2 else [])
+        keys = [_key("l1", w) for w in before]
+        out[k] = keys[:1] + (_pair_keys(np.array(keys[1:]), np.array(keys[:1])).tolist() if len(keys) == 2 else [])
         free = max(free, end)
     return out
 
@@ -195,6 +204,55 @@ _TYPES = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.struct(_SPAN)), pa.list_(p
 _NAMES = ["row", "doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"]
 
 
+def _stretches(texts: list[str], size: int = 2_000_000):
+    """Lists of texts of about ``size`` characters together."""
+    some, n = [], 0
+    for t in texts:
+        some.append(t)
+        n += len(t)
+        if n >= size:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
+def _followers(texts: list[str], bits: np.ndarray, gates: np.ndarray, key_of: WordCache, after: WordCache):
+    """(pattern, follower) of every place of a pattern in ``bits`` where no mention starts. Words are coded once, and keys of their pairs are
+    made together for the places whose word is a gate."""
+    code: dict[str, int] = defaultdict(None)
+    code.default_factory = code.__len__
+    split = [t.lower().split() for t in texts]
+    codes = np.concatenate([np.fromiter(map(code.__getitem__, w), np.int64, len(w)) for w in split])
+    if not len(codes):
+        return
+    keys = np.array(key_of(list(code)), dtype=np.int64)
+    inside = np.ones(len(codes), dtype=bool)  # all but the last word of each text have one behind them
+    ends = np.cumsum([len(w) for w in split])
+    inside[ends[ends > 0] - 1] = False
+    first = np.zeros(len(codes), dtype=bool)
+    first[[e for e, w in zip(ends - [len(w) for w in split], split) if w]] = True
+    gate = np.flatnonzero(gates[bitmap.slots(keys)][codes] & inside)
+    one = gate[bits[bitmap.slots(keys)][codes[gate]]]
+    two = gate[~first[gate]]
+    two_keys = _pair_keys(keys[codes[two - 1]], keys[codes[two]])
+    held = bits[bitmap.slots(two_keys)]
+    places = [*zip(one.tolist(), keys[codes[one]].tolist()), *zip(two[held].tolist(), two_keys[held].tolist())]
+    starts: dict[int, list[bool]] = {}
+    stops = ends.tolist()
+    for i, key in places:
+        d = bisect.bisect_right(stops, i)
+        at = i - (stops[d] - len(split[d])) + 1
+        w = split[d][at]
+        if "@" in w or DIGIT.search(w):
+            if d not in starts:  # the mentions of this text, as the scan has them
+                mentioned = {s for _, s, _ in mentions_of(texts[d], base_spans(texts[d]))}
+                starts[d] = [m.start() in mentioned for m in WORD.finditer(texts[d])]
+            if starts[d][at]:
+                continue
+        yield key, after([w])[0]
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, others): how many distinct tokens follow each pattern's words in the whole corpus where no mention starts.
 
@@ -205,46 +263,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, gates = (np.unpackbits(np.frombuffer(x.value, dtype=np.uint8)).view(bool) for x in packed)
-        slot = lambda k: (k & 0xFFFFFFFFFFFFFFFF) >> (64 - bitmap.BITS)
-        one: dict[str, int] = {}
-        after: dict[str, int] = {}
+        key_of = WordCache(lambda w: _key("l1", _name(w)), 150_000)
+        after = WordCache(lambda w: _key(w.strip(STRIP) or w), 150_000)
         for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
             pairs: set[tuple[int, int]] = set()
-            for text in b.column(0).to_pylist():
-                text = text or ""
-                words = text.lower().split()
-                get, places = one.get, []
-                for i in [i for i, w in enumerate(words) if get(w, -1)]:  # gates, and words not met yet
-                    k = one.get(w := words[i])
-                    if k is None:
-                        if len(one) > 150_000:
-                            one.clear()
-                        k = _key("l1", _name(w))
-                        k = one[w] = k if gates[slot(k)] else 0
-                    if k:
-                        places.append((i, k))
-                starts = None
-                for i, k in places:
-                    if i + 1 == len(words):
-                        continue
-                    keys = [k] if bits[slot(k)] else []
-                    if i and bits[slot(two := _key("l2", _name(words[i - 1]), _name(words[i])))]:
-                        keys.append(two)
-                    if not keys:
-                        continue
-                    w = words[i + 1]
-                    if "@" in w or DIGIT.search(w):
-                        if starts is None:  # the mentions of this text, as the scan has them
-                            mentioned = {s for _, s, _ in mentions_of(text, base_spans(text))}
-                            starts = [m.start() in mentioned for m in WORD.finditer(text)]
-                        if starts[i + 1]:
-                            continue
-                    follower = after.get(w)
-                    if follower is None:
-                        if len(after) > 150_000:
-                            after.clear()
-                        follower = after[w] = _key(w.strip(STRIP) or w)
-                    pairs.update((x, follower) for x in keys)
+            for some in _stretches(texts):
+                pairs.update(_followers(some, bits, gates, key_of, after))
             found = np.array(list(pairs), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["pattern", "follower"])
 
