@@ -111,6 +111,8 @@ def joined(spans) -> str:
 
 
 def _key(*words: str) -> int:
+    if len(words) == 3 and words[0] == "l2":
+        return int(_pair_keys(np.array([_key("l1", words[1])]), np.array([_key("l1", words[2])]))[0])
     h = xxhash.xxh64_intdigest("\0".join(words).encode())
     return h - (1 << 64) if h >> 63 else h
 
