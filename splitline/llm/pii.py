@@ -228,7 +228,7 @@ def _followers(texts: list[str], bits: np.ndarray, gates: np.ndarray, key_of: Wo
     codes = np.concatenate([np.fromiter(map(code.__getitem__, w), np.int64, len(w)) for w in split])
     if not len(codes):
         return
-    keys = np.array(key_of(list(code)), dtype=np.int64)
+    keys = np.array(key_of(list(code)), dtype=np.uint64).view(np.int64)
     inside = np.ones(len(codes), dtype=bool)  # all but the last word of each text have one behind them
     ends = np.cumsum([len(w) for w in split])
     inside[ends[ends > 0] - 1] = False
@@ -265,7 +265,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def run(batches):
         bits, gates = (np.unpackbits(np.frombuffer(x.value, dtype=np.uint8)).view(bool) for x in packed)
-        key_of = WordCache(lambda w: _key("l1", _name(w)), 150_000)
+        hashed = xxhash.xxh64_intdigest
+        key_of = WordCache(lambda w: hashed("l1\0" + (w if len(w) <= 200 else _name(w))), 150_000)  # as in _key, without its sign
         after = WordCache(lambda w: _key(w.strip(STRIP) or w), 150_000)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
