@@ -148,14 +148,20 @@ def cg_two_way(spark, sf):
     return got.select("cell", F.round("difficulty", 1).alias("difficulty"), F.round("shrunk", 1).alias("shrunk"))
 
 
-@query()
+_POTENTIALS = f"""WITH {R}, q AS (SELECT a.person, a.cell AS c1, b.cell AS c2, b.mark / a.mark AS ratio, row_number() OVER (PARTITION BY a.person, a.cell, b.cell ORDER BY b.dayno - a.dayno, a.id, b.id) AS k FROM r a JOIN r b ON a.mark > 0 AND b.mark > 0 AND a.person = b.person AND a.id <> b.id AND a.cell <> b.cell AND b.dayno - a.dayno BETWEEN 0 AND 21),
+e AS (SELECT c1, c2, quantile_cont(ln(ratio), 0.5) AS edge, 1 / greatest(1.253 * coalesce(stddev_samp(ln(ratio)), 0) / sqrt(count(*)), 0.01) ** 2 AS w FROM q WHERE k = 1 GROUP BY ALL), u AS (SELECT c2 AS i, c1 AS j, edge AS d, w FROM e UNION ALL SELECT c1, c2, -edge, w FROM e), p0 AS (SELECT DISTINCT i, CAST(0 AS DOUBLE) AS p FROM u)"""
+for _i in range(80):  # every potential moves most of the way to what its edges say, until all have settled
+    _POTENTIALS += f", p{_i + 1} AS (SELECT u.i, 0.3 * any_value(me.p) + 0.7 * sum(w * (it.p + d)) / sum(w) AS p FROM u JOIN p{_i} me ON me.i = u.i JOIN p{_i} it ON it.i = u.j GROUP BY u.i)"
+
+
+@query(_POTENTIALS + " SELECT i AS cell, round(p - (SELECT p FROM p80 WHERE i = 'click'), 6) AS potential FROM p80")
 def transition_potentials(spark, sf):
     from ..operators import joins
 
     pairs = joins.closest_pairs(results(spark, sf).where("mark > 0"), "person", "id", "dayno", "cell", "mark", 21)
     e = solve.edges(pairs.withColumn("lr", F.log("ratio")), "c1", "c2", "lr", 0.01)
     got = solve.node_potentials(e, "c1", "c2", "click")
-    return spark.createDataFrame(list(got.items()), "cell string, potential double")
+    return spark.createDataFrame([(c, round(p, 6)) for c, p in got.items()], "cell string, potential double")
 
 
 def within_sql(columns: dict[str, str], rounds: int = 14) -> str:

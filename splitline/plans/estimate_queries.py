@@ -126,14 +126,19 @@ def robust_distance_shape(spark, sf):
     return spark.createDataFrame(list(enumerate(got, 1)), "power int, coefficient double")
 
 
-@query()
+_ERA = f"WITH {L}, s AS (SELECT person, CAST(year(day) AS INTEGER) AS season, avg(ln(mark)) AS v FROM l GROUP BY ALL), t AS (SELECT x.season AS a, quantile_cont(y.v - x.v, 0.5) AS step, CAST(count(*) AS DOUBLE) AS n FROM s x JOIN s y ON x.person = y.person AND y.season = x.season + 1 GROUP BY x.season), x0 AS (SELECT *, step AS x FROM t)"
+for _i in range(30):  # a step against its own median and, as second differences, its neighbours
+    _ERA += f", x{_i + 1} AS (SELECT a, step, n, (n * step + 5 * (coalesce(lag(x) OVER o, 0) + coalesce(lead(x) OVER o, 0))) / (n + 5 * (CASE WHEN lag(x) OVER o IS NULL THEN 0 ELSE 1 END + CASE WHEN lead(x) OVER o IS NULL THEN 0 ELSE 1 END)) AS x FROM x{_i} WINDOW o AS (ORDER BY a))"
+
+
+@query(_ERA + ", y AS (SELECT a AS season FROM t UNION SELECT a + 1 FROM t UNION SELECT 1997) SELECT season, round(coalesce((SELECT sum(x) FROM x30 WHERE a >= 1997 AND a < season), 0) - coalesce((SELECT sum(x) FROM x30 WHERE a < 1997 AND a >= season), 0), 7) AS level FROM y")
 def era_levels(spark, sf):
     """Season levels from the median steps of persons between neighbouring seasons; the test has the closed form."""
     s = races(spark, sf).groupBy("person", F.year("day").alias("season")).agg(F.avg(F.log("mark")).alias("v"))
     later = s.select("person", (F.col("season") - 1).alias("season"), F.col("v").alias("w"))
     step = s.join(later, ["person", "season"]).groupBy(F.col("season").alias("a")).agg(F.percentile(F.col("w") - F.col("v"), 0.5).alias("step"), F.count("*").cast("double").alias("n")).withColumn("b", F.col("a") + 1)
     got = est.era_curve(step, "a", "b", "step", "n", 5.0, 1997)
-    return spark.createDataFrame(sorted(got.items()), "season int, level double")
+    return spark.createDataFrame([(y, round(v, 7)) for y, v in sorted(got.items())], "season int, level double")
 
 
 _H = lambda key: f"CAST('0x' || substr(md5('3|' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.25"
