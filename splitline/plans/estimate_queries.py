@@ -115,7 +115,14 @@ def bracket_engine(spark, sf):
     return got.select("cell", F.round("difficulty", 6).alias("difficulty"), "n")
 
 
-@query()
+_SHAPE = """WITH t AS (SELECT l_suppkey AS k, CAST(p_size AS DOUBLE) AS d, avg(ln(l_extendedprice)) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), q AS (SELECT a.d AS a, b.d AS b, quantile_cont(b.v - a.v, 0.5) AS y, 1 / greatest(1.253 * coalesce(stddev_samp(b.v - a.v), 0) / sqrt(count(*)), 0.01) AS w0 FROM t a JOIN t b ON a.k = b.k AND a.d < b.d GROUP BY ALL),
+e AS (SELECT y, w0, ln(b) - ln(a) AS x1, ln(b) ** 2 - ln(a) ** 2 AS x2 FROM q), f0 AS (SELECT *, CAST(1 AS DOUBLE) AS w FROM e)"""
+for _i in range(60):  # least squares, then Tukey's weights by the median deviation
+    _SHAPE += f""", m{_i} AS (SELECT sum(v * x1 * x1) AS aa, sum(v * x1 * x2) AS ab, sum(v * x2 * x2) AS bb, sum(v * x1 * y) AS ya, sum(v * x2 * y) AS yb FROM (SELECT *, w0 * w0 * w AS v FROM f{_i})), g{_i} AS (SELECT (ya * bb - yb * ab) / (aa * bb - ab * ab) AS g1, (aa * yb - ab * ya) / (aa * bb - ab * ab) AS g2 FROM m{_i}),
+r{_i} AS (SELECT f.*, (y - x1 * g1 - x2 * g2) * w0 AS r FROM f{_i} f, g{_i}), d{_i} AS (SELECT 4.685 * 1.4826 * quantile_cont(abs(r - (SELECT quantile_cont(r, 0.5) FROM r{_i})), 0.5) AS s FROM r{_i}), f{_i + 1} AS (SELECT y, w0, x1, x2, (1 - least(abs(r) / s, 1) ** 2) ** 2 AS w FROM r{_i}, d{_i})"""
+
+
+@query(_SHAPE + " SELECT 1 AS power, round(g1, 5) AS coefficient FROM g59 UNION ALL SELECT 2, round(g2, 5) FROM g59")
 def robust_distance_shape(spark, sf):
     """A quadratic potential through the median edges between part sizes; the test plants one with gross outliers."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -123,7 +130,7 @@ def robust_distance_shape(spark, sf):
     a, b = best.withColumnsRenamed({"d": "a", "t": "x"}), best.withColumnsRenamed({"d": "b", "t": "y"})
     pair = a.join(b, "l_suppkey").where("a < b").select(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), (F.col("y") - F.col("x")).alias("lr"))
     got = est.robust_shape(solve.edges(pair, "a", "b", "lr", 0.01), "a", "b", 2)
-    return spark.createDataFrame(list(enumerate(got, 1)), "power int, coefficient double")
+    return spark.createDataFrame([(i, round(g, 5)) for i, g in enumerate(got, 1)], "power int, coefficient double")
 
 
 _ERA = f"WITH {L}, s AS (SELECT person, CAST(year(day) AS INTEGER) AS season, avg(ln(mark)) AS v FROM l GROUP BY ALL), t AS (SELECT x.season AS a, quantile_cont(y.v - x.v, 0.5) AS step, CAST(count(*) AS DOUBLE) AS n FROM s x JOIN s y ON x.person = y.person AND y.season = x.season + 1 GROUP BY x.season), x0 AS (SELECT *, step AS x FROM t)"
