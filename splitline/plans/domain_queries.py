@@ -253,7 +253,7 @@ def joint_difficulties(spark, sf):
     from ..operators import joint
 
     terms = joint.Terms(side="side", day="day", knots=[1.0, 92.0, 183.0, 274.0, 365.0], variances={"cell": 0.1, "race": 0.01, "side": 0.01})
-    effects, _ = joint.joint_solve(joint_rows(spark, sf), "id", "y", terms, sigma2=0.4, tol=1e-6)
+    effects, _ = joint.joint_solve(joint_rows(spark, sf), "id", "y", terms, sigma2=0.4, tol=1e-9)
     return effects.where("block IN ('cell', 'race')").select("block", "key", "value", "centred")
 
 
