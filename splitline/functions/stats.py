@@ -28,3 +28,22 @@ def median_of(values: Column) -> Column:
 def mad(values: Column) -> Column:
     """1.4826 times the median absolute deviation of an ascending array."""
     return let(median_of(values), lambda m: let(F.array_sort(F.transform(values, lambda v: F.abs(v - m))), lambda d: 1.4826 * median_of(d)))
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with the product unrounded, as processors fuse it: the product's rounding error (Dekker's, by halves of 26 bits) is added back."""
+    high = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    ah, bh, p = high(a), high(b), a * b
+    error = (a - ah) * (b - bh) - (((p - ah * bh) - (a - ah) * bh) - ah * (b - bh))
+    s = p + c
+    lost = (p - (s - (s - p))) + (c - (s - p))
+    return s + F.nanvl(lost + error, F.lit(0.0))  # infinite values have no rounding error
+
+
+def quantile(values: Column, q: float) -> Column:
+    """The ``q`` quantile of a sorted array without nulls, between its two places' values as the SQL's quantile_cont has it to the last bit; null if empty."""
+    at = (F.size(values) - 1) * F.lit(q)
+    d = at - F.floor(at)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    between = lambda s: F.when(s["d"] == 0, s["low"]).otherwise(fused(s["low"], 1 - s["d"], s["high"] * s["d"]))
+    return F.when(F.size(values) > 0, let(F.struct(low.alias("low"), high.alias("high"), d.alias("d")), between))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import stats
+
 
 def band_records(results: DataFrame, standards: DataFrame, person: str, day: str, distance: str, value: str, tolerance: float) -> DataFrame:
     """Results with their standard distance (``std``), the person's best value before that day in its band (``previous``), how many there were, and ``pr``.
@@ -92,7 +94,9 @@ def above_level(rows: DataFrame, person: str, day: str, value: str, days: int, q
     before = rows.select(F.col(person).alias("_p"), F.col(day).alias("_d"), F.col(value).alias("_v"), span.alias("_s"))
     near = (F.col("_d") < F.col(day)) & (F.col("_d") >= F.col(day) - days)
     pair = now.join(before, (now[person] == before["_p"]) & (now["_s"] == before["_s"])).where(near)
-    level = pair.groupBy("id").agg(F.percentile("_v", q).alias("level"), F.count("*").alias("n_before")).where(F.col("n_before") >= least)
+    # a row's own values of the window, in order; whether a mark equal to its level passes hangs on the level's last bit
+    sorted_ = pair.groupBy("id").agg(F.sort_array(F.collect_list("_v")).alias("_v"), F.count("*").alias("n_before")).where(F.col("n_before") >= least)
+    level = sorted_.select("id", stats.quantile(F.col("_v"), q).alias("level"), "n_before")
     return rows.join(level, "id").where(F.col(value) > F.col("level"))
 
 
