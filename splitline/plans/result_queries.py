@@ -34,8 +34,9 @@ def previous_best_in_band(spark, sf):
 @query(f"""WITH {_D}, s AS (SELECT *, CAST(dayno // 365 AS BIGINT) AS season FROM d), h AS (SELECT *, min(seconds) OVER (PARTITION BY person, distance, season ORDER BY dayno, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, min(seconds) OVER (PARTITION BY person, distance ORDER BY dayno, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM s)
 SELECT id, s IS NULL OR seconds < s AS season_best, p IS NULL OR seconds < p AS personal_best FROM h""")
 def season_best_flags(spark, sf):
+    """The tables repeat some ids; rows that day and id leave tied go by their time, so that every run gives the same flags. The SQL leaves them open."""
     d = distances(spark, sf).withColumn("season", F.floor(F.col("dayno") / 365))
-    return res.season_bests(d, ["person", "distance"], "season", "seconds", ["dayno", "id"]).select("id", "season_best", "personal_best")
+    return res.season_bests(d, ["person", "distance"], "season", "seconds", ["dayno", "id", "seconds"]).select("id", "season_best", "personal_best")
 
 
 @query(f"WITH {L}, s AS (SELECT person, CAST(year(day) AS BIGINT) AS season, count(*) AS n FROM l GROUP BY ALL) SELECT * FROM s WHERE n >= 3 OR season >= 1997")
