@@ -117,12 +117,11 @@ def tab_format_sniffed(spark, sf):
 def json_keyed_pages(spark, sf):
     """Keyed JSON pages, as an object for even nations and as a list with nulls in it for odd ones."""
     c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal").cast("string")).alias("v"))
-    g = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "v"))).alias("e"))
+    # a list's places are its keys: the entry of customer k stands at place k, after as many nulls as keys are missing before it
+    missing = F.col("c_custkey") - F.coalesce(F.lag("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey")), F.lit(-1)) - 1
+    g = c.withColumn("missing", missing.cast("int")).groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "v", "missing"))).alias("e"))
     as_map = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["c_custkey"].cast("string").alias("k"), x["v"].alias("v")))))
-    # a list's places are its keys: the entry of customer k stands at place k
-    last = F.array_max(F.transform("e", lambda x: x["c_custkey"])).cast("int")
-    known = F.map_from_entries(F.transform("e", lambda x: F.struct(x["c_custkey"].cast("int").alias("k"), x["v"].alias("v"))))
-    as_list = F.to_json(F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at(known, i)))
+    as_list = F.to_json(F.flatten(F.transform("e", lambda x: F.concat(F.array_repeat(F.lit(None).cast("string"), x["missing"]), F.array(x["v"])))))
     pages = g.select("c_nationkey", F.when(F.col("c_nationkey") % 2 == 0, as_map).otherwise(as_list).alias("page"))
     entry = pages.select("c_nationkey", F.explode(html.keyed_entries(F.col("page"))).alias("x"))
     return entry.select("c_nationkey", F.col("x.key").cast("long").alias("c_custkey"), F.col("x.value").alias("name"))

@@ -64,6 +64,6 @@ def listing(xml: Column) -> Column:
 def keyed_entries(page: Column) -> Column:
     """(key, value) structs of a JSON page that is either an object or a list: a list's keys are its places, its nulls are skipped."""
     as_map, as_list = F.from_json(page, "map<string,string>"), F.from_json(page, "array<string>")
-    of_list = F.filter(F.transform(as_list, lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value"))), lambda e: e["value"].isNotNull())
+    of_list = F.filter(F.transform(as_list, lambda v, i: F.when(v.isNotNull(), F.struct(i.cast("string").alias("key"), v.alias("value")))), lambda e: e.isNotNull())
     of_map = F.filter(F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), lambda e: e["value"].isNotNull())
     return F.when(F.trim(page).startswith("["), of_list).otherwise(of_map)

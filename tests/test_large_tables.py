@@ -56,3 +56,16 @@ def test_places_beyond_four_digits_are_voted():
     rows = [[str(i + 1), f"Runner {i}", f"Club {i % 7}", f"17:{i % 60:02d}.00"] for i in range(30_000)]
     assert reports.voted_columns(rows) == {0: "place", 1: "name", 2: "team", 3: "mark"}
     assert reports.voted_columns(rows[-50:]) == {0: "place", 1: "name", 2: "team", 3: "mark"}  # a later page of the same list
+
+
+def test_keyed_lists_of_many_places_are_built_in_proportion(spark, tmp_path):
+    import time
+
+    from splitline import catalog
+
+    keys = [3, 9, 10, *range(20, 400_000, 5)]
+    spark.createDataFrame([(k, 1, float(k)) for k in keys], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    start = time.monotonic()
+    got = {x.c_custkey: float(x.name) for x in catalog.queries()["json_keyed_pages"](spark, str(tmp_path)).collect()}
+    assert got == {k: float(k) for k in keys if k % 7}
+    assert time.monotonic() - start < 60  # a look through the known keys at every place takes many minutes
