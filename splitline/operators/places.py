@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves, text
 from .setops import components
+from .store import written
 
 
 def rounded_join(left: DataFrame, right: DataFrame, coordinates: list[str], digits: int, how: str = "left") -> DataFrame:
@@ -38,22 +39,52 @@ def tiles(cells: DataFrame, size: int) -> DataFrame:
     return cells.groupBy(F.floor(F.col("cell_lat") / size).alias("tile_lat"), F.floor(F.col("cell_lon") / size).alias("tile_lon")).agg(F.count_distinct("cell_lat", "cell_lon").alias("cells"), F.min("cell_lat").alias("south"), F.max("cell_lat").alias("north"))
 
 
-def near_places(places: DataFrame, metres: float, similarity: float) -> DataFrame:
-    """Pairs (a < b) of places within ``metres`` whose names have at least ``similarity``. places: id, name, lat, lon.
+def _spots(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spots, members): the different (name, lat, lon) of ``places``, numbered, and each place's spot (id, spot)."""
+    at = places.select("id", "name", "lat", "lon").dropna(subset=["name", "lat", "lon"])
+    spots = written(at.select("name", "lat", "lon").distinct().withColumn("spot", F.monotonically_increasing_id()), "spots")
+    return spots, at.join(spots, ["name", "lat", "lon"]).select("id", "spot").distinct()
+
 
-    Cells are ``metres`` high and, by the latitude's cosine, at least as wide; a place meets its own and the neighbouring cells.
+def _near_spots(spots: DataFrame, metres: float, similarity: float) -> DataFrame:
+    """(s, t, metres, similarity) of spots in either order, each with itself too.
+
+    Cells are ``metres`` high and, by the latitude's cosine, at least as wide; a spot meets its own and the neighbouring cells.
     """
     step = metres / 111_000.0
     row = F.floor(F.col("lat") / step)
     # within a band of rows the width is set by the latitude nearest a pole, so neighbours suffice
     wide = lambda r: F.lit(step) / F.greatest(F.cos(F.radians((F.abs(r) + 2) * step)), F.lit(0.01))
-    home = places.select(F.col("id").alias("a"), F.col("name").alias("n1"), F.col("lat").alias("la"), F.col("lon").alias("lo"), row.alias("r")).withColumn("c", F.floor(F.col("lo") / wide(F.col("r"))))
+    home = spots.select(F.col("spot").alias("s"), F.col("name").alias("n1"), F.col("lat").alias("la"), F.col("lon").alias("lo"), row.alias("r")).withColumn("c", F.floor(F.col("lo") / wide(F.col("r"))))
     shift = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    other = places.select(F.col("id").alias("b"), F.col("name").alias("n2"), F.col("lat").alias("lb"), F.col("lon").alias("lp"), row.alias("r0")).withColumn("dr", shift).withColumn("r", F.col("r0") + F.col("dr"))
+    other = spots.select(F.col("spot").alias("t"), F.col("name").alias("n2"), F.col("lat").alias("lb"), F.col("lon").alias("lp"), row.alias("r0")).withColumn("dr", shift).withColumn("r", F.col("r0") + F.col("dr"))
     other = other.withColumn("c0", F.floor(F.col("lp") / wide(F.col("r")))).withColumn("dc", shift).withColumn("c", F.col("c0") + F.col("dc")).drop("r0", "dr", "c0", "dc")
     d = curves.haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
-    pair = home.join(other, ["r", "c"]).where("a < b").withColumn("metres", d).where(F.col("metres") <= metres)
-    return pair.withColumn("similarity", text.similarity(F.col("n1"), F.col("n2"))).where(F.col("similarity") >= similarity).select("a", "b", "metres", "similarity").distinct()
+    pair = home.join(other, ["r", "c"]).withColumn("metres", d).where(F.col("metres") <= metres)
+    return pair.withColumn("similarity", text.similarity(F.col("n1"), F.col("n2"))).where(F.col("similarity") >= similarity).select("s", "t", "metres", "similarity")
+
+
+def near_places(places: DataFrame, metres: float, similarity: float) -> DataFrame:
+    """Pairs (a < b) of places within ``metres`` whose names have at least ``similarity``. places: id, name, lat, lon.
+
+    Places of one name and position are one spot: distances and names are compared once a pair of spots, and every pair of their places is given.
+    """
+    spots, members = _spots(places)
+    near, members = written(_near_spots(spots, metres, similarity), "near-spots"), written(members, "spot-members")
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few pairs of spots may be many pairs of places
+    first = near.repartition(parts, "s", "t").join(members.select(F.col("id").alias("a"), F.col("spot").alias("s")), "s")
+    return first.join(members.select(F.col("id").alias("b"), F.col("spot").alias("t")), "t").where("a < b").select("a", "b", "metres", "similarity")
+
+
+def near_links(places: DataFrame, metres: float, similarity: float) -> DataFrame:
+    """Pairs (a, b) with the clusters of :func:`near_places`, without expanding copies: a place with the smallest id of its spot, and of two
+    spots the smallest id of the first with the largest of the second, where any of the first is below any of the second."""
+    spots, members = _spots(places)
+    near, members = written(_near_spots(spots, metres, similarity), "near-spots"), written(members, "spot-members")
+    ends = written(members.groupBy("spot").agg(F.min("id").alias("low"), F.max("id").alias("high")), "spot-ends")
+    own = near.where("s = t").select(F.col("s").alias("spot")).join(members, "spot").join(ends, "spot").where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    low, high = ends.select(F.col("spot").alias("s"), F.col("low").alias("a")), ends.select(F.col("spot").alias("t"), F.col("high").alias("b"))
+    return near.where("s <> t").join(low, "s").join(high, "t").where("a < b").select("a", "b").unionByName(own)
 
 
 def canonical_places(places: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .store import written
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component), the smallest id of each vertex's component, over undirected edges (src, dst).
 
     Each round merges every vertex into the one of least hash among itself and its neighbours, with a new hash every
     round, so the graph shrinks by a constant factor in expectation whatever its shape; a path of n vertices takes
-    about log n rounds. Raises if ``rounds`` don't settle it. Lineage is cut by checkpoint().
+    about log n rounds. Raises if ``rounds`` don't settle it. Rounds are written and read back: a checkpoint keeps its plan's
+    constraints, which multiply over the rounds' joins.
     """
-    e = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct().checkpoint()
+    e = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct()
+    e = written(e, "component-edges")
     labels = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for i in range(rounds):
         if e.isEmpty():
@@ -20,10 +24,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return labels.join(least, "label").select("id", "component")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("v"))
         near = e.groupBy("src").agg(F.min(rank("dst")).alias("n"))
-        to = near.select(F.col("src").alias("v"), F.least(rank("src"), F.col("n"))["v"].alias("to")).checkpoint()
-        labels = labels.join(to, labels["label"] == to["v"], "left").select("id", F.coalesce("to", "label").alias("label")).checkpoint()
+        to = written(near.select(F.col("src").alias("v"), F.least(rank("src"), F.col("n"))["v"].alias("to")), "component-to")
+        labels = written(labels.join(to, labels["label"] == to["v"], "left").select("id", F.coalesce("to", "label").alias("label")), "component-labels")
         moved = e.join(to, e["src"] == to["v"]).select(F.col("to").alias("src"), "dst")
-        e = moved.join(to, moved["dst"] == to["v"]).select("src", F.col("to").alias("dst")).where("src <> dst").distinct().checkpoint()
+        e = written(moved.join(to, moved["dst"] == to["v"]).select("src", F.col("to").alias("dst")).where("src <> dst").distinct(), "component-edges")
     raise RuntimeError("components did not settle")
 
 

@@ -35,7 +35,7 @@ for _i in range(14):
 @query(_CANON + " SELECT id, c AS canonical FROM m14")
 def canonical_places(spark, sf):
     p = _places(spark, sf)
-    return places.canonical_places(p, places.near_places(p, 9000.0, 0.6))
+    return places.canonical_places(p, places.near_links(p, 9000.0, 0.6))
 
 
 @query(f"WITH {_P}, v AS (SELECT round(lat, 1) AS lat, round(lon, 1) AS lon, CAST(min(id) AS DOUBLE) * 3 AS elevation FROM p WHERE id % 3 = 0 GROUP BY 1, 2) SELECT p.id, coalesce(elevation, 100.0) AS elevation FROM p LEFT JOIN v ON CAST(round(p.lat * 10) AS BIGINT) = CAST(round(v.lat * 10) AS BIGINT) AND CAST(round(p.lon * 10) AS BIGINT) = CAST(round(v.lon * 10) AS BIGINT)")

@@ -69,3 +69,32 @@ def test_keyed_lists_of_many_places_are_built_in_proportion(spark, tmp_path):
     got = {x.c_custkey: float(x.name) for x in catalog.queries()["json_keyed_pages"](spark, str(tmp_path)).collect()}
     assert got == {k: float(k) for k in keys if k % 7}
     assert time.monotonic() - start < 60  # a look through the known keys at every place takes many minutes
+
+
+def test_copies_of_places_cost_no_comparisons_and_lose_no_pair(spark):
+    from itertools import combinations
+
+    from splitline.operators import places
+
+    spots = [("Old Mill Park", 40.0, -100.0), ("Old Mills", 40.01, -100.0), ("Lake", 40.0, -100.0), ("", 40.0, -100.0), ("Old Mill Park", 50.0, -100.0)]
+    rows = [(k * 5 + s, *spot) for k in range(12) for s, spot in enumerate(spots)]
+    df = spark.createDataFrame(rows, "id long, name string, lat double, lon double")
+    mill = {0, 1}
+    want = {(p[0], q[0]) for p, q in combinations(sorted(rows), 2) if p[1] and (p[1:] == q[1:] or {p[0] % 5, q[0] % 5} <= mill)}
+    assert sorted((x.a, x.b) for x in places.near_places(df, 9000.0, 0.6).collect()) == sorted(want)
+    links = places.near_links(df, 9000.0, 0.6)
+    assert links.count() < 60  # not the hundreds of pairs
+    got = {x.id: x.canonical for x in places.canonical_places(df, links).collect()}
+    assert got == {r[0]: 0 if r[0] % 5 in mill else r[0] if r[0] % 5 == 3 else r[0] % 5 for r in rows}
+
+
+def test_components_that_take_many_rounds(spark):
+    import time
+
+    from splitline.operators import setops
+
+    n = 20_000
+    start = time.monotonic()
+    got = setops.components(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert got.groupBy("component").count().collect() == [(0, n)]
+    assert time.monotonic() - start < 90  # constraints kept by checkpoints doubled the planning of each round
