@@ -101,30 +101,40 @@ def encoding_of(run: bytes) -> str | None:
 def distances(codes: np.ndarray, size: int) -> np.ndarray:
     """The battery's largest deviation for each row of equally long strings over an alphabet of ``size`` symbols, at most 8."""
     n, length = codes.shape
-    c = codes.astype(np.float64)
+    c = codes.astype(np.int64)
     counts = np.bincount((np.arange(n)[:, None] * size + codes).ravel(), minlength=n * size).reshape(n, size)
-    chi = (counts.astype(np.float64) ** 2).sum(axis=1) * size / length - length
+    high = codes >= size // 2
+    ends = c[:, 0] + c[:, -1]
+    sums = (counts**2).sum(axis=1), high.sum(axis=1), (high[:, 1:] != high[:, :-1]).sum(axis=1), c.sum(axis=1), (c * c).sum(axis=1), (c[:, 1:] * c[:, :-1]).sum(axis=1), ends
+    return _battery(*sums, size, length)
+
+
+def _battery(alike, high, changes, total, squares, products, ends, size: int, length: int) -> np.ndarray:
+    """The largest deviation from whole sums of each string's codes: squared symbol counts, codes above the middle, changes across it, codes, their
+    squares, products of neighbours, and the first and last code together."""
+    chi = alike.astype(np.float64) * size / length - length
     scale, freedom = (length - 1) / length, (size - 1) * length / (length - 1)  # its exact mean and variance on short strings
     spread = 2 / (9 * freedom)
     uniform = (np.cbrt(chi / (scale * freedom)) - (1 - spread)) / np.sqrt(spread)
 
-    high = codes >= size // 2
-    above = high.sum(axis=1).astype(np.float64)
+    above = high.astype(np.float64)
     pairs = 2 * above * (length - above)
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
     variance = pairs * (pairs - length) / (length**2 * (length - 1.0))
-    alternation = np.where(variance > 0, np.abs(runs - 1 - pairs / length) / np.sqrt(np.where(variance > 0, variance, 1)), 8.0)
+    alternation = np.where(variance > 0, np.abs(changes - pairs / length) / np.sqrt(np.where(variance > 0, variance, 1)), 8.0)
 
-    c -= c.mean(axis=1, keepdims=True)
-    square = (c * c).sum(axis=1)
-    serial = (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.where(square > 0, square, 1)
+    square = length * (length * squares - total**2)  # times length squared, and so are the centred products
+    serial = (length * length * products - length * total * (2 * total - ends) + (length - 1) * total**2) / np.where(square > 0, square, 1)
     correlation = np.where(square > 0, np.abs(serial + 1 / length) * np.sqrt(length), 8.0)
     return np.clip(np.maximum(np.maximum(uniform, alternation), correlation), 0, 8)
 
 
 def cells(codes: np.ndarray, name: str, band: int) -> np.ndarray:
     """Cell of each row: its alphabet, band and step of the distance."""
-    steps = np.minimum(distances(codes, len(ALPHABETS[name])) * 4, STEPS - 1).astype(np.int64)
+    return _cell(distances(codes, len(ALPHABETS[name])), name, band)
+
+
+def _cell(distance: np.ndarray, name: str, band: int) -> np.ndarray:
+    steps = np.minimum(distance * 4, STEPS - 1).astype(np.int64)
     return (list(ALPHABETS).index(name) * len(BANDS) + band) * STEPS + steps
 
 
@@ -152,35 +162,58 @@ def candidates(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[int
     return out
 
 
-def _decoys(texts: list[bytes], bands: list[int]) -> np.ndarray:
-    """The histogram of the decoys that ordinary texts give; ``bands``: each text's length band. Texts are taken SLAB bytes at a time, longer ones in slices."""
+def _decoys(texts: list[bytes]) -> np.ndarray:
+    """The histogram of the decoys of every band that ordinary texts give. Texts are taken SLAB bytes at a time, longer ones in slices."""
     found = np.zeros(CELLS, dtype=np.int64)
     slab, size = [], 0
-    for text, band in zip(texts, bands):
+    for text in texts:
         for at in range(0, len(text), SLAB):
-            slab.append((text[at : at + SLAB], band))
-            size += len(slab[-1][0])
+            slab.append(text[at : at + SLAB])
+            size += len(slab[-1])
             if size >= SLAB:
-                found += _slab_decoys(*zip(*slab))
+                found += _slab_decoys(slab)
                 slab, size = [], 0
-    return found + _slab_decoys(*zip(*slab)) if slab else found
+    return found + _slab_decoys(slab) if slab else found
 
 
-def _slab_decoys(texts: tuple[bytes, ...], bands: tuple[int, ...]) -> np.ndarray:
-    found, band_of = np.zeros(CELLS, dtype=np.int64), np.array(bands)
+def _slab_decoys(texts: list[bytes]) -> np.ndarray:
+    """Each text is cut anew for each band. Sums over a decoy are differences of running sums, which all bands share; symbol counts of a band whose
+    length is twice another's are sums of two of its."""
+    found = np.zeros(CELLS, dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    last = np.cumsum([len(t) for t in texts])
     for name in ALPHABETS:
         codes = CODES[name][data]
         inside = codes < 255
-        codes, of = codes[inside], owner[inside]
-        per = np.bincount(of, minlength=len(texts))
-        rank = np.arange(len(codes)) - np.repeat(np.cumsum(per) - per, per)
+        upto = np.concatenate([[0], np.cumsum(inside)[last - 1]])
+        first, per, size = upto[:-1], np.diff(upto), len(ALPHABETS[name])
+        c = codes[inside].astype(np.int64)
+        if not len(c):
+            continue
+        high = c >= size // 2
+        running = lambda x: np.concatenate([[0], np.cumsum(x)])
+        p_high, p_change, p_code, p_square, p_product = running(high), running(high[1:] != high[:-1]), running(c), running(c * c), running(c[1:] * c[:-1])
+        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a length: each text's first decoy, and the decoys' symbol counts
         for band, length in enumerate(BANDS):
-            use = np.where(band_of == band, per // length * length, 0)
-            rows = codes[rank < use[of]].reshape(-1, length)
-            if len(rows):
-                found += np.bincount(cells(rows, name, band), minlength=CELLS)
+            own = per // length
+            at = np.concatenate([[0], np.cumsum(own)])
+            n = int(at[-1])
+            if not n:
+                continue
+            rank = np.arange(n) - np.repeat(at[:-1], own)
+            start = np.repeat(first, own) + rank * length
+            if length % 2 == 0 and length // 2 in counts:
+                half_at, half = counts[length // 2]
+                pair = np.repeat(half_at[:-1], own) + 2 * rank
+                symbols = half[pair] + half[pair + 1]
+            else:
+                rows = c[start[:, None] + np.arange(length)] + np.arange(n)[:, None] * size
+                symbols = np.bincount(rows.ravel(), minlength=n * size).reshape(n, size).astype(np.int32)
+            counts[length] = at, symbols
+            end, of = start + length, lambda p, start=start: p[start + length] - p[start]  # noqa: B023
+            inner = lambda p: p[end - 1] - p[start]  # noqa: B023,E731
+            sums = np.einsum("ij,ij->i", symbols, symbols), of(p_high), inner(p_change), of(p_code), of(p_square), inner(p_product), c[start] + c[end - 1]
+            found += np.bincount(_cell(_battery(*sums, size, length), name, band), minlength=CELLS)
     return found
 
 
@@ -221,7 +254,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows, ordinary, bands = [], [], []
+            rows, ordinary = [], []
             for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 spans = base_spans(text)
                 runs = candidates(text, spans)
@@ -235,8 +268,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     parts.append(text[at:s])
                     at = max(at, e)
                 ordinary.append(b"".join([*parts, text[at:]]) if parts else text)
-                bands.append(xxhash.xxh32_intdigest(text) % len(BANDS))
-            histogram = _decoys(ordinary, bands)
+            histogram = _decoys(ordinary)
             rows += [(int(c), int(histogram[c]), None, None, None, None, None, None, None) for c in np.flatnonzero(histogram)]
             cols = list(zip(*rows)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)

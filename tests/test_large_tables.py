@@ -98,3 +98,22 @@ def test_components_that_take_many_rounds(spark):
     got = setops.components(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert got.groupBy("component").count().collect() == [(0, n)]
     assert time.monotonic() - start < 90  # constraints kept by checkpoints doubled the planning of each round
+
+
+def test_decoys_of_every_band_come_from_every_text():
+    import numpy as np
+
+    from splitline.llm import secrets
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefXYZ0189 +-_/é.") for _ in range(n)).encode() for n in (1, 15, 16, 41, 300, 1_300, 5_000)] + [b"a" * 400]
+    want = np.zeros(secrets.CELLS, dtype=np.int64)
+    for text in texts:
+        for name in secrets.ALPHABETS:
+            codes = secrets.CODES[name][np.frombuffer(text, dtype=np.uint8)]
+            codes = codes[codes < 255]
+            for band, length in enumerate(secrets.BANDS):
+                rows = codes[: len(codes) // length * length].reshape(-1, length)
+                if len(rows):
+                    want += np.bincount(secrets.cells(rows, name, band), minlength=secrets.CELLS)
+    assert (secrets._decoys(texts) == want).all()
