@@ -117,3 +117,13 @@ def test_decoys_of_every_band_come_from_every_text():
                 if len(rows):
                     want += np.bincount(secrets.cells(rows, name, band), minlength=secrets.CELLS)
     assert (secrets._decoys(texts) == want).all()
+
+
+def test_many_cells_are_not_sent_and_draw_the_same(spark, monkeypatch):
+    from splitline.operators import gibbs
+
+    df = spark.createDataFrame([(p, p * k % 5, float(p % 7 + k)) for p in range(20) for k in range(4)], "p int, c int, y double")
+    draw = lambda: {(x.chain, x["round"], x.cell): round(x.d, 9) for x in gibbs.draws(df, "p", "c", "y", chains=2, rounds=2, burn=1, seed=5)[0].collect()}
+    sent = draw()
+    monkeypatch.setattr(gibbs, "SENT", 0)
+    assert draw() == sent and len(sent) == 10
