@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import stats
 from .joins import interval_bracket, nearest_by_day
+from .store import written
 
 
 def modes(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -87,9 +88,10 @@ def ridge_slopes(df: DataFrame, group: str, side: str, value: str, ridge: float)
 def variance_components(df: DataFrame, person: str, cell: str, value: str, difficulty: DataFrame) -> tuple[float, float]:
     """(sigma2, tau2) of a two-way fit: residual variance SSR / (n - persons - (cells - 1)), and the variance of the difficulties beyond their own
     sampling variance sigma2 / diag, at least 0. ``difficulty``: (cell, difficulty, diag)."""
-    own = df.join(difficulty.select(cell, "difficulty"), cell).select(person, (F.col(value) - F.col("difficulty")).alias("_y"))
-    mean = own.groupBy(person).agg(F.avg("_y").alias("_m"))
-    r = own.join(mean, person).agg(F.sum(F.pow(F.col("_y") - F.col("_m"), 2)).alias("ssr"), F.count("*").alias("n"), F.count_distinct(person).alias("p")).first()
+    difficulty = written(difficulty.select(cell, "difficulty", "diag"), "difficulties")
+    own = df.select(person, cell, value).join(difficulty.select(cell, "difficulty"), cell).where(F.col(person).isNotNull()).select(person, (F.col(value) - F.col("difficulty")).alias("_y"))
+    each = own.groupBy(person).agg((F.var_pop("_y") * F.count("_y")).alias("ss"), F.count("*").alias("n"))  # squares about the person's mean
+    r = each.agg(F.sum("ss").alias("ssr"), F.sum("n").alias("n"), F.count("*").alias("p")).first()
     cells = difficulty.where("diag > 0").agg(F.count("*").alias("c"), F.var_samp("difficulty").alias("v"), F.avg(1 / F.col("diag")).alias("u")).first()
     free = r["n"] - r["p"] - (cells["c"] - 1)
     sigma2 = r["ssr"] / free if free > 0 else 0.0
@@ -280,11 +282,13 @@ def race_context(rows: DataFrame, race: str, team: str, order: str, base: str, e
     the team less the runner's own."""
     from .ranks import Ordered
 
-    laid = Ordered(rows, [race], [base, order])
-    near = laid.around(laid.running(laid.rows, {"_k": F.lit(1)}), F.col(base), 1)
-    field = rows.groupBy(F.col(race).alias("_race")).agg(F.count("*").alias("field_n"), F.percentile(base, 0.5).alias("_median"))
-    mates = rows.groupBy(F.col(race).alias("_race2"), F.col(team).alias("_team")).agg(F.count("*").alias("_n"), F.sum(extra).alias("_s"), F.count(extra).alias("_c"))
-    both = near.join(field, near[race] == field["_race"]).join(mates, (near[race] == mates["_race2"]) & near[team].eqNullSafe(mates["_team"]))
+    laid = Ordered(rows.where(F.col(race).isNotNull()), [race], [base, order])
+    known = F.when(F.col(base).isNotNull(), 1)
+    near = laid.around(laid.running(laid.rows, {"_k": F.lit(1), "_at": known}), F.col(base), 1)
+    near = laid.whole(near, {"field_n": (F.sum, F.lit(1)), "_known": (F.sum, known)})
+    middle = F.when(F.col(base).isNotNull() & (F.abs(2 * F.col("_at") - F.col("_known") - 1) <= 1), F.col(base))  # one or two of the known ones
+    near = laid.whole(near, {"_low": (F.min, middle), "_high": (F.max, middle)}).withColumn("_median", 0.5 * F.col("_low") + 0.5 * F.col("_high"))
+    both = laid.whole(near, {"_n": (F.sum, F.lit(1)), "_s": (F.sum, F.col(extra)), "_c": (F.sum, F.when(F.col(extra).isNotNull(), 1).otherwise(0))}, team)
     alone = F.col(team).isNull()
     own = F.when(F.col(extra).isNull(), 0).otherwise(1)
     return both.select(

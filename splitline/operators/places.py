@@ -193,16 +193,20 @@ def mixture_split(rows: DataFrame, race: str, order: str, gap: str, least: int,
     from .ranks import Ordered
 
     known = rows.where(F.col(gap).isNotNull() & F.col(race).isNotNull()).select(F.col(race).alias("_r"), F.col(order).alias("_o"), F.col(gap).cast("double").alias("_g"))
-    whole = known.groupBy("_r").agg(F.count("*").alias("n"), F.avg("_g").alias("_m")).where("n >= 4")
+    laid = Ordered(known, ["_r"], ["_g", "_o"])
+    rows = laid.whole(laid.rows, {"n": (F.sum, F.lit(1)), "_m": (F.sum, F.col("_g"))}).where("n >= 4")
     # about the mean, so that squares don't cancel
-    laid = Ordered(known.join(whole, "_r").withColumn("_c", F.col("_g") - F.col("_m")), ["_r"], ["_g", "_o"])
-    run = laid.running(laid.rows, {"i": F.lit(1), "s": F.col("_c"), "q": F.col("_c") * F.col("_c")})
-    total = run.groupBy("_r").agg(F.sum("_c").alias("_s"), F.sum(F.col("_c") * F.col("_c")).alias("_q"))
-    both = run.join(total, "_r").where("i < n")
+    rows = rows.withColumn("_c", F.col("_g") - F.col("_m") / F.col("n"))
+    run = laid.running(rows, {"i": F.lit(1), "s": F.col("_c"), "q": F.col("_c") * F.col("_c")})
+    both = laid.whole(run, {"_s": (F.sum, F.col("_c")), "_q": (F.sum, F.col("_c") * F.col("_c"))})
     inside = F.col("_q") - F.col("s") ** 2 / F.col("i") - (F.col("_s") - F.col("s")) ** 2 / (F.col("n") - F.col("i"))
-    cut = both.groupBy("_r", "n").agg(F.min(F.struct(F.round(inside, 9).alias("w"), F.col("i").alias("n_low"))).alias("c")).select("_r", "n", "c.n_low")
-    sides = run.drop("n").join(cut, "_r")
-    q = lambda low, p: F.percentile(F.when((F.col("i") <= F.col("n_low")) == F.lit(low), F.col("_g")), p)
+    sides = laid.whole(both, {"_cut": (F.min, F.when(F.col("i") < F.col("n"), F.struct(F.round(inside, 9).alias("w"), F.col("i").alias("n_low"))))}).withColumn("n_low", F.col("_cut.n_low"))
+
+    def q(low: bool, p: float) -> Column:  # a side's rows are in order, so its quantile is one of them or lies between two
+        at, size = (F.col("i") - 1, F.col("n_low")) if low else (F.col("i") - 1 - F.col("n_low"), F.col("n") - F.col("n_low"))
+        away = F.abs(at - p * (size - 1))
+        return F.sum(F.when(((F.col("i") <= F.col("n_low")) == F.lit(low)) & (away < 1), (1 - away) * F.col("_g")))
+
     got = sides.groupBy("_r", "n", "n_low").agg(q(True, 0.5).alias("low"), q(False, 0.5).alias("high"), (q(True, 0.75) - q(True, 0.25)).alias("_l"), (q(False, 0.75) - q(False, 0.25)).alias("_h"))
     small = F.least("n_low", F.col("n") - F.col("n_low"))
     far = F.col("high") - F.col("low")

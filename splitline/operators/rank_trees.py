@@ -12,13 +12,11 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ranks import Ordered
-from .store import written
 
 
 def gradients(laid: Ordered, rows: DataFrame, race: str, score: str) -> DataFrame:
     """``rows`` of the layout by (race, place) with ``gradient``, of the likelihood of their order by ``score``. Races run over range partitions."""
-    top = rows.groupBy(F.col(race).alias("_race")).agg(F.max(score).alias("_top"))
-    scaled = rows.join(top, rows[race].eqNullSafe(top["_race"])).drop("_race").withColumn("_e", F.exp(F.greatest(F.col(score) - F.col("_top"), F.lit(-700.0)))).drop("_top")
+    scaled = laid.whole(rows, {"_top": (F.max, F.col(score))}).withColumn("_e", F.exp(F.greatest(F.col(score) - F.col("_top"), F.lit(-700.0)))).drop("_top")
     left = laid.running(scaled, {"_in": F.col("_e")}, reverse=True)  # those still in at each place
     pulled = laid.running(left, {"_pull": 1 / F.col("_in")})
     return pulled.withColumn("gradient", 1 - F.col("_e") * F.col("_pull")).drop("_e", "_in", "_pull")
@@ -48,7 +46,7 @@ def fit(df: DataFrame, race: str, place: list[str], features: list[str], rounds:
     laid = Ordered(df.select(race, *place, *features).dropna(subset=[race, *features]).withColumn("_score", F.lit(0.0)), [race], place)
     rows, trees = laid.rows, []
     for k in range(rounds):
-        pulled = written(gradients(laid, rows, race, "_score"), "rank-gradients")
+        pulled = laid.kept(gradients(laid, rows, race, "_score"))
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="gradient", predictionCol="_p", maxDepth=depth, seed=seed + k).fit(_vectors(pulled, features))
         trees.append(tree)
         rows = tree.transform(_vectors(pulled, features)).withColumn("_score", F.col("_score") + rate * F.col("_p")).drop("_x", "_p", "gradient")

@@ -99,7 +99,7 @@ def variance_components(spark, sf):
     """Residual variance of the two-way fit, and the difficulties' own as a share of it; a test plants both."""
     r = races(spark, sf)
     d, _ = solve.two_way_cg(r, "person", "cell", "mark", tol=1e-18)
-    sigma2, tau2 = est.variance_components(r, "person", "cell", "mark", d.checkpoint())
+    sigma2, tau2 = est.variance_components(r, "person", "cell", "mark", d)
     return spark.createDataFrame([(round(math.log(sigma2), 6), round(tau2 / sigma2, 6))], "log_sigma2 double, share double")
 
 

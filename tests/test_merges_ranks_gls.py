@@ -211,3 +211,17 @@ def test_concordance_counts_every_pair(spark):
         pairs = [(x, y) for x in mine for y in mine if x[0] < y[0] and x[1] != y[1]]
         want[g] = (sum(x[1] < y[1] for x, y in pairs), len(pairs))
     assert got == want
+
+
+def test_a_layout_gives_whole_groups_and_moves_no_rows(spark):
+    r = np.random.default_rng(8)
+    rows = [(None if i % 9 == 8 else int(i % 9 > 5), i, int(i % 4), float(v)) for i, v in enumerate(r.normal(size=3_000))]
+    laid = ranks.Ordered(spark.createDataFrame(rows, "g int, i long, t int, v double"), ["g"], ["v", "i"])
+    assert laid.rows.select("_part").distinct().count() > 3 and laid.split.count() > 0
+    own = laid.running(laid.whole(laid.rows, {"n": (F.sum, F.lit(1)), "top": (F.max, F.col("v"))}), {"k": F.lit(1)})
+    moved = laid.whole(own, {"mates": (F.sum, F.lit(1))}, "t")
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.lower()  # windows of all rows use the buckets
+    groups = {g: [q for q in rows if q[0] == g] for g in (None, 0, 1)}
+    want = {i: (len(groups[g]), max(q[3] for q in groups[g]), sum(q[2] == t for q in groups[g])) for g, i, t, _ in rows}
+    assert {x.i: (x.n, x.top, x.mates) for x in moved.collect()} == want
