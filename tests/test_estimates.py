@@ -170,3 +170,29 @@ def test_columns_by_vote_of_their_rows():
     page = "<table><tr><td>menu</td></tr>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
     got = [dict(zip(reports.FIELDS, r[1:])) for r in reports.html_tables(page)]
     assert [(r["place"], r["name"], r["grade"], r["mark"]) for r in got] == [("1", "Ann Lee", "11", "17:01.2"), ("2.", "Bo Ray", "SR", "17:20.9"), ("2", "Cy Fox", "9", "DNF"), ("4", "Di Orr", None, "18:00.0")]
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 40, 0])  # the cells' side, the persons' side, none
+def test_solvers_keep_rows_in_their_buckets(spark, monkeypatch, sent):
+    monkeypatch.setattr(solve, "SENT", sent)
+    r = np.random.default_rng(12)
+    rows = [(int(p), int(c), float(x), float(1e6 + 3 * x + p - 0.1 * c + e)) for p, c, x, e in zip(r.integers(0, 30, 900), r.integers(0, 80, 900), r.normal(size=900), r.normal(size=900))]
+    df = spark.createDataFrame(rows, "p int, c int, x double, y double")
+    sides = solve.Sides(df, "c", "p") if sent == 40 else solve.Sides(df, "p", "c", 1, [F.count("*").alias("n")])
+    assert sides.sent == {4_000_000: "c", 40: "p", 0: None}[sent]
+    for key in ("p", "c"):
+        plan = sides.met(key, sides.by.get(key, sides.rows).groupBy(key).agg(F.count("*").alias("m")))._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan.lower() or sides.sent == key
+    m = np.zeros((len(rows), 111))
+    for i, (p, c, x, _) in enumerate(rows):
+        m[i, p], m[i, 30 + c], m[i, 110] = 1, 1, x
+    y = np.array([q[3] for q in rows])
+    slope = np.linalg.lstsq(m, y, rcond=None)[0][110]
+    assert solve.within_regression(df, "p", "c", "y", ["x"], tol=1e-12)[0] == pytest.approx(slope, abs=1e-7)
+    d = np.linalg.lstsq(m[:, :110], y, rcond=None)[0][30:]
+    cells = np.array([q[1] for q in rows])
+    d -= d[cells].mean()
+    got = {q.c: q.difficulty for q in solve.two_way_cg(df, "p", "c", "y", tol=1e-18)[0].collect()}
+    assert max(abs(got[c] - d[c]) for c in got) < 1e-6 and len(got) == len(set(cells))
+    means = {q.c: q.difficulty for q in solve.alternate(df, "p", "c", "y", 30)[1].collect()}
+    assert max(abs(means[c] - d[c]) for c in means) < 1e-5
