@@ -53,21 +53,67 @@ def _shape(word: bytes) -> tuple[tuple[int, ...], bool, bool, bool]:
     return tuple({zlib.crc32(x.encode()) & MASK for x in found}), symbol, word == b"|", len(text) > 1 and text.isupper()
 
 
+#: Ends of words that count as symbols.
+SYMBOL = bytes(c < 128 and not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122) and c not in PLAIN_END for c in range(256))
+
+
+def _crc_tables(n: int) -> tuple[int, list[np.ndarray]]:
+    """crc32 of ``n`` bytes as a constant and a table a position, to be combined by exclusive or: the checksum is linear in the bits."""
+    zero = zlib.crc32(bytes(n))
+    return zero, [np.array([zlib.crc32(bytes(j) + bytes([c]) + bytes(n - j - 1)) ^ zero for c in range(256)], dtype=np.uint32) for j in range(n)]
+
+
+CRC = {n: _crc_tables(n) for n in (4, 5)}
+
+
+def piece_buckets(cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the core, bucket) of each of the cores and of their pieces of 4 and 5 characters. Cores are ASCII."""
+    size = np.array([len(c) for c in cores])
+    blob = np.frombuffer(b"".join(cores), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(cores)), size)
+    room = np.cumsum(size)[owner] - np.arange(len(blob))  # bytes of its core from each place on
+    owners, buckets = [np.arange(len(cores))], [np.array([zlib.crc32(c) for c in cores], dtype=np.uint32)]
+    for n, (zero, tables) in CRC.items():
+        at = np.flatnonzero(room >= n)
+        crc = np.full(len(at), zero, dtype=np.uint32)
+        for j, t in enumerate(tables):
+            crc ^= t[blob[at + j]]
+        owners.append(owner[at])
+        buckets.append(crc)
+    return np.concatenate(owners), np.concatenate(buckets) & MASK
+
+
 class Shapes(dict):
-    """Shapes of the words met of late, of two generations of ``limit`` words at most; with ``used``, only buckets where it holds a 1."""
+    """Shapes of the words met of late, of two generations of ``limit`` words at most; with ``used``, only buckets where it holds a 1. A word
+    without any has None."""
 
     def __init__(self, used: bytes | None = None, limit: int = 100_000):
         super().__init__()
-        self.used, self.limit, self.old = used, limit, {}
-
-    def __missing__(self, word: bytes) -> tuple:
-        got = self.old.get(word)
-        if got is None:
-            got = _shape(word)
-            if self.used is not None:
-                got = (tuple(b for b in got[0] if self.used[b]), *got[1:])
-        self[word] = got
-        return got
+        self.used, self.limit, self.old = None if used is None else np.frombuffer(used, dtype=bool), limit, {}
+
+    def learn(self, words) -> None:
+        """Add the shapes of ``words``; those of ASCII words are hashed together."""
+        cores, named = [], []
+        for w in words:
+            got = self.old.get(w, 0)
+            if got == 0:
+                bare = w.strip(STRIP)
+                if self.used is None or not bare.isascii():
+                    got = _shape(w)
+                    if self.used is not None:
+                        got = (tuple(b for b in got[0] if self.used[b]), *got[1:])
+                else:
+                    got = ((), bool(SYMBOL[w[-1]]) and w != b"|", w == b"|", len(bare) > 1 and bare.isupper())
+                    if bare:
+                        cores.append(b"^" + bare.lower() + b"$")
+                        named.append(w)
+            self[w] = got if got and any(got) else None
+        if cores:
+            owners, buckets = piece_buckets(cores)
+            hit = self.used[buckets]
+            for i, b in zip(owners[hit].tolist(), buckets[hit].tolist()):
+                got = self[named[i]] or ((), False, False, False)
+                self[named[i]] = ((*got[0], b), *got[1:])
 
     def turn(self) -> None:
         """Between texts: a full generation becomes the old one."""
@@ -80,15 +126,19 @@ def features(text: bytes, known: Shapes) -> list[int]:
     """Distinct hashed features of one whole text."""
     words = text.split()
     known.turn()
+    counts = Counter(words)
+    fresh = [w for w in counts if w not in known]
+    if fresh:
+        known.learn(fresh)
     buckets: set[int] = set()
     symbol = bar = upper = 0
-    for w, n in Counter(words).items():
-        got = known[w]
-        if got[0]:
+    for w, got in zip(counts, map(known.__getitem__, counts)):
+        if got:
             buckets.update(got[0])
-        symbol += n * got[1]
-        bar += n * got[2]
-        upper += n * got[3]
+            n = counts[w]
+            symbol += n * got[1]
+            bar += n * got[2]
+            upper += n * got[3]
     repeat = sum(map(bytes.__eq__, words, words[1:]))
     n = max(1, len(words))
     for kind, share in enumerate((symbol, bar, upper, repeat)):

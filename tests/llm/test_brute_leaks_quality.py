@@ -173,3 +173,21 @@ def test_quality_against_brute_force(spark):
         s = sum(float(model.weights[f]) for f in plain_features(dict(texts)[row.doc_id]))
         ge1, ge2 = (1 / (1 + math.exp(th - s)) for th in model.thresholds)
         assert (row.score, row.expected_grade, row.tail_prob) == pytest.approx((s, ge1 + ge2, ge2), abs=1e-5) and row.keep == (row.tail_prob >= 0.5)
+
+
+def test_words_hashed_together_have_the_same_shapes():
+    words = [b"Plain", b"don't,", b"|", b"!!", b"ABC", b"x", b"(ab)", b"abc$", "Straße".encode(), "ÉTÉ".encode(), b"\xff\xfe", b"a" * 40, b"12-34;", b"end*"]
+    used = bytes(i % 3 == 0 for i in range(1 << quality.BITS))
+    known = quality.Shapes(used, limit=3)
+    for _ in range(2):  # once anew, once from the old generation
+        known.learn(words)
+        for w in words:
+            shape = quality._shape(w)
+            got = known[w] or ((), False, False, False)
+            assert set(got[0]) == {b for b in shape[0] if used[b]} and got[1:] == shape[1:]
+        known.turn()
+        assert not known and len(known.old) == len(words)
+    owners, buckets = quality.piece_buckets([b"^ab$", b"^$", b"^abcdef$"])
+    for i, w in enumerate((b"ab", b"", b"abcdef")):
+        want = set(quality._shape(w)[0]) if w else {zlib.crc32(b"^$") & quality.MASK}
+        assert set(buckets[owners == i].tolist()) == want
