@@ -7,6 +7,22 @@ from pyspark.sql import DataFrame, functions as F
 from .store import written
 
 
+#: Rows a task sorts or makes distinct at once.
+ROWS = 1_000_000
+
+
+def tasks_for(spark, rows: int) -> int:
+    """Partitions of at most about ROWS rows. Sizes in a shuffle don't tell: keys that compress well make few tasks with many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge once in each direction, written."""
+    e = written(edges.select("src", "dst"), "edges")
+    parts = tasks_for(e.sparkSession, 2 * e.count())
+    return written(e.union(e.select("dst", "src")).repartition(parts, "src", "dst").distinct(), "edges")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component), the smallest id of each vertex's component, over undirected edges (src, dst).
 
@@ -15,8 +31,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     about log n rounds. Raises if ``rounds`` don't settle it. Rounds are written and read back: a checkpoint keeps its plan's
     constraints, which multiply over the rounds' joins.
     """
-    e = edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct()
-    e = written(e, "component-edges")
+    e = _both_ways(edges.where("src <> dst"))
     labels = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for i in range(rounds):
         if e.isEmpty():
@@ -33,7 +48,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, share: float, rounds: int) -> DataFrame:
     """(id, label): unlabelled vertices take the label that ``share`` of their labelled neighbours have (ties: none), in rounds."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = _both_ways(edges)
     labels = seeds.select("id", "label")
     for _ in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "label").agg(F.count("*").alias("v"))
@@ -45,7 +60,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, share: float, rounds: int) ->
 
 def commit_unanimous(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` with the unlabelled vertices whose labelled neighbours all agree."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = _both_ways(edges)
     heard = both.join(labels, both["dst"] == labels["id"]).groupBy("src").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other")
     fresh = heard.join(labels, heard["src"] == labels["id"], "left_anti").select(F.col("src").alias("id"), "label")
     return labels.unionByName(fresh)

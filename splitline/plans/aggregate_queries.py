@@ -172,7 +172,8 @@ _EDGES = "e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000 AS b FROM or
 
 def _edges(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    li = li.select("l_orderkey", "l_suppkey").repartition(setops.tasks_for(spark, li.count()), "l_orderkey")  # orders in a row compress to little
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
 
 
 _REACH = f"WITH {_EDGES}, m0 AS (SELECT src AS id, src AS c FROM b GROUP BY src)"

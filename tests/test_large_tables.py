@@ -127,3 +127,13 @@ def test_many_cells_are_not_sent_and_draw_the_same(spark, monkeypatch):
     sent = draw()
     monkeypatch.setattr(gibbs, "SENT", 0)
     assert draw() == sent and len(sent) == 10
+
+
+def test_edges_come_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from splitline.operators import setops
+
+    monkeypatch.setattr(setops, "ROWS", 1_000)
+    assert setops.tasks_for(spark, 10) == 4 and setops.tasks_for(spark, 9_001) == 10
+    edges = spark.range(6_000).select((F.col("id") % 3_000).alias("src"), (F.col("id") % 3_000 + 10_000).alias("dst"))  # each edge twice
+    both = setops._both_ways(edges)
+    assert both.count() == both.distinct().count() == 6_000 and both.select(F.input_file_name()).distinct().count() == 12
