@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
@@ -29,7 +30,7 @@ class Versioned:
     """A table of versions under one folder: a version is written whole and then named by a pointer file, so readers see the old one or
     the new one, never a part. A pointer's number is taken by an exclusive create, so that of two writers one gets the number and the other
     the next, or, where it named the version it started from, a :class:`Conflict`. The file system must refuse to create a file twice, as
-    HDFS and local ones do."""
+    HDFS does; Hadoop's local one only looks before it creates, so there the operating system's own exclusive create is used."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -51,6 +52,15 @@ class Versioned:
 
     def _take(self, number: int, version: str) -> bool:
         folder, fs = self._folder()
+        if fs.getUri().getScheme() == "file":
+            place = fs.makeQualified(folder).toUri().getPath()
+            os.makedirs(place, exist_ok=True)
+            try:
+                with open(f"{place}/{number:019d}", "x") as out:
+                    out.write(version)
+            except FileExistsError:
+                return False
+            return True
         try:
             out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:019d}"), False)
         except Exception as e:  # py4j wraps what Hadoop throws

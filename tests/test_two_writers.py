@@ -52,6 +52,21 @@ def test_a_writer_that_died_does_not_stop_others(spark, tmp_path):
     assert v.write(spark.range(3), after=1) == 3 and v.newest() == 3
 
 
+def test_one_of_many_writers_takes_a_number(spark, tmp_path):
+    v = sinks.Versioned(spark, f"file://{tmp_path}/v")
+    taken, start = [], threading.Barrier(8)
+
+    def work(name):
+        for number in range(1, 101):
+            start.wait()
+            if v._take(number, f"{name}-{number}"):
+                taken.append((number, f"{name}-{number}"))
+
+    together(*[lambda i=i: work(i) for i in range(8)])
+    assert [n for n, _ in sorted(taken)] == list(range(1, 101))
+    assert all((tmp_path / "v" / "current" / f"{n:019d}").read_text() == name for n, name in taken)
+
+
 def test_no_row_is_claimed_twice(spark, tmp_path):
     q = sinks.ClaimQueue(spark, f"file://{tmp_path}/q")
     q.fill(spark.range(40).select("id", (F.col("id") % 2).alias("site"), F.lit("pending").alias("state")))
