@@ -74,14 +74,29 @@ def grid_pairs(points: DataFrame, key: str, x: str, y: str, cell: float, reach:
 def closest_pairs(df: DataFrame, key: str, order: str, day: str, cell: str, value: str, days: int) -> DataFrame:
     """Per key and ordered cell pair: the closest two rows within ``days``, the later one second; ``ratio`` is null where the earlier value is 0 or null.
 
-    Days are cut into spans just longer than ``days``, so a row meets only its own span and the next one, never a key's whole history.
+    Days are cut into spans just longer than ``days``, so a row meets only its own span and the next one, never a key's whole history. Rows of a span
+    and cell are one list, with a day's two smallest ``order`` (the second for where the first is the other cell's too), so that a hot key's lists
+    are bounded by the calendar; lists meet, and each pair of lists gives one row. No pair of rows is sorted or moved: the closest days of two lists are
+    next to each other in the days of both, unless a row of one has the ``order`` of a row of the other, where all pairs of the two lists are compared.
     """
-    span = F.floor(F.col(day) / (days + 1))
-    a = df.select(F.col(key).alias("k"), F.col(order).alias("o1"), F.col(day).alias("d1"), F.col(cell).alias("c1"), F.col(value).alias("v1"), F.explode(F.array(span, span + 1)).alias("_span"))
-    b = df.select(F.col(key).alias("k"), F.col(order).alias("o2"), F.col(day).alias("d2"), F.col(cell).alias("c2"), F.col(value).alias("v2"), span.alias("_span"))
-    pair = a.join(b, ["k", "_span"]).where((F.col("d2") >= F.col("d1")) & (F.col("d2") - F.col("d1") <= days) & (F.col("o1") != F.col("o2")) & (F.col("c1") != F.col("c2")))
-    w = Window.partitionBy("k", "c1", "c2").orderBy(F.col("d2") - F.col("d1"), "o1", "o2")
-    return pair.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(F.col("k").alias(key), "c1", "c2", "o1", "o2", (F.col("d2") - F.col("d1")).alias("gap"), F.try_divide(F.col("v2"), F.col("v1")).alias("ratio"))
+    named = df.select(F.col(key).alias("k"), F.col(cell).alias("c"), F.floor(F.col(day) / (days + 1)).alias("_span"), F.col(day).alias("d"), F.col(order).alias("o"), F.col(value).alias("v"))
+    laid = named.where("k IS NOT NULL AND c IS NOT NULL AND _span IS NOT NULL AND o IS NOT NULL").repartition("k", "c", "_span")
+    first = laid.withColumn("_r", F.dense_rank().over(Window.partitionBy("k", "c", "_span", "d").orderBy("o"))).where("_r <= 2")
+    entries = first.groupBy("k", "c", "_span", "d", "o", "_r").agg(F.min("v").alias("v"))
+    entry = lambda r: F.collect_list(F.when(F.col("_r") == r, F.struct("d", "o", "v")))
+    lists = entries.groupBy("k", "c", "_span").agg(entry(1).alias("s"), entry(2).alias("more"))
+    marked = lambda t: F.transform("s", lambda x: F.struct(x["d"].alias("d"), F.lit(t).alias("t"), x["o"].alias("o"), x["v"].alias("v")))
+    side = lambda i: [F.col("c").alias(f"c{i}"), marked(i).alias(f"m{i}"), F.transform(F.concat("s", "more"), lambda x: x["o"]).alias(f"o{i}"), "s", "more"]
+    a = lists.select("k", *side(1), F.explode(F.array(F.col("_span"), F.col("_span") + 1)).alias("_span")).withColumnsRenamed({"s": "s1", "more": "more1"})
+    b = lists.select("k", *side(2), "_span").withColumnsRenamed({"s": "s2", "more": "more2"})
+    met = a.join(b, ["k", "_span"]).where("c1 != c2").withColumn("_all", F.sort_array(F.concat("m1", "m2")))
+    pair = lambda x, y: F.struct((y["d"] - x["d"]).alias("gap"), x["o"].alias("o1"), y["o"].alias("o2"), x["v"].alias("v1"), y["v"].alias("v2"))
+    close = lambda x, y: (x["d"] <= y["d"]) & (y["d"] - x["d"] <= days)
+    beside = F.zip_with("_all", F.slice("_all", 2, F.size("_all")), lambda x, y: F.when((x["t"] == 1) & (y["t"] == 2) & close(x, y), pair(x, y)))
+    every = F.flatten(F.transform(F.concat("s2", "more2"), lambda y: F.transform(F.concat("s1", "more1"), lambda x: F.when(close(x, y) & (x["o"] != y["o"]), pair(x, y)))))
+    near = F.when(F.arrays_overlap("o1", "o2"), F.array_min(every)).otherwise(F.array_min(beside))
+    best = met.select("k", "c1", "c2", near.alias("_near")).where("_near IS NOT NULL").groupBy("k", "c1", "c2").agg(F.min("_near").alias("_near"))
+    return best.select(F.col("k").alias(key), "c1", "c2", "_near.o1", "_near.o2", "_near.gap", F.try_divide("_near.v2", "_near.v1").alias("ratio"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, rank: str) -> DataFrame:

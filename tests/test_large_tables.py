@@ -137,3 +137,30 @@ def test_edges_come_in_tasks_of_bounded_rows(spark, monkeypatch):
     edges = spark.range(6_000).select((F.col("id") % 3_000).alias("src"), (F.col("id") % 3_000 + 10_000).alias("dst"))  # each edge twice
     both = setops._both_ways(edges)
     assert both.count() == both.distinct().count() == 6_000 and both.select(F.input_file_name()).distinct().count() == 12
+
+
+def test_closest_pairs_of_a_hot_key_sort_no_pairs(spark):
+    from splitline.operators import joins
+
+    r = random.Random(8)
+    rows = [(r.choice([0, 0, 0, 1, 2]), r.choice("abc"), r.randrange(80), r.choice([0.0, 1.0, 2.5, None]), r.randrange(300)) for _ in range(900)]  # ids repeat, also across cells
+    df = spark.createDataFrame(rows, "p int, c string, d long, v double, id long").union(spark.createDataFrame([(None, "a", 1, 1.0, 1), (0, None, 1, 1.0, 2), (0, "b", None, 1.0, 3)], "p int, c string, d long, v double, id long"))
+    want = {}
+    for p, c, d, _, i in rows:
+        for q, e, f, _, j in rows:
+            if p == q and c != e and i != j and 0 <= f - d <= 21:
+                want[p, c, e] = min(want.get((p, c, e), (99, 0, 0)), (f - d, i, j))
+    got = joins.closest_pairs(df, "p", "id", "d", "c", "v", 21)
+    assert {(x.p, x.c1, x.c2): (x.gap, x.o1, x.o2) for x in got.collect()} == want
+    sparse = df.where("id < 12")
+    want = {}
+    few = [x for x in rows if x[4] < 12]
+    for p, c, d, _, i in few:
+        for q, e, f, _, j in few:
+            if p == q and c != e and i != j and 0 <= f - d <= 21:
+                want[p, c, e] = min(want.get((p, c, e), (99, 0, 0)), (f - d, i, j))
+    assert {(x.p, x.c1, x.c2): (x.gap, x.o1, x.o2) for x in joins.closest_pairs(sparse, "p", "id", "d", "c", "v", 21).collect()} == want
+    hot = spark.range(20_000).select(F.lit(1).alias("p"), (F.col("id") % 3).alias("c"), (F.col("id") % 20).alias("d"), F.lit(1.0).alias("v"), "id")
+    out = joins.closest_pairs(hot, "p", "id", "d", "c", "v", 21)
+    assert {(x.c1, x.c2, x.gap) for x in out.collect()} == {(a, b, 0) for a in range(3) for b in range(3) if a != b}  # more than a hundred million pairs of rows
+    assert "Window" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("row_number") == 0
