@@ -108,13 +108,22 @@ def common_opponents(matrix: DataFrame) -> DataFrame:
     return both.groupBy(F.col("a").alias("team"), F.col("b").alias("opponent")).agg(F.count_if(F.col("x") > F.col("y")).alias("better"), F.count_if(F.col("x") < F.col("y")).alias("worse"))
 
 
-def best_lineups(options: DataFrame, team: str, person: str, event: str, points: str, per_person: int, per_event: int) -> DataFrame:
+def best_lineups(options: DataFrame, team: str, person: str, event: str, points: str, per_person: int, per_event: int, events: int | None = None) -> DataFrame:
     """A team's entries by greedy choice: highest points first, at most ``per_person`` events a person and ``per_event`` entries an event.
 
-    The choice is sequential; a team's options are its roster times the meet's events, a bounded group.
+    The choice is sequential, on a group that the number of ``events`` bounds (counted where not given; not less than a team's), not the roster. Of a
+    person's options in one event only the first ``per_person`` can be taken. At most ``per_event`` * ``events`` entries are taken at all, so no more
+    options of an event than that fall to persons who have enough: its best ``per_event`` * (``events`` + 1) hold ``per_event`` that are taken, unless
+    the event was full before, and none behind them can be.
     """
     import pandas as pd
 
+    if events is None:
+        events = options.agg(F.count_distinct(F.coalesce(F.col(event).cast("string"), F.lit("\0")))).first()[0]
+    best = F.nanvl(F.col(points).cast("double"), F.lit(None)).desc_nulls_last()
+    own = options.select(team, person, event, points).withColumn("_k", F.row_number().over(Window.partitionBy(team, person, event).orderBy(best))).where(F.col("_k") <= per_person)
+    near = own.withColumn("_k", F.row_number().over(Window.partitionBy(team, event).orderBy(best, person))).where(F.col("_k") <= per_event * (events + 1))
+
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([points, person, event], ascending=[False, True, True])
         by_person: dict = {}
@@ -128,7 +137,7 @@ def best_lineups(options: DataFrame, team: str, person: str, event: str, points:
         return rows[keep]
 
     schema = ", ".join(f"{c} {options.schema[c].dataType.simpleString()}" for c in (team, person, event, points))
-    return options.select(team, person, event, points).groupBy(team).applyInPandas(pick, schema)
+    return near.drop("_k").groupBy(team).applyInPandas(pick, schema)
 
 
 def training_paces(speeds: DataFrame, speed: str, zones: list[tuple[str, float]]) -> DataFrame:

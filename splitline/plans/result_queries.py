@@ -274,7 +274,7 @@ def common_opponents(spark, sf):
 def lineup_choice(spark, sf):
     """Greedy entries per team; the test has the rule on a small team."""
     o = races(spark, sf).groupBy("team", "person", (F.col("cell") % 6).alias("event")).agg(F.round(F.max("mark"), 4).alias("points"))
-    return res.best_lineups(o, "team", "person", "event", "points", 2, 3)
+    return res.best_lineups(o, "team", "person", "event", "points", 2, 3, events=6)
 
 
 @query(f"WITH {R} SELECT id, round(ln(1 + mark) * 10, 6) AS shown FROM r WHERE mark >= 0 ORDER BY shown DESC NULLS LAST, id LIMIT 25")

@@ -164,3 +164,25 @@ def test_closest_pairs_of_a_hot_key_sort_no_pairs(spark):
     out = joins.closest_pairs(hot, "p", "id", "d", "c", "v", 21)
     assert {(x.c1, x.c2, x.gap) for x in out.collect()} == {(a, b, 0) for a in range(3) for b in range(3) if a != b}  # more than a hundred million pairs of rows
     assert "Window" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("row_number") == 0
+
+
+def test_lineups_take_few_options_of_a_large_roster(spark):
+    from splitline.operators import results as res
+
+    r = random.Random(9)
+    rows = [(t, p, e, float(r.randrange(40))) for t in range(2) for p in range(400) for e in range(4) if r.random() < 0.8]
+    rows += [(0, 5, 1, 39.0)] * 3 + [(1, 7, 2, None), (0, 9, 9, None)]
+
+    def greedy(team):
+        kept, people, events = [], {}, {}
+        for _, p, e, x in sorted((o for o in rows if o[0] == team), key=lambda o: (o[3] is None, -(o[3] or 0), o[1], o[2])):
+            if people.get(p, 0) < 2 and events.get(e, 0) < 3:
+                people[p], events[e] = people.get(p, 0) + 1, events.get(e, 0) + 1
+                kept.append((team, p, e, x))
+        return kept
+
+    df = spark.createDataFrame(rows, "team long, person long, event long, points double")
+    frame = res.best_lineups(df, "team", "person", "event", "points", 2, 3)
+    got = sorted((x.team, x.person, x.event, x.points) for x in frame.collect())
+    assert str(got) == str(sorted(greedy(0) + greedy(1)))
+    assert "WindowGroupLimit" in frame._jdf.queryExecution().executedPlan().toString()  # tasks keep a bounded number of options before any are moved
