@@ -10,6 +10,9 @@ from ..functions import stats
 from .joins import interval_bracket, nearest_by_day
 from .store import written
 
+#: Rows of a table (two numbers each) that are sent to all tasks.
+SENT = 1_000_000
+
 
 def modes(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """The most frequent value per group, the smallest of equals, by counts of distinct values."""
@@ -308,10 +311,11 @@ def fitted_prior(cells: DataFrame, effect: str, n: str, within: float, least: fl
 
 def field_adjusted(rows: DataFrame, race: str, cell: str, value: str, strength: str) -> DataFrame:
     """(race, cell, effect, adjusted): each race's mean value, and that less what its field's strength explains: the slope of races' means on their
-    fields' mean strength within cells, so that a course that only strong fields visit isn't made easier by them."""
-    per = rows.groupBy(race, cell).agg(F.avg(value).alias("effect"), F.avg(strength).alias("_x"))
-    mean = per.groupBy(F.col(cell).alias("_cell")).agg(F.avg("effect").alias("_e"), F.avg("_x").alias("_m"))
-    both = per.join(mean, per[cell] == mean["_cell"])
+    fields' mean strength within cells, so that a course that only strong fields visit isn't made easier by them. Races are written once and are not
+    moved again where the cells' means are few enough to be sent."""
+    per = written(rows.groupBy(race, cell).agg(F.avg(value).alias("effect"), F.avg(strength).alias("_x")), "fields")
+    mean = written(per.groupBy(F.col(cell).alias("_cell")).agg(F.avg("effect").alias("_e"), F.avg("_x").alias("_m")), "field-means")
+    both = per.join(F.broadcast(mean) if mean.count() <= SENT else mean, per[cell] == mean["_cell"])
     dx, dy = F.col("_x") - F.col("_m"), F.col("effect") - F.col("_e")
     slope = both.agg(F.coalesce(F.try_divide(F.sum(dx * dy), F.sum(dx * dx)), F.lit(0.0)).alias("_slope"), F.avg("_x").alias("_all"))
     return both.crossJoin(F.broadcast(slope)).select(race, cell, "effect", (F.col("effect") - F.col("_slope") * (F.col("_x") - F.col("_all"))).alias("adjusted"))  # one row

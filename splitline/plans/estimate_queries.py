@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import dataquality as dq, estimate as est, solve
+from ..operators.store import bucketed
 from .base import L, R, query, races, results, table
 from .domain_queries import two_way_sql, within_sql
 
@@ -278,6 +279,7 @@ def fitted_shrinkage(spark, sf):
 
 @query(f"WITH {L}, b AS (SELECT person, avg(mark) AS s FROM l GROUP BY person), p AS (SELECT race, cell % 20 AS cell, avg(mark) AS effect, avg(s) AS x FROM l JOIN b USING (person) GROUP BY ALL), d AS (SELECT *, effect - avg(effect) OVER (PARTITION BY cell) AS dy, x - avg(x) OVER (PARTITION BY cell) AS dx FROM p), q AS (SELECT sum(dx * dy) / sum(dx * dx) AS slope, avg(x) AS mean FROM d) SELECT race, cell, round(ln(effect), 5) AS effect, round(ln(effect - slope * (x - mean)), 5) AS adjusted FROM d, q")
 def field_adjusted(spark, sf):
-    r = races(spark, sf)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = bucketed(races(spark, sf).select("race", "person", "cell", "mark").repartition(parts, "person"), "fields", "person", parts)  # joined once, persons' means meet it in place
     own = r.join(r.groupBy("person").agg(F.avg("mark").alias("s")), "person").withColumn("cell", F.col("cell") % 20)
     return est.field_adjusted(own, "race", "cell", "mark", "s").withColumns({c: F.round(F.log(c), 5) for c in ("effect", "adjusted")})

@@ -186,3 +186,17 @@ def test_lineups_take_few_options_of_a_large_roster(spark):
     got = sorted((x.team, x.person, x.event, x.points) for x in frame.collect())
     assert str(got) == str(sorted(greedy(0) + greedy(1)))
     assert "WindowGroupLimit" in frame._jdf.queryExecution().executedPlan().toString()  # tasks keep a bounded number of options before any are moved
+
+
+def test_fields_are_written_once(spark, monkeypatch):
+    from splitline.operators import estimate
+
+    names, written = [], estimate.written
+    monkeypatch.setattr(estimate, "written", lambda df, what: names.append(what) or written(df, what))
+    rows = [(k, k % 5, float(k % 7), float(k % 3)) for k in range(60)]
+    df = spark.createDataFrame(rows, "race long, cell long, y double, s double")
+    read = lambda: {(x.race, x.cell): (x.effect, round(x.adjusted, 9)) for x in estimate.field_adjusted(df, "race", "cell", "y", "s").collect()}
+    sent = read()
+    monkeypatch.setattr(estimate, "SENT", 0)
+    assert read() == sent and len(sent) == 60
+    assert names == ["fields", "field-means"] * 2
