@@ -188,10 +188,12 @@ def row_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 
 
 def gbt_baseline(df: DataFrame, features: list[str], target: str, seed: int = 7) -> DataFrame:
-    """Gradient-boosted trees on the rows that aren't held; predictions for all."""
+    """Gradient-boosted trees on the rows that aren't held; predictions for all. The rows are checkpointed, partition by partition, as the fit reads
+    them several times and draws its splits by a row's place."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    df = df.checkpoint()
     data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
     model = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=5, maxDepth=3, seed=seed).fit(data.where("not held"))
     return model.transform(data).drop("_x")

@@ -200,3 +200,18 @@ def test_fields_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(estimate, "SENT", 0)
     assert read() == sent and len(sent) == 60
     assert names == ["fields", "field-means"] * 2
+
+
+def test_boosted_trees_make_their_rows_once(spark):
+    from splitline.operators import solve
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def y(k):
+        made.add(1)
+        return float(k % 7)
+
+    df = spark.range(60).select("id", y("id").alias("y"), (F.col("id") % 3).cast("double").alias("s"), (F.col("id") % 4 == 0).alias("held"))
+    assert solve.gbt_baseline(df, ["s"], "y").count() == 60
+    assert made.value <= 120  # not once for each pass of the fit
