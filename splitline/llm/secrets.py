@@ -49,6 +49,7 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
+_MIXED = re.compile(rb"[+/_-]")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A text without any of these, in lower case, has no assignment.
 WORDS = (b"passw", b"secret", b"token", b"key")
@@ -64,8 +65,9 @@ FOLDED = ("hex", "base32", "base36")
 BANDS = (16, 20, 24, 32, 40, 64, 128)
 #: Steps of the distance: quarters of a standard error, the last for 8 and more.
 STEPS = 33
-#: Bytes of text whose decoys are cut at a time.
-SLAB = 1 << 20
+#: Bytes of text whose decoys are cut at a time, so that their sums stay in a core's cache, and of a slice of a longer text. Running sums are of 32
+#: bits; they may wrap, their differences over a decoy don't.
+SLAB, SLICE = 1 << 17, 1 << 20
 CELLS = len(ALPHABETS) * len(BANDS) * STEPS
 
 
@@ -163,12 +165,12 @@ def candidates(text: bytes, spans: list[tuple[str, int, int]]) -> list[tuple[int
 
 
 def _decoys(texts: list[bytes]) -> np.ndarray:
-    """The histogram of the decoys of every band that ordinary texts give. Texts are taken SLAB bytes at a time, longer ones in slices."""
+    """The histogram of the decoys of every band that ordinary texts give. Texts are taken SLAB bytes at a time, those over SLICE bytes in slices."""
     found = np.zeros(CELLS, dtype=np.int64)
     slab, size = [], 0
     for text in texts:
-        for at in range(0, len(text), SLAB):
-            slab.append(text[at : at + SLAB])
+        for at in range(0, len(text), SLICE):
+            slab.append(text[at : at + SLICE])
             size += len(slab[-1])
             if size >= SLAB:
                 found += _slab_decoys(slab)
@@ -177,21 +179,34 @@ def _decoys(texts: list[bytes]) -> np.ndarray:
 
 
 def _slab_decoys(texts: list[bytes]) -> np.ndarray:
+    """Texts without any of ``+/_-`` have the same symbols in base62, base64 and base64url, and in the last two the same decoys."""
+    plain, mixed = [], []
+    for t in texts:
+        (mixed if _MIXED.search(t) else plain).append(t)
+    return sum((_cut(t, t is plain) for t in (plain, mixed) if t), np.zeros(CELLS, dtype=np.int64))
+
+
+def _cut(texts: list[bytes], plain: bool) -> np.ndarray:
     """Each text is cut anew for each band. Sums over a decoy are differences of running sums, which all bands share; symbol counts of a band whose
-    length is twice another's are sums of two of its."""
+    length is twice another's are sums of two of its. ``plain``: :func:`_slab_decoys`."""
     found = np.zeros(CELLS, dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     last = np.cumsum([len(t) for t in texts])
-    for name in ALPHABETS:
+    per_alphabet = len(BANDS) * STEPS
+    shared: dict[int, np.ndarray] = {}  # of a length: base62's squared symbol counts
+    for place, name in enumerate(ALPHABETS):
+        if plain and name == "base64url":
+            found[place * per_alphabet : (place + 1) * per_alphabet] += found[(place - 1) * per_alphabet : place * per_alphabet]
+            continue
         codes = CODES[name][data]
         inside = codes < 255
         upto = np.concatenate([[0], np.cumsum(inside)[last - 1]])
         first, per, size = upto[:-1], np.diff(upto), len(ALPHABETS[name])
-        c = codes[inside].astype(np.int64)
+        c = codes[inside].astype(np.int32)
         if not len(c):
             continue
         high = c >= size // 2
-        running = lambda x: np.concatenate([[0], np.cumsum(x)])
+        running = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int32)]).astype(np.int32)
         p_high, p_change, p_code, p_square, p_product = running(high), running(high[1:] != high[:-1]), running(c), running(c * c), running(c[1:] * c[:-1])
         counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of a length: each text's first decoy, and the decoys' symbol counts
         for band, length in enumerate(BANDS):
@@ -202,17 +217,23 @@ def _slab_decoys(texts: list[bytes]) -> np.ndarray:
                 continue
             rank = np.arange(n) - np.repeat(at[:-1], own)
             start = np.repeat(first, own) + rank * length
-            if length % 2 == 0 and length // 2 in counts:
-                half_at, half = counts[length // 2]
-                pair = np.repeat(half_at[:-1], own) + 2 * rank
-                symbols = half[pair] + half[pair + 1]
+            if plain and name == "base64":
+                alike = shared[length]
             else:
-                rows = c[start[:, None] + np.arange(length)] + np.arange(n)[:, None] * size
-                symbols = np.bincount(rows.ravel(), minlength=n * size).reshape(n, size).astype(np.int32)
-            counts[length] = at, symbols
-            end, of = start + length, lambda p, start=start: p[start + length] - p[start]  # noqa: B023
-            inner = lambda p: p[end - 1] - p[start]  # noqa: B023,E731
-            sums = np.einsum("ij,ij->i", symbols, symbols), of(p_high), inner(p_change), of(p_code), of(p_square), inner(p_product), c[start] + c[end - 1]
+                if length % 2 == 0 and length // 2 in counts:
+                    half_at, half = counts[length // 2]
+                    pair = np.repeat(half_at[:-1], own) + 2 * rank
+                    symbols = half[pair] + half[pair + 1]
+                else:
+                    rows = c[start[:, None] + np.arange(length)] + np.arange(n)[:, None] * size
+                    symbols = np.bincount(rows.ravel(), minlength=n * size).reshape(n, size).astype(np.int16)
+                counts[length] = at, symbols
+                alike = np.einsum("ij,ij->i", symbols, symbols, dtype=np.int32)
+                if plain and name == "base62":
+                    shared[length] = alike
+            end, of = start + length, lambda p, start=start: (p[start + length] - p[start]).astype(np.int64)  # noqa: B023
+            inner = lambda p: (p[end - 1] - p[start]).astype(np.int64)  # noqa: B023,E731
+            sums = alike, of(p_high), inner(p_change), of(p_code), of(p_square), inner(p_product), (c[start] + c[end - 1]).astype(np.int64)
             found += np.bincount(_cell(_battery(*sums, size, length), name, band), minlength=CELLS)
     return found
 

@@ -215,3 +215,26 @@ def test_boosted_trees_make_their_rows_once(spark):
     df = spark.range(60).select("id", y("id").alias("y"), (F.col("id") % 3).cast("double").alias("s"), (F.col("id") % 4 == 0).alias("held"))
     assert solve.gbt_baseline(df, ["s"], "y").count() == 60
     assert made.value <= 120  # not once for each pass of the fit
+
+
+def test_decoys_of_plain_texts_are_counted_once(monkeypatch):
+    import numpy as np
+
+    from splitline.llm import secrets
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghijkXYZ0189 .") for _ in range(n)).encode() for n in (40, 700, 3_000, 200_000, 1_100_000)]
+    want, counted = np.zeros(secrets.CELLS, dtype=np.int64), []
+    for text in texts:
+        for at in range(0, len(text), secrets.SLICE):
+            for name in secrets.ALPHABETS:
+                codes = secrets.CODES[name][np.frombuffer(text[at : at + secrets.SLICE], dtype=np.uint8)]
+                codes = codes[codes < 255]
+                for band, length in enumerate(secrets.BANDS):
+                    rows = codes[: len(codes) // length * length].reshape(-1, length)
+                    if len(rows):
+                        want += np.bincount(secrets.cells(rows, name, band), minlength=secrets.CELLS)
+    battery = secrets._battery
+    monkeypatch.setattr(secrets, "_battery", lambda *a: counted.append(a[-2]) or battery(*a))
+    assert (secrets._decoys(texts) == want).all()
+    assert counted.count(64) == counted.count(62) > 0  # base64url has base64's
