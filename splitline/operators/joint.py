@@ -5,11 +5,15 @@ race days, sport slopes, a season curve ...), names one unknown of it and has a
 loading: y = sum of loading * unknown + noise. A block's ``ridge`` is the noise's
 variance over the block's own, which is what splits a course from its race days.
 
-The design is a table of entries (row, unknown, loading). It is kept twice, once
-bucketed by unknown and once by row, so that a product with the normal matrix is
-one pass: entries by unknown meet the vector and are summed by row, entries by row
-meet those sums and are summed by unknown; only partial sums are shuffled. Vectors
-are tables by unknown; the driver holds scalars. Unknowns that share a group (one
+An unknown is known by the hash of its block and key, so rows name their unknowns
+without meeting a table of them; two with one hash are seen and hashed anew. Where
+the vectors are small enough to be sent (``SENT``), rows are kept whole, dealt by
+their first unknown: a product with the normal matrix is one pass over them, and
+only sums by unknown are shuffled. Beyond that, the design is a table of entries
+(row, unknown, loading), kept twice, once bucketed by unknown and once by row:
+entries by unknown meet the vector and are summed by row, entries by row meet
+those sums and are summed by unknown; only partial sums are shuffled. Vectors
+are tables by unknown; the driver computes with scalars. Unknowns that share a group (one
 person's ability, sport slope and endurance slope) are inverted together as one
 small block of the preconditioner; others are scaled by their own diagonal. A
 solve that does not settle is an error.
@@ -25,6 +29,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import bucketed, written
 
+#: Unknowns whose vectors are sent to all tasks, and a row's terms that are kept side by side.
+SENT, WIDE = 2_000_000, 16
+#: Members of groups whose matrices one task inverts at a time, on average.
+MEMBERS = 20_000
+
 _TERM = "array<struct<key:string,x:double>>"
 
 
@@ -65,10 +74,11 @@ def curve(name: str, at: Column, knots: list[float], loading: Column | float = 1
 
 @dataclass
 class Design:
-    """Entries of a set of rows: by unknown and by row, the unknowns, and each row's weighted value."""
+    """Entries of a set of rows: whole rows, or by unknown and by row; the unknowns, and each row's weighted value."""
 
-    by_unknown: DataFrame  # row, u, load
-    by_row: DataFrame  # row, u, load
+    wide: DataFrame | None  # row, u0, x0, u1, x1 ...: unknowns and loadings, null where a row has no more
+    by_unknown: DataFrame | None  # row, u, load
+    by_row: DataFrame | None  # row, u, load
     unknowns: DataFrame  # u, block, key, grp, ridge, b, diagonal, inverse (this unknown's line in its group's inverse)
     rows: DataFrame  # row, id, y, w
     ties: DataFrame  # block, key, parent_block, parent
@@ -93,40 +103,89 @@ def design(rows: DataFrame, row_id: str, y: Column, blocks: list[Block], weight:
     pull = F.sqrt(F.create_map(*[F.lit(v) for b in blocks for v in (b.name, float(b.ridge))])[F.col("block")])
     end = lambda block, key, sign: ties.select("row", F.lit(0.0).alias("z"), F.col(block).alias("block"), F.col(key).alias("key"), F.lit(None).cast("string").alias("grp"), (sign * pull).alias("x"))
     entry = entry.drop("parent_block", "parent").unionByName(end("block", "key", 1)).unionByName(end("parent_block", "parent", -1))
-    named = entry.groupBy("block", "key").agg(F.min("grp").alias("grp"), F.sum(F.col("x") * F.col("z")).alias("b"), F.sum(F.col("x") * F.col("x")).alias("square"))
-    named = written(named.withColumn("u", F.monotonically_increasing_id()), "joint-unknowns")
-    entries = written(entry.join(named.select("block", "key", "u"), ["block", "key"]).select("row", "u", F.col("x").alias("load"), "grp"), "joint-entries")
-    by_unknown, by_row = bucketed(entries.drop("grp"), "joint_by_unknown", "u"), bucketed(entries.drop("grp"), "joint_by_row", "row")
+    sums = written(entry.groupBy("block", "key").agg(F.min("grp").alias("grp"), F.sum(F.col("x") * F.col("z")).alias("b"), F.sum(F.col("x") * F.col("x")).alias("square")), "joint-sums")
+    seed, n = _seed(sums)
+    name = lambda block, key: _name(seed, block, key)
+    named = sums.withColumn("u", name(F.col("block"), F.col("key")))
+    most = kept.agg(F.max(F.size("terms"))).first()[0] or 0
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = by_unknown = by_row = None
+    if n <= SENT and most <= WIDE:
+        at = lambda i: F.get("terms", F.lit(i))
+        whole = kept.select("row", *[c for i in range(most) for c in (F.when(at(i).isNotNull(), name(at(i)["block"], at(i)["key"])).alias(f"u{i}"), (at(i)["x"] * F.sqrt("w")).alias(f"x{i}"))])
+        ends = ties.select("row", name(F.col("block"), F.col("key")).alias("u0"), pull.alias("x0"), name(F.col("parent_block"), F.col("parent")).alias("u1"), (-pull).alias("x1"))
+        wide = written(whole.unionByName(ends, allowMissingColumns=True).repartition(parts, "u0"), "joint-wide")
+    else:
+        entries = entry.select("row", name(F.col("block"), F.col("key")).alias("u"), F.col("x").alias("load"))
+        by_unknown, by_row = (bucketed(entries.repartition(parts, k), f"joint_by_{k}", k, parts) for k in ("u", "row"))
     unknowns = named.select("u", "block", "key", F.coalesce("grp", F.concat(F.lit("\0"), F.col("u").cast("string"))).alias("grp"), ridge[F.col("block")].alias("ridge"), "b", (F.col("square") + ridge[F.col("block")]).alias("diagonal"))
-    return Design(by_unknown, by_row, written(unknowns.join(_inverses(entries, unknowns), "u", "left").withColumn("inverse", F.coalesce("inverse", F.array(F.when(F.col("diagonal") > 0, 1 / F.col("diagonal")).otherwise(0.0)))), "joint-unknowns"), kept.select("row", "id", "y", "w"), ties.drop("row"))
+    inverse = _inverses(kept, name, ridge, 1 + n // MEMBERS)
+    return Design(wide, by_unknown, by_row, written(unknowns.join(inverse, "u", "left").withColumn("inverse", F.coalesce("inverse", F.array(F.when(F.col("diagonal") > 0, 1 / F.col("diagonal")).otherwise(0.0)))), "joint-unknowns"), kept.select("row", "id", "y", "w"), ties.drop("row"))
+
+
+def _name(seed: int, block: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), block, key)
 
 
-def _inverses(entries: DataFrame, unknowns: DataFrame) -> DataFrame:
+def _seed(unknowns: DataFrame) -> tuple[int, int]:
+    """The first seed by which no two unknowns (block, key) have one hash, and the number of unknowns."""
+    for seed in range(100):
+        seen = unknowns.select(_name(seed, F.col("block"), F.col("key")).alias("u")).agg(F.count("*").alias("n"), F.count_distinct("u").alias("names")).first()
+        if seen["n"] == seen["names"]:
+            return seed, seen["n"]
+    raise RuntimeError("unknowns are named alike by every seed")
+
+
+def _inverses(kept: DataFrame, name, ridge: Column, tasks: int) -> DataFrame:
     """(u, inverse): the line of each grouped unknown in the inverse of its group's matrix, members in the order of u. A group holds the unknowns
-    of one person or curve, so its matrix is small by nature."""
-    grouped = entries.where("grp IS NOT NULL").groupBy("row", "grp").agg(F.collect_list(F.struct("u", "load")).alias("e"))  # a row's few terms
-    pairs = grouped.select("grp", "e", F.explode("e").alias("a")).select("grp", "a", F.explode("e").alias("b"))
-    cells = pairs.groupBy("grp", F.col("a.u").alias("u"), F.col("b.u").alias("v")).agg(F.sum(F.col("a.load") * F.col("b.load")).alias("m"))
-    cells = cells.join(unknowns.select("u", "ridge"), "u")
+    of one person or curve, so its matrix is small by nature; many groups are inverted together."""
+    one = kept.select("w", "terms", F.explode("terms").alias("a")).where("a.grp IS NOT NULL")
+    pairs = one.select("w", "a", F.explode(F.filter("terms", lambda t: t["grp"] == F.col("a.grp"))).alias("b"))
+    cells = pairs.groupBy(F.col("a.grp").alias("grp"), name(F.col("a.block"), F.col("a.key")).alias("u"), name(F.col("b.block"), F.col("b.key")).alias("v"), F.col("a.block").alias("block")).agg(F.sum(F.col("a.x") * F.col("b.x") * F.col("w")).alias("m"))
+    cells = cells.select("grp", "u", "v", "m", ridge[F.col("block")].alias("ridge"), F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("task"))
 
     def invert(p: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(p["u"].to_numpy())
-        m = np.zeros((len(names), len(names)))
-        i, j = np.searchsorted(names, p["u"]), np.searchsorted(names, p["v"])
-        m[i, j] = p["m"]
-        m[i, i] = 0
-        diagonal = p["u"].to_numpy() == p["v"].to_numpy()
-        m[i[diagonal], i[diagonal]] = p["m"].to_numpy()[diagonal] + p["ridge"].to_numpy()[diagonal]
-        inverse = np.linalg.pinv(m, rcond=1e-12, hermitian=True)  # a group may hold a direction that only other groups settle
-        return pd.DataFrame({"u": names, "inverse": list(inverse)})
-
-    return cells.groupBy("grp").applyInPandas(invert, "u long, inverse array<double>")
+        members = p[["grp", "u"]].drop_duplicates().sort_values(["grp", "u"], ignore_index=True)
+        grp, members["at"] = members.groupby("grp", sort=False).ngroup(), members.groupby("grp", sort=False).cumcount()
+        members["g"], members["size"] = grp, members.groupby("grp", sort=False)["u"].transform("size")
+        full = p.merge(members, on=["grp", "u"]).merge(members[["grp", "u", "at"]].rename(columns={"u": "v", "at": "to"}), on=["grp", "v"])
+        out = []
+        for size, own in full.groupby("size"):
+            which, g = np.unique(own["g"].to_numpy(), return_inverse=True)
+            m = np.zeros((len(which), size, size))
+            m[g, own["at"], own["to"]] = own["m"] + np.where(own["u"] == own["v"], own["ridge"], 0.0)
+            inverse = np.linalg.pinv(m, rcond=1e-12, hermitian=True)  # a group may hold a direction that only other groups settle
+            out.append(pd.DataFrame({"u": members.loc[members["size"] == size, "u"].to_numpy(), "inverse": list(inverse.reshape(-1, size))}))
+        return pd.concat(out, ignore_index=True)
+
+    return cells.groupBy("task").applyInPandas(invert, "u long, inverse array<double>")
+
+
+def _met(d: Design, v: DataFrame, name: str) -> tuple[DataFrame, Column, list[tuple[Column, Column]]]:
+    """Whole rows with the vector, sent to all tasks: (rows, each row's sum of loading * unknown, its unknowns and loadings)."""
+    rows, sent = d.wide, F.broadcast(v.select("u", F.col(name).alias("p")))  # at most SENT
+    terms = [(F.col(f"u{i}"), F.col(f"x{i}")) for i in range((len(rows.columns) - 1) // 2)]
+    for i, (u, _) in enumerate(terms):
+        rows = rows.join(sent.alias(f"v{i}"), u == F.col(f"v{i}.u"), "left")
+    return rows, sum((F.coalesce(x * F.col(f"v{i}.p"), F.lit(0.0)) for i, (_, x) in enumerate(terms)), F.lit(0.0)), terms
+
+
+def _sums(d: Design, v: DataFrame, name: str) -> DataFrame:
+    """(row, z): each row's sum of loading * unknown."""
+    if d.wide is not None:
+        rows, z, _ = _met(d, v, name)
+        return rows.select("row", z.alias("z"))
+    return d.by_unknown.join(v.select("u", name), "u").groupBy("row").agg(F.sum(F.col("load") * F.col(name)).alias("z"))
 
 
 def product(d: Design, v: DataFrame, name: str = "p") -> DataFrame:
     """(u, q): the normal matrix, without ridge, times the column ``name`` of ``v`` (u, ...)."""
-    sums = d.by_unknown.join(v.select("u", name), "u").groupBy("row").agg(F.sum(F.col("load") * F.col(name)).alias("z"))
-    return d.by_row.join(sums, "row").groupBy("u").agg(F.sum(F.col("load") * F.col("z")).alias("q"))
+    if d.wide is not None:
+        rows, z, terms = _met(d, v, name)
+        whole = rows.select(z.alias("z"), *[c for t in terms for c in t])
+        parts = whole.select(F.explode(F.array(*[F.struct(u.alias("u"), (x * F.col("z")).alias("q")) for u, x in terms])).alias("t")) if terms else whole.select(F.struct(F.lit(None).cast("long").alias("u"), F.col("z").alias("q")).alias("t"))
+        return parts.where("t.u IS NOT NULL").groupBy("t.u").agg(F.sum("t.q").alias("q"))
+    return d.by_row.join(_sums(d, v, name), "row").groupBy("u").agg(F.sum(F.col("load") * F.col("z")).alias("q"))
 
 
 def _conditioned(state: DataFrame) -> Column:
@@ -161,7 +220,7 @@ def solve(d: Design, start: DataFrame | None = None, tol: float = 1e-10, most: i
             raise RuntimeError("the joint solve met a direction without curvature")
         a = rz / pq
         moved = both.select(*fixed, (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("q")).alias("r"), "p")
-        moved = moved.withColumn("z", _conditioned(moved))
+        moved = written(moved.withColumn("z", _conditioned(moved)), "joint-moved")
         new = moved.agg(F.sum(F.col("r") * F.col("z"))).first()[0]
         state, rz, used = moved.withColumn("p", F.col("z") + F.lit(new / rz) * F.col("p")), new, used + 1
     value = state.select("u", F.col("x").alias("value"))
@@ -170,8 +229,7 @@ def solve(d: Design, start: DataFrame | None = None, tol: float = 1e-10, most: i
 
 def fitted(d: Design, effects: DataFrame) -> DataFrame:
     """(row, id, y, w, fit) of every row."""
-    sums = d.by_unknown.join(effects.select("u", "value"), "u").groupBy("row").agg(F.sum(F.col("load") * F.col("value")).alias("z"))
-    return d.rows.join(sums, "row", "left").select("row", "id", "y", "w", (F.coalesce("z", F.lit(0.0)) / F.sqrt("w")).alias("fit"))
+    return d.rows.join(_sums(d, effects, "value"), "row", "left").select("row", "id", "y", "w", (F.coalesce("z", F.lit(0.0)) / F.sqrt("w")).alias("fit"))
 
 
 def differences(d: Design, effects: DataFrame) -> DataFrame:

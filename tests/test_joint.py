@@ -127,3 +127,24 @@ def test_query_against_dense_least_squares(spark, sf):
     for block, k in (("cell", 1), ("race", 2)):
         for key, v in want[k].items():
             assert got[block, str(key)] == pytest.approx(v, abs=2e-6)
+
+
+def test_whole_rows_and_entries_give_the_same_product(spark, monkeypatch):
+    rows, _, _, _ = world(people=30, cells=4)
+    blocks = joint.Terms().blocks(4e-4, F.lit(1.0))
+    whole = joint.design(frame(spark, rows), "id", F.col("y"), blocks)
+    monkeypatch.setattr(joint, "SENT", 0)
+    name = joint._name
+    monkeypatch.setattr(joint, "_name", lambda seed, block, key: F.lit(7).cast("long") if seed == 0 else name(seed, block, key))  # the first seed names all alike
+    entries = joint.design(frame(spark, rows), "id", F.col("y"), blocks)
+    assert whole.wide is not None and whole.by_row is None and entries.wide is None
+    got = []
+    for d in (whole, entries):
+        v = d.unknowns.select("u", F.length("key").cast("double").alias("p"))
+        q = joint.product(d, v).join(d.unknowns, "u").collect()
+        got.append({(x.block, x.key): x.q for x in q})
+        fits = joint.fitted(d, d.unknowns.select("u", F.length("key").cast("double").alias("value"))).collect()
+        got.append({x.id: x.fit for x in fits})
+        got.append({(x.block, x.key): x.diagonal for x in d.unknowns.collect()})
+    assert got[0] == pytest.approx(got[3]) and got[1] == pytest.approx(got[4]) and got[2] == pytest.approx(got[5])
+    assert len(got[0]) == 30 + 4 + 12 and len(got[1]) == len(rows)
