@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,7 +18,9 @@ class Sides:
 
     No row is moved again: the table of the key with few values (times ``width`` numbers within SENT) is sent to all tasks, the other's comes to the
     buckets. Where neither is small, rows are kept in buckets by both keys and only sums are shuffled. ``sums`` are taken by pair of keys. Rows
-    without a key take no part. A hot key's rows are read by one task, in a stream.
+    without a key take no part. A hot key's rows are read by one task, in a stream. Sums by the sent key come from fewer tasks than there are
+    buckets, as each task gives a row for most of its values: from one a core, more where a task would hold over SENT numbers of the other table or
+    over four buckets (a join's tables are held until the task ends).
     """
 
     def __init__(self, rows: DataFrame, home: str, away: str, width: int = 1, sums: list | None = None):
@@ -26,6 +30,7 @@ class Sides:
         self.by = {home: self.rows}
         values = self.rows.agg(*[F.approx_count_distinct(k).alias(k) for k in self.keys]).first()
         self.sent = next((k for k in (away, home) if values[k] * width <= SENT), None)
+        self.tasks = {k: max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(values[k] * width / max(SENT, 1)), math.ceil(self.parts / 4)) for k in self.keys}
         if self.sent != away:
             self.by[away] = self._laid(self.rows.repartition(self.parts, away), away)
 
@@ -36,15 +41,16 @@ class Sides:
         return rows.join(F.broadcast(table) if key == self.sent else table.hint("shuffle_hash"), key)  # a row a key
 
     def met(self, key: str, table: DataFrame) -> DataFrame:
-        """The rows with ``table``, which has a row per ``key``."""
+        """The rows with ``table``, which has a row per ``key``, for sums by the other key."""
         other = self.keys[1 - self.keys.index(key)]
-        return self._join(self.by[other if key == self.sent else key], table, key)
+        rows = self._join(self.by[other if key == self.sent else key], table, key)
+        return rows.coalesce(self.tasks[key]) if other == self.sent and self.tasks[key] < self.parts else rows
 
     def met_both(self, tables: dict[str, DataFrame]) -> DataFrame:
         """The rows with a table per key."""
         last = self.sent or self.keys[1]
         first = self.keys[1 - self.keys.index(last)]
-        return self._join(self.met(first, tables[first]), tables[last], last)
+        return self._join(self._join(self.by[first], tables[first], first), tables[last], last)
 
 
 def alternate(df: DataFrame, person: str, cell: str, value: str, rounds: int) -> tuple[DataFrame, DataFrame]:

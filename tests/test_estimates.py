@@ -196,3 +196,22 @@ def test_solvers_keep_rows_in_their_buckets(spark, monkeypatch, sent):
     assert max(abs(got[c] - d[c]) for c in got) < 1e-6 and len(got) == len(set(cells))
     means = {q.c: q.difficulty for q in solve.alternate(df, "p", "c", "y", 30)[1].collect()}
     assert max(abs(means[c] - d[c]) for c in means) < 1e-5
+
+
+@pytest.mark.parametrize("sent, tasks", [(4_000_000, 8), (40, 16)])  # four of 32 buckets a task, then at most 40 numbers a task
+def test_sums_by_the_sent_key_come_from_few_tasks(spark, monkeypatch, sent, tasks):
+    monkeypatch.setattr(solve, "SENT", sent)
+    monkeypatch.setattr(solve.F, "approx_count_distinct", solve.F.count_distinct)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        df = spark.range(12_800).select((F.col("id") % 640).alias("p"), (F.col("id") * 7 % 30).alias("c"), (F.col("id") % 11).cast("double").alias("y"))
+        sides = solve.Sides(df, "p", "c")
+        assert sides.sent == "c" and sides.parts == 32
+        for key, other, few in (("p", "c", True), ("c", "p", False)):
+            table = sides.rows.groupBy(key).agg(F.sum("y").alias("t"))
+            met = sides.met(key, table)
+            assert not few or met.rdd.getNumPartitions() == tasks
+            plain = df.join(df.groupBy(key).agg(F.sum("y").alias("t")), key).groupBy(other).agg(F.sum("t").alias("s"))
+            assert {tuple(r) for r in met.groupBy(other).agg(F.sum("t").alias("s")).collect()} == {tuple(r) for r in plain.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
