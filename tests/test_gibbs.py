@@ -42,3 +42,27 @@ def test_draws_repeat_and_empty_tables_give_none(spark):
     one, two = (sorted(tuple(q) for q in gibbs.draws(x, "p", "c", "y", chains=2, rounds=3, burn=1, seed=5)[0].collect()) for x in (df, df.repartition(7)))
     assert [q[:3] for q in one] == [q[:3] for q in two] and [q[3] for q in one] == pytest.approx([q[3] for q in two]) and len(one) == 8
     assert gibbs.draws(df.limit(0), "p", "c", "y")[0].count() == 0
+
+
+def test_the_constant_of_mean_and_difficulties_is_drawn_too(spark):
+    """Closed form with a flat prior of the mean, slope and noise being settled by many rows; the rounds alone hardly move the constant."""
+    r = np.random.default_rng(7)
+    d = r.normal(0, 1, 5)
+    rows = rows_of(r, 40, 5, 50, 0.1, d, r.normal(0, 0.25, 40))
+    kept, _ = gibbs.draws(spark.createDataFrame(rows, "p int, c int, x double, y double"), "p", "c", "y", "x", chains=60, rounds=8, burn=4)
+    got = {q.cell: q for q in gibbs.posterior(kept).collect()}
+    m = np.zeros((len(rows), 46))
+    for i, (p, c, _, _) in enumerate(rows):
+        m[i, p], m[i, 40 + c], m[i, 45] = 1, 1, 1
+    cov = np.linalg.inv(m.T @ m / 0.01 + np.diag([16.0] * 40 + [1.0] * 5 + [1e-6]))
+    mean = cov @ m.T @ (np.array([y for *_, y in rows]) / 0.01)
+    for c in range(5):
+        sd = cov[40 + c, 40 + c] ** 0.5
+        assert got[c].mean == pytest.approx(mean[40 + c], abs=0.3 * sd) and got[c].sd == pytest.approx(sd, rel=0.2)
+
+
+def test_query_keeps_as_many_draws_as_the_reference(spark, sf):
+    from splitline import catalog
+
+    got = catalog.queries()["gibbs_posterior"](spark, sf).collect()
+    assert got and all(x.draws == 1500 and x.low < x.mean < x.high for x in got)
