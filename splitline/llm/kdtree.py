@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 
 import numpy as np
 import pandas as pd
@@ -245,14 +246,20 @@ def _searched(trees: DataFrame, asked: DataFrame, k: int, batch: int) -> DataFra
     return packed.join(trees, key).select("tree", "qs").mapInArrow(run, _RESULT)
 
 
+def _low(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """Of ``n`` rows little more than ``sample``, those of smallest hash: a limit alone would send so many of every partition to the driver."""
+    most = sample + 10 * math.isqrt(sample) + 10
+    return rows if n <= most else rows.where(F.xxhash64("row") <= -(2**63) + 2**64 * most // n)
+
+
 def top_k(vectors: DataFrame, wanted: Column, k: int = 5, shard_rows: int = 8192, leaves: int = 512, sample: int = 20_000, batch: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``: (id long, v array<long>); the rows for which ``wanted`` holds are the queries."""
     usable = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", F.isnull))
     rows = materialize(usable.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "vectors")
     some: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("row")).select("v").limit(sample).collect():  # the documented bound
-        some.setdefault(len(r.v), []).append(r.v)
     n = rows.count()
+    for r in _low(rows, n, sample).orderBy(F.xxhash64("row")).select("v").limit(sample).collect():  # the documented bound
+        some.setdefault(len(r.v), []).append(r.v)
     tops = {dim: Top(_matrix(v), max(1, min(leaves, -(-n // shard_rows)))) for dim, v in some.items()}
     placed = _routed(rows, tops)
     sizes = placed.groupBy("dim", "leaf").agg(F.count("*").alias("n")).select("dim", "leaf", F.ceil(F.col("n") / shard_rows).alias("shards"))

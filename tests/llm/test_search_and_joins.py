@@ -202,3 +202,12 @@ def test_pipeline_stages_agree_with_their_operators(spark, sf):
     assert {r.doc_id for r in rows} == one - leaked
     assert all(r.decoded == (r.text or "") and not pii.base_spans(r.text or "") for r in rows)
     assert pieces.decode(pieces.encode(docs)).count() == docs.count()
+
+
+def test_a_sample_takes_few_rows_of_each_partition(spark):
+    rows = spark.range(200_000, numPartitions=64).select(F.col("id").alias("row"))
+    low = kdtree._low(rows, 200_000, 1000)
+    assert 1000 <= low.count() <= 2000  # before, 1,000 of each of 64 partitions came to the driver
+    least = lambda df: [x.row for x in df.orderBy(F.xxhash64("row")).limit(1000).collect()]
+    assert least(low) == least(rows)
+    assert kdtree._low(rows.limit(900), 900, 1000).count() == 900
