@@ -17,6 +17,8 @@ are tables by unknown; the driver computes with scalars. Unknowns that share a g
 person's ability, sport slope and endurance slope) are inverted together as one
 small block of the preconditioner; others are scaled by their own diagonal. A
 solve that does not settle is an error.
+
+Where every race lies in one course and there are but persons' effects and a curve beside, :mod:`.swept` solves the same equations in few products.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import swept
 from .store import bucketed, written
 
 #: Unknowns whose vectors are sent to all tasks, and a row's terms that are kept side by side.
@@ -58,9 +61,15 @@ def term(name: str, key: Column, loading: Column | float = 1.0, ridge: float = 0
 
 def curve(name: str, at: Column, knots: list[float], loading: Column | float = 1.0, ridge: float = 0.0) -> Block:
     """A piecewise linear curve with one unknown per knot, level beyond the ends. Its knots are preconditioned together."""
+    terms = [F.struct(F.lit(str(i)).alias("key"), x.alias("x")) for i, x in enumerate(hats(at, knots, loading))]
+    return Block(name, F.filter(F.array(*terms), lambda t: F.coalesce(t["x"], F.lit(0.0)) != 0).cast(_TERM), ridge, F.lit(name))
+
+
+def hats(at: Column, knots: list[float], loading: Column | float = 1.0) -> list[Column]:
+    """Loadings of a curve's knots."""
     x = F.greatest(F.lit(float(knots[0])), F.least(F.lit(float(knots[-1])), at.cast("double")))
     load = (loading if isinstance(loading, Column) else F.lit(loading)).cast("double")
-    terms = []
+    out = []
     for i, k in enumerate(knots):
         parts = [F.lit(1.0)]
         if i:
@@ -68,8 +77,8 @@ def curve(name: str, at: Column, knots: list[float], loading: Column | float = 1
         if i + 1 < len(knots):
             parts.append(1 - (x - F.lit(float(k))) / (knots[i + 1] - k))
         hat = F.least(*parts) if len(parts) > 1 else parts[0]
-        terms.append(F.struct(F.lit(str(i)).alias("key"), (F.greatest(hat, F.lit(0.0)) * load).alias("x")))
-    return Block(name, F.filter(F.array(*terms), lambda t: F.coalesce(t["x"], F.lit(0.0)) != 0).cast(_TERM), ridge, F.lit(name))
+        out.append(F.greatest(hat, F.lit(0.0)) * load)
+    return out
 
 
 @dataclass
@@ -298,6 +307,9 @@ def joint_solve(rows: DataFrame, row_id: str, y: str, terms: Terms, sigma2: floa
     mean ability and falls by 1 for each hundredth of log time, seen between 40 and 200. ``estimate``: sigma2 and the blocks' variances follow
     the residuals and the effects (their mean square and 1 / diagonal as sampling variance).
     """
+    got = _swept(rows, y, terms, sigma2, tol) if outer == 1 and not estimate else None
+    if got is not None:
+        return _centred(written(got[0], "joint-effects")), got[1]
     rows = written(rows.withColumn("_w", F.lit(1.0)).withColumn("_h", F.lit(1.0)), "joint-input")
     base, effects, info = rows.drop("_w", "_h"), None, {}
     for k in range(outer):
@@ -326,6 +338,20 @@ def joint_solve(rows: DataFrame, row_id: str, y: str, terms: Terms, sigma2: floa
             else:
                 rows = rows.withColumn("_h", F.lit(1.0))
             rows = written(rows, "joint-input")
-    effects = differences(d, effects)
+    return _centred(differences(d, effects)), info
+
+
+def _centred(effects: DataFrame) -> DataFrame:
     means = effects.groupBy("block").agg(F.avg("value").alias("_m"))
-    return effects.join(F.broadcast(means), "block").select("block", "key", "value", "diagonal", (F.col("value") - F.col("_m")).alias("centred")), info  # one row a block
+    return effects.join(F.broadcast(means), "block").select("block", "key", "value", "diagonal", (F.col("value") - F.col("_m")).alias("centred"))  # one row a block
+
+
+def _swept(rows: DataFrame, y: str, t: Terms, sigma2: float, tol: float) -> tuple[DataFrame, dict] | None:
+    """The solve of abilities, sides, races within courses and a curve, all rows weighing the same (:mod:`.swept`); none where there are other
+    blocks, rows without a person, race or course, or races in two courses."""
+    if not t.race or t.person not in (None, t.ability) or t.group or t.endurance or t.opener or t.distance or t.altitude or t.front:
+        return None
+    ridge = {name: sigma2 / v for name, v in t.variances.items()}
+    shape = hats(F.col(t.day), t.knots, F.col(t.amplitude) if t.amplitude else 1.0) if t.day else []
+    laid = swept.Rows(rows, F.col(t.ability), F.col(t.cell), F.col(t.race), F.col(y), F.col(t.side) if t.side else F.lit(0.0), shape, ridge["race"], ridge["cell"])
+    return swept.solve(laid, ridge["side"] if t.side else None, t.small, tol) if laid.sound else None
