@@ -148,3 +148,26 @@ def test_whole_rows_and_entries_give_the_same_product(spark, monkeypatch):
         got.append({(x.block, x.key): x.diagonal for x in d.unknowns.collect()})
     assert got[0] == pytest.approx(got[3]) and got[1] == pytest.approx(got[4]) and got[2] == pytest.approx(got[5])
     assert len(got[0]) == 30 + 4 + 12 and len(got[1]) == len(rows)
+
+
+def test_swept_solve_gives_the_same_effects_in_few_products(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(*x, float(r.choice([-0.5, 0.5])), float(r.uniform(0, 100))) for x in world(people=60, cells=6, each=9, seed=8)[0]]
+    df = spark.createDataFrame(rows, "id long, person long, cell long, race long, y double, side double, day double").withColumn("cell", F.col("cell") + 100)
+    terms = lambda: joint.Terms(side="side", day="day", knots=[0.0, 50.0, 100.0], variances={"cell": 0.1, "race": 0.01, "side": 0.01})
+    fast, few = joint.joint_solve(df, "id", "y", terms(), sigma2=0.4, tol=1e-9)
+    monkeypatch.setattr(joint, "_swept", lambda *a: None)
+    slow, many = joint.joint_solve(df, "id", "y", terms(), sigma2=0.4, tol=1e-9)
+    got, want = ({(x.block, x.key): (x.value, x.diagonal, x.centred) for x in e.collect()} for e in (fast, slow))
+    assert got.keys() == want.keys() and {b for b, _ in got} == {"ability", "side", "race", "cell", "curve"}
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-6), k
+    assert few["products"] * 2 <= many["products"]
+
+
+def test_rows_that_cannot_be_swept_take_the_general_solve(spark):
+    rows = [(i, i % 7, i % 3, i % 6, float(i % 5)) for i in range(60)]
+    laid = lambda some: joint.swept.Rows(frame(spark, some), *[F.col(c) for c in ("person", "cell", "race", "y")], F.lit(0.0), [], 40.0, 4.0).sound
+    assert laid(rows) and laid([])
+    assert not laid([*rows, (60, 1, 2, 0, 1.0)])  # race 0 lies in courses 0 and 2
+    assert not laid([*rows, (60, None, 0, 0, 1.0)]) and not laid([*rows, (60, 1, None, 0, 1.0)]) and not laid([*rows, (60, 1, 0, None, 1.0)])
