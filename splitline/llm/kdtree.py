@@ -228,10 +228,11 @@ def reach(queries: DataFrame, boxes: dict[tuple[int, int], tuple]) -> DataFrame:
 
 
 def _searched(trees: DataFrame, asked: DataFrame, k: int, batch: int) -> DataFrame:
-    """Answers of the queries (row, id, v, kth, dim, leaf, sub), a shard's queries in batches of about ``batch``."""
+    """Answers of the queries (row, id, v, kth, dim, leaf, sub), a shard's queries in batches of about ``batch``. Only a row a shard is sent to all tasks:
+    files of queries are small, as their vectors repeat, but not in memory, so their joins don't go by size."""
     key = ["dim", "leaf", "sub"]
     batches = asked.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.ceil(F.col("n") / batch).alias("batches"))
-    dealt = asked.join(batches, key).withColumn("batch", F.pmod(F.xxhash64("row"), F.col("batches")))
+    dealt = asked.join(F.broadcast(batches), key).withColumn("batch", F.pmod(F.xxhash64("row"), F.col("batches")))
     packed = dealt.groupBy(*key, "batch").agg(F.collect_list(F.struct("row", "id", "v", "kth")).alias("qs"))
 
     def run(frames):
@@ -243,7 +244,7 @@ def _searched(trees: DataFrame, asked: DataFrame, k: int, batch: int) -> DataFra
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _RESULT.split(", ")])
 
-    return packed.join(trees, key).select("tree", "qs").mapInArrow(run, _RESULT)
+    return packed.join(trees.hint("merge"), key).select("tree", "qs").mapInArrow(run, _RESULT)
 
 
 def _low(rows: DataFrame, n: int, sample: int) -> DataFrame:
@@ -277,7 +278,7 @@ def top_k(vectors: DataFrame, wanted: Column, k: int = 5, shard_rows: int = 8192
     best = F.struct("score", F.negative("vec_id").alias("i"), F.negative("vec_row").alias("r"))
     worst = home.groupBy("query_row").agg(F.count("*").alias("found"), F.min(best).alias("w")).where(F.col("found") == k)
     kth = worst.select("query_row", F.struct(F.col("w.score").alias("score"), F.negative("w.i").alias("vec_id"), F.negative("w.r").alias("vec_row")).alias("kth"))
-    known = asked.join(kth, asked["row"] == kth["query_row"], "left").select("row", "id", "v", "kth", "dim", "leaf", "sub")
+    known = asked.join(kth.hint("merge"), asked["row"] == kth["query_row"], "left").select("row", "id", "v", "kth", "dim", "leaf", "sub")
     away = _searched(trees, materialize(reach(known, _boxes(trees)), "reach"), k, batch)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")  # at most k rows per query and shard
     found = home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -211,3 +211,10 @@ def test_a_sample_takes_few_rows_of_each_partition(spark):
     least = lambda df: [x.row for x in df.orderBy(F.xxhash64("row")).limit(1000).collect()]
     assert least(low) == least(rows)
     assert kdtree._low(rows.limit(900), 900, 1000).count() == 900
+
+
+def test_queries_are_not_sent_to_all_tasks(spark):
+    schema = "dim long, leaf long, sub long, tree binary"
+    asked = spark.createDataFrame([(1, 1, [1], None, 1, 0, 0)], "row long, id long, v array<long>, kth struct<score:long,vec_id:long,vec_row:long>, dim long, leaf long, sub long")
+    plan = kdtree._searched(spark.createDataFrame([(1, 0, 0, b"")], schema), asked, 5, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # the row a shard
